@@ -74,3 +74,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         last = tuple(sums)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+def worker_cache(name: str, build):
+    """An object that a Python worker keeps across its tasks, such as a loaded vocabulary."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_sluice_kept", types.ModuleType("_sluice_kept"))
+    if not hasattr(kept, name):
+        setattr(kept, name, build())
+    return getattr(kept, name)
