@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from sluice.llm import ngram_join
+from sluice.llm import html_text, lm_score, mixing, ngram_join, packing, quality, secrets, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_best_fit_packing": packing.query,
+        "op3_lm_scoring": lm_score.query,
+        "op4_url_filters": url_filter.query,
+        "op5_mixing": mixing.query,
+        "op7_html_extraction": html_text.query,
         "op8_ngram_jaccard_join": ngram_join.query,
+        "op9_secret_scans": secrets.query,
+        "op10_quality_classifier": quality.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_url_filters": url_filter.sql(), "op5_mixing": mixing.sql()}
