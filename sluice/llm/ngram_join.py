@@ -252,20 +252,25 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     regions = post.groupBy("s", "ring").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.expr("bit_xor(xxhash64(id))").alias("x1"), F.expr("bit_xor(xxhash64(id, 1))").alias("x2")).where("size > 1")
     same = regions.groupBy("size", "low", "x1", "x2").agg(F.min(F.struct("s", "ring")).alias("r"))
     same = scratch.save(same.select("size", F.col("r.s").alias("s"), F.col("r.ring").alias("ring"), F.xxhash64("r.s", "r.ring").alias("region")), "regions")
-    members = scratch.save(post.join(same, ["s", "ring"]).select("region", "size", "id", "n"), "members")
+    members = scratch.save(post.join(same, ["s", "ring"]).select("region", "size", "id", "n", F.array().cast("array<long>").alias("pivots")), "members")
     scratch.drop(post)
 
+    def may_link(na, nb, oa, ob):
+        """Whether sets of na and nb shingles, oa and ob of them in a common pivot, can have the needed intersection."""
+        return (100 + limit) * (F.least(oa, ob) + F.least(na - oa, nb - ob)) >= limit * (na + nb)
+
     def pairs_within(m: DataFrame) -> DataFrame:
-        """All pairs of each region whose sizes allow a link."""
-        x = m.select("region", F.col("id").alias("a"), F.col("n").alias("na"))
-        y = m.select("region", F.col("id").alias("b"), F.col("n").alias("nb"))
+        """All pairs of each region whose sizes, and shares of the region's earlier pivots, allow a link."""
+        x = m.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivots").alias("pa"))
+        y = m.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pivots").alias("pb"))
         sizes = 100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")
-        return x.join(y, "region").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+        each = F.forall(F.arrays_zip("pa", "pb"), lambda o: may_link(F.col("na"), F.col("nb"), o["pa"], o["pb"]))
+        return x.join(y, "region").where((F.col("a") < F.col("b")) & sizes & each).select("a", "b").distinct()
 
     links = []
     seen = scratch.save(_similar(pairs_within(members.where(F.col("size") <= LEAF)), reps).select("a", "b", linked), "leaf")
     links.append(seen.where("linked").select("a", "b"))
-    live, near = members.where(F.col("size") > LEAF).select("region", "id", "n"), []
+    live, near = members.where(F.col("size") > LEAF).select("region", "id", "n", "pivots"), []
     for level in range(rounds):
         live = scratch.save(live, "live")
         pivots = live.groupBy("region").agg(F.min("id").alias("b"), F.count("*").alias("size"))
@@ -273,11 +278,11 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             break
         live = live.join(pivots, "region")
         found = _similar(live.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), reps)
-        found = scratch.save(found.select("a", "b", linked, (F.col("common") / F.col("union")).alias("sim")), "pivots")
+        found = scratch.save(found.select("a", "b", linked, "common", (F.col("common") / F.col("union")).alias("sim")), "pivots")
         links.append(found.where("linked").select("a", "b"))
         near.append(found.where(F.col("linked") | (F.col("sim") * 100 >= 2 * limit - 100 - 1e-6)))
-        rest = live.join(found.where("not linked").select(F.col("a").alias("id"), "b"), ["id", "b"])
-        live = rest.select("region", "id", "n")
+        rest = live.join(found.where("not linked").select(F.col("a").alias("id"), "b", "common"), ["id", "b"])
+        live = rest.select("region", "id", "n", F.array_append("pivots", F.col("common")).alias("pivots"))
     if near:
         live = scratch.save(live, "live")
         if not live.isEmpty():
@@ -291,17 +296,16 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         around = near[0]
         for x in near[1:]:
             around = around.union(x)
-        around = around.distinct()
+        sizes = reps.select(F.col("id").alias("a"), "n")
+        around = around.distinct().join(sizes, "a")
         part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"p_{c}"))
         out = around.where("not linked").join(part("a"), "a", "left").join(part("b"), "b")
-        out = out.where(F.coalesce("p_a", "a") != F.col("p_b")).select("a", "b", "sim")
-        inner = around.where("linked").select(F.col("a").alias("c"), "b", F.col("sim").alias("sim_c"))
-        # Distances: d(c, pivot) >= d(a, pivot) - r.
-        cross = out.join(inner, "b").where(F.col("sim_c") <= F.col("sim") + (1 - limit / 100) + 1e-9)
-        sizes = reps.select("id", "n")
-        cross = cross.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).where("a <> b").distinct()
-        cross = cross.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
-        cross = cross.where(100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")).select("a", "b")
+        out = out.where(F.coalesce("p_a", "a") != F.col("p_b")).select("a", "b", "n", "sim", "common")
+        inner = around.where("linked").select(F.col("a").alias("c"), "b", F.col("n").alias("n_c"), F.col("sim").alias("sim_c"), F.col("common").alias("common_c"))
+        # d(c, pivot) >= d(a, pivot) - r, and the sizes allow it.
+        window = (F.col("sim_c") <= F.col("sim") + (1 - limit / 100) + 1e-9) & (F.col("a") != F.col("c"))
+        window &= (100 * F.least("n", "n_c") >= limit * F.greatest("n", "n_c")) & may_link(F.col("n"), F.col("n_c"), F.col("common"), F.col("common_c"))
+        cross = out.join(inner, "b").where(window).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         more = scratch.save(_similar(cross, reps).select("a", "b", linked).where("linked").select("a", "b"), "cross")
         if not more.isEmpty():
             star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
