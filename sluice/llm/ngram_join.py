@@ -16,9 +16,11 @@ link at 100 * |intersection| >= 75 * |union|, that is within the radius r = 0.25
 3. *Regions.* Regions with the same members are joined once. A region of a few documents is joined pair
    by pair. In a larger one the document with the smallest id is the pivot and all members' distances
    to it are computed exactly. Members within r are linked, and are one component without
-   further comparison. The rest join recursively with a new pivot; a member at distance d <= 2r is also
-   replicated to the linked ones of distance >= d - r (triangle inequality), unless it has reached the pivot's
-   component by then. What remains unsplit after `rounds` levels is joined by pairs in its size ring.
+   further comparison. By the triangle inequality a member farther than 2r links with none of those, so only
+   the boundary (r to 2r) is replicated to the pivot's region once more, unless it has reached the pivot's component by
+   then: there documents are joined on what they add to the pivot and what they lack of it, rarest first. Members
+   beyond 2r, with the boundary, join recursively with a new pivot; what remains after `rounds` levels is joined by
+   pairs in its size ring.
 4. *Components* of all links by alternating star rounds.
 
 Every pair that links is compared, or both ends are linked to a common pivot. No document, shingle or
@@ -230,6 +232,39 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), (F.col("n_a") + F.col("n_b") - common).alias("union"))
 
 
+def _around_pivots(around: DataFrame, reps: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link among documents within 2r of a common pivot, where components are still apart.
+
+    around: (a, b: pivot, linked, common). Seen from the pivot p, a document x is what it adds and what it lacks, and
+    |x & z| = |x & p| + |z & p| - |p| + (shared additions and lacks). Two documents that p doesn't already
+    prove linked must share s of these differences, so they meet in the first |differences| - s + 1 of them, the
+    rarest additions first and the lacks last.
+    """
+    unit = 100 + percent
+    own = reps.select(F.col("id").alias("a"), "n", F.col("shared").alias("s_a"))
+    piv = reps.select(F.col("id").alias("b"), F.col("n").alias("n_p"), F.col("shared").alias("s_p"))
+    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    x = around.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({"part_a": F.coalesce("part_a", "a"), "part_b": F.coalesce("part_b", "b")})
+    x = x.join(own, "a").withColumns({"g": percent * F.col("n") - unit * F.col("common"), "out": ~F.col("linked") & (F.col("part_a") != F.col("part_b"))})
+    low_out = x.where("out").groupBy("b").agg(F.min("g").alias("g_out"))
+    x = x.join(low_out, "b").join(piv, "b").withColumn("size", F.col("n") + F.col("n_p") - 2 * F.col("common"))
+    shares = lambda g: F.ceil((F.col("g") + F.col(g)) / unit) + F.col("n_p")
+    x = x.where(F.col("out") | (shares("g_out") <= F.col("size")))
+    low = x.groupBy("b").agg(F.min("g").alias("g_all"), F.min_by("a", "g").alias("closest"))
+    x = x.join(low, "b").withColumn("s", F.when(F.col("out"), shares("g_all")).otherwise(shares("g_out")))
+    sure = x.where((F.col("s") <= 0) & (F.col("a") != F.col("closest"))).select(F.least("a", "closest").alias("a"), F.greatest("a", "closest").alias("b"))
+    lacks = F.transform(F.array_except("s_p", "s_a"), lambda e: F.bitwise_not(e))
+    tail = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_p") - F.size("s_p"), F.lit(1))), lambda k: F.xxhash64(F.lit("own"), k))
+    tail = F.slice(tail, F.lit(1), (F.col("n_p") - F.size("s_p")).cast("int"))
+    length = F.col("size") - F.greatest(F.col("s"), F.lit(1)) + 1 - (F.col("n") - F.size("s_a"))
+    e = F.explode(F.slice(F.concat(F.array_except("s_a", "s_p"), lacks, tail), F.lit(1), F.greatest(length, F.lit(0)).cast("int")))
+    x = x.select("b", "a", "n", "out", "part_a", "common", e.alias("e"))
+    left, right = x.where("out"), x.withColumnsRenamed({"a": "c", "n": "n_c", "part_a": "part_c", "common": "common_c"}).drop("out")
+    sizes = 100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")
+    met = left.join(right, ["b", "e"]).where((F.col("part_a") != F.col("part_c")) & sizes)
+    return met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).union(sure).distinct()
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 5) -> DataFrame:
     """n_shingles and component_id of every row of `docs`."""
     spark = docs.sparkSession
@@ -238,6 +273,8 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     blocks = rows.where("id is not null").mapInArrow(shingle_blocks(n, buckets), BLOCK_DDL)
     blocks = blocks.repartition(buckets, "bucket").mapInArrow(shared_blocks(buckets), BLOCK_DDL)
     sets = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(sets_of_documents(percent), SET_DDL), "sets")
+    del blocks
+    scratch.release()
     # Equal sets are one point; only a copy that carries its shingles can stand for it.
     points = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("low"), F.min(F.when(F.col("shared").isNotNull(), F.col("id"))).alias("point"))
     reps = sets.where("shared is not null").join(points.where("point is not null").select(F.col("point").alias("id"), "low"), "id")
@@ -252,25 +289,21 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     regions = post.groupBy("s", "ring").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.expr("bit_xor(xxhash64(id))").alias("x1"), F.expr("bit_xor(xxhash64(id, 1))").alias("x2")).where("size > 1")
     same = regions.groupBy("size", "low", "x1", "x2").agg(F.min(F.struct("s", "ring")).alias("r"))
     same = scratch.save(same.select("size", F.col("r.s").alias("s"), F.col("r.ring").alias("ring"), F.xxhash64("r.s", "r.ring").alias("region")), "regions")
-    members = scratch.save(post.join(same, ["s", "ring"]).select("region", "size", "id", "n", F.array().cast("array<long>").alias("pivots")), "members")
+    members = scratch.save(post.join(same, ["s", "ring"]).select("region", "size", "id", "n", F.array().cast("array<boolean>").alias("near")), "members")
     scratch.drop(post)
 
-    def may_link(na, nb, oa, ob):
-        """Whether sets of na and nb shingles, oa and ob of them in a common pivot, can have the needed intersection."""
-        return (100 + limit) * (F.least(oa, ob) + F.least(na - oa, nb - ob)) >= limit * (na + nb)
-
     def pairs_within(m: DataFrame) -> DataFrame:
-        """All pairs of each region whose sizes, and shares of the region's earlier pivots, allow a link."""
-        x = m.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pivots").alias("pa"))
-        y = m.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pivots").alias("pb"))
+        """All pairs of each region whose sizes allow a link, but for those around one of its pivots."""
+        x = m.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("near").alias("pa"))
+        y = m.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("near").alias("pb"))
         sizes = 100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")
-        each = F.forall(F.arrays_zip("pa", "pb"), lambda o: may_link(F.col("na"), F.col("nb"), o["pa"], o["pb"]))
-        return x.join(y, "region").where((F.col("a") < F.col("b")) & sizes & each).select("a", "b").distinct()
+        around = F.exists(F.arrays_zip("pa", "pb"), lambda o: o["pa"] & o["pb"])
+        return x.join(y, "region").where((F.col("a") < F.col("b")) & sizes & ~around).select("a", "b").distinct()
 
     links = []
     seen = scratch.save(_similar(pairs_within(members.where(F.col("size") <= LEAF)), reps).select("a", "b", linked), "leaf")
     links.append(seen.where("linked").select("a", "b"))
-    live, near = members.where(F.col("size") > LEAF).select("region", "id", "n", "pivots"), []
+    live, near = members.where(F.col("size") > LEAF).select("region", "id", "n", "near"), []
     for level in range(rounds):
         live = scratch.save(live, "live")
         pivots = live.groupBy("region").agg(F.min("id").alias("b"), F.count("*").alias("size"))
@@ -278,11 +311,13 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             break
         live = live.join(pivots, "region")
         found = _similar(live.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), reps)
-        found = scratch.save(found.select("a", "b", linked, "common", (F.col("common") / F.col("union")).alias("sim")), "pivots")
+        close = (100 * F.col("common") >= (2 * limit - 100) * F.col("union")).alias("close")
+        found = scratch.save(found.select("a", "b", linked, "common", close), "pivots")
         links.append(found.where("linked").select("a", "b"))
-        near.append(found.where(F.col("linked") | (F.col("sim") * 100 >= 2 * limit - 100 - 1e-6)))
-        rest = live.join(found.where("not linked").select(F.col("a").alias("id"), "b", "common"), ["id", "b"])
-        live = rest.select("region", "id", "n", F.array_append("pivots", F.col("common")).alias("pivots"))
+        near.append(found.where("close").select("a", "b", "linked", "common"))
+        rest = live.join(found.where("not linked").select(F.col("a").alias("id"), "b", "close"), ["id", "b"])
+        far = rest.where("not close").select("region").distinct()
+        live = rest.join(far, "region").select("region", "id", "n", F.array_append("near", F.col("close")).alias("near"))
     if near:
         live = scratch.save(live, "live")
         if not live.isEmpty():
@@ -296,16 +331,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         around = near[0]
         for x in near[1:]:
             around = around.union(x)
-        sizes = reps.select(F.col("id").alias("a"), "n")
-        around = around.distinct().join(sizes, "a")
-        part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"p_{c}"))
-        out = around.where("not linked").join(part("a"), "a", "left").join(part("b"), "b")
-        out = out.where(F.coalesce("p_a", "a") != F.col("p_b")).select("a", "b", "n", "sim", "common")
-        inner = around.where("linked").select(F.col("a").alias("c"), "b", F.col("n").alias("n_c"), F.col("sim").alias("sim_c"), F.col("common").alias("common_c"))
-        # d(c, pivot) >= d(a, pivot) - r, and the sizes allow it.
-        window = (F.col("sim_c") <= F.col("sim") + (1 - limit / 100) + 1e-9) & (F.col("a") != F.col("c"))
-        window &= (100 * F.least("n", "n_c") >= limit * F.greatest("n", "n_c")) & may_link(F.col("n"), F.col("n_c"), F.col("common"), F.col("common_c"))
-        cross = out.join(inner, "b").where(window).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+        cross = _around_pivots(around.distinct(), reps, parts, percent)
         more = scratch.save(_similar(cross, reps).select("a", "b", linked).where("linked").select("a", "b"), "cross")
         if not more.isEmpty():
             star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -18,7 +18,10 @@ packed each. Columns other than id and text are ignored. No rows give no pieces.
 from __future__ import annotations
 
 import bisect
+import itertools
+import sys
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import Scratch, table, worker_cache
 
 #: Words whose ids a worker remembers.
-WORDS = 500_000
+WORDS = 1_000_000
 PIECE_DDL = "id long, row_key long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -48,51 +51,52 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.tokenizer.encode_special_tokens = False
         self.known: dict[bytes, bytes] = {}
+        assert sys.byteorder == "little" and array("I").itemsize == 4
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        self.model = self.tokenizer.model
+        # The vocabulary spells bytes as characters: printable ones as themselves, the others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelling = {b: c for b, c in zip((b for b in range(256) if b not in plain), range(256, 512), strict=False)}
+        self.marks = dict(zip((b".", b","), self._encode([".", ","]), strict=True))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all the given words: those known, and the rest encoded at once."""
-        missing = [w for w in words if w not in self.known]
-        # A word of ASCII letters and a full stop or comma is the word and then the mark.
-        cores, plain = {}, []
-        for w in missing:
-            core = w[:-1] if w[-1:] in (b".", b",") and w[:-1].isalpha() else w
-            core = core.lower()
-            cores[w] = core
-            if core not in self.known:
-                plain.append(core)
-        plain = list(set(plain))
-        new = dict(zip(plain, self._encode(plain), strict=True))
-        if b"." not in self.known:
-            self.known[b"."], self.known[b","] = self._encode([b".", b","])
-        out = {}
-        for w, core in cores.items():
-            ids = new[core] if core in new else self.known[core]
-            out[w] = ids if len(core) == len(w) else ids + self.known[w[-1:]]
-        if len(self.known) < WORDS:
-            self.known.update(new)
-            self.known.update(out)
-        return out
+    def learn(self, missing: list[bytes]) -> None:
+        """Add the ids of words not yet known."""
+        known, tokenize, spelling = self.known, self.model.tokenize, self.spelling
+        others = []
+        for word in missing:
+            # Letters followed by a full stop or comma are the word and then the mark.
+            mark = self.marks.get(word[-1:], b"")
+            core = word[:-1] if mark else word
+            text = core.decode("utf-8", "replace").lower()
+            lower = text.encode()
+            if lower in known and text.isalpha():
+                known[word] = known[lower] + mark if mark else known[lower]
+            elif text.isalpha() and (text.isascii() or max(text) < "\u0100"):
+                # Letters are one unit to the vocabulary, already normalised: straight to the model.
+                if not text.isascii():
+                    text = lower.decode("latin-1").translate(spelling)
+                ids = known[lower] = array("I", [t.id for t in tokenize(text)]).tobytes()
+                if word != lower:
+                    known[word] = ids + mark if mark else ids
+            else:
+                others.append(word)
+        known.update(zip(others, self._encode([w.decode("utf-8", "replace") for w in others]), strict=True))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit numbers."""
         split = [t.split() for t in texts]
-        new = self.learn({w for words in split for w in words if w not in self.known})
-        known = self.known if not new else _Both(new, self.known)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-class _Both(dict):
-    def __init__(self, new, known):
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, word):
-        return self.known[word]
+        before, known = len(self.known), self.known
+        self.learn([w for w in set().union(*split) if w not in known])
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        if len(known) > WORDS:  # dictionaries keep their order: the newest words go
+            for word in list(itertools.islice(reversed(known), len(known) - min(before, WORDS))):
+                del known[word]
+        return out
 
 
 def _pieces(capacity: int, end_id: int, path: str | None, keep_ids: bool):

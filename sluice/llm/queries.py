@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sluice.llm import html_text, lm_score, mixing, ngram_join, packing, quality, secrets, url_filter
+from sluice.llm import ann, html_text, lm_score, mixing, near_dedup, ngram_join, packing, quality, secrets, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": near_dedup.query,
         "op2_best_fit_packing": packing.query,
         "op3_lm_scoring": lm_score.query,
         "op4_url_filters": url_filter.query,
         "op5_mixing": mixing.query,
+        "op6_nearest_neighbours": ann.query,
         "op7_html_extraction": html_text.query,
         "op8_ngram_jaccard_join": ngram_join.query,
         "op9_secret_scans": secrets.query,
