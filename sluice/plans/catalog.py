@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
 
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
 
-def queries() -> dict:
+
+def query(name: str, sql: str | None = None):
+    """Register a (spark, sf_dir) -> DataFrame function, with its DuckDB SQL if it has any."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    import importlib
+
+    for name in ("messages", "requests"):
+        importlib.import_module(f"sluice.plans.{name}")
+
+
+def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLE)
