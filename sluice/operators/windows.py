@@ -63,3 +63,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns:
     inner = Window.partitionBy(*keys, "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.join(last, [*keys, "_slice"]).withColumn("_m", F.coalesce(F.last("_r", ignorenulls=True).over(inner), F.col("_carry"))).where("_side = 1")
     return out.select(*names, "_m.at", *(f"_m.{c}" for c in columns))
+
+
+def running_max(df: DataFrame, keys: list[str], time: str, column: str, name: str, width: int = DAY) -> DataFrame:
+    """Adds the running maximum (inclusive) of a column by key."""
+    df = _sliced(df, time, width)
+    part = df.groupBy(*keys, "_slice").agg(F.max(column).alias("_m"))
+    part = part.select(*keys, "_slice", F.max("_m").over(_before(keys)).alias("_carry"))
+    inner = Window.partitionBy(*keys, "_slice").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(part, [*keys, "_slice"]).withColumn(name, F.greatest(F.max(column).over(inner), F.col("_carry"))).drop("_slice", "_carry")

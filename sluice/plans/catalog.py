@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     import importlib
 
-    for name in ("messages", "requests"):
+    for name in ("messages", "requests", "gates", "ordering", "outcomes", "admission", "aggregates", "streams"):
         importlib.import_module(f"sluice.plans.{name}")
 
 

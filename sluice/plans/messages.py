@@ -13,7 +13,7 @@ from sluice.sources.tables import CFG, NOW, REQ, queues, read, requests, sql
 KIND_SQL = "case event_id % 3 when 0 then 'plain' when 1 then 'redis' else 'pubsub' end"
 ENV = f"""env as (select *, case event_id % 7 when 0 then 'null' when 1 then '{{"internal":{{}},"request_kind":"soap","data":{{"id":"' || id || '"}}}}' when 2 then '{{"internal":{{}},"data":{{"id":"' || id || '"}}}}'
   when 3 then '{{"internal":{{}},"request_kind":"plain","data":{{"id":' || event_id || ',"created":1,"deadline":2}}}}'
-  else '{{"internal":{{"retry_count":' || retry_count || ',"queue_id":"' || queue_id || '","request_token":"' || token || '"}},"request_kind":"' || {KIND_SQL} || '","data":{{"id":"' || id || '","created":' || created || ',"deadline":' || deadline || ',"metadata":{{"userid":"' || tenant || '"}}}}}}' end as value from req)"""
+  else '{{"internal":{{"retry_count":' || retry_count || ',"queue_id":"' || queue_id || '","request_token":"' || token || '"}},"request_kind":"' || {KIND_SQL} || '","data":{{"id":"' || id || '","created":' || created || ',"deadline":' || deadline || ',"metadata":{{"userid":"' || tenant || '"}}}}}}' end as msg from req)"""
 
 
 def envelopes(spark, sf_dir):
@@ -25,11 +25,11 @@ def envelopes(spark, sf_dir):
 
 
 @query("s1_decode_envelope", sql(REQ, ENV, body="""
-select event_id, nullif(json_extract_string(value, '$.request_kind'), '') as kind, case when value = 'null' then 'empty' when json_extract_string(value, '$.request_kind') is null then 'missing kind'
-  when json_extract_string(value, '$.request_kind') not in ('plain', 'redis', 'pubsub') then 'unknown kind' when json_type(value, '$.data.id') <> 'VARCHAR' then 'wrong type' end as reject,
-  case when event_id % 7 > 3 then json_extract_string(value, '$.data.id') end as id, case when event_id % 7 > 3 then cast(json_extract_string(value, '$.data.created') as bigint) end as created,
-  case when event_id % 7 > 3 then cast(json_extract_string(value, '$.data.deadline') as bigint) end as deadline, json_extract_string(value, '$.internal.queue_id') as queue_id,
-  json_extract_string(value, '$.internal.request_token') as token, cast(json_extract_string(value, '$.internal.retry_count') as int) as retry_count from env"""))
+select event_id, nullif(json_extract_string(msg, '$.request_kind'), '') as kind, case when msg = 'null' then 'empty' when json_extract_string(msg, '$.request_kind') is null then 'missing kind'
+  when json_extract_string(msg, '$.request_kind') not in ('plain', 'redis', 'pubsub') then 'unknown kind' when json_type(msg, '$.data.id') <> 'VARCHAR' then 'wrong type' end as reject,
+  case when event_id % 7 > 3 then json_extract_string(msg, '$.data.id') end as id, case when event_id % 7 > 3 then cast(json_extract_string(msg, '$.data.created') as bigint) end as created,
+  case when event_id % 7 > 3 then cast(json_extract_string(msg, '$.data.deadline') as bigint) end as deadline, json_extract_string(msg, '$.internal.queue_id') as queue_id,
+  json_extract_string(msg, '$.internal.request_token') as token, cast(json_extract_string(msg, '$.internal.retry_count') as int) as retry_count from env"""))
 def s1(spark, sf_dir):
     d = m.decode_envelope(envelopes(spark, sf_dir).select("event_id", "value"))
     return d.select("event_id", "kind", "reject", "req.id", F.col("req.created").cast("long").alias("created"), F.col("req.deadline").cast("long").alias("deadline"), "routing.queue_id", F.col("routing.request_token").alias("token"), F.col("routing.retry_count").cast("int").alias("retry_count"))
