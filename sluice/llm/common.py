@@ -91,3 +91,21 @@ def worker_cache(name: str, build):
     if not hasattr(kept, name):
         setattr(kept, name, build())
     return getattr(kept, name)
+
+
+def by_size(column, most: int, rows: int = 50_000):
+    """Parts of an Arrow column of texts by size: (first row, row after the last, texts as bytes)."""
+    import pyarrow as pa
+
+    lo = 0
+    while lo < len(column):
+        size = 0
+        texts = []
+        for cell in column[lo : lo + rows].cast(pa.binary()):
+            text = cell.as_py()
+            texts.append(text)
+            size += len(text or b"")
+            if size >= most:
+                break
+        yield lo, lo + len(texts), texts
+        lo += len(texts)

@@ -40,16 +40,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, connected_components, shuffle_partitions, table
+from sluice.llm.common import Scratch, by_size, connected_components, shuffle_partitions, table
 
-#: A batch's shingle held by more sets than this is reported as frequent, with a count, not with postings.
+#: A part's shingle held by more sets than this is reported as frequent, with a count, not with postings.
 FREQUENT = 256
 #: Rank of shingles that are frequent in any batch: after all others.
 LAST = 65535
 #: Regions of at most this many documents are joined pair by pair.
 LEAF = 12
 #: Words whose hashes a task remembers.
-WORDS = 500_000
+WORDS = 250_000
+#: Bytes of text that a task holds as numbers at once.
+CHUNK = 6_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -102,38 +104,43 @@ def _bucket(keys, n):
 def shingle_blocks(n: int, buckets: int):
     """Documents to blocks of set sizes and postings, dealt by hash."""
 
+    def blocks_of(ids, texts, words):
+        sets, keys, seen, first = [], np.zeros((len(ids), 3), np.int64), set(), []
+        for i, text in enumerate(texts):
+            s = shingles(text, n, words)
+            d = xxhash.xxh3_128_intdigest(s.tobytes())
+            keys[i] = len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
+            if len(s) and d not in seen:
+                seen.add(d)
+                sets.append(s)
+                first.append(i)
+        for b, at in _by_bucket(_bucket(ids.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets):
+            yield b, DOCS, ids[at].tobytes(), b"", keys[at].tobytes(), b""
+        if not sets:
+            return
+        own, h = ids[first], np.concatenate(sets)
+        o = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        del sets
+        u, counts = np.unique(h, return_counts=True)
+        often = u[counts > FREQUENT]
+        del u, counts
+        if len(often):
+            for b, at in _by_bucket(_bucket(often, buckets), buckets):
+                yield b, COUNTS, b"", b"", often[at].tobytes(), b""
+            hit = np.isin(h, often)
+            yield int(ids[0] % buckets), RANKED, own.tobytes(), o[hit].tobytes(), h[hit].tobytes(), b""
+            h, o = h[~hit], o[~hit]
+        for b, at in _by_bucket(_bucket(h, buckets), buckets):
+            yield b, POSTINGS, own.tobytes(), o[at].tobytes(), h[at].tobytes(), b""
+
     def run(batches):
         words = _WordHash()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sets, keys, seen, first = [], np.zeros((len(ids), 3), np.int64), set(), []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                s = shingles(text, n, words)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                keys[i] = len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
-                if len(s) and d not in seen:
-                    seen.add(d)
-                    sets.append(s)
-                    first.append(i)
-            rows = []
-            for b, at in _by_bucket(_bucket(ids.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets):
-                rows.append((b, DOCS, ids[at].tobytes(), b"", keys[at].tobytes(), b""))
-            for lo in range(0, len(sets), 60_000):
-                part, own = sets[lo : lo + 60_000], ids[first[lo : lo + 60_000]]
-                h = np.concatenate(part)
-                o = np.repeat(np.arange(len(part), dtype=np.uint16), [len(s) for s in part])
-                u, counts = np.unique(h, return_counts=True)
-                often = u[counts > FREQUENT]
-                if len(often):
-                    for b, at in _by_bucket(_bucket(often, buckets), buckets):
-                        rows.append((b, COUNTS, b"", b"", often[at].tobytes(), b""))
-                    hit = np.isin(h, often)
-                    rows.append((int(o[0] + h[0] % np.uint64(buckets)), RANKED, own.tobytes(), o[hit].tobytes(), h[hit].tobytes(), b""))
-                    h, o = h[~hit], o[~hit]
-                for b, at in _by_bucket(_bucket(h, buckets), buckets):
-                    rows.append((b, POSTINGS, own.tobytes(), o[at].tobytes(), h[at].tobytes(), b""))
-            for lo in range(0, len(rows), 64):
-                yield _blocks(rows[lo : lo + 64])
+            for lo, hi, texts in by_size(batch.column(1), CHUNK):
+                rows = list(blocks_of(ids[lo:hi], texts, words))
+                for at in range(0, len(rows), 64):
+                    yield _blocks(rows[at : at + 64])
 
     return run
 
