@@ -45,7 +45,7 @@ class Hashes:
         some = unit[:400]
         sims = some @ (sample / scale).T
         sims[np.arange(len(some)), np.arange(len(some))] = -2
-        rank = max(1, round(k * len(sample) / max(rows, 1)))
+        rank = min(sims.shape[1], max(1, round(k * len(sample) / max(rows, 1))))
         self.cosine = float(np.clip(np.median(np.sort(sims, 1)[:, -rank]) if sims.size > 1 else 0.5, 0.05, 0.99))
         self.counts: dict[int, int] = {}
 

@@ -109,3 +109,24 @@ def by_size(column, most: int, rows: int = 50_000):
                 break
         yield lo, lo + len(texts), texts
         lo += len(texts)
+
+
+def lean(run):
+    """A task function over Arrow batches whose worker gives freed memory back at once, so that idle workers stay small."""
+
+    def held(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # arrays of 1 MB and more are mapped, and unmapped when freed
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return held

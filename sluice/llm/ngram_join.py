@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, by_size, connected_components, shuffle_partitions, table
+from sluice.llm.common import Scratch, by_size, connected_components, lean, shuffle_partitions, table
 
 #: A part's shingle held by more sets than this is reported as frequent, with a count, not with postings.
 FREQUENT = 256
@@ -277,9 +277,9 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     scratch, buckets = Scratch(spark, "ngram-join"), shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = rows.where("id is not null").mapInArrow(shingle_blocks(n, buckets), BLOCK_DDL)
-    blocks = blocks.repartition(buckets, "bucket").mapInArrow(shared_blocks(buckets), BLOCK_DDL)
-    sets = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(sets_of_documents(percent), SET_DDL), "sets")
+    blocks = rows.where("id is not null").mapInArrow(lean(shingle_blocks(n, buckets)), BLOCK_DDL)
+    blocks = blocks.repartition(buckets, "bucket").mapInArrow(lean(shared_blocks(buckets)), BLOCK_DDL)
+    sets = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(lean(sets_of_documents(percent)), SET_DDL), "sets")
     del blocks
     scratch.release()
     # Equal sets are one point; only a copy that carries its shingles can stand for it.
