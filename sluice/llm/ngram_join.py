@@ -264,11 +264,14 @@ def _around_pivots(around: DataFrame, reps: DataFrame, parts: DataFrame, percent
     tail = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_p") - F.size("s_p"), F.lit(1))), lambda k: F.xxhash64(F.lit("own"), k))
     tail = F.slice(tail, F.lit(1), (F.col("n_p") - F.size("s_p")).cast("int"))
     length = F.col("size") - F.greatest(F.col("s"), F.lit(1)) + 1 - (F.col("n") - F.size("s_a"))
-    e = F.explode(F.slice(F.concat(F.array_except("s_a", "s_p"), lacks, tail), F.lit(1), F.greatest(length, F.lit(0)).cast("int")))
-    x = x.select("b", "a", "n", "out", "part_a", "common", e.alias("e"))
-    left, right = x.where("out"), x.withColumnsRenamed({"a": "c", "n": "n_c", "part_a": "part_c", "common": "common_c"}).drop("out")
+    e = F.posexplode(F.slice(F.concat(F.array_except("s_a", "s_p"), lacks, tail), F.lit(1), F.greatest(length, F.lit(0)).cast("int")))
+    x = x.select("b", "a", "n", "n_p", "g", "out", "part_a", (F.col("size") - F.col("n") + F.size("s_a")).alias("listed"), e.alias("i", "e"))
+    x = x.withColumn("after", F.col("listed") - F.col("i")).drop("listed", "i")  # differences from this one on
+    left, right = x.where("out"), x.select("b", "e", F.col("a").alias("c"), F.col("n").alias("n_c"), F.col("g").alias("g_c"), F.col("part_a").alias("part_c"), F.col("after").alias("after_c"))
     sizes = 100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")
-    met = left.join(right, ["b", "e"]).where((F.col("part_a") != F.col("part_c")) & sizes)
+    # If this is the first one that both have, all that they share is from here on.
+    enough = unit * F.least("after", "after_c") >= F.col("g") + F.col("g_c") + unit * F.col("n_p")
+    met = left.join(right, ["b", "e"]).where((F.col("part_a") != F.col("part_c")) & sizes & enough)
     return met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).union(sure).distinct()
 
 
@@ -311,24 +314,26 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     seen = scratch.save(_similar(pairs_within(members.where(F.col("size") <= LEAF)), reps).select("a", "b", linked), "leaf")
     links.append(seen.where("linked").select("a", "b"))
     live, near = members.where(F.col("size") > LEAF).select("region", "id", "n", "near"), []
+    core = scratch.save(reps.join(live.select("id").distinct(), "id", "left_semi"), "core")
     for level in range(rounds):
         live = scratch.save(live, "live")
         pivots = live.groupBy("region").agg(F.min("id").alias("b"), F.count("*").alias("size"))
         if pivots.isEmpty():
             break
         live = live.join(pivots, "region")
-        found = _similar(live.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), reps)
+        found = _similar(live.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), core)
         close = (100 * F.col("common") >= (2 * limit - 100) * F.col("union")).alias("close")
         found = scratch.save(found.select("a", "b", linked, "common", close), "pivots")
         links.append(found.where("linked").select("a", "b"))
         near.append(found.where("close").select("a", "b", "linked", "common"))
         rest = live.join(found.where("not linked").select(F.col("a").alias("id"), "b", "close"), ["id", "b"])
         far = rest.where("not close").select("region").distinct()
+        scratch.release()
         live = rest.join(far, "region").select("region", "id", "n", F.array_append("near", F.col("close")).alias("near"))
     if near:
         live = scratch.save(live, "live")
         if not live.isEmpty():
-            seen = scratch.save(_similar(pairs_within(live), reps).select("a", "b", linked), "rest")
+            seen = scratch.save(_similar(pairs_within(live), core).select("a", "b", linked), "rest")
             links.append(seen.where("linked").select("a", "b"))
     all_links = links[0]
     for x in links[1:]:
@@ -338,8 +343,8 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         around = near[0]
         for x in near[1:]:
             around = around.union(x)
-        cross = _around_pivots(around.distinct(), reps, parts, percent)
-        more = scratch.save(_similar(cross, reps).select("a", "b", linked).where("linked").select("a", "b"), "cross")
+        cross = _around_pivots(around.distinct(), core, parts, percent)
+        more = scratch.save(_similar(cross, core).select("a", "b", linked).where("linked").select("a", "b"), "cross")
         if not more.isEmpty():
             star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
             parts = scratch.save(connected_components(star.union(more), scratch), "parts")
