@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import table
+from sluice.llm.common import Scratch, table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 LEVELS = 4
@@ -61,12 +61,14 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, id_col: str = "pa
 
     known = cut(labels).groupBy(keys).agg(F.count("*").alias("labelled"), F.sum("good").alias("good"))
     tree = cut(rows.select("host", "path")).groupBy(keys).agg(F.count("*").alias("n")).join(known, keys, "left").na.fill(0, ["labelled", "good"])
-    done = ["host"]
+    scratch = Scratch(pages.sparkSession, "url-filter")
+    tree, done = scratch.save(tree, "tree"), ["host"]
     for i in range(1, LEVELS + 1):  # generalise level by level below the generalised parent
         parent = tree.groupBy(done).agg(F.sum("n").alias("of"))
         here = tree.groupBy(*done, f"s{i}").agg(F.sum("n").alias("c")).join(parent, done)
         wide = (F.col(f"s{i}") != "") & ((F.col("c") < least) | (F.col("c") * share < F.col("of")))
         tree = tree.join(here.select(*done, f"s{i}", F.when(wide, "*").otherwise(F.col(f"s{i}")).alias(f"g{i}")), [*done, f"s{i}"])
+        tree = scratch.save(tree, "tree")  # counts per host and segments; read several times from here on
         done.append(f"g{i}")
     template, branch = [*done, "tail"], ["host", "g1"]
     sums = lambda by, tag: tree.groupBy(*by).agg(F.sum("labelled").alias(f"n_{tag}"), F.sum("good").alias(f"good_{tag}"))
@@ -85,7 +87,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, id_col: str = "pa
     t = t.withColumn("p_b", F.when(differs("b", "h"), smooth("b", F.col("p_h"))).otherwise(F.col("p_h")))
     t = t.withColumn("purity", F.when(differs("t", "b"), smooth("t", F.col("p_b"))).otherwise(F.col("p_b")))
     name = F.concat_ws("/", F.lit(""), *(F.nullif(F.col(c), F.lit("")) for c in (*done[1:], "tail")))
-    named = tree.join(t.select(*template, "purity"), template).select(*keys, name.alias("template"), "purity")
+    named = scratch.save(tree.join(t.select(*template, "purity"), template).select(*keys, name.alias("template"), "purity"), "named")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = cut(rows).join(named, keys).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "template", "purity")
     by_template = F.when(F.col("purity") < least_purity, "block").otherwise("allow")
