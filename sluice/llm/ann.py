@@ -5,7 +5,8 @@ queries are scaled to length 1. Each of `tables` hash tables projects on `functi
 
 A query visits the buckets of a table in the order of their estimated success: the probability that a neighbour at the cosine that the
 neighbours of a bounded sample have (`sample_rows`) falls into the bucket, given the query's projections. It goes on until the
-visited buckets hold `success` of that probability and enough rows. Buckets are bounded in number (slots ** functions); one with more than
+visited buckets hold `success` of that probability and enough rows. A bounded set of queries (`audit`) is held against all rows by brute
+force: `success` is raised until the buckets that they visit hold `target` of their true neighbours, in the end to all buckets. Buckets are bounded in number (slots ** functions); one with more than
 `block_rows` rows is dealt to several tasks by id hash. In a task, every visited bucket is scored exactly (inner products in double precision)
 and the best k per query are merged over its buckets; the tables' and tasks' candidates are then merged without duplicates.
 
@@ -26,6 +27,10 @@ from sluice.llm.common import Scratch, shuffle_partitions, table
 from sluice.llm.vectors import doubles, matrix
 
 
+#: A success share that visits all buckets.
+EVERY = 2.0
+
+
 class Hashes:
     """Projections, slots and, once counted, the buckets of all tables."""
 
@@ -65,7 +70,8 @@ class Hashes:
     def probes(self, q: np.ndarray, success: float, enough: int) -> list[np.ndarray]:
         """Buckets that each unit query visits, in estimated success order in each table."""
         f = self.project(np.hstack([q, np.zeros((len(q), 1))]))
-        spread = math.sqrt(1 - self.cosine**2) * np.linalg.norm(self.directions, axis=0)
+        # A unit residual in a random direction has a share of 1 / width of a direction's squared length.
+        spread = math.sqrt((1 - self.cosine**2) / len(self.directions)) * np.linalg.norm(self.directions, axis=0)
         edges = self.first[:, None] + self.width[:, None] * np.arange(1, self.slots)
         at = (edges[None] - self.cosine * f[:, :, None]) / spread[:, None]
         below = 0.5 * (1 + np.vectorize(math.erf)(at / math.sqrt(2))) if at.size else at
@@ -174,6 +180,7 @@ def _best(k: int):
             if b not in want:
                 continue
             rows, qs = np.unique(rows), np.unique(of[want[b]])
+            once = len(np.unique(ids[rows])) == len(rows)  # else one id may fill what is kept
             for lo in range(0, len(rows), 4096):
                 r = rows[lo : lo + 4096]
                 for qlo in range(0, len(qs), 512):
@@ -182,15 +189,15 @@ def _best(k: int):
                     s[query[q][:, None] == ids[r][None]] = -np.inf
                     s = np.hstack([best_s[q], s])
                     i = np.hstack([best_i[q], np.broadcast_to(ids[r], (len(q), len(r)))])
-                    if s.shape[1] > 3 * k:  # ties with the k-th stay until the ids decide
+                    if once and s.shape[1] > 3 * k:  # ties with the k-th stay until the ids decide
                         least = np.partition(s, -2 * k, 1)[:, -2 * k]
                         if not ((s == least[:, None]).sum(1) > k).any():
                             keep = np.argpartition(-s, 2 * k, 1)[:, : 2 * k]
                             s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-                    order = np.lexsort((i, -s), axis=1)
+                    order = np.lexsort((-s, i), axis=1)
                     s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-                    again = np.zeros(s.shape, bool)  # the same row from another table
-                    again[:, 1:] = (i[:, 1:] == i[:, :-1]) & (s[:, 1:] == s[:, :-1])
+                    again = np.zeros(s.shape, bool)  # the same id from another table, whose score may differ in its last bit
+                    again[:, 1:] = i[:, 1:] == i[:, :-1]
                     s[again] = -np.inf
                     order = np.lexsort((i, -s), axis=1)[:, :k]
                     best_s[q], best_i[q] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
@@ -211,7 +218,53 @@ def _count(shared):
     return run
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", divisor: int = 20, k: int = 20, tables: int = 2, functions: int = 4, success: float = 0.8, sample_rows: int = 10_000, block_rows: int = 4000) -> DataFrame:
+def _nearest(shared, k: int):
+    """The k nearest rows of each audited query among a task's rows, by brute force, with the rows' buckets."""
+
+    def run(batches):
+        hashes, qids, q = shared.value
+        best = [(np.empty(0, np.int64), np.empty(0), np.empty((0, hashes.tables), np.int64)) for _ in qids]
+        for batch in batches:
+            all_ids, all_x = batch.column("vec_id").to_numpy(), matrix(batch.column("vec"))
+            for lo in range(0, len(all_ids), 4096):
+                ids, x = all_ids[lo : lo + 4096], all_x[lo : lo + 4096]
+                scores, buckets, once = q @ x.T, hashes.buckets(x), len(np.unique(ids)) == len(ids)
+                for i, s in enumerate(scores):
+                    at = np.flatnonzero(ids != qids[i])
+                    if once and len(at) > k:
+                        at = at[s[at] >= np.partition(s[at], -k)[-k]]
+                    at = at[np.lexsort((ids[at], -s[at]))]
+                    own, value, held = (np.concatenate(c) for c in zip(best[i], (ids[at], s[at], buckets[at]), strict=True))
+                    order = np.lexsort((own, -value))
+                    first = np.sort(np.unique(own[order], return_index=True)[1])[:k]  # an id's best row alone
+                    best[i] = tuple(c[order[first]] for c in (own, value, held))
+        for qid, (own, value, held) in zip(qids, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), qid)), pa.array(own), pa.array(value), pa.array(list(held.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "vec_id", "score", "buckets"])
+
+    return run
+
+
+def _audited(rows: DataFrame, hashes: Hashes, divisor: int, k: int, success: float, audit: int, target: float) -> tuple[float, float]:
+    """The least success from `success` on at which the audited queries find `target` of their true neighbours, and what they find."""
+    asked = rows.where(F.col("vec_id") % divisor == 0).orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(audit).toPandas().drop_duplicates("vec_id")
+    if asked.empty:
+        return success, 1.0
+    q, qids = matrix(asked["vec"].tolist()), asked["vec_id"].to_numpy()
+    q = q / np.linalg.norm(q, axis=1)[:, None]
+    shared = rows.sparkSession.sparkContext.broadcast((hashes, qids, q))
+    near = rows.mapInArrow(_nearest(shared, k), "query_id long, vec_id long, score double, buckets array<int>")
+    near = near.groupBy("query_id", "vec_id").agg(F.max_by("buckets", "score").alias("buckets"), F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    true = near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "buckets").collect()  # at most audit * k
+    for share in (s for s in (success, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, EVERY) if s >= success):
+        visits = {i: set(v.tolist()) for i, v in zip(qids.tolist(), hashes.probes(q, share, 10 * k), strict=True)}
+        recall = sum(not visits[r["query_id"]].isdisjoint(r["buckets"]) for r in true) / len(true) if true else 1.0
+        if recall >= target:
+            break
+    return share, recall
+
+
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", divisor: int = 20, k: int = 20, tables: int = 2, functions: int = 4, success: float = 0.8, sample_rows: int = 10_000, block_rows: int = 4000, audit: int = 200, target: float = 0.92) -> DataFrame:
     """The k nearest found of every row whose id is divisible by `divisor`."""
     spark = vectors.sparkSession
     scratch, parts = Scratch(spark, "ann"), shuffle_partitions(spark)
@@ -227,6 +280,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     hashes = Hashes(matrix(sample["vec"].tolist()), scale, n, k, tables, functions, block_rows)
     counts = rows.mapInArrow(_count(spark.sparkContext.broadcast(hashes)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     hashes.counts = {r["bucket"]: r["n"] for r in counts}  # at most tables * slots ** functions
+    success, _ = _audited(rows, hashes, divisor, k, success, audit, target)
     shared = spark.sparkContext.broadcast(hashes)
     dealt = rows.mapInArrow(_deal(shared, parts, divisor, success, 10 * k), ROW_DDL).repartition(parts, "part")
     found = dealt.mapInArrow(_best(k), "query_id long, vec_id long, score double")

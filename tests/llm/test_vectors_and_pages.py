@@ -1,6 +1,8 @@
 """Near-dedup, nearest neighbours, URL filters and HTML extraction."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sluice.llm import ann, html_text, near_dedup, queries, url_filter
@@ -94,6 +96,22 @@ def test_recall_on_the_given_vectors(spark):
     assert sum(len(got[q] & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [8_000, 34_000, 104_000])
+@pytest.mark.parametrize("spread", [1.0, 0.0])
+def test_recall_where_slots_are_more(spark, tmp_path, n, spread):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, 64)) + spread * rng.normal(size=(50, 64))[rng.integers(0, 50, n)]
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), tmp_path / "v.parquet")
+    got, divisor = {}, n // 100
+    for r in ann.search(spark.read.parquet(str(tmp_path)), divisor=divisor).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, n, divisor)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    want = np.argpartition(-s, 20, 1)[:, :20]
+    assert sum(len(got[q] & set(w)) for q, w in zip(asked.tolist(), want.tolist(), strict=True)) / want.size >= 0.9
+
+
 # URLs.
 def test_url_filter_matches_sql(spark, duck):
     same(queries.queries()["op4_url_filters"](spark, SMALL), duck, queries.oracle_sql()["op4_url_filters"])
