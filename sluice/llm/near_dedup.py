@@ -7,9 +7,11 @@
    neighbour already chosen is `alpha` times nearer to it than the point is). The adjacency lists of a point from all its shards are united.
 3. Every point searches the shards of its `probes` nearest centroids: greedily from the shard's medoids (and, where it is a member,
    itself), expanding the best open node; then every open node within the range (threshold less `slack`) is expanded until none
-   is left. Similarities are cosines in double precision, so each link found is verified. A found point counts in the shard of its nearest centroid alone.
-4. Recall is audited: a bounded set of points (`audit`) is held against all vectors by brute force. Under `target` the search
-   runs again with more probes and a wider search, three times at most; the last recall is given in `audit_recall`.
+   is left. Similarities are cosines in double precision, so each link found is verified. A link is two-sided: found from either end, it counts for both. Of the
+   places where its ends can meet, the task of one (a shard that holds both, if there is any) counts it, so that no other task counts it again.
+4. Recall is audited on links between distinct points, without copies: random points are held against all points by brute force, `audit` at first and more in blocks
+   until they have `audit_links` links (32 times `audit` points at most). While their links counted are under `target`, the search runs again with more
+   probes and wider, in the end over all shards by full products. The last recall is given in `audit_recall`, null where the audited points have no link at all.
 
 Links are counted in the tasks, only a spanning forest of them is put out, and components are joined by star rounds.
 
@@ -124,13 +126,25 @@ def _roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def _search(threshold: float, slack: float, width: int):
+def _owned(shard: int, every: bool, homes: np.ndarray, asked: np.ndarray, other_homes: np.ndarray, other_asked: np.ndarray) -> np.ndarray:
+    """Whether each pair (one row a pair: shards that hold an end, shards that it asks) is counted in this shard."""
+    places = np.hstack([homes, other_homes])
+    among = lambda a, b: (a[:, :, None] == b[:, None, :]).any(2)
+    apart = ~np.hstack([among(homes, other_homes), among(other_homes, homes)])
+    cost = places + apart * (1 << 20)
+    if not every:
+        cost[~np.hstack([among(homes, other_asked), among(other_homes, asked)])] = 1 << 40
+    return cost.min(1) % (1 << 20) == shard
+
+
+def _search(threshold: float, slack: float, width: int, every: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         members = part[part["member"]].drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
         asks = part[part["asks"]].drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
         ids, x = members["vec_id"].to_numpy(), matrix(members["vec"].tolist())
         if not len(ids) or not len(asks):
-            return pd.DataFrame({"vec_id": [], "links": [], "root": []}).astype("int64")
+            return pd.DataFrame({"vec_id": [], "links": [], "points": [], "root": []}).astype("int64")
+        shard = int(part["shard"].iloc[0])
         lists = []
         for n in members["next"]:
             n = np.asarray(n if n is not None else [], np.int64)
@@ -141,25 +155,44 @@ def _search(threshold: float, slack: float, width: int):
             graph[i, : len(n)] = n
         middle = x.mean(0)
         starts = np.unique(np.r_[(x @ middle).argmax(), (x @ x[(x @ middle).argmin()]).argmax(), (x @ -middle).argmax()])
-        copies = np.where(members["first"].to_numpy(), members["copies"].to_numpy(), 0)
         qid, qx = asks["vec_id"].to_numpy(), matrix(asks["vec"].tolist())
         own = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
         own = np.where(ids[own] == qid, own, -1)
-        links, every = np.zeros(len(qid), np.int64), np.concatenate([ids, qid])
+        copies, homes, asked = ([np.array(df[c].tolist(), np.int64) for df in (members, asks)] for c in ("copies", "homes", "near"))
+        # Links and linked points of members and of those who ask without being members.
+        links, linked = ([np.zeros(len(ids), np.int64), np.zeros(len(qid), np.int64)] for _ in range(2))
+        within, every_id = np.zeros((len(ids), len(ids)), bool), np.concatenate([ids, qid])
         one, two = [], []
         for lo in range(0, len(qid), 256):
             s = slice(lo, lo + 256)
-            hit = range_search(qx[s], x, graph, starts, own[s], threshold - slack, width) >= threshold
-            hit[np.arange(len(hit))[own[s] >= 0], own[s][own[s] >= 0]] = False
-            links[s] = hit @ copies
+            hit = (qx[s] @ x.T if every else range_search(qx[s], x, graph, starts, own[s], threshold - slack, width)) >= threshold
+            inside = own[s] >= 0
+            hit[np.flatnonzero(inside), own[s][inside]] = False
+            within[own[s][inside]] = hit[inside]
             q, m = np.nonzero(hit)
             one.append(q + lo + len(ids))
             two.append(m)
+            q, m = q[~inside[q]] + lo, m[~inside[q]]
+            mine = _owned(shard, every, homes[1][q], asked[1][q], homes[0][m], asked[0][m])
+            # Members of two cuts of one shard ask each other: the smaller id's question counts.
+            mine &= (qid[q] < ids[m]) | (homes[1][q] != shard).all(1)
+            q, m = q[mine], m[mine]
+            for to, of, other, side in ((1, q, m, 0), (0, m, q, 1)):
+                np.add.at(links[to], of, copies[side][other])
+                np.add.at(linked[to], of, 1)
+        within |= within.T
+        for lo in range(0, len(ids), 256):
+            a, b = np.nonzero(within[lo : lo + 256])
+            a += lo
+            mine = _owned(shard, every, homes[0][a], asked[0][a], homes[0][b], asked[0][b])
+            np.add.at(links[0], a[mine], copies[0][b[mine]])
+            np.add.at(linked[0], a[mine], 1)
         one, two = np.concatenate(one), np.concatenate(two)
-        low = _roots(every, np.r_[one, np.flatnonzero(own >= 0) + len(ids)], np.r_[two, own[own >= 0]])
-        out = pd.DataFrame({"vec_id": qid, "links": links, "root": low[len(ids) :]})
-        met = np.unique(two)
-        return pd.concat([out, pd.DataFrame({"vec_id": ids[met], "links": 0, "root": low[met]})])
+        low = _roots(every_id, np.r_[one, np.flatnonzero(own >= 0) + len(ids)], np.r_[two, own[own >= 0]])
+        met = np.unique(np.r_[two, own[own >= 0]])
+        out = pd.DataFrame({"vec_id": ids[met], "links": links[0][met], "points": linked[0][met], "root": low[met]})
+        met = np.flatnonzero((own < 0) & ((linked[1] > 0) | (low[len(ids) :] != qid) | np.isin(np.arange(len(qid)) + len(ids), one)))
+        return pd.concat([out, pd.DataFrame({"vec_id": qid[met], "links": links[1][met], "points": linked[1][met], "root": low[len(ids) + met]})])
 
     return run
 
@@ -169,52 +202,64 @@ def _audit(shared, threshold: float):
         x = shared.value
         found = np.zeros(len(x), np.int64)
         for batch in batches:
-            v, w = matrix(batch.column("vec")), batch.column("copies").to_numpy()
-            for lo in range(0, len(v), 4096):
-                found += ((x @ v[lo : lo + 4096].T) >= threshold) @ w[lo : lo + 4096]
+            v, rows = matrix(batch.column("vec")), max(64, 1_000_000 // len(x))
+            for lo in range(0, len(v), rows):
+                found += ((x @ v[lo : lo + rows].T) >= threshold).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(found)], names=["at", "n"])
 
     return run
 
 
-def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degree, pool, alpha, slack, probes, width, audit, target, scratch) -> DataFrame:
+def _true_links(points: DataFrame, threshold: float, audit: int, audit_links: int) -> dict[int, int]:
+    """Linked points of each audited point, by brute force; audited points are added in blocks until they have enough links."""
+    asked = points.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(32 * audit).select("vec_id", "vec").toPandas()
+    truth: dict[int, int] = {}
+    while len(truth) < len(asked) and sum(truth.values()) < audit_links:
+        block = asked[len(truth) : max(audit, 4 * len(truth))]
+        shared = points.sparkSession.sparkContext.broadcast(matrix(block["vec"].tolist()))
+        found = points.mapInArrow(_audit(shared, threshold), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toPandas()
+        truth |= dict(zip(block["vec_id"].tolist(), (found["n"] - 1).tolist(), strict=True))
+    return truth
+
+
+def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degree, pool, alpha, slack, probes, width, audit, audit_links, target, scratch) -> DataFrame:
     """(vec_id, links, component, recall) of distinct unit vectors (vec_id, copies, vec) of one length."""
     spark, parts = points.sparkSession, shuffle_partitions(points.sparkSession)
     n = points.count()
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()
     c = centroids(matrix(sample["vec"].tolist()), min(1024, max(1, round(n / (shard_rows / 2)))))
     shared = spark.sparkContext.broadcast(c)  # at most 1024 centroids
-    near = scratch.save(points.mapInArrow(_assign(shared, min(len(c), probes + 4)), "vec_id long, copies long, vec array<double>, near array<int>"), "near")
+    reach = min(len(c), 4 * probes)
+    near = scratch.save(points.mapInArrow(_assign(shared, reach), "vec_id long, copies long, vec array<double>, near array<int>"), "near")
     shards = near.select("vec_id", F.explode(F.slice("near", 1, 2)).alias("shard")).groupBy("shard").count()
     shards = shards.select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("cuts"))
-    member = near.select("vec_id", "copies", "vec", F.posexplode(F.slice("near", 1, 2)).alias("rank", "shard")).join(shards, "shard")
+    member = near.select("vec_id", "copies", "vec", F.slice("near", 1, 2).alias("homes"), "near", F.explode(F.slice("near", 1, 2)).alias("shard")).join(shards, "shard")
     member = member.withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
     built = member.groupBy("shard", "cut").applyInPandas(_build(degree, pool, alpha), "vec_id long, next array<long>")
     united = built.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # two lists at most
-    member = scratch.save(member.join(united, "vec_id").select("shard", "cut", "vec_id", "copies", "vec", "next", (F.col("rank") == 0).alias("first"), F.lit(True).alias("member"), (F.col("cuts") == 1).alias("asks")), "graph")
-    asked = near.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(audit).select("vec_id", "vec").toPandas()
-    truth = near.mapInArrow(_audit(spark.sparkContext.broadcast(matrix(asked["vec"].tolist())), threshold), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    truth = dict(zip(asked["vec_id"], truth.orderBy("at").toPandas()["n"] - 1, strict=True))
-    for attempt in range(3):
+    member = scratch.save(member.join(united, "vec_id").select("shard", "cut", "vec_id", "copies", "vec", "homes", "near", "next", F.lit(True).alias("member"), (F.col("cuts") == 1).alias("asks")), "graph")
+    truth, size = _true_links(near, threshold, audit, audit_links), min(len(c), probes)
+    names, every, want = spark.createDataFrame([(v,) for v in truth], "vec_id long"), False, sum(truth.values())
+    while True:
         # Members ask their own shards; what else a point probes, and all cuts of a cut shard, are asked by added rows.
-        asks = near.select("vec_id", "copies", "vec", F.posexplode(F.slice("near", 1, probes)).alias("rank", "shard")).join(shards, "shard")
-        asks = asks.where((F.col("rank") > 1) | (F.col("cuts") > 1)).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
-        asks = asks.select("shard", "cut", "vec_id", "copies", "vec", F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("first"), F.lit(False).alias("member"), F.lit(True).alias("asks"))
-        found = scratch.save(member.unionByName(asks).groupBy("shard", "cut").applyInPandas(_search(threshold, slack, width), "vec_id long, links long, root long"), "found")
-        sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-        got = {r["vec_id"]: r["links"] for r in sums.where(F.col("vec_id").isin([int(v) for v in truth])).collect()}
-        want = sum(truth.values())
-        copies = dict(near.where(F.col("vec_id").isin([int(v) for v in truth])).select("vec_id", "copies").collect()) if truth else {}
-        recall = sum(min(got.get(v, 0) + copies.get(v, 1) - 1, t) for v, t in truth.items()) / want if want else 1.0
-        if recall >= target:
+        seen = F.array().cast("array<int>") if every else F.slice("near", 1, size)
+        asks = near.select("vec_id", "copies", "vec", F.slice("near", 1, 2).alias("homes"), seen.alias("near"), F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1)) if every else F.slice("near", 1, size)).alias("shard")).join(shards, "shard")
+        asks = asks.where(~F.array_contains("homes", F.col("shard")) | (F.col("cuts") > 1)).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
+        asks = asks.select("shard", "cut", "vec_id", "copies", "vec", "homes", "near", F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("member"), F.lit(True).alias("asks"))
+        found = scratch.save(member.withColumn("near", seen).unionByName(asks).groupBy("shard", "cut").applyInPandas(_search(threshold, slack, width, every), "vec_id long, links long, points long, root long"), "found")
+        sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"), F.sum("points").alias("points"))
+        got = dict(sums.join(F.broadcast(names), "vec_id").select("vec_id", "points").collect())
+        recall = sum(min(got.get(v, 0), t) for v, t in truth.items()) / want if want else None
+        if recall is None or recall >= target or every:
             break
-        probes, width = probes + 2, 2 * width
+        scratch.drop(found)
+        every, size, width = size == reach and width >= 40, min(reach, 2 * size), 2 * width
     comps = connected_components(found.where("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
     out = near.select("vec_id", "copies").join(sums, "vec_id", "left").join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.lit(recall).alias("audit_recall"))
+    return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.lit(recall).cast("double").alias("audit_recall"))
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, shard_rows: int = 2500, sample_rows: int = 20_000, degree: int = 24, pool: int = 64, alpha: float = 1.2, slack: float = 0.05, probes: int = 3, width: int = 10, audit: int = 200, target: float = 0.98) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, shard_rows: int = 2500, sample_rows: int = 20_000, degree: int = 24, pool: int = 64, alpha: float = 1.2, slack: float = 0.05, probes: int = 3, width: int = 10, audit: int = 200, audit_links: int = 2000, target: float = 0.98) -> DataFrame:
     """n_links, component_id, kept and audit_recall for every row of `vectors`."""
     scratch = Scratch(vectors.sparkSession, "near-dedup")
     rows = doubles(vectors, id_col, vec_col)
@@ -227,7 +272,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     points = scratch.save(points, "points")
     done = None
     for (width_,) in points.select("width").distinct().orderBy("width").collect():  # one in any table of one model's vectors
-        part = _near_points(points.where(F.col("width") == width_).select("vec_id", "copies", "vec"), threshold=threshold, shard_rows=shard_rows, sample_rows=sample_rows, degree=degree, pool=pool, alpha=alpha, slack=slack, probes=probes, width=width, audit=audit, target=target, scratch=scratch)
+        part = _near_points(points.where(F.col("width") == width_).select("vec_id", "copies", "vec"), threshold=threshold, shard_rows=shard_rows, sample_rows=sample_rows, degree=degree, pool=pool, alpha=alpha, slack=slack, probes=probes, width=width, audit=audit, audit_links=audit_links, target=target, scratch=scratch)
         done = part if done is None else done.unionByName(part)
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"), usable(F.col(vec_col).cast("array<double>")).alias("usable"))
     alone = ids.where("not usable or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))

@@ -48,6 +48,28 @@ def test_near_dedup_matches_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+@pytest.mark.parametrize("probes, shard_rows", [(2, 200), (3, 60)])
+def test_near_dedup_links_hold_for_both_ends_and_the_audit_sees_rare_ones(spark, probes, shard_rows):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 12))
+    x[1480:1490] = x[:10] + rng.normal(size=(10, 12)) * 0.1  # few links beside 500 copies of one vector
+    x = np.concatenate([x, np.repeat(x[20:21], 500, 0)]).astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    # A search that is too narrow at first: the audit has to see it.
+    got = {r.vec_id: r for r in near_dedup.near_duplicates(frame(spark, list(enumerate(x))), shard_rows=shard_rows, probes=probes, width=1, slack=0.0, degree=2, audit=100).collect()}
+    assert sum(got[i].n_links == link[i].sum() for i in range(1500)) / 1500 > 0.99
+    found = sum(got[i].n_links for i in range(1480, 1490))
+    assert found >= 0.9 * link[1480:1490].sum()
+    assert got[0].audit_recall >= 0.98
+
+
+def test_near_dedup_without_links_measures_nothing(spark):
+    got = near_dedup.near_duplicates(frame(spark, list(enumerate(np.eye(24)))), audit=5).collect()
+    assert all((r.n_links, r.audit_recall) == (0, None) for r in got)
+
+
 def test_near_dedup_empty_and_null_ids(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     got = near_dedup.near_duplicates(frame(spark, [(None, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [5.0])])).collect()
