@@ -9,7 +9,8 @@ Within a group, best-fit decreasing gives the first incumbent. If it uses more s
 ceil(tokens / capacity), bin completion searches on: the largest open piece starts a sequence, its undominated
 fillings are enumerated (no filling in which a piece could be swapped for a larger open one, or another
 added), those of least waste first; a branch ends when its waste exceeds what an improvement on the
-incumbent may leave. The search stops at the bound or after `nodes` sequences tried, keeping the incumbent.
+incumbent may leave. The search stops at the bound or after `nodes` sequences tried, but not before `descents` times the
+sequences of the first incumbent (a complete packing tries one a sequence), keeping the incumbent.
 
 Null text: empty, so the end id alone. Null ids: packed as any other row, with null id. Repeated rows are
 packed each. Columns other than id and text are ignored. No rows give no pieces.
@@ -177,12 +178,12 @@ def fillings(largest: int, counts: Counter, sizes: list[int], capacity: int, mos
     return sorted(found, key=lambda f: (room - sum(f), len(f)))[:most]
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int = 20_000) -> list[list[int]]:
+def bin_completion(lengths: list[int], capacity: int, nodes: int = 20_000, descents: int = 4) -> list[list[int]]:
     """Bins of the given lengths (all at most `capacity`), as few as the search finds."""
     lengths = sorted(lengths, reverse=True)
     best, total = best_fit(lengths, capacity), sum(lengths)
     bound = -(-total // capacity)
-    spent = 0
+    spent, nodes = 0, max(nodes, descents * len(best))
     while len(best) > bound and spent < nodes:
         allowed = (len(best) - 1) * capacity - total  # waste of any better packing
         counts = Counter(lengths)

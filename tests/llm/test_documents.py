@@ -99,6 +99,17 @@ def test_bin_completion_finds_what_best_fit_misses():
         assert Counter(x for b in bins for x in b) == Counter(case)
 
 
+def test_bin_completion_completes_a_packing_of_a_large_group():
+    import pandas as pd
+
+    lengths = np.sort(np.minimum(4096, 600 + np.random.default_rng(5).exponential(900, 1000)).astype(int))[::-1]
+    part = pd.DataFrame({"length": lengths, "id": range(1000), "row_key": range(1000), "piece": 0, "grp": 0})
+    got = packing._pack_group(4096, 200)(part)
+    used = got.groupby("sequence_id")["length"].sum()
+    first = len(packing.best_fit(lengths.tolist(), 4096))
+    assert first > 200 and used.max() <= 4096 and -(-lengths.sum() // 4096) <= len(used) < first
+
+
 # Scoring.
 def test_scores_have_exact_counts(spark):
     rows = lm_score.scores(odd(spark), head_words=3).collect()
