@@ -3,7 +3,10 @@
 A request is admitted while fewer than `limit` admitted ones of its key are live; refused ones take no slot, so no window function
 gives the answer. It restarts wherever no earlier request of the key can still be live. Those points are found by a running
 maximum over time slices, and the chunks between them are replayed independently: a hot key is as many groups as it has
-pauses. Rows stream through a task in order of (chunk, time), with at most `limit` live ends in memory.
+pauses. Rows stream through a task in order of (chunk, time), with at most `limit` live ends in memory. A key that never pauses
+while more than `limit` requests overlap is one chunk: its rows then pass one task, in bounded memory.
+
+Null keys are one key. Rows without a time come first; rows without an end hold no slot.
 """
 
 from __future__ import annotations
@@ -14,53 +17,98 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators import windows
+
 DAY = 86400
 
 
 def chunked(df: DataFrame, key: str, time: str, tie: str, end: str, width: int = DAY) -> DataFrame:
     """Adds `chunk`, the (time, tie) of the row at which the key's history last restarted."""
     order = [time, tie]
-    df = df.withColumn("_slice", F.floor(F.col(time) / width))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = df.groupBy(key, "_slice").agg(F.max(end).alias("_e"))
-    ends = ends.select(key, "_slice", F.max("_e").over(before).alias("_carry"))
-    inner = Window.partitionBy(key, "_slice").orderBy(*order)
+    df, before = windows.sliced(df, [key], time, width), windows.before([key])
+    ends = df.groupBy("_g").agg(F.max(end).alias("_e"))
+    ends = ends.select("_g", F.max("_e").over(before).alias("_carry"))
+    inner = windows.within(*order)
     seen = F.greatest(F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
-    df = df.join(ends, [key, "_slice"]).withColumn("_start", F.when(seen.isNull() | (seen <= F.col(time)), F.struct(*order)))
-    lasts = df.groupBy(key, "_slice").agg(F.max("_start").alias("_l"))
-    lasts = lasts.select(key, "_slice", F.max("_l").over(before).alias("_from"))
+    df = df.join(ends, "_g").withColumn("_start", F.when(seen.isNull() | (seen <= F.col(time)), F.struct(*order)))
+    lasts = df.groupBy("_g").agg(F.max("_start").alias("_l"))
+    lasts = lasts.select("_g", F.max("_l").over(before).alias("_from"))
     here = F.max("_start").over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(lasts, [key, "_slice"]).withColumn("chunk", F.coalesce(here, F.col("_from"))).drop("_slice", "_carry", "_start", "_from")
+    return df.join(lasts, "_g").withColumn("chunk", F.coalesce(here, F.col("_from"))).drop("_g", "_carry", "_start", "_from")
 
 
-def _replay(limit: int):
+def _replay(limits: list[int]):
     def run(frames):
         chunk, live = None, []
         for f in frames:
-            admitted = []
-            for c, t, e in zip(f["chunk_key"], f["t"], f["e"], strict=True):
+            refused = []
+            for c, t, *ends in zip(f["chunk_key"], f["t"], *(f[f"e{i}"] for i in range(len(limits))), strict=True):
                 if c != chunk:
-                    chunk, live = c, []
-                while live and live[0] <= t:
-                    heapq.heappop(live)
-                ok = len(live) < limit
-                if ok:
-                    heapq.heappush(live, e)
-                admitted.append(ok)
-            yield pd.DataFrame({"row_id": f["row_id"], "admitted": admitted})
+                    chunk, live = c, [[] for _ in limits]
+                by = -1
+                for i, (slots, limit) in enumerate(zip(live, limits, strict=True)):
+                    while slots and slots[0] <= t:
+                        heapq.heappop(slots)
+                    if by < 0 and len(slots) >= limit:
+                        by = i
+                if by < 0:  # slots are taken only where no gate refuses, so there is nothing to roll back
+                    for slots, e in zip(live, ends, strict=True):
+                        if e == e:  # not null
+                            heapq.heappush(slots, e)
+                refused.append(by)
+            yield pd.DataFrame({"row_id": f["row_id"], "refused_by": refused})
 
     return run
 
 
+def admit_chain(df: DataFrame, *, key: str, time: str, tie: str, ends: list[str], limits: list[int]) -> DataFrame:
+    """(tie, refused_by) of each row before a chain of quotas of one key, asked in order; refused_by is the first that refuses, null if none does.
+
+    Gate i gives `limits[i]` slots, each held from `time` until `ends[i]`. A refused request holds no slot of any gate.
+    """
+    whole = df.withColumn("_end", F.greatest(*ends) if len(ends) > 1 else F.col(ends[0]))
+    c = chunked(whole.select(key, time, tie, *ends, "_end"), key, time, tie, "_end")
+    chunk = F.sha2(F.to_json(F.struct(key, "chunk")), 256).alias("chunk_key")
+    rows = c.select(chunk, F.col(time).alias("t"), F.col(tie).alias("row_id"), *(F.col(e).alias(f"e{i}") for i, e in enumerate(ends)))
+    ordered = rows.repartition("chunk_key").sortWithinPartitions("chunk_key", "t", "row_id")
+    found = ordered.mapInPandas(_replay(limits), "row_id long, refused_by int")
+    return found.select(F.col("row_id").alias(tie), F.when(F.col("refused_by") >= 0, F.col("refused_by")).alias("refused_by"))
+
+
 def admit(df: DataFrame, *, key: str, time: str, tie: str, end: str, limit: int) -> DataFrame:
     """(tie, admitted) of each row; a slot is held from `time` until `end`, and is free at `end`.
 
     A sliding window of w seconds is the case end = time + w.
     """
-    c = chunked(df.select(key, time, tie, end), key, time, tie, end)
-    rows = c.select(F.sha2(F.to_json(F.struct(key, "chunk")), 256).alias("chunk_key"), F.col(time).alias("t"), F.col(tie).alias("row_id"), F.col(end).alias("e"))
-    ordered = rows.repartition("chunk_key").sortWithinPartitions("chunk_key", "t", "row_id")
-    return ordered.mapInPandas(_replay(limit), "row_id long, admitted boolean").withColumnRenamed("row_id", tie)
+    found = admit_chain(df, key=key, time=time, tie=tie, ends=[end], limits=[limit])
+    return found.select(tie, F.col("refused_by").isNull().alias("admitted"))
+
+
+def pool_gate(requests: DataFrame, ticks: DataFrame, key: str, time: str, deadline: str, timeout: int) -> DataFrame:
+    """Adds outcome, reason and at of each request that waits before a pool's gate.
+
+    ticks: (key, time, verdict, failed), one row per evaluation of the gate. A request asks at its arrival (the gate's last evaluation
+    up to then; a gate not yet evaluated is open) and, while the verdict is WAIT, at each later evaluation, until one differs or its effective deadline (its own,
+    and at most `timeout` after arrival) passes. outcome: dispatch, result (dropped), requeue (refused, without back-off), or the error
+    codes GATE_ERROR and DEADLINE_EXCEEDED; reason is the decision counted for it; at is the time of the deciding evaluation.
+    """
+    gate = ticks.select(key, time, F.col("verdict").alias("_verdict"), F.coalesce("failed", F.lit(False)).alias("_failed"))
+    now = windows.asof(requests, gate, [key], time, ["_verdict", "_failed"]).withColumnsRenamed({"at": "_at", "_verdict": "_now", "_failed": "_now_failed"})
+    later = gate.where("_failed or _verdict <> 'WAIT'")
+    found = windows.asof(now, later, [key], time, ["_verdict", "_failed"], forward=True)
+    waits = (F.col("_now") == "WAIT") & ~F.col("_now_failed")
+    until = F.least(F.when(F.col(deadline) > 0, F.col(deadline)), F.col(time) + timeout)
+    in_time = F.coalesce(F.col("at") < until, F.lit(False))
+    verdict = F.when(F.coalesce(waits, F.lit(False)), F.when(in_time, F.col("_verdict"))).otherwise(F.coalesce("_now", F.lit("CONTINUE")))
+    failed = F.coalesce(F.when(waits, in_time & F.col("_failed")).otherwise(F.col("_now_failed")), F.lit(False))
+    outcome = (
+        F.when(F.col(time) >= until, "DEADLINE_EXCEEDED").when(failed, "GATE_ERROR").when(verdict.isNull(), "DEADLINE_EXCEEDED")
+        .when(verdict == "DROP", "result").when(verdict == "REFUSE", "requeue").otherwise("dispatch")
+    )
+    at = F.when(outcome != "DEADLINE_EXCEEDED", F.when(waits, F.col("at")).otherwise(F.col(time)))
+    closed = F.when(F.col("class") == "overflow", "quota_exhausted").otherwise("gate_closed") if "class" in requests.columns else F.lit("gate_closed")
+    reason = F.when(outcome == "GATE_ERROR", "error").when(outcome == "result", "dropped").when((outcome == "requeue") | F.coalesce(waits, F.lit(False)), closed)
+    return found.select(*requests.columns, outcome.alias("outcome"), reason.alias("reason"), at.alias("at"))
 
 
 def wait_for_open(requests: DataFrame, ticks: DataFrame, key: str, time: str, deadline: str) -> DataFrame:
@@ -68,7 +116,5 @@ def wait_for_open(requests: DataFrame, ticks: DataFrame, key: str, time: str, de
 
     ticks: (key, time, open), far fewer than the requests.
     """
-    from sluice.operators.windows import asof
-
-    found = asof(requests, ticks.where("open").select(key, time), [key], time, [], forward=True)
+    found = windows.asof(requests, ticks.where("open").select(key, time), [key], time, [], forward=True)
     return found.withColumn("open_at", F.when(F.col("at") < F.col(deadline), F.col("at"))).drop("at")

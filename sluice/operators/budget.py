@@ -36,6 +36,11 @@ def headroom(load: Column, ready: Column, most: Column) -> Column:
     return 1 - F.try_divide(load, ready * most)
 
 
+def pod_queue(samples: DataFrame, keys: list[str], size: str, most: float) -> DataFrame:
+    """1 - average queue size over the pods of each group / most. samples: one row per pod with a name; a group without any has no row."""
+    return samples.where(F.col(size).isNotNull()).groupBy(*keys).agg((1 - F.avg(size) / F.lit(float(most))).alias("value"))
+
+
 def cascade(sources: list[tuple[Column, Column]]) -> tuple[Column, Column, Column]:
     """(has, value, index) of the first source that has a sample."""
     has = value = index = None

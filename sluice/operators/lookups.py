@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from sluice.functions.maps import overlay, without
 
 
+# Fixed value: name of the header that carries a queue's objective.
+OBJECTIVE_HEADER = "x-gateway-inference-objective"
+
+
 def build_headers(objective: Column, caller: Column) -> Column:
     """Content type, then the objective if there is one, then the caller's headers, which win."""
     base = F.create_map(F.lit("Content-Type"), F.lit("application/json"))
-    own = F.when(objective != "", F.create_map(F.lit("x-objective"), objective))
+    own = F.when(objective != "", F.create_map(F.lit(OBJECTIVE_HEADER), objective))
     return overlay(overlay(base, own), caller)
 
 
@@ -27,14 +31,14 @@ def label_match(labels: Column, wanted: Column) -> Column:
 
 
 def join_queue_config(df: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Configuration of each row's queue; an unknown queue has an empty pool. The configuration is a few rows."""
-    return df.join(F.broadcast(cfg), "queue_id", "left").withColumn("pool", F.coalesce("pool", F.lit("")))
+    """Configuration of each row's queue; an unknown queue has an empty pool. Spark broadcasts the configuration if its size allows it."""
+    return df.join(cfg, "queue_id", "left").withColumn("pool", F.coalesce("pool", F.lit("")))
 
 
 def join_pool_config(df: DataFrame, pools: DataFrame, names: list[str]) -> DataFrame:
     """Pool settings; raises where a row names a pool that isn't configured."""
     known = F.when(F.col("pool").isin(names), F.col("pool")).otherwise(F.raise_error(F.concat(F.lit("unknown pool "), "pool")))
-    return df.withColumn("pool", known).join(F.broadcast(pools), "pool")
+    return df.withColumn("pool", known).join(pools, "pool")
 
 
 def not_cancelled(df: DataFrame, cancels: DataFrame) -> DataFrame:

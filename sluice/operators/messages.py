@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.maps import blank_to_null, overlay
+from sluice.functions.maps import blank_to_null, overlay, without
 
 KINDS = ("plain", "redis", "pubsub")
 BODY = "id string, created string, deadline string, payload string, metadata map<string,string>, headers map<string,string>, endpoint string, request_queue_name string, result_queue_name string, pubsub_id string"
 INTERNAL = "retry_count string, queue_id string, request_token string, request_queue_name string, result_queue_name string, transport_correlation_id string, labels map<string,string>"
-ENVELOPE = f"internal struct<{', '.join(': '.join(f.split(' ', 1)) for f in INTERNAL.split(', '))}>, request_kind string, data string"
 
 
-def _kind(value: Column, path: str) -> Column:
+def _struct(fields: str) -> str:
+    return f"struct<{', '.join(': '.join(f.split(' ', 1)) for f in fields.split(', '))}>"
+
+
+def _kind(parsed: Column, path: str) -> Column:
     """JSON type of a member as Spark names it, or null where it is missing."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
+    return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
 
 
 def decode_envelope(df: DataFrame, value: str = "value") -> DataFrame:
@@ -23,27 +26,36 @@ def decode_envelope(df: DataFrame, value: str = "value") -> DataFrame:
 
     A null or `null` message carries no request. Members of a wrong JSON type reject the whole message.
     """
-    v = F.col(value)
-    parsed = F.from_json(v, ENVELOPE)
-    df = df.withColumn("_e", parsed)
-    data = F.col("_e.data")
-    kind = blank_to_null(F.col("_e.request_kind"))
+    v, parsed = F.col(value), F.col("_parsed")
+    df = df.withColumn("_parsed", F.try_parse_json(v))  # the text is parsed once
+    at = lambda path, kind: F.try_variant_get(parsed, path, kind)
+    kind = blank_to_null(at("$.request_kind", "string"))
     empty = v.isNull() | (F.trim(v) == "") | (F.trim(v) == "null")
-    bad_type = (_kind(data, "$.id") != "STRING") | ~_kind(data, "$.created").isin("BIGINT") | ~_kind(data, "$.deadline").isin("BIGINT")
+    bad_type = (_kind(parsed, "$.data.id") != "STRING") | (_kind(parsed, "$.data.created") != "BIGINT") | (_kind(parsed, "$.data.deadline") != "BIGINT")
+    df = df.withColumns({"_kind": kind, "_data": _kind(parsed, "$.data"), "_bad": F.coalesce(bad_type, F.lit(False)), "_req": at("$.data", _struct(BODY)), "routing": at("$.internal", _struct(INTERNAL))})
     reject = (
-        F.when(empty, "empty").when(F.try_parse_json(v).isNull(), "malformed").when(kind.isNull(), "missing kind").when(~kind.isin(*KINDS), "unknown kind")
-        .when(blank_to_null(data).isNull() | (F.trim(data) == "null"), "empty data").when(F.coalesce(bad_type, F.lit(False)), "wrong type")
+        F.when(empty, "empty").when(parsed.isNull(), "malformed").when(F.col("_kind").isNull(), "missing kind").when(~F.col("_kind").isin(*KINDS), "unknown kind")
+        .when(F.coalesce(F.col("_data") == "VOID", F.lit(True)), "empty data").when(F.col("_bad") | F.col("_req").isNull(), "wrong type")
     )
-    req = F.from_json(data, BODY)
-    return df.withColumns({"kind": kind, "reject": reject, "req": F.when(reject.isNull(), req), "routing": F.col("_e.internal")}).drop("_e")
+    return df.withColumns({"kind": F.col("_kind"), "reject": reject, "req": F.when(reject.isNull(), F.col("_req"))}).drop("_parsed", "_kind", "_data", "_bad", "_req")
 
 
 def encode_envelope(kind: Column, request: dict[str, Column], routing: dict[str, Column]) -> Column:
-    """Envelope JSON; empty strings and nulls are left out."""
+    """Envelope JSON. Nulls are left out, and of the routing also a retry count of 0 and maps without entries."""
     keep = lambda cols: F.struct(*(c.alias(n) for n, c in cols.items()))
+    if "retry_count" in routing:
+        routing = routing | {"retry_count": F.nullif(routing["retry_count"], F.lit(0))}
+    if "labels" in routing:
+        routing = routing | {"labels": F.when(F.size(routing["labels"]) > 0, routing["labels"])}
     return F.to_json(F.struct(keep(routing).alias("internal"), kind.alias("request_kind"), keep(request).alias("data")))
 
 
+def classify(labels: Column, cls: Column) -> Column:
+    """A message's labels with its quota class among them; without a class the label goes."""
+    rest = without(labels, F.lit("classification"))
+    return overlay(rest, F.when(blank_to_null(cls).isNotNull(), F.create_map(F.lit("classification"), cls)))
+
+
 def read_channel(df: DataFrame, queue: Column, labels: Column) -> DataFrame:
     """A channel's messages: the queue name is overwritten, the channel's labels overlay the message's."""
     return df.withColumns({"request_queue_name": queue, "labels": overlay(F.col("labels"), labels)})
@@ -64,9 +76,14 @@ def submit(df: DataFrame, now: int, default_queue: str, default_result: str) ->
     })
 
 
-def normalize_kind(kind: Column, message: Column, routing: Column) -> Column:
-    """Per-message routing wins for queue messages, the topic id for topic messages; plain ones keep theirs."""
-    return F.when(kind == "redis", F.coalesce(blank_to_null(message), routing)).when(kind == "plain", routing)
+def normalize_kind(kind: Column, message: dict[str, Column], routing: dict[str, Column]) -> dict[str, Column]:
+    """Routing of a message by its kind: queue messages' own queues win over the routing's, topic messages' id becomes the correlation
+    id and plain ones keep what they have. message: request_queue_name, result_queue_name, pubsub_id; routing: the first two and
+    transport_correlation_id.
+    """
+    out = {n: F.when(kind == "redis", F.coalesce(blank_to_null(message[n]), routing[n])).otherwise(routing[n]) for n in ("request_queue_name", "result_queue_name")}
+    known = routing["transport_correlation_id"]
+    return out | {"transport_correlation_id": F.when(kind == "pubsub", F.coalesce(blank_to_null(message["pubsub_id"]), known)).otherwise(known)}
 
 
 def result_queue(config: Column, message: Column, default: str) -> Column:
@@ -75,8 +92,8 @@ def result_queue(config: Column, message: Column, default: str) -> Column:
 
 
 def marshal_result(id_: Column, status: Column, payload: Column, code: Column, message: Column) -> Column:
-    """Result JSON; the fallback for unencodable bodies isn't needed, strings always encode."""
-    return F.to_json(F.struct(id_.alias("id"), status.alias("status_code"), payload.alias("payload"), blank_to_null(code).alias("error_code"), blank_to_null(message).alias("error_message")))
+    """Result JSON; a status of 0 (no response) is left out. The fallback for unencodable bodies isn't needed, strings always encode."""
+    return F.to_json(F.struct(id_.alias("id"), F.nullif(status, F.lit(0)).alias("status_code"), payload.alias("payload"), blank_to_null(code).alias("error_code"), blank_to_null(message).alias("error_message")))
 
 
 def parse_result(df: DataFrame, value: str) -> DataFrame:

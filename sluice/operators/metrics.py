@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sluice.operators import windows
 
-#: Fixed bucket bounds: inference and publish-to-processed latency in ms, residence in ms.
-INFERENCE_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000)
-RESIDENCE_MS = (500, 1000, 2500, 5000, 10000, 30000, 60000, 120000, 300000, 600000, 1800000, 3600000, 7200000, 14400000, 43200000, 86400000)
-LATENCY_MS = (10, 50, 100, 500, 1000, 5000, 10000, 60000, 300000, 3600000)
+# Bucket bounds in milliseconds of calls, of waiting in process, and from publishing to success.
+INFERENCE_MS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000, 120000)
+RESIDENCE_MS = (500, 1000, 2000, 5000, 10000, 30000, 60000, 120000, 300000, 600000, 1800000, 3600000, 7200000, 21600000, 43200000, 86400000)
+LATENCY_MS = (100, 1000, 5000, 10000, 20000, 50000, 100000, 200000, 500000, 1000000)
+# Alert rules with the share of requests that a rule compares, its threshold and how long it must hold, in seconds.
+ALERT_RULES = (("high retry rate", "retries", ">", 0.5, 900), ("high deadline exceeded rate", "deadline", ">", 0.1, 600), ("low success rate", "success", "<", 0.9, 600), ("high shed rate", "shed", ">", 0.1, 600))
 REASONS = ("gate_closed", "quota_exhausted", "dropped", "error")
 
 
@@ -56,6 +58,31 @@ def alert(df: DataFrame, keys: list[str], time: str, condition: Column, hold: in
     return d.withColumns({"session": F.when(F.col("_c"), F.col("session")), "firing": F.col("_c") & (F.col(time) - F.col("session") >= hold)}).drop("_c", "_p", "_start")
 
 
+def rate_ratios(rates: DataFrame, keys: list[str], counter: str, base: str) -> DataFrame:
+    """Each counter's rate over that of `base` in the same window, null where that is 0. rates: (keys, counter, start, rate)."""
+    of = rates.where(F.col(counter) == base).select(*keys, "start", F.col("rate").alias("_base"))
+    return rates.where(F.col(counter) != base).join(of, [*keys, "start"]).select(*keys, counter, "start", F.try_divide("rate", "_base").alias("ratio"))
+
+
+def alerts(ratios: DataFrame, keys: list[str], time: str, counter: str, ratio: str, rules=ALERT_RULES) -> DataFrame:
+    """Sessions and firing state of every rule (name, counter, comparison, threshold, seconds to hold) per key. A ratio that is null meets no condition."""
+    each = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(c).alias("of"), F.lit(op == ">").alias("above"), F.lit(float(v)).alias("least"), F.lit(hold).alias("hold")) for n, c, op, v, hold in rules))
+    x = ratios.select("*", F.explode(each).alias("r")).where(F.col("r.of") == F.col(counter)).select(*keys, time, ratio, "r.*")
+    met = F.when(F.col("above"), F.col(ratio) > F.col("least")).otherwise(F.col(ratio) < F.col("least"))
+    out = alert(x.withColumn("met", met), [*keys, "rule"], time, F.col("met"), 0)
+    firing = F.coalesce(F.col("firing") & (F.col(time) - F.col("session") >= F.col("hold")), F.lit(False))
+    return out.select(*keys, "rule", time, "session", firing.alias("firing"))
+
+
+def gate_gauges(evaluations: DataFrame, keys: list[str], time: str, has: str, value: str, budget: str, threshold: float) -> DataFrame:
+    """Last budget, last usable value, threshold and availability of each owner's gate, with the time of its last evaluation."""
+    usable = F.col(has) & F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return evaluations.groupBy(*keys).agg(
+        F.max_by(budget, time).alias("budget"), F.max_by(F.when(usable, F.col(value)), F.when(usable, F.col(time))).alias("value"), F.lit(float(threshold)).alias("threshold"),
+        F.max_by(usable, time).alias("available"), F.max(time).alias("seen"),
+    )
+
+
 def source_health(log: DataFrame, keys: list[str], now: int, fresh: int = 30) -> DataFrame:
     """unhealthy: last error newer than the last success and fresh; healthy: a fresh success; else unknown. log: (keys, at, ok)."""
     agg = log.groupBy(*keys).agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("good"), F.max(F.when(~F.col("ok"), F.col("at"))).alias("bad"))

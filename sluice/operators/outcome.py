@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.maps import blank_to_null
 from sluice.functions.scalars import jitter
 
 RETRYABLE = ("RATE_LIMIT", "SERVER_ERROR")
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_MONTH, _CLOCK = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)", r"(\d{2}):(\d{2}):(\d{2})"
+HTTP_DATE = rf"^\w{{3}}, (\d{{2}}) {_MONTH} (\d{{4}}) {_CLOCK} GMT$"
+DASHED_DATE = rf"^\w+day, (\d{{2}})-{_MONTH}-(\d{{2}}) {_CLOCK} GMT$"
+PLAIN_DATE = rf"^\w{{3}} {_MONTH} ([ \d]\d) {_CLOCK} (\d{{4}})$"
 
 
 def classify_http(status: Column, transport_error: Column, body_error: Column) -> Column:
@@ -31,13 +37,23 @@ def attempt_outcome(category: Column, status: Column) -> Column:
 
 
 def parse_retry_after(text: Column, now: int, status: Column, body_error: Column) -> Column:
-    """Seconds to wait: whole non-negative seconds or an HTTP date (past: 0); null otherwise and where the header isn't read."""
+    """Seconds to wait: whole non-negative seconds or an HTTP date (past: 0); null otherwise and where the header isn't read.
+
+    Dates in any of the three HTTP forms: `Sun, 06 Nov 1994 08:49:37 GMT`, `Sunday, 06-Nov-94 08:49:37 GMT` (years from 69 on are of
+    the last century) and `Sun Nov  6 08:49:37 1994`.
+    """
     number = F.when(text.rlike(r"^\d{1,9}$"), text.cast("long"))
-    months = "JanFebMarAprMayJunJulAugSepOctNovDec"
-    part = lambda i: F.regexp_extract(text, r"^\w{3}, (\d{2}) (\w{3}) (\d{4}) (\d{2}):(\d{2}):(\d{2}) GMT$", i)
-    month = F.lpad(((F.instr(F.lit(months), part(2)) + 2) / 3).cast("int").cast("string"), 2, "0")
-    day = F.concat(part(3), F.lit("-"), month, F.lit("-"), part(1)).try_cast("date")
-    at = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + part(4).try_cast("long") * 3600 + part(5).try_cast("long") * 60 + part(6).try_cast("long")
+    forms = ((HTTP_DATE, (1, 2, 3)), (DASHED_DATE, (1, 2, 3)), (PLAIN_DATE, (2, 1, 6)))
+    ats = []
+    for form, (day, month, year) in forms:
+        part = lambda i, form=form: F.regexp_extract(text, form, i)
+        y = part(year) if form != DASHED_DATE else F.concat(F.when(part(year) >= "69", "19").otherwise("20"), part(year))
+        number_of_month = F.lpad(((F.instr(F.lit(MONTHS), part(month)) + 2) / 3).cast("int").cast("string"), 2, "0")
+        date = F.concat(y, F.lit("-"), number_of_month, F.lit("-"), F.lpad(F.trim(part(day)), 2, "0")).try_cast("date")
+        clock = (3, 4, 5) if form == PLAIN_DATE else (4, 5, 6)
+        of_day = part(clock[0]).try_cast("long") * 3600 + part(clock[1]).try_cast("long") * 60 + part(clock[2]).try_cast("long")
+        ats.append(F.when(text.rlike(form), F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + of_day))
+    at = F.coalesce(*ats)
     read = (status == 429) | (status >= 500) | body_error
     return F.when(read, F.coalesce(number, F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), at - now))))
 
@@ -65,13 +81,26 @@ def retry_or_exhaust(outcome: Column, left: Column, status: Column) -> Column:
 
 
 def error_result(id_: Column, code: Column, message: Column) -> Column:
-    """Result JSON of a request that got no response."""
+    """Result JSON of a request that got no response, so without a status code."""
     body = F.to_json(F.named_struct(F.lit("error"), message))
-    return F.to_json(F.struct(id_.alias("id"), F.lit(0).alias("status_code"), body.alias("payload"), code.alias("error_code"), message.alias("error_message")))
+    return F.to_json(F.struct(id_.alias("id"), body.alias("payload"), code.alias("error_code"), message.alias("error_message")))
+
+
+def error_text(category: Column, message: Column, dropped: Column, cause: Column) -> Column:
+    """Text of an attempt's error: category, message, then the server's reason for dropping it and the cause, where there are any."""
+    reason = F.coalesce(F.concat(F.lit(" (dropped: "), blank_to_null(dropped), F.lit(")")), F.lit(""))
+    return F.concat(category, F.lit(": "), message, reason, F.coalesce(F.concat(F.lit(" (caused by: "), blank_to_null(cause), F.lit(")")), F.lit("")))
+
 
+def dispatch(df: DataFrame, workers: int, client, schema: str, *, deadline: str | None = None, now: int | None = None) -> DataFrame:
+    """Send each row by an injected client: an iterator of pandas frames to one of responses; `workers` connections at once.
 
-def dispatch(df: DataFrame, workers: int, client, schema: str) -> DataFrame:
-    """Send each row by an injected client: an iterator of pandas frames to one of responses; `workers` connections at once."""
+    With a deadline column, rows whose deadline is not after `now` (by default the time of the query) are not sent, and the client sees
+    `seconds_left` of the others, to bound its calls by.
+    """
+    if deadline:
+        clock = F.lit(now).cast("long") if now is not None else F.unix_timestamp()
+        df = df.withColumn("seconds_left", F.col(deadline) - clock).where("seconds_left > 0")
     return df.repartition(workers).mapInPandas(client, schema)
 
 

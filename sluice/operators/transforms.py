@@ -39,6 +39,12 @@ def typed_number(text: Column, default: float) -> Column:
     return F.coalesce(plain, F.get_json_object(text, "$.value").try_cast("double"), F.lit(default))
 
 
+def typed_map(text: Column) -> Column:
+    """A parameter given as an object, or as a string that holds one in JSON; null for anything else. Values are text."""
+    inner = F.try_variant_get(F.try_parse_json(text), "$", "string")  # unquotes a string, and gives an object's own text
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "map<string,string>"), F.try_variant_get(F.try_parse_json(inner), "$", "map<string,string>"))
+
+
 def selector(metric: str, labels: Column) -> Column:
     """Series text with sorted labels."""
     pairs = F.array_sort(F.transform(F.map_entries(labels), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))))

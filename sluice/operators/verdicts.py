@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Body of the result of a dropped interactive request.
-DROP_BODY = '{"error": {"message": "overloaded, try again later", "type": "overloaded", "code": 429}}'
+# Fixed value: body of the result of a dropped interactive request.
+DROP_BODY = '{"error": "Too Many Requests", "code": 429}'
 
 
 def quota_class(admitted: Column) -> Column:
@@ -33,7 +33,7 @@ def wait_on_refuse(inner: Column) -> Column:
 
 
 def gate_chain(verdicts: list[Column]) -> Column:
-    """The first verdict that isn't CONTINUE. Gates with state belong into one keyed function instead (see admission)."""
+    """The first verdict that isn't CONTINUE. Gates with state go through `admission.admit_chain`, which takes no slot of an earlier gate where a later one refuses."""
     return F.coalesce(*(F.nullif(v, F.lit("CONTINUE")) for v in verdicts), F.lit("CONTINUE"))
 
 
@@ -49,3 +49,12 @@ def route(verdict: Column, level: str) -> Column:
 
 def decision_reason(verdict: Column, cls: Column, failed: Column) -> Column:
     return F.when(failed, "error").when(verdict == "DROP", "dropped").when(verdict == "REFUSE", F.when(cls == "overflow", "quota_exhausted").otherwise("gate_closed"))
+
+
+def closed_rounds(rounds: DataFrame, backlog: DataFrame, queue: str) -> DataFrame:
+    """The rounds without a budget, with `counted`: whether they count as closed by the gate. Rounds of a topic always do, those of a queue if it holds requests.
+
+    rounds: (queue, budget, topic); backlog: (queue, backlog), one row per queue that has any.
+    """
+    closed = rounds.where(F.col("budget") <= 0).join(backlog, queue, "left")
+    return closed.withColumn("counted", F.col("topic") | (F.coalesce("backlog", F.lit(0)) > 0))

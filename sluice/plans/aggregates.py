@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.maps import blank_to_null
+from sluice.operators import budget as b
 from sluice.operators import lookups as lk
 from sluice.operators import metrics as mt
+from sluice.operators import verdicts as vd
 from sluice.plans.catalog import query
-from sluice.plans.gates import TICKS, ticks
+from sluice.plans.gates import TICKS, threshold_sql, ticks
 from sluice.plans.outcomes import OUT, C, attempts
 from sluice.operators import outcome as oc
 from sluice.sources.tables import CFG, NOW, POOL, REQ, pools, queues, requests, sql
@@ -77,14 +79,21 @@ REASON = "case when event_id % 31 = 0 then 'error' when event_id % 4 = 0 then ca
 select c.queue_id, r.reason, coalesce(d.n, 0) as n from cfg c cross join (values ('gate_closed'), ('quota_exhausted'), ('dropped'), ('error')) r(reason)
 left join (select queue_id, {REASON} as reason, count(*) as n from req group by 1, 2) d on d.queue_id = c.queue_id and d.reason = r.reason"""))
 def m7(spark, sf_dir):
-    d = requests(spark, sf_dir).withColumn("reason", F.expr(REASON)).where("reason is not null").groupBy("queue_id", "reason").agg(F.count("*").alias("n"))
+    verdict = F.when(F.col("event_id") % 4 == 0, "REFUSE").otherwise("CONTINUE")
+    reason = vd.decision_reason(verdict, F.col("class"), F.col("event_id") % 31 == 0)
+    d = requests(spark, sf_dir).withColumn("reason", reason).where("reason is not null").groupBy("queue_id", "reason").agg(F.count("*").alias("n"))
     every = queues(spark).select("queue_id", F.explode(F.array(*map(F.lit, mt.REASONS))).alias("reason"))
     return every.join(d, ["queue_id", "reason"], "left").select("queue_id", "reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("m8_gate_gauges", sql(REQ, TICKS, body="select pool, arg_max(n, tick) as value, max(tick) as seen, arg_max(has, tick) as available from g group by 1"))
+@query("m8_gate_gauges", sql(REQ, TICKS, CFG, body=f"""
+select g.pool as queue_id, 'q-' || g.pool as queue_name, coalesce(c.pool, '') as pool_name, round(arg_max({threshold_sql('has', 'v', 0.1, 0)}, tick) + 1e-9, 6) as budget, round(arg_max(v, tick) filter (where has and isfinite(v)) + 1e-9, 6) as value,
+  0.1::double as threshold, arg_max(has and isfinite(v), tick) as available, max(tick) as seen from g left join cfg c on c.queue_id = g.pool group by 1, 2, 3"""))
 def m8(spark, sf_dir):
-    return ticks(spark, sf_dir).groupBy("pool").agg(F.max_by("n", "tick").alias("value"), F.max("tick").alias("seen"), F.max_by("has", "tick").alias("available"))
+    t = lk.join_queue_config(ticks(spark, sf_dir).withColumnRenamed("pool", "queue_id"), queues(spark))
+    t = t.withColumns({"queue_name": F.concat(F.lit("q-"), "queue_id"), "pool_name": F.col("pool"), "budget": b.threshold(F.col("has"), F.col("v"), 0.1, 0)})
+    g = mt.gate_gauges(t, TRIPLE, "tick", "has", "v", "budget", 0.1)
+    return g.withColumns({"budget": F.round(F.col("budget") + 1e-9, 6), "value": F.round(F.col("value") + 1e-9, 6)})
 
 
 COUNTER = "ct as (select queue_id, created, sum(n) over (partition by queue_id, created // 86400 order by created) as v from (select queue_id, created, count(*) as n from req group by 1, 2))"
@@ -107,13 +116,30 @@ def m9(spark, sf_dir):
     return mt.rate(counter(requests(spark, sf_dir)), ["queue_id"], "created", "v", 3600).withColumn("rate", F.round("rate", 8))
 
 
-@query("m10_rate_ratio", sql(REQ, body="""
-select queue_id, created - created % 21600 as start, round(count(*) filter (where status = 200) / count(*)::double, 6) as success, round(count(*) filter (where status in (429, 503)) / count(*)::double, 6) as retry,
-  round(count(*) filter (where status = 429) / count(*)::double, 6) as shed from req group by 1, 2"""))
+COUNTED = {"requests": "true", "retries": "status in (429, 503)", "success": "status = 200", "shed": "status = 429", "deadline": "seconds_left <= 0"}
+RATES = "ctr as (" + " union all ".join(f"select queue_id, '{n}' as counter, created, cast(sum(count(*) filter (where {c})) over (partition by queue_id, created // 86400 order by created) as double) as v from c group by queue_id, created" for n, c in COUNTED.items()) + """),
+stp as (select *, lag(v) over (partition by queue_id, counter order by created) as p from ctr),
+rts as (select queue_id, counter, created - created % 21600 as start, sum(case when p is null then 0 when v >= p then v - p else v end) / 21600.0::double as r from stp group by 1, 2, 3),
+rt as (select a.queue_id, a.start, a.counter, a.r / nullif(b.r, 0) as ratio from rts a join rts b on a.queue_id = b.queue_id and a.start = b.start and b.counter = 'requests' where a.counter <> 'requests')"""
+
+
+def ratios(spark, sf_dir):
+    """Shares of the request rate, per queue and six hours, from counters that restart every day."""
+    from sluice.operators import windows
+
+    r = attempts(spark, sf_dir).withColumn("day", F.floor(F.col("created") / 86400))
+    per = r.groupBy("queue_id", "day", "created").agg(*(F.count_if(F.expr(c)).alias(n) for n, c in COUNTED.items()))
+    total = windows.running(per, ["queue_id", "day"], "created", [], **{f"t_{n}": F.col(n) for n in COUNTED})
+    long = total.select("queue_id", "created", F.inline(F.array(*(F.struct(F.lit(n).alias("counter"), F.col(f"t_{n}").alias("v")) for n in COUNTED))))
+    return mt.rate_ratios(mt.rate(long, ["queue_id", "counter"], "created", "v", 21600), ["queue_id"], "counter", "requests")
+
+
+@query("m10_rate_ratio", sql(REQ, C, RATES, body="""
+select queue_id, start, """ + ", ".join(f"round(max(ratio) filter (where counter = '{n}'), 6) as {n}" for n in COUNTED if n != "requests") + " from rt group by 1, 2"))
 def m10(spark, sf_dir):
-    r = requests(spark, sf_dir)
-    share = lambda c: F.round(F.try_divide(F.count_if(c), F.count("*")), 6)
-    return r.groupBy("queue_id", (F.col("created") - F.col("created") % 21600).alias("start")).agg(share(F.col("status") == 200).alias("success"), share(F.col("status").isin(429, 503)).alias("retry"), share(F.col("status") == 429).alias("shed"))
+    names = [n for n in COUNTED if n != "requests"]
+    wide = ratios(spark, sf_dir).groupBy("queue_id", "start").pivot("counter", names).agg(F.first("ratio"))
+    return wide.select("queue_id", "start", *(F.round(n, 6).alias(n) for n in names))
 
 
 @query("m11_histogram_quantile", sql(REQ, "h as (" + hist_sql("value * 20", mt.INFERENCE_MS) + ")", body="""
@@ -125,11 +151,12 @@ def m11(spark, sf_dir):
     return mt.quantile(h, ["queue_id"], 0.95).withColumn("value", F.round("value", 4))
 
 
-@query("m12_alert_sessions", sql(REQ, TICKS, body="""
-select pool, tick, case when c then max(st) over (partition by pool order by tick) end as session, c and tick - max(st) over (partition by pool order by tick) >= 7200 as firing from (
-  select *, case when c and not coalesce(lag(c) over (partition by pool order by tick), false) then tick end as st from (select pool, tick, n > 2 as c from g))"""))
+@query("m12_alert_sessions", sql(REQ, C, RATES, """ru as (select queue_id, rule, start, coalesce(case when ups then ratio > least_ else ratio < least_ end, false) as c, hold from rt join (values ('high retry rate', 'retries', true, 0.5::double, 900),
+  ('high deadline exceeded rate', 'deadline', true, 0.1::double, 600), ('low success rate', 'success', false, 0.9::double, 600), ('high shed rate', 'shed', true, 0.1::double, 600)) l(rule, counter, ups, least_, hold) using (counter)),
+s as (select *, case when c and not coalesce(lag(c) over (partition by queue_id, rule order by start), false) then start end as st from ru)""", body="""
+select queue_id, rule, start, case when c then max(st) over w end as session, c and start - max(st) over w >= hold as firing from s window w as (partition by queue_id, rule order by start)"""))
 def m12(spark, sf_dir):
-    return mt.alert(ticks(spark, sf_dir).select("pool", "tick", "n"), ["pool"], "tick", F.col("n") > 2, 7200).select("pool", "tick", "session", F.coalesce("firing", F.lit(False)).alias("firing"))
+    return mt.alerts(ratios(spark, sf_dir), ["queue_id"], "start", "counter", "ratio", mt.ALERT_RULES)
 
 
 @query("m13_rates_by_queue", sql(REQ, C, body=f"""
@@ -165,7 +192,7 @@ select p.pool, tick, round(level / (case when workers > 0 then workers else 64 e
     select coalesce(nullif(pool, ''), 'default') as pool, created as moment, 1 as d from req left join cfg using (queue_id) union all select coalesce(nullif(pool, ''), 'default'), created + 60 * k, -1 from req left join cfg using (queue_id)) group by 1, 2)) x join pools p on p.pool = x.pool"""))
 def m17(spark, sf_dir):
     j = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).withColumns({"pool": F.coalesce(blank_to_null("pool"), F.lit("default")), "done": F.col("created") + 60 * F.col("k")})
-    g = mt.gauge(j, ["pool"], "created", "done", 3600).join(F.broadcast(pools(spark)), "pool")
+    g = mt.gauge(j, ["pool"], "created", "done", 3600).join(pools(spark), "pool")
     return g.select("pool", "tick", F.round(F.col("level") / F.when(F.col("workers") > 0, F.col("workers")).otherwise(64), 6).alias("used"))
 
 

@@ -53,9 +53,12 @@ def g3(spark, sf_dir):
     return out(ticks(spark, sf_dir), budget=b.headroom(F.col("queue_size"), F.col("ready"), F.lit(100)))
 
 
-@query("g4_pod_queue_budget", sql(REQ, TICKS, body="select pool, tick, round(1 - avg_size / 100 + 1e-9, 6) as budget from g"))
+@query("g4_pod_queue_budget", sql(REQ, body="""
+select pool, tick, round(1 - avg(size) / 100 + 1e-9, 6) as budget from (select queue_id as pool, created - created % 3600 as tick, k % 3 as pod, sum(value) as size from req where k % 3 > 0 group by 1, 2, 3) group by 1, 2"""))
 def g4(spark, sf_dir):
-    return out(ticks(spark, sf_dir), budget=1 - F.col("avg_size") / 100)
+    r = requests(spark, sf_dir).withColumns({"pool": F.col("queue_id"), "tick": F.col("created") - F.col("created") % 3600, "pod": F.col("k") % 3})
+    pods = r.where("pod > 0").groupBy("pool", "tick", "pod").agg(F.sum("value").alias("size"))
+    return out(b.pod_queue(pods, ["pool", "tick"], "size", 100), budget=F.col("value"))
 
 
 @query("g5_running_budget", sql(REQ, TICKS, body=f"select pool, tick, round({ratio_sql('running')} + 1e-9, 6) as budget from g"))
@@ -156,12 +159,6 @@ def inner():
     return F.when(m == 0, "REFUSE").when(m == 1, "WAIT").otherwise("CONTINUE")
 
 
-@query("a3_classify_quota", sql(REQ, body="select event_id, case when k < 50 then 'reserved' else 'overflow' end as class, case when k >= 50 then 'REFUSE' else 'CONTINUE' end as blocking, 'CONTINUE' as classifying from req"))
-def a3(spark, sf_dir):
-    ok = F.col("k") < 50
-    return requests(spark, sf_dir).select("event_id", vd.quota_class(ok).alias("class"), vd.quota_verdict(ok, True).alias("blocking"), vd.quota_verdict(ok, False).alias("classifying"))
-
-
 @query("a4_quota_key", sql(REQ, body="select event_id, case when event_id % 6 <> 0 then 'quota:userid:' || case when event_id % 5 = 0 then '' else tenant end end as key from req"))
 def a4(spark, sf_dir):
     labels = F.map_filter(F.create_map(F.lit("userid"), F.when(F.col("event_id") % 6 != 0, F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("tenant")))), lambda k, v: v.isNotNull())
@@ -172,7 +169,7 @@ def a4(spark, sf_dir):
   case when {INNER} = 'REFUSE' and class = 'overflow' and tier = 'interactive' then 429 end as code from req"""))
 def a6(spark, sf_dir):
     v = vd.tier_admission(inner(), F.col("class"), F.col("tier"))
-    return requests(spark, sf_dir).select("event_id", v.alias("verdict"), F.get_json_object(F.when(v == "DROP", F.lit(vd.DROP_BODY)), "$.error.code").cast("int").alias("code"))
+    return requests(spark, sf_dir).select("event_id", v.alias("verdict"), F.get_json_object(F.when(v == "DROP", F.lit(vd.DROP_BODY)), "$.code").cast("int").alias("code"))
 
 
 @query("a7_wait_on_refuse", sql(REQ, body=f"select event_id, case when {INNER} = 'REFUSE' then 'WAIT' else {INNER} end as verdict from req"))
@@ -180,11 +177,6 @@ def a7(spark, sf_dir):
     return requests(spark, sf_dir).select("event_id", vd.wait_on_refuse(inner()).alias("verdict"))
 
 
-@query("a8_gate_chain", sql(REQ, body=f"select event_id, case when {INNER} <> 'CONTINUE' then {INNER} when k % 2 = 0 then 'DROP' else 'CONTINUE' end as verdict from req"))
-def a8(spark, sf_dir):
-    return requests(spark, sf_dir).select("event_id", vd.gate_chain([inner(), F.when(F.col("k") % 2 == 0, "DROP").otherwise("CONTINUE")]).alias("verdict"))
-
-
 @query("a9_budget_verdict", sql(REQ, TICKS, body=f"select pool, tick, case when {threshold_sql('has', 'v', 0.1, 0)} <= 0 then 'REFUSE' else 'CONTINUE' end as verdict from g"))
 def a9(spark, sf_dir):
     return ticks(spark, sf_dir).select("pool", "tick", vd.budget_verdict(b.threshold(F.col("has"), F.col("v"), 0.1, 0)).alias("verdict"))
@@ -200,8 +192,8 @@ def a11(spark, sf_dir):
     return requests(spark, sf_dir).select("event_id", vd.decision_reason(inner(), F.col("class"), F.col("event_id") % 31 == 0).alias("reason"))
 
 
-@query("a12_closed_round", sql(REQ, TICKS, body=f"""select g.pool, tick, (p.backlog > 0) as counted from g join (select queue_id as pool, count(*) filter (where deadline >= {NOW} and event_id % 2 = 0) as backlog from req group by 1) p on p.pool = g.pool where {threshold_sql('has', 'v', 0.1, 0)} <= 0"""))
+@query("a12_closed_round", sql(REQ, TICKS, body=f"""select g.pool, tick, (p.backlog > 0) or g.pool = 'purchase' as counted from g left join (select queue_id as pool, count(*) filter (where deadline >= {NOW} and event_id % 2 = 0) as backlog from req group by 1) p on p.pool = g.pool where {threshold_sql('has', 'v', 0.1, 0)} <= 0"""))
 def a12(spark, sf_dir):
     t = ticks(spark, sf_dir).withColumn("budget", b.threshold(F.col("has"), F.col("v"), 0.1, 0))
     pending = requests(spark, sf_dir).groupBy(F.col("queue_id").alias("pool")).agg(F.count_if((F.col("deadline") >= NOW) & (F.col("event_id") % 2 == 0)).alias("backlog"))
-    return t.where("budget <= 0").join(pending, "pool").select("pool", "tick", (F.col("backlog") > 0).alias("counted"))
+    return vd.closed_rounds(t.withColumn("topic", F.col("pool") == "purchase"), pending, "pool").select("pool", "tick", "counted")

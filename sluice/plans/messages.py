@@ -36,10 +36,10 @@ def s1(spark, sf_dir):
 
 
 @query("s2_encode_envelope", sql(REQ, body="""
-select event_id, '{"internal":{"retry_count":' || retry_count || ',"queue_id":"' || queue_id || '"' || case when class <> '' then ',"classification":"' || class || '"' else '' end || '},"request_kind":"plain","data":{"id":"' || id || '","created":' || created || ',"deadline":' || deadline || '}}' as value from req"""))
+select event_id, '{"internal":{' || case when retry_count > 0 then '"retry_count":' || retry_count || ',' else '' end || '"queue_id":"' || queue_id || '"' || case when class <> '' then ',"labels":{"classification":"' || class || '"}' else '' end || '},"request_kind":"plain","data":{"id":"' || id || '","created":' || created || ',"deadline":' || deadline || '}}' as value from req"""))
 def s2(spark, sf_dir):
     r = requests(spark, sf_dir)
-    value = m.encode_envelope(F.lit("plain"), {"id": F.col("id"), "created": F.col("created"), "deadline": F.col("deadline")}, {"retry_count": F.col("retry_count"), "queue_id": F.col("queue_id"), "classification": m.blank_to_null("class")})
+    value = m.encode_envelope(F.lit("plain"), {"id": F.col("id"), "created": F.col("created"), "deadline": F.col("deadline")}, {"retry_count": F.col("retry_count"), "queue_id": F.col("queue_id"), "labels": m.classify(F.create_map().cast("map<string,string>"), F.col("class"))})
     return r.select("event_id", value.alias("value"))
 
 
@@ -52,7 +52,7 @@ def s3(spark, sf_dir):
 select event_id, req.queue_id as request_queue_name, 'class=' || class || case when team <> '' then ';team=' || team else '' end || ';tenant=' || case when tenant_label <> '' then tenant_label else tenant end as labels from req join cfg using (queue_id)"""))
 def s4(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("message", F.create_map(F.lit("tenant"), F.col("tenant"), F.lit("class"), F.col("class")))
-    j = r.join(F.broadcast(queues(spark)), "queue_id").withColumnsRenamed({"labels": "channel", "message": "labels"})
+    j = r.join(queues(spark), "queue_id").withColumnsRenamed({"labels": "channel", "message": "labels"})
     return m.read_channel(j, F.col("queue_id"), F.col("channel")).select("event_id", "request_queue_name", as_text(F.col("labels")).alias("labels"))
 
 
@@ -74,10 +74,13 @@ def s6(spark, sf_dir):
 
 
 @query("s7_normalize_kind", sql(REQ, body=f"""
-select event_id, {KIND_SQL} as kind, case {KIND_SQL} when 'redis' then case when event_id % 2 = 0 then 'own-queue' else queue_id end when 'plain' then queue_id end as request_queue from req"""))
+select event_id, {KIND_SQL} as kind, case when {KIND_SQL} = 'redis' and event_id % 2 = 0 then 'own-queue' else queue_id end as request_queue, case when {KIND_SQL} = 'redis' and event_id % 4 = 0 then 'own-results' else 'results' end as result_queue,
+  case when {KIND_SQL} = 'pubsub' then 'msg-' || event_id end as correlation from req"""))
 def s7(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("kind", F.expr(KIND_SQL))
-    return r.select("event_id", "kind", m.normalize_kind(F.col("kind"), F.when(F.col("event_id") % 2 == 0, "own-queue").otherwise(""), F.col("queue_id")).alias("request_queue"))
+    message = {"request_queue_name": F.when(F.col("event_id") % 2 == 0, "own-queue").otherwise(""), "result_queue_name": F.when(F.col("event_id") % 4 == 0, "own-results"), "pubsub_id": F.concat(F.lit("msg-"), "event_id")}
+    n = m.normalize_kind(F.col("kind"), message, {"request_queue_name": F.col("queue_id"), "result_queue_name": F.lit("results"), "transport_correlation_id": F.lit(None).cast("string")})
+    return r.select("event_id", "kind", n["request_queue_name"].alias("request_queue"), n["result_queue_name"].alias("result_queue"), n["transport_correlation_id"].alias("correlation"))
 
 
 ROUTED = "coalesce(nullif(result_queue, ''), case when event_id % 2 = 0 then 'own-results' end, 'results')"
@@ -85,13 +88,13 @@ ROUTED = "coalesce(nullif(result_queue, ''), case when event_id % 2 = 0 then 'ow
 
 @query("s8_write_results", sql(REQ, CFG, body=f"select {ROUTED} as result_queue, count(*) as n, sum(event_id)::bigint as ids, min(created) as first_at from req left join cfg using (queue_id) group by 1"))
 def s8(spark, sf_dir):
-    j = requests(spark, sf_dir).join(F.broadcast(queues(spark)), "queue_id", "left")
+    j = requests(spark, sf_dir).join(queues(spark), "queue_id", "left")
     routed = j.withColumn("result_queue", m.result_queue(F.col("result_queue"), F.when(F.col("event_id") % 2 == 0, "own-results"), "results"))
     return routed.groupBy("result_queue").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("created").alias("first_at"))
 
 
 @query("s9_marshal_result", sql(REQ, body="""
-select event_id, '{"id":"' || id || '","status_code":' || status || ',"payload":"p' || k || '"' || case when status = 0 then ',"error_code":"INFERENCE_ERROR","error_message":"no response"' else '' end || '}' as value from req"""))
+select event_id, '{"id":"' || id || '"' || case when status > 0 then ',"status_code":' || status else '' end || ',"payload":"p' || k || '"' || case when status = 0 then ',"error_code":"INFERENCE_ERROR","error_message":"no response"' else '' end || '}' as value from req"""))
 def s9(spark, sf_dir):
     r = requests(spark, sf_dir)
     failed = F.col("status") == 0

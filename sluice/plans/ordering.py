@@ -9,7 +9,7 @@ from sluice.operators import lookups as lk
 from sluice.operators import messages as m
 from sluice.operators import ordering as o
 from sluice.plans.catalog import query
-from sluice.sources.tables import CFG, NOW, REQ, queues, read, requests, sql
+from sluice.sources.tables import CFG, NOW, POOLS, QUEUES, REQ, queues, read, requests, sql
 
 BUDGETS = "budgets as (select queue_id, least(1.0::double, round(avg(value), 2) / 100) as budget from req group by 1)"
 
@@ -72,21 +72,27 @@ def w7(spark, sf_dir):
 
 @query("w8_byte_budget_prefix", """
 select l_orderkey, l_linenumber, upto from (select *, cast(sum(cast(l_quantity as bigint)) over (partition by l_suppkey % 5 order by t_at, l_orderkey, l_linenumber, l_partkey rows unbounded preceding) as bigint) as upto
-  from (select *, cast(floor(epoch(l_shipdate)) as bigint) as t_at from lineitem)) where upto <= 20000""")
+  from (select *, cast(floor(epoch(l_shipdate)) as bigint) as t_at from lineitem)) where upto <= 51200 * (0.7::double - 0.1::double)""")
 def w8(spark, sf_dir):
     at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(l_shipdate as timestamp_ntz))")
     b = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 5).alias("q"), at.alias("at"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("tie"), F.col("l_quantity").cast("long").alias("size"))
-    return o.byte_budget_prefix(b, "q", "at", "tie", "size", 20000).select("l_orderkey", "l_linenumber", "upto")
+    return o.byte_budget_prefix(b, "q", "at", "tie", "size", o.byte_cap(51200, 0.7, 0.1)).select("l_orderkey", "l_linenumber", "upto")
 
 
 @query("w9_unknown_retry_queue", sql(REQ, CFG, body="select event_id, queue_id from req where retry_count > 0 and queue_id not in (select queue_id from cfg)"))
 def w9(spark, sf_dir):
-    return requests(spark, sf_dir).where("retry_count > 0").join(F.broadcast(queues(spark)), "queue_id", "left_anti").select("event_id", "queue_id")
+    return requests(spark, sf_dir).where("retry_count > 0").join(queues(spark), "queue_id", "left_anti").select("event_id", "queue_id")
 
 
-@query("r1_merge_random_robin", sql(REQ, body="select event_id, md5('s1' || id) as pick from req"))
+@query("r1_merge_random_robin", sql(REQ, CFG, body="""
+select event_id, pool, cast(turn as int) as turn from (select event_id, coalesce(nullif(pool, ''), 'default') as pool, row_number() over (partition by coalesce(nullif(pool, ''), 'default') order by md5('s1' || id)) as turn
+  from req left join cfg using (queue_id)) where turn <= 64"""))
 def r1(spark, sf_dir):
-    return o.random_robin(requests(spark, sf_dir), "s1").select("event_id", "pick")
+    o.register_merge_policy("seeded", lambda df: [F.md5(F.concat(F.lit("s1"), df["id"]))])
+    j = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).select("event_id", "id", "queue_id", "pool")
+    names = [r[0] for r in QUEUES]
+    each = [j.where(F.col("queue_id") == q) for q in names] + [j.where(~F.col("queue_id").isin(names))]
+    return o.merge(each, [p[0] for p in POOLS], "seeded", take=64).select("event_id", "pool", "turn")
 
 
 @query("r2_group_by_pool", sql(REQ, CFG, body="select coalesce(nullif(pool, ''), 'default') as pool, count(distinct queue_id) as queues, count(*) as n from req left join cfg using (queue_id) group by 1"))
@@ -98,5 +104,5 @@ def r2(spark, sf_dir):
 
 @query("r3_result_queue_routing", sql(REQ, CFG, body="select event_id, coalesce(nullif(result_queue, ''), case when event_id % 3 = 0 then 'from-message' end, 'results') as result_queue from req left join cfg using (queue_id)"))
 def r3(spark, sf_dir):
-    j = requests(spark, sf_dir).join(F.broadcast(queues(spark)), "queue_id", "left")
+    j = requests(spark, sf_dir).join(queues(spark), "queue_id", "left")
     return j.select("event_id", m.result_queue(F.col("result_queue"), F.when(F.col("event_id") % 3 == 0, "from-message").otherwise(""), "results").alias("result_queue"))

@@ -9,7 +9,8 @@ from sluice.functions.maps import as_text, overlay
 from sluice.operators import outcome as oc
 from sluice.operators import transforms as tr
 from sluice.plans.catalog import query
-from sluice.sources.tables import NOW, REQ, read, requests, sql
+from sluice.operators import lookups as lk
+from sluice.sources.tables import CFG, NOW, POOL, POOLS, REQ, queues, read, requests, sql
 
 CAT = "case when status = 0 then 'UNKNOWN' when event_id % 41 = 5 then 'SERVER_ERROR' when status = 429 then 'RATE_LIMIT' when status between 400 and 499 then 'INVALID_REQ' when status >= 500 then 'SERVER_ERROR' end"
 C = f"c as (select *, {CAT} as category, created + 60 * (1 + k % 10) - (created + k * 5) as seconds_left from req)"
@@ -41,10 +42,12 @@ def o3(spark, sf_dir):
 
 def retry_after_text():
     date = F.concat(F.lit("Tue, "), F.lpad((F.col("k") % 28 + 1).cast("string"), 2, "0"), F.lit(" Jan 2024 00:00:30 GMT"))
-    return F.when(F.col("event_id") % 5 == 0, F.col("k").cast("string")).when(F.col("event_id") % 5 == 1, "-5").when(F.col("event_id") % 5 == 2, "abc").when(F.col("event_id") % 5 == 4, date)
+    dashed = F.concat(F.lit("Tuesday, "), F.lpad((F.col("k") % 28 + 1).cast("string"), 2, "0"), F.lit("-Jan-24 00:00:30 GMT"))
+    plain = F.concat(F.lit("Tue Jan "), F.lpad((F.col("k") % 28 + 1).cast("string"), 2, " "), F.lit(" 00:00:30 2024"))
+    return F.when(F.col("event_id") % 5 == 0, F.col("k").cast("string")).when(F.col("event_id") % 5 == 1, "-5").when(F.col("event_id") % 5 == 2, plain).when(F.col("event_id") % 5 == 3, dashed).otherwise(date)
 
 
-HINT = f"case when status = 429 or status >= 500 or event_id % 41 = 5 then case event_id % 5 when 0 then k when 4 then greatest(0, 1704067200 + (k % 28) * 86400 + 30 - {NOW}) end end"
+HINT = f"case when status = 429 or status >= 500 or event_id % 41 = 5 then case when event_id % 5 = 0 then k when event_id % 5 > 1 then greatest(0, 1704067200 + (k % 28) * 86400 + 30 - {NOW}) end end"
 
 
 @query("o4_parse_retry_after", sql(REQ, C, body=f"select event_id, cast({HINT} as bigint) as hint from c"))
@@ -83,7 +86,7 @@ def o8(spark, sf_dir):
     return attempts(spark, sf_dir).select("event_id", F.round(F.col("created") + oc.backoff(F.col("seconds_left"), F.col("retry_count"), F.col("id")), 3).alias("due_at"))
 
 
-@query("o9_error_result", sql(REQ, body="""select event_id, '{"id":"' || id || '","status_code":0,"payload":"{\\"error\\":\\"lost ' || k || '\\"}","error_code":"INFERENCE_ERROR","error_message":"lost ' || k || '"}' as value from req where status = 0"""))
+@query("o9_error_result", sql(REQ, body="""select event_id, '{"id":"' || id || '","payload":"{\\"error\\":\\"lost ' || k || '\\"}","error_code":"INFERENCE_ERROR","error_message":"lost ' || k || '"}' as value from req where status = 0"""))
 def o9(spark, sf_dir):
     r = requests(spark, sf_dir).where("status = 0")
     return r.select("event_id", oc.error_result(F.col("id"), F.lit("INFERENCE_ERROR"), F.concat(F.lit("lost "), "k")).alias("value"))
@@ -98,12 +101,13 @@ def o10(spark, sf_dir):
     return j.select("event_id", F.when(F.col("cancelled"), "CANCELLED").when(failed, "requeue").alias("outcome"), F.when(failed, F.col("created") + 1).alias("due_at"))
 
 
-@query("o11_dropped_reason", sql(REQ, body="select event_id, 'status ' || status || case when event_id % 2 = 0 then ': ' || queue_id || '-full' else '' end as error_message from req where status >= 400"))
+@query("o11_dropped_reason", sql(REQ, body=f"select event_id, {CAT} || ': status ' || status || case when event_id % 2 = 0 then ' (dropped: ' || queue_id || '-full)' else '' end || case when event_id % 3 = 0 then ' (caused by: EOF)' else '' end as error_message from req where status >= 400"))
 def o11(spark, sf_dir):
-    r = requests(spark, sf_dir).where("status >= 400")
+    r = attempts(spark, sf_dir).where("status >= 400")
     headers = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("x-dropped-reason"), F.concat("queue_id", F.lit("-full")))).otherwise(F.create_map().cast("map<string,string>"))
     reason = F.try_element_at(headers, F.lit("x-dropped-reason"))
-    return r.select("event_id", F.concat(F.lit("status "), "status", F.coalesce(F.concat(F.lit(": "), reason), F.lit(""))).alias("error_message"))
+    cause = F.when(F.col("event_id") % 3 == 0, "EOF")
+    return r.select("event_id", oc.error_text(F.col("category"), F.concat(F.lit("status "), "status"), reason, cause).alias("error_message"))
 
 
 def echo_client(frames):
@@ -112,9 +116,12 @@ def echo_client(frames):
         yield f.assign(status=200, body=f["id"].str.len().astype("int64"))[["event_id", "status", "body"]]
 
 
-@query("o12_dispatch", sql(REQ, body="select event_id, 200::bigint as status, length(id) as body from req"))
+@query("o12_dispatch", sql(REQ, CFG, POOL, body=f"""
+select event_id, 200::bigint as status, length(id) as body from req join cfg using (queue_id) where pool = 'pool-a' and deadline > {NOW}"""))
 def o12(spark, sf_dir):
-    return oc.dispatch(requests(spark, sf_dir).select("event_id", "id"), 8, echo_client, "event_id long, status long, body long")
+    workers = next(p[1] for p in POOLS if p[0] == "pool-a")
+    r = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).where("pool = 'pool-a'")
+    return oc.dispatch(r.select("event_id", "id", "deadline"), workers, echo_client, "event_id long, status long, body long", deadline="deadline", now=NOW)
 
 
 @query("o13_topic_redelivery", sql(REQ, body="select event_id, case event_id % 3 when 0 then created + 10 when 1 then created end as due_at, case when event_id % 3 < 2 then retry_count + 1 end as delivery_attempt from req"))

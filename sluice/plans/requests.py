@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sluice.functions import scalars as sc
 from sluice.functions.maps import as_text, blank_to_null, overlay, without
 from sluice.operators import lookups as lk
-from sluice.operators import windows
+from sluice.operators import ordering, windows
 from sluice.plans.catalog import query
 from sluice.sources.tables import CFG, NOW, POOL, POOLS, REQ, pools, queues, read, requests, sql
 
@@ -39,7 +39,7 @@ def p3(spark, sf_dir):
 @query("p4_inject_labels", sql(REQ, CFG, body="""
 select event_id, 'class=' || class || case when coalesce(team, '') <> '' then ';team=' || team else '' end || ';tenant=' || case when coalesce(tenant_label, '') <> '' then tenant_label else tenant end as labels from req left join cfg using (queue_id)"""))
 def p4(spark, sf_dir):
-    j = requests(spark, sf_dir).join(F.broadcast(queues(spark)), "queue_id", "left")
+    j = requests(spark, sf_dir).join(queues(spark), "queue_id", "left")
     return j.select("event_id", as_text(overlay(message(), F.col("labels"))).alias("labels"))
 
 
@@ -52,14 +52,14 @@ def p5(spark, sf_dir):
 @query("p6_build_url", sql(REQ, CFG, body="""
 select event_id, regexp_replace(base, '/+$', '') || case when starts_with(p, '/') then p else '/' || p end as url from (select event_id, base, case when event_id % 3 = 0 then 'v2/own' else path end as p from req join cfg using (queue_id))"""))
 def p6(spark, sf_dir):
-    j = requests(spark, sf_dir).join(F.broadcast(queues(spark)), "queue_id")
+    j = requests(spark, sf_dir).join(queues(spark), "queue_id")
     return j.select("event_id", sc.build_url(F.col("base"), F.when(F.col("event_id") % 3 == 0, "v2/own").otherwise(""), F.col("path")).alias("url"))
 
 
 @query("p7_build_headers", sql(REQ, CFG, body="""
-select event_id, 'Content-Type=' || case when event_id % 2 = 0 then 'text/plain' else 'application/json' end || case when objective <> '' then ';x-objective=' || objective else '' end as headers from req join cfg using (queue_id)"""))
+select event_id, 'Content-Type=' || case when event_id % 2 = 0 then 'text/plain' else 'application/json' end || case when objective <> '' then ';x-gateway-inference-objective=' || objective else '' end as headers from req join cfg using (queue_id)"""))
 def p7(spark, sf_dir):
-    j = requests(spark, sf_dir).join(F.broadcast(queues(spark)), "queue_id")
+    j = requests(spark, sf_dir).join(queues(spark), "queue_id")
     return j.select("event_id", as_text(lk.build_headers(F.col("objective"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("Content-Type"), F.lit("text/plain"))))).alias("headers"))
 
 
@@ -77,7 +77,7 @@ LANE = "cast(3 * (case class when 'reserved' then 0 else 1 end) + case tier when
 
 @query("p9_priority_header", sql(REQ, body=f"select event_id, 'a=1;x-priority=' || {LANE} as headers from req"))
 def p9(spark, sf_dir):
-    lane = F.expr(LANE).cast("string")
+    lane = ordering.lane(F.col("class"), F.col("tier")).cast("string")
     return requests(spark, sf_dir).select("event_id", as_text(overlay(F.create_map(F.lit("a"), F.lit("1")), F.create_map(F.lit("x-priority"), lane))).alias("headers"))
 
 
