@@ -8,6 +8,7 @@ from sluice.functions.maps import as_text
 from sluice.functions.scalars import request_token
 from sluice.operators import messages as m
 from sluice.plans.catalog import query
+from sluice.sources import queues as store
 from sluice.sources.tables import CFG, NOW, REQ, queues, read, requests, sql
 
 KIND_SQL = "case event_id % 3 when 0 then 'plain' when 1 then 'redis' else 'pubsub' end"
@@ -45,7 +46,9 @@ def s2(spark, sf_dir):
 
 @query("s3_read_pending", sql(REQ, body="select queue_id, id, deadline, cast(deadline as double) as score from req"))
 def s3(spark, sf_dir):
-    return requests(spark, sf_dir).select("queue_id", "id", "deadline", F.col("deadline").cast("double").alias("score"))
+    path = store.shared_dir(spark, "pending")
+    store.append_requests(requests(spark, sf_dir).withColumns({"request_queue": F.col("queue_id"), "reject": F.lit(None).cast("string")}), path)
+    return store.pending(spark, path).select(F.col("request_queue").alias("queue_id"), "id", "deadline", "score")
 
 
 @query("s4_read_channel", sql(REQ, CFG, body="""
@@ -90,7 +93,10 @@ ROUTED = "coalesce(nullif(result_queue, ''), case when event_id % 2 = 0 then 'ow
 def s8(spark, sf_dir):
     j = requests(spark, sf_dir).join(queues(spark), "queue_id", "left")
     routed = j.withColumn("result_queue", m.result_queue(F.col("result_queue"), F.when(F.col("event_id") % 2 == 0, "own-results"), "results"))
-    return routed.groupBy("result_queue").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("created").alias("first_at"))
+    path = store.shared_dir(spark, "results")
+    store.append_results(routed.select("result_queue", "id", "event_id", "created"), path, time="created", flush_rows=100_000, parts_per_queue=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = spark.read.schema("id string, event_id long, created long, result_queue string").json(path)
+    return written.groupBy("result_queue").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("created").alias("first_at"))
 
 
 @query("s9_marshal_result", sql(REQ, body="""
@@ -127,10 +133,11 @@ select 'pool-' || s_suppkey // 2 as id, case when s_suppkey % 5 = 0 then 64 else
 def s12(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
     text = F.expr("""concat('{"id":"pool-', s_suppkey div 2, '"', case when s_suppkey % 5 = 0 then '' else concat(',"workers":', s_suppkey % 5) end, case when s_suppkey % 3 = 0 then '' else ',"gate_type":"redis"' end, case when s_suppkey % 7 = 0 then '' else ',"base":"http://x"' end, '}')""")
-    c = s.select(F.from_json(text, "id string, workers int, gate_type string, base string").alias("c")).select("c.*")
-    many = c.groupBy("id").agg((F.count("*") > 1).alias("duplicate_id"))
-    out = c.join(many, "id")
-    return out.select("id", F.coalesce("workers", F.lit(64)).alias("workers"), F.coalesce("gate_type", F.lit("constant")).alias("gate_type"), "duplicate_id", m.blank_to_null("base").isNull().alias("missing_url"))
+    path = store.shared_dir(spark, "config")
+    files = s.groupBy(F.col("s_suppkey") % 4).agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("value"))  # four configuration files
+    files.select("value").repartition(4).write.option("maxRecordsPerFile", 1).text(path)
+    c = store.load_config(spark, path, "id string, workers int, gate_type string, base string", required=("base",), defaults={"workers": 64, "gate_type": "constant"}, fail=False)
+    return c.select("id", "workers", "gate_type", (F.col("problem") == "id given twice").alias("duplicate_id"), m.blank_to_null("base").isNull().alias("missing_url")).withColumn("duplicate_id", F.coalesce("duplicate_id", F.lit(False)))
 
 
 @query("s13_queue_depths", sql(REQ, body=f"select queue_id, count(*) filter (where deadline >= {NOW}) as pending, count(*) filter (where deadline < {NOW}) as unread from req group by 1"))

@@ -38,16 +38,16 @@ def t2(spark, sf_dir):
     return st.run_available(st.concurrency(r, "tenant", 2, 7 * 86400), "t2")
 
 
-@query("t3_stream_retry_timer")
+@query("t3_stream_retry_timer", sql(REQ, body="select event_id, created + k as due_at from req where retry_count > 0"))
 def t3(spark, sf_dir):
     r = stream(spark, sf_dir).where("retry_count > 0").withColumn("due_at", F.col("created") + F.col("k"))
-    return st.run_available(st.hold_until_due(r.select("queue_id", "created", "event_id", "due_at"), "queue_id"), "t3")
+    return st.run_available(st.hold_until_due(r.select("queue_id", "event_id", "due_at"), "queue_id"), "t3")
 
 
-@query("t4_stream_deadline_expiry")
+@query("t4_stream_deadline_expiry", sql(REQ, body="select event_id, deadline as due_at, 'DEADLINE_EXCEEDED' as error_code from req"))
 def t4(spark, sf_dir):
     r = stream(spark, sf_dir).withColumn("due_at", F.col("deadline"))
-    out = st.run_available(st.hold_until_due(r.select("tenant", "created", "event_id", "due_at"), "tenant"), "t4")
+    out = st.run_available(st.hold_until_due(r.select("tenant", "event_id", "due_at"), "tenant"), "t4")
     return out.withColumn("error_code", F.lit("DEADLINE_EXCEEDED"))
 
 
@@ -58,13 +58,17 @@ def t5(spark, sf_dir):
     return st.run_available(st.cancellation(r.withColumn("is_cancel", kinds)), "t5")
 
 
-@query("t6_poll_round")
+@query("t6_poll_round", sql(REQ, body=f"""
+select queue_id, id, deadline, cast(rn - 10 * ((rn - 1) // 10) as int) as rn, cast((rn - 1) // 10 as int) as round from (
+  select *, row_number() over (partition by queue_id order by deadline, id) as rn from req where deadline >= {NOW}) where rn <= 20"""))
 def t6(spark, sf_dir):
-    def poll(batch):
-        budgets = batch.groupBy("queue_id").agg(F.lit(1.0).alias("budget"))
-        return o.edf_topk(batch, budgets, 10).select("queue_id", "id", "deadline", "rn")
+    def pop(waiting):
+        budgets = waiting.groupBy("queue_id").agg(F.lit(1.0).alias("budget"))
+        return o.edf_topk(waiting, budgets, 10)
 
-    return st.run_rounds(stream(spark, sf_dir).where(F.col("deadline") >= NOW), poll, "t6", "queue_id string, id string, deadline long, rn int")
+    waiting = stream(spark, sf_dir).where(F.col("deadline") >= NOW).select("event_id", "queue_id", "id", "deadline")
+    popped, _ = st.poll_rounds(waiting, pop, "t6", more_rounds=1)
+    return popped.select("queue_id", "id", "deadline", "rn", "round")
 
 
 @query("t7_result_stream", sql(REQ, body="select id, status as status_code, queue_id as result_queue from req"))
@@ -73,12 +77,29 @@ def t7(spark, sf_dir):
 
 
 @query("t8_stream_metrics", sql(REQ, body="""
-select queue_id, created - created % 3600 as start, count(*) as n, round(sum(value), 4) as total from req group by 1, 2 having created - created % 3600 + 3600 <= (select max(created) from req) - 600"""))
+select queue_id, created - created % 3600 as start, count(*) as n, round(sum(value), 4) as total, count(*) filter (where value <= 10) || ',' || count(*) filter (where value <= 50) || ',' || count(*) filter (where value <= 100) as buckets
+from req group by 1, 2 having created - created % 3600 + 3600 <= (select max(created) from req) - 600"""))
 def t8(spark, sf_dir):
-    w = st.run_available(st.windowed_counts(stream(spark, sf_dir).select("queue_id", "created", "value"), ["queue_id"], "1 hour"), "t8")
-    return w.select("queue_id", F.unix_seconds("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
+    w = st.run_available(st.windowed_counts(stream(spark, sf_dir).select("queue_id", "created", "value"), ["queue_id"], "1 hour", bounds=(10, 50, 100)), "t8")
+    return w.select("queue_id", F.unix_seconds("window.start").alias("start"), "n", F.round("total", 4).alias("total"), F.concat_ws(",", F.transform("buckets", lambda b: b.cast("string"))).alias("buckets"))
 
 
-@query("t9_late_data", sql(REQ, body=f"select event_id, deadline from req where deadline >= {NOW}"))
+@query("t8_stream_rates", sql(REQ, body="""
+select queue_id, start, count(*) / 7200.0::double as rate from (select queue_id, unnest([created - created % 3600, created - created % 3600 - 3600]) as start from req)
+group by 1, 2 having start + 7200 <= (select max(created) from req) - 600"""))
+def t8_rates(spark, sf_dir):
+    w = st.run_available(st.windowed_counts(stream(spark, sf_dir).select("queue_id", "created", "value"), ["queue_id"], "2 hours", "1 hour"), "t8r")
+    return w.select("queue_id", F.unix_seconds("window.start").alias("start"), (F.col("n") / F.lit(7200.0)).alias("rate"))
+
+
+@query("t9_late_data", sql(REQ, body=f"select event_id, deadline, deadline >= {NOW} as in_time, sum(case when deadline < {NOW} then 1 else 0 end) over () ::bigint as expired from req"))
 def t9(spark, sf_dir):
-    return st.run_available(st.event_time(stream(spark, sf_dir)).where(F.col("deadline") >= NOW).select("event_id", "deadline"), "t9")
+    rows = stream(spark, sf_dir).select("event_id", "deadline", (F.col("deadline") >= NOW).alias("in_time"))
+    out, seen = st.run_observed(rows, "t9", {"expired": ~F.col("in_time")})
+    return out.withColumn("expired", F.lit(seen["expired"]).cast("long"))
+
+
+@query("j9_stream_match", sql(REQ, body="select id, status, k * 5 as latency from req"))
+def j9_stream(spark, sf_dir):
+    results = stream(spark, sf_dir).select(F.col("id").alias("request_id"), (F.col("created") + F.col("k") * 5).alias("finished"), "status")
+    return st.run_available(st.match_results(stream(spark, sf_dir).select("id", "created"), results), "j9").select("id", "status", "latency")
