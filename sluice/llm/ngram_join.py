@@ -14,14 +14,15 @@ link at 100 * |intersection| >= 75 * |union|, that is within the radius r = 0.25
    and to the two rings of set sizes that its window (the empty set as pivot) meets. Unshared shingles
    come first in the order, so nearly all documents reach no region at all.
 3. *Regions.* Regions with the same members are joined once. A region of a few documents is joined pair
-   by pair. In a larger one the document with the smallest id is the pivot and all members' distances
-   to it are computed exactly. Members within r are linked, and are one component without
+   by pair. A larger one gets several documents as pivots (those of smallest hashes) and all members' distances
+   to them are computed exactly. Members within r of a pivot are linked, and are one component without
    further comparison. By the triangle inequality a member farther than 2r links with none of those, so only
-   the boundary (r to 2r) is replicated to the pivot's region once more, unless it has reached the pivot's component by
-   then: there documents are joined on what they add to the pivot and what they lack of it, rarest first. Members
-   beyond 2r, with the boundary, join recursively with a new pivot; what remains after `rounds` levels is joined by
-   pairs in its size ring.
-4. *Components* of all links by alternating star rounds.
+   the boundary (r to 2r) is replicated to the pivot's ball once more, unless it has reached the pivot's component by
+   then: there documents are joined on what they add to the pivot and what they lack of it, rarest first. All other
+   members belong to the Voronoi region of their nearest pivot, with windows that replicate those near a border (see `_regions_of`), and
+   these regions, cut into rings of distance, are joined recursively down to small ones. A region of which nine tenths
+   come out as one region again is joined on its members' shingles that are rarest within it.
+4. *Components* of all links by alternating star rounds. Only pairs that pivots haven't put into one component are compared.
 
 Every pair that links is compared, or both ends are linked to a common pivot. No document, shingle or
 pair is left out at any size.
@@ -37,7 +38,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch, by_size, connected_components, lean, shuffle_partitions, table
@@ -46,8 +47,8 @@ from sluice.llm.common import Scratch, by_size, connected_components, lean, shuf
 FREQUENT = 256
 #: Rank of shingles that are frequent in any batch: after all others.
 LAST = 65535
-#: Regions of at most this many documents are joined pair by pair.
-LEAF = 12
+#: Regions of at most this many documents are joined pair by pair; pivots of a larger one; copies of a set per task.
+LEAF, PIVOTS, SPLIT = 4, 4, 2000
 #: Words whose hashes a task remembers.
 WORDS = 250_000
 #: Bytes of text that a task holds as numbers at once.
@@ -275,22 +276,89 @@ def _around_pivots(around: DataFrame, reps: DataFrame, parts: DataFrame, percent
     return met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).union(sure).distinct()
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, rounds: int = 5) -> DataFrame:
+def _without_own(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are not in one component yet."""
+    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    x = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    return x.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+
+
+def _pairs_within(m: DataFrame, percent: int) -> DataFrame:
+    """All pairs of each small region whose sizes allow a link, but for those close to one pivot."""
+    x = m.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("near").alias("pa"))
+    y = m.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("near").alias("pb"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return x.join(y, "region").where((F.col("a") < F.col("b")) & sizes & ~F.arrays_overlap("pa", "pb")).select("a", "b").distinct()
+
+
+def _pairs_by_prefix(m: DataFrame, core: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link in regions that pivots don't split: they meet in one of their shingles that are rarest within the region."""
+    x = m.select("region", "id", "near").join(core.select("id", "n", "shared"), "id").select("region", "id", "n", "near", F.explode("shared").alias("s"))
+    often = x.groupBy("region", "s").agg(F.count("*").alias("c")).where("c > 1")
+    by = Window.partitionBy("region", "id")
+    x = x.join(often, ["region", "s"]).withColumns({"at": F.row_number().over(by.orderBy("c", "s")), "m": F.count("*").over(by)})
+    need = F.ceil(F.lit(percent) * F.col("n") / 100)
+    x = x.where(F.col("at") <= F.col("m") - need + 1).select("region", "s", "id", "n", "near", (F.col("m") - F.col("at") + 1).alias("left"))
+    a, b = (x.select("region", "s", *(F.col(k).alias(f"{k}_{c}") for k in ("id", "n", "near", "left"))) for c in "ab")
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # Seen from the first one that both have, all that they share is from there on.
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    met = a.join(b, ["region", "s"]).where((F.col("id_a") < F.col("id_b")) & sizes & enough & ~F.arrays_overlap("near_a", "near_b"))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _regions_of(big: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The next level's regions: (region, id, n, near, close, was) of the members that no pivot of their region is linked to.
+
+    big: (region, size, most: largest set, pivots, id, n, near); found: (a, b: pivot, delta: shingles that only one of them has, linked, close). Two documents that link
+    differ in at most u * (n + n') shingles, u = (1 - t) / (1 + t). The count of differing shingles is a metric too, with a sharper window than the Jaccard distance has, so
+    a member belongs to its nearest pivot's region (equal: of smallest id) and, if one of another pivot may link with it, to that one's: not farther than the nearest by
+    more than twice the most that it can differ. Within a pivot's region, rings of distance are cut where no link can cross, at gaps, and
+    else every three windows, with the first window of a ring in the ring before as well.
+    """
+    u = (100 - percent) / (100 + percent)
+    x = big.select("region", "size", "most", "id", "n", "near", F.explode("pivots").alias("b"))
+    x = x.join(found.withColumnRenamed("a", "id"), ["id", "b"], "left")
+    own = F.col("id") == F.col("b")
+    to = F.struct(F.col("delta"), F.col("b"), F.col("close"))
+    x = x.groupBy("region", "id").agg(
+        *(F.first(c).alias(c) for c in ("size", "most", "n", "near")), F.max(F.coalesce("linked", own)).alias("inside"), F.collect_list(F.when(~own, to)).alias("to")
+    ).where("not inside")
+    reach = u * (F.col("n") + F.least("most", F.col("n") * 100 / percent)) + 1e-6
+    x = x.withColumns({"home": F.array_min("to"), "near": F.array_union("near", F.transform(F.filter("to", lambda t: t["close"]), lambda t: t["b"]))})
+    boundary = lambda t: (t["b"] == F.col("home.b")) | (t["b"] < F.col("home.b")) & (t["delta"] <= F.col("home.delta") + 2 * reach)
+    x = x.select("region", "size", "most", "id", "n", "near", F.inline(F.filter("to", boundary)))
+    window = F.ceil(2 * u * F.max("most") + 1e-6)
+    rings = x.groupBy("region", "b", "delta").agg(window.alias("window"))  # a row per distance that occurs
+    by = Window.partitionBy("region", "b").orderBy("delta")
+    rings = rings.withColumn("gap", F.col("delta") - F.lag("delta").over(by))
+    rings = rings.withColumn("start", F.max(F.when(F.col("gap").isNull() | (F.col("gap") > F.col("window")), F.col("delta"))).over(by))
+    i = F.floor((F.col("delta") - F.col("start")) / (3 * F.col("window")))
+    again = (i > 0) & (F.col("delta") - F.col("start") - i * 3 * F.col("window") < F.col("window"))
+    rings = rings.select("region", "b", "delta", "start", F.explode(F.when(again, F.array(i, i - 1)).otherwise(F.array(i))).alias("ring"))
+    x = x.join(rings, ["region", "b", "delta"])
+    return x.select(F.xxhash64("region", "b", "start", "ring").alias("region"), "id", "n", "near", "close", F.col("size").alias("was"))
+
+
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """n_shingles and component_id of every row of `docs`."""
     spark = docs.sparkSession
     scratch, buckets = Scratch(spark, "ngram-join"), shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = rows.where("id is not null").mapInArrow(lean(shingle_blocks(n, buckets)), BLOCK_DDL)
-    blocks = blocks.repartition(buckets, "bucket").mapInArrow(lean(shared_blocks(buckets)), BLOCK_DDL)
-    sets = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(lean(sets_of_documents(percent)), SET_DDL), "sets")
-    del blocks
+    blocks = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(lean(shared_blocks(buckets)), BLOCK_DDL), "shared")
     scratch.release()
+    found = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(lean(sets_of_documents(percent)), SET_DDL), "found")
+    scratch.drop(blocks)
+    sets = scratch.save(found.select("id", "n", "k1", "k2", F.col("shared").isNotNull().alias("whole")), "sets")
     # Equal sets are one point; only a copy that carries its shingles can stand for it.
-    points = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("low"), F.min(F.when(F.col("shared").isNotNull(), F.col("id"))).alias("point"))
-    reps = sets.where("shared is not null").join(points.where("point is not null").select(F.col("point").alias("id"), "low"), "id")
-    reps = scratch.save(reps.select(F.col("low").alias("id"), "n", "shared", "prefix").repartition(buckets, "id"), "points")
-    limit = F.lit(percent)
-    linked = (F.col("common") * 100 >= limit * F.col("union")).alias("linked")
+    points = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("low"), F.min(F.when(F.col("whole"), F.col("id"))).alias("point"), F.count("*").alias("copies"))
+    points = scratch.save(points, "equal")
+    reps = found.where("shared is not null").join(points.where("point is not null").select(F.col("point").alias("id"), "low"), "id")
+    reps = scratch.save(reps.select(F.col("low").alias("id"), "n", "shared", "prefix"), "points")
+    scratch.drop(found)
+    scratch.release()
+    linked = (F.col("common") * 100 >= F.lit(percent) * F.col("union")).alias("linked")
     in_ring = math.log(100 / percent) * 1.001
     post = reps.select("id", "n", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("s"))
     ring = F.floor(F.log("n") / in_ring)
@@ -298,59 +366,60 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     post = scratch.save(post.select("s", "ring", "id", "n"), "postings")
     regions = post.groupBy("s", "ring").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.expr("bit_xor(xxhash64(id))").alias("x1"), F.expr("bit_xor(xxhash64(id, 1))").alias("x2")).where("size > 1")
     same = regions.groupBy("size", "low", "x1", "x2").agg(F.min(F.struct("s", "ring")).alias("r"))
-    same = scratch.save(same.select("size", F.col("r.s").alias("s"), F.col("r.ring").alias("ring"), F.xxhash64("r.s", "r.ring").alias("region")), "regions")
-    members = scratch.save(post.join(same, ["s", "ring"]).select("region", "size", "id", "n", F.array().cast("array<boolean>").alias("near")), "members")
+    same = scratch.save(same.select(F.col("r.s").alias("s"), F.col("r.ring").alias("ring"), F.xxhash64("r.s", "r.ring").alias("region")), "regions")
+    members = post.join(same, ["s", "ring"]).select("region", "id", "n", F.array().cast("array<long>").alias("near"), F.lit(False).alias("close"), F.lit(None).cast("long").alias("was"))
+    live = scratch.save(members, "live")
     scratch.drop(post)
-
-    def pairs_within(m: DataFrame) -> DataFrame:
-        """All pairs of each region whose sizes allow a link, but for those around one of its pivots."""
-        x = m.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("near").alias("pa"))
-        y = m.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("near").alias("pb"))
-        sizes = 100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")
-        around = F.exists(F.arrays_zip("pa", "pb"), lambda o: o["pa"] & o["pb"])
-        return x.join(y, "region").where((F.col("a") < F.col("b")) & sizes & ~around).select("a", "b").distinct()
-
-    links = []
-    seen = scratch.save(_similar(pairs_within(members.where(F.col("size") <= LEAF)), reps).select("a", "b", linked), "leaf")
-    links.append(seen.where("linked").select("a", "b"))
-    live, near = members.where(F.col("size") > LEAF).select("region", "id", "n", "near"), []
     core = scratch.save(reps.join(live.select("id").distinct(), "id", "left_semi"), "core")
-    for level in range(rounds):
-        live = scratch.save(live, "live")
-        pivots = live.groupBy("region").agg(F.min("id").alias("b"), F.count("*").alias("size"))
-        if pivots.isEmpty():
+    scratch.drop(reps)
+    links, near, pairs, level = [], [], [], 0
+    while True:
+        first = [F.min(F.struct(F.xxhash64("id", F.lit(level), F.lit(j)), "id"))["id"] for j in range(PIVOTS)]
+        sizes = live.groupBy("region").agg(F.count("*").alias("size"), F.max("n").alias("most"), F.max("was").alias("was"), F.every("close").alias("done"), F.array_distinct(F.array(*first)).alias("pivots"))
+        # Members that are all close to one pivot are joined around it; a region that is hardly smaller than the one before isn't split again.
+        stuck = F.coalesce(F.col("size") * 10 > F.col("was") * 9, F.lit(False))
+        way = F.when(F.col("size") <= LEAF, "pairs").when(stuck, "prefix").otherwise("pivots")
+        sizes = scratch.save(sizes.where("size > 1 and not done").select("region", "size", "most", "pivots", way.alias("way")), "sizes")
+        ways = {r[0] for r in sizes.select("way").distinct().collect()}
+        step = lambda w: live.select("region", "id", "n", "near").join(sizes.where(F.col("way") == w), "region")  # noqa: B023, E731
+        if "pairs" in ways:
+            pairs.append(scratch.save(_pairs_within(step("pairs"), percent), "pairs"))
+        if "prefix" in ways:
+            pairs.append(scratch.save(_pairs_by_prefix(step("prefix"), core, percent), "pairs"))
+        if "pivots" not in ways:
             break
-        live = live.join(pivots, "region")
-        found = _similar(live.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), core)
-        close = (100 * F.col("common") >= (2 * limit - 100) * F.col("union")).alias("close")
-        found = scratch.save(found.select("a", "b", linked, "common", close), "pivots")
-        links.append(found.where("linked").select("a", "b"))
-        near.append(found.where("close").select("a", "b", "linked", "common"))
-        rest = live.join(found.where("not linked").select(F.col("a").alias("id"), "b", "close"), ["id", "b"])
-        far = rest.where("not close").select("region").distinct()
+        asked = step("pivots").select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b").distinct()
+        close = (100 * F.col("common") >= (2 * percent - 100) * F.col("union")).alias("close")
+        seen = scratch.save(_similar(asked, core).select("a", "b", linked, "common", close, (F.col("union") - F.col("common")).alias("delta")), "pivots")
+        links.append(seen.where("linked").select("a", "b"))
+        near.append(seen.where("close").select("a", "b", "linked", "common"))
+        live = scratch.save(_regions_of(step("pivots"), seen.select("a", "b", "delta", "linked", "close"), percent), "live")
         scratch.release()
-        live = rest.join(far, "region").select("region", "id", "n", F.array_append("near", F.col("close")).alias("near"))
-    if near:
-        live = scratch.save(live, "live")
-        if not live.isEmpty():
-            seen = scratch.save(_similar(pairs_within(live), core).select("a", "b", linked), "rest")
-            links.append(seen.where("linked").select("a", "b"))
-    all_links = links[0]
+        level += 1
+    by_pivots = links[0] if links else spark.createDataFrame([], "a long, b long")
     for x in links[1:]:
-        all_links = all_links.union(x)
-    parts = scratch.save(connected_components(all_links, scratch), "parts")
+        by_pivots = by_pivots.union(x)
+    parts = scratch.save(connected_components(by_pivots, scratch), "parts")
     if near:
         around = near[0]
         for x in near[1:]:
             around = around.union(x)
-        cross = _around_pivots(around.distinct(), core, parts, percent)
-        more = scratch.save(_similar(cross, core).select("a", "b", linked).where("linked").select("a", "b"), "cross")
-        if not more.isEmpty():
-            star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = scratch.save(connected_components(star.union(more), scratch), "parts")
-    named = points.select("k1", "k2", "n", "low").join(parts.withColumnRenamed("node", "low"), "low", "left")
-    named = named.select("k1", "k2", "n", F.coalesce("component", "low").alias("component_id"))
-    out = sets.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+        pairs.append(_around_pivots(around.distinct(), core, parts, percent))
+    if pairs:
+        every = pairs[0]
+        for x in pairs[1:]:
+            every = every.union(x)
+        every = scratch.save(_without_own(every.distinct(), parts), "apart")
+        more = scratch.save(_similar(every, core).select("a", "b", linked).where("linked").select("a", "b"), "links")
+        star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        parts = scratch.save(connected_components(star.union(more), scratch), "parts")
+    scratch.drop(core)
+    named = points.join(parts.withColumnRenamed("node", "low"), "low", "left").select("k1", "k2", "n", F.coalesce("component", "low").alias("component_id"), F.ceil(F.col("copies") / SPLIT).alias("cuts"))
+    # A set of very many copies is dealt to several tasks.
+    cuts = points.where(F.col("copies") > SPLIT).select("k1", "k2", "n", F.ceil(F.col("copies") / SPLIT).alias("cuts"))
+    keyed = sets.select("id", "n", "k1", "k2").join(cuts, ["k1", "k2", "n"], "left").withColumn("cut", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("cuts"))).otherwise(0)).drop("cuts")
+    named = named.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).drop("cuts")
+    out = keyed.join(named, ["k1", "k2", "n", "cut"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     count = rows.where("id is null").select("id", "text").mapInArrow(_sizes(n), "n long")
     return out.union(count.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))

@@ -57,10 +57,32 @@ def test_families_passages_and_cases(spark):
     assert joined(spark, rows) == brute(rows)
 
 
-def test_few_rounds_change_nothing(spark):
+def test_templates_recurse_to_leaves(spark, monkeypatch):
+    """Documents of 5 of 16 paragraphs: large regions without any near pivot, compared pairs in proportion to the documents."""
+    rnd = random.Random(3)
+    paragraphs = [" ".join(f"w{p}_{k}" for k in range(30)) for p in range(16)]
+    compared = []
+    similar = ngram_join._similar
+
+    def counting(pairs, sets):
+        compared.append(pairs.count())
+        return similar(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "_similar", counting)
+    per = {}
+    for size in (150, 300):
+        rows = [(i, " ".join(paragraphs[k] for k in sorted(rnd.sample(range(16), 5))) + f" own{i} tail{i}") for i in range(size)]
+        compared.clear()
+        assert joined(spark, rows) == brute(rows)
+        per[size] = sum(compared) / size
+    assert per[300] < 1.6 * per[150] and sum(compared) < 300 * 299 / 8
+
+
+def test_regions_that_pivots_do_not_split(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
     rnd = random.Random(9)
     rows = list(enumerate(t for size in (60, 30) for t in family(rnd, size, edits=14)))
-    assert joined(spark, rows, rounds=1) == brute(rows)
+    assert joined(spark, rows) == brute(rows)
 
 
 def test_frequent_shingles_and_parts(spark, monkeypatch):
