@@ -1,21 +1,25 @@
 """LM scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-Counts of words and word pairs are taken over all training documents, as blocks of hashes and counts: added up per batch of
-documents, dealt by the hash of the (first) word and added up again. A count c >= t is quantised to
-the level floor(log_b c) above t's, and for each level from 0 to its own one entry (n-gram, level) is set in a Bloom
-filter; a reader probes level after level until a miss. The filter has a fixed number of bits and is broadcast;
-the least counts t of words and of pairs are the smallest for which the entries fit `bits / 8`, so its size and error rate do
-not grow with the corpus (pairs under t back off). Filter parts are built by segment on the executors.
+1. *Counts.* Words and word pairs of all training documents are counted per chunk of text, dealt into buckets by the hash of the (first) word
+   and added up there. There is a bucket for every `bucket_bytes` of text, a task takes one bucket at a time, and so a task's memory doesn't
+   grow with the corpus.
+2. *Filter.* A count c is quantised to the level floor(log_b c), and for each level from 0 to its own one entry (n-gram, level) is set in a Bloom filter: a reader
+   probes level after level until a miss. Every word and every pair that occurs is kept. Each bucket has a segment of at least `bits_per_entry` bits
+   per entry, so the filter grows with the corpus and its error rate doesn't: with the default of 10 bits and 4 hashes, a probe of what was not set
+   hits in at most 1.2 % of all cases.
+3. *Scores.* While all segments together have at most `most_bytes`, the filter is broadcast. Beyond that, probes are dealt to the buckets
+   instead: documents' pairs go to the second word's bucket, where they get its probability (if it isn't one of the frequent ones), and then to
+   the first word's. Both ways probe the same segments and give the same scores.
 
 Probabilities: P(w | v) = (c(v w) - d) / c(v) for pairs in the filter + a(v) * P0(w), where a(v) is the weight that the discounted pairs of
 v leave, quantised in the filter as well, and P0(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The most frequent words (at most
 `head_words`) are broadcast with exact counts; other words' counts come from the filter.
 
 `base_score` and `n_known` use exact counts of every token: frequent words' from the broadcast, all others by dealing
-(document, word) postings to the words' counts by hash and adding up per document.
+(document, word, count) postings to the words' counts by hash and adding up per document.
 
 Null or empty text: the end token alone. Null ids: never held out. Repeated rows are counted and scored each. Other columns are ignored.
-Words are told apart by 64-bit hashes. Without training rows all counts are 0.
+Words are told apart by 64-bit hashes, rows by id and a 64-bit hash of their text. Without training rows all counts are 0.
 """
 
 from __future__ import annotations
@@ -28,14 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, by_size, lean, shuffle_partitions, table
+from sluice.llm.common import Scratch, by_size, shuffle_partitions, table
 
-BASE, DISCOUNT, HASHES, MAX_LEVEL = 1.3, 0.6, 4, 96
+BASE, DISCOUNT, HASHES, MAX_LEVEL = 1.3, 0.6, 4, 160
 WORDS = 250_000
 END = np.uint64(0x9E3779B97F4A7C15)
 WEIGHT = np.uint64(0xD6E8FEB86659FD93)
-SEGMENT = 21  # log2 of the bits of a filter segment
-CHUNK = 5_000_000  # bytes of text that a task holds as numbers at once
+CHUNK = 4_000_000  # bytes of text that a task holds as numbers at once
 K1, K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,7 +70,7 @@ def token_arrays(texts: list[bytes | None], words: _WordHash) -> tuple[np.ndarra
     return np.insert(flat, np.cumsum(sizes), END), sizes + 1
 
 
-def contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def contexts(tokens: np.ndarray) -> np.ndarray:
     """The token before each token; END before the first of a text."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
@@ -86,70 +89,35 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix(keys) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-BLOCK = ("bucket", "kind", "a", "b", "c")
-BLOCK_DDL = "bucket int, kind int, a binary, b binary, c binary"
-WORD, PAIR, POST, DOC, SUM = range(5)
+BLOCK = ("bucket", "kind", "a", "b", "c", "d", "e")
+BLOCK_DDL = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
+#: Kinds of blocks, in the order in which a bucket's task reads them: words and counts, filter segment, counted pairs,
+#: postings of words, pairs on their way to the second and to the first word's bucket, parts of documents.
+WORD, SEGMENT, PAIR, POST, SECOND, FIRST, DOC = range(7)
+#: Rows of a chunk: id (0 for null), whether there is an id, hash of the text; and their sums, all over `copies` equal rows.
+ROWS = np.dtype([("id", "<i8"), ("named", "<i8"), ("text", "<i8")])
+#: Where a posting counts: the chunk's document and how often.
+PLACES = np.dtype([("doc", "<i4"), ("n", "<f8")])
+SUMS = ("copies", "n_tokens", "n_known", "base", "score")
+PART_DDL = "id long, named boolean, text long, copies double, n_tokens double, n_known double, base double, score double"
 
 
 def _emit(rows, step: int = 48):
     for lo in range(0, len(rows), step):
-        cols = list(zip(*rows[lo : lo + step], strict=True))
+        cols = list(zip(*((*r, *[b""] * (len(BLOCK) - len(r))) for r in rows[lo : lo + step]), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(cols)], names=list(BLOCK))
 
 
-def _rows(batches):
+def _blocks(batches):
+    """The blocks of a task as (bucket, kind, arrays), one at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in BLOCK), strict=True)
+        for i in range(len(batch)):
+            yield tuple(batch.column(c)[i].as_py() for c in BLOCK)
 
 
-def _count(buckets: int):
-    def run(batches):
-        words = _WordHash()
-        for batch in batches:
-            for _, _, texts in by_size(batch.column(0), CHUNK):
-                tokens, sizes = token_arrays(texts, words)
-                before = contexts(tokens, sizes)
-                rows = []
-                u, c = np.unique(tokens, return_counts=True)
-                rows += [(b, WORD, u[p].tobytes(), c[p].astype(np.uint32).tobytes(), b"") for b, p in _split(_bucket(u, buckets), buckets)]
-                key, at, c = np.unique(pair_keys(before, tokens), return_index=True, return_counts=True)
-                first, c = before[at], c.astype(np.uint32)
-                for b, p in _split(_bucket(first, buckets), buckets):
-                    p = p[np.argsort(first[p], kind="stable")]
-                    heads, runs = np.unique(first[p], return_counts=True)
-                    rows.append((b, PAIR, key[p].tobytes(), c[p].tobytes(), heads.tobytes() + runs.astype(np.uint64).tobytes()))
-                yield from _emit(rows)
-
-    return run
-
-
-def _add_up(batches):
-    """Word counts, and counts of pairs seen twice or more with their first words, of one bucket."""
-    got, bucket = {WORD: [], PAIR: []}, 0
-    for bucket, kind, a, b, c in _rows(batches):  # noqa: B007
-        first = None
-        if kind == PAIR:
-            c = np.frombuffer(c, np.uint64)
-            first = np.repeat(c[: len(c) // 2], c[len(c) // 2 :].astype(np.int64))
-        got[kind].append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), first))
-    rows = []
-    for kind, parts in got.items():
-        if not parts:
-            continue
-        key, inverse_counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        first = np.concatenate([p[2] for p in parts]) if kind == PAIR else None
-        got[kind] = []
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        count = np.add.reduceat(inverse_counts[order].astype(np.int64), start)
-        key, first = key[start], first[order][start] if kind == PAIR else None
-        if kind == PAIR:
-            key, first, count = key[count > 1], first[count > 1], count[count > 1]
-        for lo in range(0, len(key), 500_000):
-            s = slice(lo, lo + 500_000)
-            rows.append((bucket, kind, key[s].tobytes(), count[s].tobytes(), first[s].tobytes() if kind == PAIR else b""))
-    yield from _emit(rows, 1)
+def _in_order(df: DataFrame, parts: int) -> DataFrame:
+    """Blocks dealt by bucket, and in each task bucket after bucket, kind after kind."""
+    return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -162,237 +130,321 @@ def value_of(level: np.ndarray) -> np.ndarray:
     return np.maximum((lo + np.maximum(hi, lo)) / 2, 1)
 
 
-def _levels(batches):
-    out: dict = {}
-    for _, kind, _, b, _ in _rows(batches):
-        c = np.frombuffer(b, np.int64)
-        n, t = np.bincount(level_of(c), minlength=1), np.bincount(level_of(c), c, 1)
-        for level in np.flatnonzero(n):
-            x = out.setdefault((kind, int(level)), [0, 0])
-            x[0] += int(n[level])
-            x[1] += int(t[level])
-    if out:
-        yield pa.RecordBatch.from_pylist([{"kind": k, "level": v, "n": n, "t": t} for (k, v), (n, t) in out.items()], pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("n", pa.int64()), ("t", pa.int64())]))
-
-
-def position(keys: np.ndarray, level, i: int, bits: int) -> np.ndarray:
-    """The filter's bit of each (key, level) entry for the i-th hash function. level: a number, or one per key."""
-    h = mix(keys + (np.asarray(level, np.uint64) + np.uint64(1)) * K2)
-    return (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+def weight_level(weight: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log(weight) / 0.1).astype(np.int64)
 
 
-class Model:
-    """What scoring needs, all of bounded size: the filter, the most frequent words and a few numbers."""
+def position(keys: np.ndarray, level, i: int, mask) -> np.ndarray:
+    """The bit of each (key, level) entry for the i-th hash function. level and mask (bits of the segment, less 1): a number, or one per key."""
+    h = mix(keys + (np.asarray(level, np.uint64) + np.uint64(1)) * K2)
+    return (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & mask
 
-    def __init__(self, bits, filter_bytes, head, head_counts, total, distinct, least):
-        self.bits, self.filter, self.head, self.head_counts, self.total, self.distinct, self.least = bits, filter_bytes, head, head_counts, total, distinct, least
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """Number of levels found for each key by repeated probes: 0 if not in the filter."""
-        out, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        bits = np.frombuffer(self.filter, np.uint8)
+def segment_of(keys: list[np.ndarray], levels: list[np.ndarray], bits_per_entry: float) -> bytes:
+    """A Bloom filter of all entries (key, 0) to (key, level)."""
+    entries = int(sum((v + 1).sum() for v in levels))
+    bits = 1 << max(6, math.ceil(math.log2(max(1.0, entries * bits_per_entry))))
+    flags = np.zeros(bits, bool)
+    for key, level in zip(keys, levels, strict=True):
+        for v in range(int(level.max(initial=-1)) + 1):
+            key, level = key[level >= v], level[level >= v]
+            for i in range(HASHES):
+                flags[position(key, v, i, np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+class Filter:
+    """Segments of the filter one after another, each a power of two of bits long."""
+
+    def __init__(self, segments: dict[int, bytes], buckets: int):
+        self.buckets = buckets
+        sizes = np.array([len(segments.get(b, b"")) * 8 for b in range(buckets)], np.uint64)
+        self.start = np.cumsum(sizes) - sizes
+        self.mask = np.where(sizes > 0, sizes - np.uint64(1), 0).astype(np.uint64)
+        self.held = sizes > 0
+        self.bytes = b"".join(segments[b] for b in sorted(segments))
+
+    def level(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Number of levels found for each key by repeated probes: 0 if not in the filter. heads: the words whose buckets hold the keys."""
+        bits, at = np.frombuffer(self.bytes, np.uint8), _bucket(heads, self.buckets)
+        mask, start = self.mask[at], self.start[at]
+        out, alive = np.zeros(len(keys), np.int64), np.flatnonzero(self.held[at])
         for level in range(MAX_LEVEL):
             for i in range(HASHES):
                 if not len(alive):
                     return out
-                p = position(keys[alive], level, i, self.bits)
+                p = position(keys[alive], level, i, mask[alive]) + start[alive]
                 alive = alive[(bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
             out[alive] += 1
         return out
 
-    def counts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of distinct words (exact for frequent ones, else from the filter, 0.5 if in neither); and whether exact."""
-        at = np.minimum(np.searchsorted(self.head, words), max(0, len(self.head) - 1))
-        exact = self.head[at] == words if len(self.head) else np.zeros(len(words), bool)
-        out = np.full(len(words), 0.5)
-        out[exact] = self.head_counts[at[exact]]
-        level = self.level(words[~exact])
-        out[~exact] = np.where(level > 0, value_of(level - 1 + self.least[WORD]), 0.5)
-        return out, exact
 
+class Model:
+    """What every task knows: the most frequent words with their counts, the totals and, if it is small enough, the filter."""
+
+    def __init__(self, head, head_counts, total: int, distinct: int, filter_: Filter | None):
+        self.head, self.head_counts, self.floor, self.filter = head, head_counts, total + 0.5 * (distinct + 1), filter_
+
+    def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether words are among the most frequent ones, and those ones' counts."""
+        if not len(self.head):
+            return np.zeros(len(words), bool), np.zeros(len(words))
+        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
+        known = self.head[at] == words
+        return known, np.where(known, self.head_counts[at], 0.0)
+
+    def counts(self, words: np.ndarray, filter_: Filter) -> np.ndarray:
+        """Counts of words: exact for frequent ones, else from the filter, 0 if in neither."""
+        known, out = self.exact(words)
+        level = filter_.level(words[~known], words[~known])
+        out[~known] = np.where(level > 0, value_of(level - 1), 0.0)
+        return out
 
-def _entries(bits: int, least: dict, head_least: int):
-    """Bits to set, dealt by segment: of words that are not frequent ones, of kept pairs, and of the kept pairs' words' weights."""
+    def probability(self, first: np.ndarray, pair: np.ndarray, of: np.ndarray, p0: np.ndarray, filter_: Filter) -> np.ndarray:
+        """P(second | first) of distinct pairs; first: distinct first words, of: their place for each pair, p0: P0 of the second words."""
+        level = filter_.level(pair, first[of])
+        weight = np.exp(-0.1 * np.maximum(0, filter_.level(mix(first ^ WEIGHT), first) - 1))
+        seen = np.maximum(self.counts(first, filter_), 1.0)[of]
+        found = np.where(level > 0, value_of(level - 1) - DISCOUNT, 0.0)
+        return np.minimum(1.0, np.minimum(found, seen) / seen + weight[of] * p0)
 
-    def set_bits(keys, levels):
-        """All entries (key, 0) to (key, level)."""
-        n = levels + 1
-        k = np.repeat(keys, n)
-        v = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-        return np.concatenate([position(k, v, i, bits) for i in range(HASHES)]) if len(k) else np.empty(0, np.uint64)
 
+def _count(buckets: int):
     def run(batches):
-        words, pairs = [], []
-        for _, kind, a, b, c in _rows(batches):
-            (words if kind == WORD else pairs).append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64)))
-        out = []
-        if words:
-            key, count = np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words])
-            level = level_of(count)
-            rare = (level >= least[WORD]) & (level < head_least)
-            out.append(set_bits(key[rare], level[rare] - least[WORD]))
-            if pairs:
-                pk, pc, pf = (np.concatenate([p[i] for p in pairs]) for i in range(3))
-                pl = level_of(pc)
-                kept = pl >= least[PAIR]
-                pk, pl, pf = pk[kept], pl[kept], pf[kept]
-                out.append(set_bits(pk, pl - least[PAIR]))
-                heads, inverse = np.unique(pf, return_inverse=True)
-                mass = np.bincount(inverse, value_of(pl) - DISCOUNT, len(heads))
-                order = np.argsort(key)
-                of = count[order][np.searchsorted(key[order], heads)].astype(np.float64)
-                weight = np.clip(1 - mass / of, 0.01, 1)
-                out.append(set_bits(mix(heads ^ WEIGHT), weight_level(weight)))
-        if out:
-            p = np.unique(np.concatenate(out))
-            rows = []
-            for s, at in _split((p >> np.uint64(SEGMENT)).astype(np.int64), max(1, bits >> SEGMENT)):
-                rows.append((s, SUM, (p[at] & np.uint64(2**SEGMENT - 1)).astype(np.uint32).tobytes(), b"", b""))
-            yield from _emit(rows)
+        words = _WordHash()
+        for batch in batches:
+            for _, _, texts in by_size(batch.column(0), CHUNK):
+                tokens, _ = token_arrays(texts, words)
+                before = contexts(tokens)
+                u, c = np.unique(tokens, return_counts=True)
+                rows = [(b, WORD, u[p].tobytes(), c[p].astype(np.uint32).tobytes()) for b, p in _split(_bucket(u, buckets), buckets)]
+                key, at, c = np.unique(pair_keys(before, tokens), return_index=True, return_counts=True)
+                first, c = before[at], c.astype(np.uint32)
+                order = np.argsort(first, kind="stable")
+                key, first, c = key[order], first[order], c[order]
+                for b, p in _split(_bucket(first, buckets), buckets):
+                    start = np.flatnonzero(np.r_[True, first[p][1:] != first[p][:-1]])
+                    runs = np.diff(np.r_[start, len(p)]).astype(np.uint32)
+                    rows.append((b, PAIR, key[p].tobytes(), c[p].tobytes(), first[p][start].tobytes(), runs.tobytes()))
+                yield from _emit(rows)
 
     return run
 
 
-def weight_level(weight: np.ndarray) -> np.ndarray:
-    return np.rint(-np.log(weight) / 0.1).astype(np.int64)
-
-
-def _segments(bits: int):
-    size = min(bits, 2**SEGMENT)
+def _merge(parts: list[tuple]) -> tuple:
+    """Sorted distinct keys with added counts, and any further arrays that are functions of the key."""
+    key, count, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[start], np.add.reduceat(count, start), *(m[order][start] for m in more)
+
+
+class _Sum:
+    """Parts of counts, merged whenever those that wait hold more rows than what is merged."""
+
+    def __init__(self):
+        self.done, self.parts, self.rows = None, [], 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.rows += len(part[0])
+        if self.rows > max(1_000_000, len(self.done[0]) if self.done else 0):
+            self.get()
+
+    def get(self) -> tuple | None:
+        if self.parts:
+            self.done = _merge([self.done, *self.parts] if self.done else self.parts)
+            self.parts, self.rows = [], 0
+        return self.done
+
+
+def _add_up(bits_per_entry: float):
+    """Each bucket's counted words and pairs to its words' counts and its filter segment."""
+
+    def close(bucket, words, pairs):
+        key, count = words.get()
+        level = level_of(count)
+        keys, levels = [key], [level]
+        if (found := pairs.get()) is not None:
+            pair, c, first = found
+            pl = level_of(c)
+            heads, inverse = np.unique(first, return_inverse=True)
+            mass = np.bincount(inverse, value_of(pl) - DISCOUNT, len(heads))
+            of = count[np.searchsorted(key, heads)].astype(np.float64)  # END closes every text, so every first word is a token
+            keys += [pair, mix(heads ^ WEIGHT)]
+            levels += [pl, weight_level(np.clip(1 - mass / of, 0.01, 1))]
+        segment = segment_of(keys, levels, bits_per_entry)
+        rows = [(bucket, WORD, key[lo : lo + 200_000].tobytes(), count[lo : lo + 200_000].tobytes()) for lo in range(0, len(key), 200_000)]
+        yield from _emit([*rows, (bucket, SEGMENT, segment)], 1)
 
     def run(batches):
-        parts: dict[int, np.ndarray] = {}
-        for s, _, a, _, _ in _rows(batches):
-            at = np.frombuffer(a, np.uint32)
-            flags = parts.setdefault(s, np.zeros(size, bool))
-            flags[at] = True
-        yield from _emit([(s, SUM, np.packbits(f, bitorder="little").tobytes(), b"", b"") for s, f in parts.items()], 1)
+        last, words, pairs = None, _Sum(), _Sum()
+        for bucket, kind, a, b, c, d, _ in _blocks(batches):
+            if bucket != last and last is not None:
+                yield from close(last, words, pairs)
+                words, pairs = _Sum(), _Sum()
+            last = bucket
+            key, count = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32).astype(np.int64)
+            if kind == WORD:
+                words.add(key, count)
+            else:
+                pairs.add(key, count, np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint32)))
+        if last is not None:
+            yield from close(last, words, pairs)
 
     return run
 
 
-def _score(model_in, buckets: int):
-    """Documents to their part of the scores, and postings of the words whose exact counts are elsewhere."""
+def _levels(batches):
+    """Number of words and of tokens of each level."""
+    n, t = np.zeros(MAX_LEVEL + 1, np.int64), np.zeros(MAX_LEVEL + 1, np.int64)
+    for _, kind, _, b, *_ in _blocks(batches):
+        if kind == WORD:
+            c = np.frombuffer(b, np.int64)
+            level = level_of(c)
+            n += np.bincount(level, minlength=MAX_LEVEL + 1)
+            np.add.at(t, level, c)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(t[at])], names=["level", "n", "t"])
+
+
+def _score(shared, buckets: int):
+    """Documents to their parts of the sums that need no other bucket, and to postings of what others must add."""
+
+    def blocks_of(ids, texts, words):
+        model = shared.value
+        own = np.zeros(len(texts), ROWS)
+        own["id"], own["named"] = [i or 0 for i in ids], [i is not None for i in ids]
+        own["text"] = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
+        own, rows, copies = np.unique(own, return_index=True, return_counts=True)
+        tokens, sizes = token_arrays([texts[i] for i in rows], words)
+        before, doc = contexts(tokens), np.repeat(np.arange(len(sizes)), sizes)
+        u, inverse = np.unique(tokens, return_inverse=True)
+        frequent, count = model.exact(u)
+        sure = frequent[inverse]
+        base = np.bincount(doc[sure], np.log10((count + 0.5) / model.floor)[inverse[sure]], len(sizes))
+        pairs, at, pair_of = np.unique(pair_keys(before, tokens), return_index=True, return_inverse=True)
+        score = np.zeros(len(sizes))
+        if model.filter is not None:
+            heads, of = np.unique(before[at], return_inverse=True)
+            p0 = (model.counts(u, model.filter) + 0.5) / model.floor
+            p = model.probability(heads, pairs, of, p0[inverse[at]], model.filter)
+            score = np.bincount(doc, np.log10(p)[pair_of], len(sizes))
+        sums = np.stack([np.ones(len(sizes)), sizes, np.bincount(doc[sure], minlength=len(sizes)), base, score], 1)
+        yield int(rows[0] % buckets), DOC, own.tobytes(), (sums * copies[:, None]).tobytes()
+
+        def once(kind, where, key):
+            """A block per bucket of the tokens at `where`, each (key, document) once with its number."""
+            _, first, n = np.unique(key[where] * len(sizes) + doc[where], return_index=True, return_counts=True)
+            i = where[first]
+            place = np.zeros(len(i), PLACES)
+            place["doc"], place["n"] = doc[i], n * copies[doc[i]]
+            for b, p in _split(_bucket((before if kind == FIRST else tokens)[i], buckets), buckets):
+                k = i[p]
+                p0 = ((count[inverse[k]] + 0.5) / model.floor).tobytes() if kind == FIRST else b""
+                yield b, kind, tokens[k].tobytes(), before[k].tobytes(), p0, place[p].tobytes(), own.tobytes()
+
+        yield from once(POST, np.flatnonzero(~sure), inverse)
+        if model.filter is None:
+            yield from once(FIRST, np.flatnonzero(sure), pair_of)
+            yield from once(SECOND, np.flatnonzero(~sure), pair_of)
 
     def run(batches):
-        model, words = model_in.value, _WordHash()
-        floor = model.total + 0.5 * (model.distinct + 1)
+        words = _WordHash()
         for batch in batches:
-            rows_in = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(0).to_pylist()
             for lo, hi, texts in by_size(batch.column(1), CHUNK):
-                tokens, sizes = token_arrays(texts, words)
-                before, doc = contexts(tokens, sizes), np.repeat(np.arange(len(sizes)), sizes)
-                u, inverse = np.unique(tokens, return_inverse=True)
-                count, exact = model.counts(u)
-                p0 = (count + 0.5) / floor
-                pairs, pair_of = np.unique(pair_keys(before, tokens), return_inverse=True)
-                level = model.level(pairs)
-                pair_count = np.where(level > 0, value_of(level - 1 + model.least[PAIR]) - DISCOUNT, 0.0)[pair_of]
-                weight = np.exp(-0.1 * np.maximum(0, model.level(mix(u ^ WEIGHT)) - 1))
-                first = np.searchsorted(u, before)  # every token before another is a token; END closes every text
-                seen = np.maximum(count[first], 1)
-                p = np.minimum(1.0, np.minimum(pair_count, seen) / seen + weight[first] * p0[inverse])
-                score = np.bincount(doc, np.log10(p), len(sizes))
-                known = exact[inverse]
-                base = np.bincount(doc[known], np.log10(p0[inverse[known]]), len(sizes))
-                n_known = np.bincount(doc[known], minlength=len(sizes)).astype(np.float64)
-                own = rows_in[lo:hi]
-                rows = []
-                spread = _bucket(own.view(np.uint64), buckets)
-                values = np.stack([sizes.astype(np.float64), n_known, base, score], 1)
-                rows += [(b, DOC, own[at].tobytes(), values[at].tobytes(), b"") for b, at in _split(spread, buckets)]
-                rare, key = doc[~known], tokens[~known]
-                for b, at in _split(_bucket(key, buckets), buckets):
-                    rows.append((b, POST, key[at].tobytes(), rare[at].astype(np.uint32).tobytes(), own.tobytes()))
-                yield from _emit(rows)
+                yield from _emit(list(blocks_of(ids[lo:hi], texts, words)))
 
     return run
 
 
-def _look_up(total: int, distinct: int, buckets: int):
-    """Postings of a bucket to sums per document; the documents' own parts pass through."""
+def _look_up(shared, buckets: int):
+    """Postings of a bucket to parts of documents' sums, and pairs at their second word to ones at their first."""
 
     def run(batches):
-        keys, counts, posts, rows = [], [], [], []
-        for b, kind, a, x, c in _rows(batches):
+        model, last = shared.value, None
+        for bucket, kind, a, b, c, d, e in _blocks(batches):
+            if bucket != last:
+                last, key, counts, own_filter, sorted_ = bucket, [], [], Filter({}, 1), None
             if kind == WORD:
-                keys.append(np.frombuffer(a, np.uint64))
-                counts.append(np.frombuffer(x, np.int64))
-            elif kind == POST:
-                posts.append((np.frombuffer(a, np.uint64), np.frombuffer(c, np.int64)[np.frombuffer(x, np.uint32)]))
+                key.append(np.frombuffer(a, np.uint64))
+                counts.append(np.frombuffer(b, np.int64))
+            elif kind == SEGMENT:
+                own_filter = Filter({0: a}, 1)
             elif kind == DOC:
-                rows.append((b, DOC, a, x, c))
-        if posts:
-            key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            count = np.concatenate(counts) if keys else np.empty(0, np.int64)
-            order = np.argsort(key)
-            key, count = key[order], count[order]
-            word, doc = np.concatenate([p[0] for p in posts]), np.concatenate([p[1] for p in posts])
-            c = np.zeros(len(word), np.int64)
-            if len(key):
-                at = np.minimum(np.searchsorted(key, word), len(key) - 1)
-                c = np.where(key[at] == word, count[at], 0)
-            docs, inverse = np.unique(doc, return_inverse=True)
-            sums = np.zeros((len(docs), 4))
-            sums[:, 1] = np.bincount(inverse, c > 0, len(docs))
-            sums[:, 2] = np.bincount(inverse, np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))), len(docs))
-            rows += [(b, SUM, docs[at].tobytes(), sums[at].tobytes(), b"") for b, at in _split(_bucket(docs.view(np.uint64), buckets), buckets)]
-        yield from _emit(rows)
+                yield from _emit([(bucket, DOC, a, b)])
+            else:
+                word, before = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                place, rows = np.frombuffer(d, PLACES), np.frombuffer(e, ROWS)
+                if kind == SECOND:
+                    p0 = (model.counts(word, own_filter) + 0.5) / model.floor
+                    yield from _emit([(to, FIRST, word[p].tobytes(), before[p].tobytes(), p0[p].tobytes(), place[p].tobytes(), e) for to, p in _split(_bucket(before, buckets), buckets)])
+                    continue
+                docs, of = np.unique(place["doc"], return_inverse=True)
+                sums = np.zeros((len(docs), len(SUMS)))
+                if kind == POST:
+                    if sorted_ is None:
+                        sorted_ = np.concatenate(key) if key else np.empty(0, np.uint64), np.concatenate(counts) if counts else np.empty(0, np.int64)
+                    found = np.zeros(len(word), np.int64)
+                    if len(sorted_[0]):
+                        at = np.minimum(np.searchsorted(sorted_[0], word), len(sorted_[0]) - 1)
+                        found = np.where(sorted_[0][at] == word, sorted_[1][at], 0)
+                    sums[:, 2] = np.bincount(of, place["n"] * (found > 0), len(docs))
+                    sums[:, 3] = np.bincount(of, place["n"] * np.log10((found + 0.5) / model.floor), len(docs))
+                else:
+                    heads, head_of = np.unique(before, return_inverse=True)
+                    p = model.probability(heads, pair_keys(before, word), head_of, np.frombuffer(c, np.float64), own_filter)
+                    sums[:, 4] = np.bincount(of, place["n"] * np.log10(p), len(docs))
+                yield from _emit([(bucket, DOC, rows[docs].tobytes(), sums.tobytes())])
 
     return run
 
 
-def _finish(batches):
-    rows, values = [], []
-    for _, _, a, x, _ in _rows(batches):
-        rows.append(np.frombuffer(a, np.int64))
-        values.append(np.frombuffer(x, np.float64).reshape(-1, 4))
-    if rows:
-        u, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-        v = np.concatenate(values)
-        s = [np.bincount(inverse, v[:, i], len(u)) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(s[0].astype(np.int64)), pa.array(s[1].astype(np.int64)), pa.array(s[2]), pa.array(s[3])], names=["row_key", "n_tokens", "n_known", "base_score", "score"])
+def _parts(batches):
+    """Blocks of parts as rows."""
+    for _, _, a, b, *_ in _blocks(batches):
+        rows, sums = np.frombuffer(a, ROWS), np.frombuffer(b, np.float64).reshape(-1, len(SUMS))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["id"]), pa.array(rows["named"] > 0), pa.array(rows["text"]), *(pa.array(sums[:, i]) for i in range(len(SUMS)))], names=["id", "named", "text", *SUMS])
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 2**27, head_words: int = 200_000) -> DataFrame:
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, bits_per_entry: float = 10.0, bucket_bytes: int = 32_000_000, most_bytes: int = 128_000_000) -> DataFrame:
     """Scores of every row of `docs`, learnt from those that are not held out."""
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark, "lm"), shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False)))
-    counted = rows.where("not held_out").select("text").mapInArrow(lean(_count(buckets)), BLOCK_DDL).repartition(buckets, "bucket")
-    counts = scratch.save(counted.mapInArrow(lean(_add_up), BLOCK_DDL), "counts")
-    levels = counts.mapInArrow(lean(_levels), "kind int, level int, n long, t long").groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
-    by = {k: {r["level"]: r["n"] for r in levels if r["kind"] == k} for k in (WORD, PAIR)}
-    total, distinct = sum(r["t"] for r in levels if r["kind"] == WORD), sum(by[WORD].values())
-    top = max([0, *by[WORD], *by[PAIR]]) + 1
-    head_least = next(v for v in range(top + 1) if sum(n for k, n in by[WORD].items() if k >= v) <= head_words)
-    room = bits // 16
-
-    def least(found: dict, upto: int) -> int:
-        return next(v for v in range(top + 1) if sum(n * (k - v + 1) for k, n in found.items() if v <= k < upto) <= room)
-
-    small = {WORD: least(by[WORD], head_least), PAIR: least(by[PAIR], top + 1)}
+    scratch, tasks = Scratch(spark, "lm"), shuffle_partitions(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(tasks, math.ceil(size / bucket_bytes))
+    counted = rows.where(~held_out).select("text").mapInArrow(_count(buckets), BLOCK_DDL)
+    counts = scratch.save(_in_order(counted, tasks).mapInArrow(_add_up(bits_per_entry), BLOCK_DDL), "counts")
+    levels = counts.where(F.col("kind") == WORD).mapInArrow(_levels, "level long, n long, t long").groupBy("level").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    total, distinct, by = sum(r["t"] for r in levels), sum(r["n"] for r in levels), {r["level"]: r["n"] for r in levels}
+    head_least = next(v for v in range(MAX_LEVEL + 2) if sum(n for k, n in by.items() if k >= v) <= head_words)
 
     def frequent(batches):
-        for _, kind, a, b, _ in _rows(batches):
+        for _, _, a, b, *_ in _blocks(batches):
             key, count = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-            at = (level_of(count) >= head_least) & (kind == WORD)
+            at = level_of(count) >= head_least
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(count[at])], names=["word", "n"])
 
-    head = counts.mapInArrow(lean(frequent), "word long, n long").toPandas()  # at most head_words rows
-    order = np.argsort(head["word"].to_numpy(np.int64).view(np.uint64))
-    segments = counts.repartition(buckets, "bucket").mapInArrow(lean(_entries(bits, small, head_least)), BLOCK_DDL).repartition(buckets, "bucket").mapInArrow(lean(_segments(bits)), BLOCK_DDL)
-    parts = {r["bucket"]: bytes(r["a"]) for r in segments.select("bucket", "a").collect()}  # `bits` in all
-    size = min(bits, 2**SEGMENT) // 8
-    filled = b"".join(parts.get(s, bytes(size)) for s in range(max(1, bits >> SEGMENT)))
-    model = Model(bits, filled, head["word"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order], total, distinct, small)
-    shared = spark.sparkContext.broadcast(model)
-    scored = rows.select("row_key", "text").mapInArrow(lean(_score(shared, buckets)), BLOCK_DDL)
-    joined = scored.unionByName(counts.where(F.col("kind") == WORD)).repartition(buckets, "bucket").mapInArrow(lean(_look_up(total, distinct, buckets)), BLOCK_DDL)
-    done = joined.repartition(buckets, "bucket").mapInArrow(lean(_finish), "row_key long, n_tokens long, n_known long, base_score double, score double")
-    out = rows.select("id", "row_key", "held_out").join(done, "row_key")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    head = counts.where(F.col("kind") == WORD).mapInArrow(frequent, "word long, n long").toPandas()  # at most head_words rows
+    key = head["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    segments = counts.where(F.col("kind") == SEGMENT)
+    needed = segments.agg(F.sum(F.length("a"))).first()[0] or 0
+    whole = Filter({r["bucket"]: bytes(r["a"]) for r in segments.select("bucket", "a").collect()}, buckets) if needed <= most_bytes else None
+    shared = spark.sparkContext.broadcast(Model(key[order], head["n"].to_numpy(np.int64)[order].astype(np.float64), total, distinct, whole))
+    postings = rows.mapInArrow(_score(shared, buckets), BLOCK_DDL)
+    found = _in_order(postings.unionByName(counts), tasks).mapInArrow(_look_up(shared, buckets), BLOCK_DDL)
+    if whole is None:
+        found = scratch.save(found, "pairs")
+        at_first = _in_order(found.where(F.col("kind") == FIRST).unionByName(counts), tasks).mapInArrow(_look_up(shared, buckets), BLOCK_DDL)
+        found = found.where(F.col("kind") == DOC).unionByName(at_first)
+    sums = found.mapInArrow(_parts, PART_DDL).groupBy("id", "named", "text").agg(*(F.sum(c).alias(c) for c in SUMS))
+    out = sums.select(F.when(F.col("named"), F.col("id")).alias("id"), "copies", *((F.col(c) / F.col("copies")).alias(c) for c in SUMS[1:]), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(F.col("id").alias(id_col), held_out.alias("held_out"), *(F.round(c).cast("long").alias(c) for c in ("n_tokens", "n_known")), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,46 @@ def test_scores_have_exact_counts(spark):
     assert lm_score.scores(odd(spark).where("false")).count() == 0
 
 
+def brute_scores(rows, head):
+    """(id, score) by the formulas of the module, with dictionaries in place of the filter. head: the words with exact counts."""
+    tokens = [(i, [*(t or "").encode().lower().split(), b"\0end"]) for i, t in rows]
+    words, pairs, after = Counter(), Counter(), {}
+    for i, t in tokens:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            words.update(t)
+            pairs.update(zip([b"\0end", *t[:-1]], t, strict=True))
+    quantised = lambda c: float(lm_score.value_of(lm_score.level_of(np.array([c])))[0]) if c else 0.0
+    for (v, _), c in pairs.items():
+        after[v] = after.get(v, 0.0) + quantised(c) - lm_score.DISCOUNT
+    n, distinct = sum(words.values()), len(words)
+    count = lambda w: float(words[w]) if w in head else quantised(words[w])
+    weight = {v: math.exp(-0.1 * round(-math.log(min(1, max(0.01, 1 - m / words[v]))) / 0.1)) for v, m in after.items()}
+    out = []
+    for i, t in tokens:
+        total = 0.0
+        for v, w in zip([b"\0end", *t[:-1]], t, strict=True):
+            seen, p0 = max(1.0, count(v)), (count(w) + 0.5) / (n + 0.5 * (distinct + 1))
+            found = quantised(pairs[v, w]) - lm_score.DISCOUNT if pairs[v, w] else 0.0
+            total += math.log10(min(1.0, min(found, seen) / seen + weight.get(v, 1.0) * p0))
+        out.append((i, round(total, 5)))
+    return Counter(out), words
+
+
+@pytest.mark.parametrize("most_bytes", [2**30, -1])  # the filter is broadcast, or probes go to its segments
+def test_scores_equal_brute_force(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(lm_score, "CHUNK", 20_000)
+    rnd = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(60)]
+    rows = [*ODD, *((100 + i, " ".join(words[k] for k in np.minimum(59, rnd.geometric(0.08, 40)))) for i in range(60)), (None, "w1 w2 w1"), (100, "w1 w2 w1")]
+    _, counted = brute_scores(rows, set())
+    top = sorted({lm_score.level_of(np.array([c]))[0] for c in counted.values()})
+    head = {w for w, c in counted.items() if lm_score.level_of(np.array([c]))[0] >= top[-6]}
+    want, _ = brute_scores(rows, head)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.scores(df, head_words=len(head), bits_per_entry=4096, bucket_bytes=30_000, most_bytes=most_bytes).collect()
+    assert Counter((r.doc_id, round(r.score, 5)) for r in got) == want
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     rows = [r for r in lm_score.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
