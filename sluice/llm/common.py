@@ -24,12 +24,14 @@ class Scratch:
     """Intermediate tables as Parquet files in the folder that the cluster shares.
 
     A written table cuts the lineage: a lost executor costs the running stage only. The folder is
-    `spark.checkpoint.dir`; only where that is unset (tests on one machine) a temporary one is made.
+    `spark.checkpoint.dir`; only where that is unset and the master is local (tests on one machine) a temporary one is made.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="sluice-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
@@ -57,6 +59,21 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def smallest(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The `rows` rows of smallest hash of `keys`: a bounded sample that is the same on every run.
+
+    Rows that can't be among them are left out where they are, by a bound on the hash from the number of rows, so that what comes together doesn't grow with the table.
+    """
+    total = df.count()
+    of, near = F.xxhash64(*keys), df
+    if total > 4 * rows:
+        bound = int(2.0**64 * 2 * rows / total) - 2**63
+        near = df.where(of < bound)
+        if near.limit(rows).count() < rows:  # very many equal keys
+            near = df
+    return near.orderBy(of, *keys).limit(rows)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the smallest node reachable.
 

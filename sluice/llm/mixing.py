@@ -13,7 +13,10 @@ sorted in one task, and documents are then chosen by comparing their key with th
 
 A token here is a run of characters other than ASCII white space. Null texts have none; null languages and sources are ''.
 Null ids take part with the key of ''. Rows with equal keys (repeated rows) are chosen together or not at all. An empty
-table gives no rows. Other columns pass through `mix` unchanged.
+table gives no rows. Other columns, whatever their names, pass through `mix` unchanged: the row travels as one struct beside the tree's columns.
+
+A source may hold most rows, so the tree's leaves are never joined by a shuffle on the leaf alone: up to `BROADCAST` leaves are broadcast (counted first), more are
+repeated for `CUTS` parts of the rows' ids.
 """
 
 from __future__ import annotations
@@ -28,6 +31,17 @@ DOMAINS = ("web", "reference", "dialogue")
 DOMAIN_WEIGHTS = {"web": 3, "reference": 2, "dialogue": 1}
 LANG_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 LEAF = ["domain", "lang", "source"]
+#: Most leaves that are broadcast; parts of a leaf's rows where they aren't.
+BROADCAST, CUTS = 100_000, 64
+
+
+def _at_leaf(rows: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
+    """Rows (with the columns of LEAF and id) with the columns of their leaf."""
+    if few:
+        return rows.join(F.broadcast(leaves), LEAF)
+    cut = F.pmod(F.xxhash64("id"), F.lit(CUTS)).cast("int")
+    each = leaves.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))
+    return rows.withColumn("cut", cut).join(each, [*LEAF, "cut"]).drop("cut")
 
 
 def _weight(col: str, weights: dict[str, int]) -> Column:
@@ -85,48 +99,51 @@ def _key(seed: str, epoch: Column, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), epoch.cast("string"), F.lit("|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
-def plan(counted: DataFrame, *, percent: int, max_epochs: int, seed: str, id_col: str = "doc_id") -> DataFrame:
-    """Per leaf: quota, whole epochs, and the last key of the prefix of the epoch after them. counted: (id, leaf, n_tokens)."""
-    leaves = counted.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
+def plan(counted: DataFrame, *, percent: int, max_epochs: int, seed: str) -> tuple[DataFrame, bool]:
+    """Per leaf: quota, whole epochs, and the last key of the prefix of the epoch after them; and whether leaves are few. counted: (id, leaf, n_tokens)."""
+    scratch = Scratch(counted.sparkSession, "mixing")
+    leaves = scratch.save(counted.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    few = leaves.count() <= BROADCAST
     leaf = quotas(leaves, percent, max_epochs)
     leaf = leaf.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(0).cast("long"))
     leaf = leaf.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))
-    keyed = counted.join(leaf.select(*LEAF, "epochs", "rest"), LEAF).withColumn("key", _key(seed, F.col("epochs"), id_col))
+    leaf = scratch.save(leaf.select(*LEAF, "quota", "epochs", "rest"), "quotas")
+    keyed = _at_leaf(counted.select("id", *LEAF, "n_tokens"), leaf.select(*LEAF, "epochs", "rest"), few).withColumn("key", _key(seed, F.col("epochs"), "id"))
     keyed = keyed.withColumn("range", F.substring("key", 1, 3)).select(*LEAF, "rest", "range", "key", "n_tokens")
     sums = keyed.groupBy(*LEAF, "rest", "range").agg(F.sum("n_tokens").alias("part"), F.max("key").alias("last"))
     upto = sums.withColumn("upto", F.sum("part").over(Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
     whole = upto.where("upto <= rest").groupBy(*LEAF).agg(F.max("last").alias("cut"))
     ends = upto.where("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("range", (F.col("upto") - F.col("part")).alias("before"))).alias("e")).select(*LEAF, F.col("e.range").alias("range"), F.col("e.before").alias("before"))
-    inner = keyed.join(ends, [*LEAF, "range"]).groupBy(*LEAF, "range", "before", "rest", "key").agg(F.sum("n_tokens").alias("part"))
+    here = keyed.withColumn("id", F.col("key"))
+    inner = _at_leaf(here, ends.withColumnRenamed("range", "end"), few).where(F.col("range") == F.col("end")).groupBy(*LEAF, "range", "before", "rest", "key").agg(F.sum("n_tokens").alias("part"))
     inner = inner.withColumn("upto", F.col("before") + F.sum("part").over(Window.partitionBy(*LEAF).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
     last = inner.where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("cut_in"))
-    return leaf.join(whole, LEAF, "left").join(last, LEAF, "left").select(*LEAF, "quota", "epochs", F.greatest("cut", "cut_in").alias("cut"))
+    done = leaf.join(whole, LEAF, "left").join(last, LEAF, "left").select(*LEAF, "quota", "epochs", F.greatest("cut", "cut_in").alias("cut"))
+    return scratch.save(done.withColumnRenamed("cut", "last"), "plan"), few
 
 
-def choose(rows: DataFrame, leaves: DataFrame, *, seed: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows with leaf columns, once for each epoch that takes them."""
-    x = rows.join(leaves, LEAF).withColumn("in_prefix", F.coalesce(_key(seed, F.col("epochs"), id_col) <= F.col("cut"), F.lit(False)))
+def choose(rows: DataFrame, leaves: DataFrame, few: bool, *, seed: str) -> DataFrame:
+    """Rows (id, columns of LEAF, others), once for each epoch that takes them, with `epoch`."""
+    x = _at_leaf(rows, leaves, few).withColumn("in_prefix", F.coalesce(_key(seed, F.col("epochs"), "id") <= F.col("last"), F.lit(False)))
     takes = F.col("epochs") + F.col("in_prefix").cast("long")
-    return x.where(takes > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), takes - 1))).drop("in_prefix", "quota", "epochs", "cut")
+    return x.where(takes > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), takes - 1))).drop("in_prefix", "quota", "epochs", "last")
 
 
 def mix(docs: DataFrame, *, percent: int = 60, max_epochs: int = 2, seed: str = "mix", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The chosen rows with all columns of `docs` and nothing else, repeated for each epoch that takes them."""
-    leaf_cols = {"__lang": F.col("lang"), "__source": F.col("source")} if "domain" not in docs.columns else None
-    if leaf_cols is None:
-        raise ValueError("rename the column 'domain': it is derived from the source")
     scratch = Scratch(docs.sparkSession, "mixing")
-    counted = scratch.save(_leaves(docs.select(id_col, "lang", "source", n_tokens(text_col).alias("n_tokens"))), "counted")
-    leaves = scratch.save(plan(counted, percent=percent, max_epochs=max_epochs, seed=seed, id_col=id_col), "leaves")
-    return choose(_leaves(docs.withColumns(leaf_cols)), leaves, seed=seed, id_col=id_col).withColumns({"lang": F.col("__lang"), "source": F.col("__source")}).select(docs.columns)
+    counted = scratch.save(_leaves(docs.select(F.col(id_col).alias("id"), "lang", "source", n_tokens(text_col).alias("n_tokens"))), "counted")
+    leaves, few = plan(counted, percent=percent, max_epochs=max_epochs, seed=seed)
+    rows = _leaves(docs.select(F.col(id_col).alias("id"), "lang", "source", F.struct("*").alias("row")))
+    return choose(rows, leaves, few, seed=seed).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`op5_mixing`: all documents; a budget of 60 % of their tokens, at most two epochs of a source."""
     docs = table(spark, sf_dir, "documents")
-    counted = Scratch(spark, "mixing").save(_leaves(docs.select("doc_id", "lang", "source", n_tokens("text").alias("n_tokens"))), "counted")
-    leaves = plan(counted, percent=60, max_epochs=2, seed="mix")
-    return choose(counted, leaves, seed="mix").select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    counted = Scratch(spark, "mixing").save(_leaves(docs.select(F.col("doc_id").alias("id"), "lang", "source", n_tokens("text").alias("n_tokens"))), "counted")
+    leaves, few = plan(counted, percent=60, max_epochs=2, seed="mix")
+    return choose(counted, leaves, few, seed="mix").select(F.col("id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def sql(docs: str = "documents", percent: int = 60, max_epochs: int = 2, seed: str = "mix", columns: str = "doc_id, domain, lang, source, n_tokens, epoch") -> str:

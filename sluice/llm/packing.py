@@ -248,7 +248,7 @@ def _pack_group(capacity: int, nodes: int):
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None, keep_ids: bool = False, group_rows: int = 16_000, nodes: int = 2_000) -> DataFrame:
-    """A row per piece with its place. keep_ids: also the pieces' ids, as little-endian unsigned 32-bit numbers."""
+    """A row per piece with its place; `row` tells the rows of one id apart. keep_ids: also the pieces' ids, as little-endian unsigned 32-bit numbers."""
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
     pieces = scratch.save(rows.mapInArrow(_pieces(capacity, end_id, tokenizer, keep_ids), PIECE_DDL), "pieces")
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     packed = slim.groupBy("grp").applyInPandas(_pack_group(capacity, nodes), "id long, row_key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     if keep_ids:
         packed = packed.join(pieces.select("row_key", "piece", "ids"), ["row_key", "piece"])
-    return packed.drop("row_key").withColumnRenamed("id", id_col)
+    return packed.withColumnsRenamed({"id": id_col, "row_key": "row"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,21 @@ def test_mixing_odd_rows_and_pass_through(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixing_with_clashing_columns_and_many_leaves(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    clash = {n: F.lit(n) for n in ("domain", "epoch", "epochs", "quota", "cut", "tokens", "capacity", "weight", "range", "id", "row", "last", "n_tokens", "in_prefix")}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.withColumns(clash)
+    plain = sorted(r.doc_id for r in mixing.mix(docs.select("doc_id", "text", "lang", "source")).collect())
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == plain and {(r.domain, r.epoch, r.id) for r in rows} == {("domain", "epoch", "id")}
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == plain
+
+
 def test_shortages_go_to_siblings_first(spark):
     rows = [("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("reference", "en", "d", 1000)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
@@ -222,6 +237,52 @@ def test_secrets_are_found_and_masked(spark):
         assert r.text == rows[r.doc_id][1].replace(f'"{secret}"', f'"{secrets.MASK}"') and number in r.text
 
 
+def planted_secrets(rnd, size):
+    """Rows with a secret and a harmless value each, and {(id, value): (is secret, has a name)}; half of the long secrets have no name before them."""
+    import string
+
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    strong, hex_, digits = string.ascii_letters + string.digits, "0123456789abcdef", string.digits
+    secret = (lambda: pick(hex_, 40), lambda: "AKIA" + pick(string.ascii_uppercase + digits, 16), lambda: pick(strong, 32), lambda: pick(strong + "!&%$", 12))
+    harmless = (lambda: pick(digits, 16), lambda: "/static/" + "/".join(rnd.choice(("image", "page", "user", "index")) for _ in range(4)) + "/2024", lambda: "internationalisation-example-file-" + pick(digits, 4))
+    rows, truth = [], {}
+    for i in range(size):
+        s, h = secret[i % 4](), harmless[i % 3]()
+        named = i % 8 < 4 or i % 4 == 3
+        rows.append((i, f"Here is the page {h} and some more of it.\n" + (f'password = "{s}" then text' if named else f'"{s}" then text')))
+        truth[i, s], truth[i, h.strip("/")] = (True, named), (False, False)
+    return rows, truth
+
+
+def test_secrets_precision_and_recall(spark):
+    """Labels from context find what is named; given findings also what is not. Neither takes harmless values."""
+    import random
+
+    rows, truth = planted_secrets(random.Random(8), 600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more, known = planted_secrets(random.Random(9), 400)
+    text = dict(more)
+    given = [(v, text[i][: text[i].index(v)], text[i][text[i].index(v) + len(v) :], int(k[0])) for (i, v), k in known.items()]
+    given = spark.createDataFrame(given, "value string, before string, after string, label int")
+    for labelled, wanted in ((None, lambda k: k == (True, True)), (given, lambda k: k[0])):
+        said = {(r.doc_id, r.value.strip("/")): r.is_secret for r in secrets.scan(docs, labelled).collect()}
+        need = [said.get(k, False) for k, v in truth.items() if wanted(v) and (k in said or labelled is None)]
+        assert sum(need) >= 0.95 * len(need) and len(need) >= 375
+        assert sum(said.get(k, False) for k, v in truth.items() if not v[0]) <= 0.02 * 600
+
+
+def test_secrets_with_ties_repeated_rows_and_null_ids(spark):
+    a, b = "0123456789abcdef0123", "fedcba98765432100123"
+    rows = [(None, f'token = "{a}" {b}', "x"), (1, f'token = "{a}" {b}', "x"), (1, f'token = "{a}" {b}', "x"), (2, f"{a}{'.' * 50_000}{b}", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    found = secrets.scan(docs).collect()
+    assert len(found) == 8 and {(r.doc_id, r.start) for r in found} == {(None, 9), (None, 31), (1, 9), (1, 31), (2, 0), (2, 50_020)}
+    given = spark.createDataFrame([(a, "", "", 1)] * 20 + [(b, "", "", 0)] * 20 + [(None, None, None, None)], "value string, before string, after string, label int")
+    out = secrets.mask(docs, given)
+    assert out.columns == docs.columns and out.count() == 4 and all(r.value == "x" for r in out.collect())
+    assert all(r.score in (0.0, 1.0) for r in secrets.scan(docs, given.where("label = 1")).collect())
+
+
 def test_secrets_on_odd_rows(spark):
     docs = odd(spark)
     assert secrets.scan(docs).count() == 0
