@@ -6,7 +6,7 @@ sources to target weights, best-fit packing. All stages but the last return the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import mixing, ngram_join, packing, quality, secrets
@@ -19,10 +19,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; rows without an id stay."""
-    kept = ngram_join.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The document of smallest id of each group of near duplicates; rows without an id stay.
+
+    Rows of one id are one document: that of smallest text hash stays. Only rows of repeated ids are ordered by text.
+    """
+    groups = ngram_join.components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    groups = Scratch(spark, "pipeline").save(groups, "kept")
+    once = docs.join(groups.where("kept_rows = 1"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    many = docs.join(groups.where("kept_rows > 1"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    first = many.select(F.struct("*").alias("row"), F.row_number().over(order).alias("place")).where("place = 1").select("row.*")
+    return once.unionByName(first).unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens; `row` tells a document from its repetition in another epoch."""
     return packing.pack(docs)
 
 
