@@ -177,6 +177,43 @@ def test_block_rules_without_containers():
     assert html_text.main_text(page) == f"{long_}\n\nAfter"  # ties go to the earlier neighbour: the links before the heading, the text before the last line
 
 
+PROSE = "This is the text of the page and it is one that we would keep for it has all of the words that are in use."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<html><head><meta x><p>{PROSE}", PROSE),  # a head, title, style or script that never closes ends at the next block
+        (f"<title>Never closed<div>{PROSE}</div>", PROSE),
+        (f"<style>p {{}} <p>{PROSE}</p>", PROSE),
+        (f"<body><a name=top><p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE}\n\n{PROSE}"),  # an anchor without a target is no link
+        (f"<body><a href=x><p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE}\n\n{PROSE}"),  # a link ends with its block
+        (f"<article><p class='share-price'>{PROSE}</p><div class='related-work'><p>{PROSE}</p></div></article>", f"{PROSE}\n\n{PROSE}"),
+        (f"<article><h1><a href=x>A linked headline</a></h1><p>{PROSE} See <a href=y>another page on the same matter</a>.</p></article>", f"A linked headline\n\n{PROSE} See another page on the same matter."),
+        (f"<div class='content with-sidebar'><h1>Head</h1><p>{PROSE}</p></div><div class='sidebar'><p>{PROSE}</p></div>", f"Head\n\n{PROSE}"),
+        (f"<div class='post-comments-open'><p>{PROSE}</p></div><div class=comments><p>{PROSE}</p></div>", PROSE),
+        (f"<article><p>{PROSE} <button>Go</button> a < b</p></article>", f"{PROSE} Go a < b"),
+        (f"<aside><p>{PROSE}</p></aside><main><p>{PROSE}</p><form><p>{PROSE}</p></form></main>", PROSE),
+        (f"<div class=ad><p>{PROSE}</p></div><div><p>Short.</p><p>{PROSE}</p></div>", f"Short.\n\n{PROSE}"),
+    ],
+)
+def test_containers_links_and_unclosed_elements(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p title='", "<div></section>", "<div>", "<!--", "<script>x", "<noscript>x<p>", "<nav><article>t", "<p a=\"b' c>", "<", "</", "&lt", "<h1><div class=nav>x"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    took = []
+    for size in (125_000, 500_000):
+        page = piece * (size // len(piece))
+        began = time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < max(0.3, 7 * took[0]) and took[1] < 5
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (4, "u", "<p>a</p>" * 20000), (5, "u", "<<<>>><p class='x>'>ok</p"), (None, "u", "<p>x"), (6, "u", "<script>never closed"), (7, "u", "<nav>a<article><p>b")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "text")).collect()}
