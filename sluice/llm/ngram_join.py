@@ -14,13 +14,13 @@ link at 100 * |intersection| >= 75 * |union|, that is within the radius r = 0.25
    and to the two rings of set sizes that its window (the empty set as pivot) meets. Unshared shingles
    come first in the order, so nearly all documents reach no region at all.
 3. *Regions.* Regions with the same members are joined once. A region of a few documents is joined pair
-   by pair. A larger one gets several documents as pivots (those of smallest hashes) and all members' distances
+   by pair. A larger one gets several documents as pivots (the first ones in fixed orders) and all members' distances
    to them are computed exactly. Members within r of a pivot are linked, and are one component without
    further comparison. By the triangle inequality a member farther than 2r links with none of those, so only
    the boundary (r to 2r) is replicated to the pivot's ball once more, unless it has reached the pivot's component by
    then: there documents are joined on what they add to the pivot and what they lack of it, rarest first. All other
    members belong to the Voronoi region of their nearest pivot, with windows that replicate those near a border (see `_regions_of`), and
-   these regions, cut into rings of distance, are joined recursively down to small ones. A region of which nine tenths
+   these regions, cut into rings of distance, are joined recursively down to small ones. A region of which more than two thirds
    come out as one region again is joined on its members' shingles that are rarest within it.
 4. *Components* of all links by alternating star rounds. Only pairs that pivots haven't put into one component are compared.
 
@@ -48,7 +48,7 @@ FREQUENT = 256
 #: Rank of shingles that are frequent in any batch: after all others.
 LAST = 65535
 #: Regions of at most this many documents are joined pair by pair; pivots of a larger one; copies of a set per task.
-LEAF, PIVOTS, SPLIT = 4, 4, 2000
+LEAF, PIVOTS, SPLIT = 12, 2, 2000
 #: Words whose hashes a task remembers.
 WORDS = 250_000
 #: Bytes of text that a task holds as numbers at once.
@@ -372,12 +372,13 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     scratch.drop(post)
     core = scratch.save(reps.join(live.select("id").distinct(), "id", "left_semi"), "core")
     scratch.drop(reps)
-    links, near, pairs, level = [], [], [], 0
+    links, near, pairs = [], [], []
     while True:
-        first = [F.min(F.struct(F.xxhash64("id", F.lit(level), F.lit(j)), "id"))["id"] for j in range(PIVOTS)]
+        # The same orders in all regions: regions of one group of near copies then mostly share their pivots.
+        first = [F.min("id"), *(F.min(F.struct(F.xxhash64("id", F.lit(j)), "id"))["id"] for j in range(1, PIVOTS))]
         sizes = live.groupBy("region").agg(F.count("*").alias("size"), F.max("n").alias("most"), F.max("was").alias("was"), F.every("close").alias("done"), F.array_distinct(F.array(*first)).alias("pivots"))
         # Members that are all close to one pivot are joined around it; a region that is hardly smaller than the one before isn't split again.
-        stuck = F.coalesce(F.col("size") * 10 > F.col("was") * 9, F.lit(False))
+        stuck = F.coalesce(F.col("size") * 3 > F.col("was") * 2, F.lit(False))
         way = F.when(F.col("size") <= LEAF, "pairs").when(stuck, "prefix").otherwise("pivots")
         sizes = scratch.save(sizes.where("size > 1 and not done").select("region", "size", "most", "pivots", way.alias("way")), "sizes")
         ways = {r[0] for r in sizes.select("way").distinct().collect()}
@@ -395,7 +396,6 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         near.append(seen.where("close").select("a", "b", "linked", "common"))
         live = scratch.save(_regions_of(step("pivots"), seen.select("a", "b", "delta", "linked", "close"), percent), "live")
         scratch.release()
-        level += 1
     by_pivots = links[0] if links else spark.createDataFrame([], "a long, b long")
     for x in links[1:]:
         by_pivots = by_pivots.union(x)
