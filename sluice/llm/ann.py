@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Largest inner product becomes smallest Euclidean distance: vectors are scaled by the largest norm and get one component that fills them up to length 1,
-queries are scaled to length 1. Each of `tables` hash tables projects on `functions` Gaussian directions, cut into slots of equal width.
+Rows are put into bands of norms, each half as large as the one before (the last takes all that are smaller), so that a few very long vectors don't flatten the others.
+Within a band, largest inner product becomes smallest Euclidean distance: vectors are scaled by the band's largest norm and get one component that fills them up to length 1,
+queries are scaled to length 1. Each of `tables` hash tables of a band projects on `functions` Gaussian directions, cut into slots of equal width; a band of few rows is one bucket.
+A query visits buckets of every band.
 
 A query visits the buckets of a table in the order of their estimated success: the probability that a neighbour at the cosine that the
 neighbours of a bounded sample have (`sample_rows`) falls into the bucket, given the query's projections. It goes on until the
@@ -23,21 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, shuffle_partitions, table
+from sluice.llm.common import Scratch, shuffle_partitions, smallest, table
 from sluice.llm.vectors import doubles, matrix
 
 
 #: A success share that visits all buckets.
 EVERY = 2.0
+#: Bands of norms; sampled rows under which a band is one bucket.
+BANDS, FEW = 16, 50
 
 
 class Hashes:
-    """Projections, slots and, once counted, the buckets of all tables."""
+    """Projections and slots of one band, and, once counted, its buckets' rows."""
 
-    def __init__(self, sample: np.ndarray, scale: float, rows: int, k: int, tables: int, functions: int, block_rows: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, scale: float, rows: int, k: int, tables: int, functions: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.scale, self.tables, self.functions, self.block_rows = scale, tables, functions, block_rows
-        self.slots = max(1, min(8, math.ceil((rows / 400) ** (1 / functions))))
+        self.scale, self.tables, self.functions = scale, tables, functions
+        self.slots = max(1, min(8, math.ceil((rows / 400) ** (1 / functions)))) if len(sample) >= FEW else 1
+        self.counts: dict[int, int] = {}
+        if self.slots == 1:
+            return
         width = sample.shape[1] + 1
         self.directions = rng.normal(size=(width, tables * functions))
         p = self.project(self.lift(sample))
@@ -52,7 +59,11 @@ class Hashes:
         sims[np.arange(len(some)), np.arange(len(some))] = -2
         rank = min(sims.shape[1], max(1, round(k * len(sample) / max(rows, 1))))
         self.cosine = float(np.clip(np.median(np.sort(sims, 1)[:, -rank]) if sims.size > 1 else 0.5, 0.05, 0.99))
-        self.counts: dict[int, int] = {}
+
+    @property
+    def size(self) -> int:
+        """Number of buckets."""
+        return self.tables * self.slots**self.functions
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         x = x / self.scale
@@ -63,12 +74,16 @@ class Hashes:
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """Bucket number of each row in each table."""
+        if self.slots == 1:
+            return np.zeros((len(x), self.tables), np.int64)
         slot = np.clip(np.floor((self.project(self.lift(x)) - self.first) / self.width), 0, self.slots - 1).astype(np.int64)
         slot = slot.reshape(len(x), self.tables, self.functions)
         return (slot * self.slots ** np.arange(self.functions)).sum(2) + np.arange(self.tables) * self.slots**self.functions
 
     def probes(self, q: np.ndarray, success: float, enough: int) -> list[np.ndarray]:
         """Buckets that each unit query visits, in estimated success order in each table."""
+        if self.slots == 1:
+            return [np.zeros(1 if self.counts else 0, np.int64) for _ in q]
         f = self.project(np.hstack([q, np.zeros((len(q), 1))]))
         # A unit residual in a random direction has a share of 1 / width of a direction's squared length.
         spread = math.sqrt((1 - self.cosine**2) / len(self.directions)) * np.linalg.norm(self.directions, axis=0)
@@ -96,6 +111,40 @@ class Hashes:
                 out[i].append(b[rows[b] > 0] + t * size)
         return [np.concatenate(o) for o in out]
 
+
+class Bands:
+    """The bands of norms with their hashes; bucket numbers run through all bands."""
+
+    def __init__(self, sample: np.ndarray, largest: float, found: dict[int, tuple[int, float]], k: int, tables: int, functions: int, block_rows: int):
+        """found: rows and largest norm of each band."""
+        self.largest, self.tables, self.block_rows = largest, tables, block_rows
+        at = self.band(sample)
+        self.hashes = {b: Hashes(sample[at == b], norm, rows, k, tables, functions) for b, (rows, norm) in sorted(found.items())}
+        sizes = np.array([self.hashes[b].size if b in self.hashes else 0 for b in range(BANDS)])
+        self.start = np.cumsum(sizes) - sizes
+        self.counts: dict[int, int] = {}
+
+    def band(self, x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt(np.einsum("ij,ij->i", x / self.largest, x / self.largest))
+        return np.clip(np.floor(-np.log2(np.maximum(norm, 1e-300))), 0, BANDS - 1).astype(np.int64)
+
+    def count(self, counts: dict[int, int]) -> None:
+        self.counts = counts
+        for b, h in self.hashes.items():
+            h.counts = {i: counts[i + self.start[b]] for i in range(h.size) if i + self.start[b] in counts}
+
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """Bucket number of each row in each table of its band."""
+        at, out = self.band(x), np.zeros((len(x), self.tables), np.int64)
+        for b in np.unique(at):
+            out[at == b] = self.hashes[int(b)].buckets(x[at == b]) + self.start[b]
+        return out
+
+    def probes(self, q: np.ndarray, success: float, enough: int) -> list[np.ndarray]:
+        """Buckets of all bands that each unit query visits."""
+        each = [[v + self.start[b] for v in h.probes(q, success, enough)] for b, h in self.hashes.items()]
+        return [np.concatenate(v) for v in zip(*each, strict=True)]
+
     def blocks(self, bucket: int) -> int:
         return max(1, -(-self.counts.get(int(bucket), 0) // self.block_rows))
 
@@ -209,6 +258,19 @@ def _best(k: int):
     return run
 
 
+def _norms(bands: Bands):
+    """Rows and largest norm of each band."""
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column("vec"))
+            norm, at = np.linalg.norm(x, axis=1), bands.band(x)
+            b = np.unique(at)
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array([int((at == i).sum()) for i in b], pa.int64()), pa.array([float(norm[at == i].max()) for i in b], pa.float64())], names=["band", "n", "norm"])
+
+    return run
+
+
 def _count(shared):
     def run(batches):
         for batch in batches:
@@ -244,9 +306,9 @@ def _nearest(shared, k: int):
     return run
 
 
-def _audited(rows: DataFrame, hashes: Hashes, divisor: int, k: int, success: float, audit: int, target: float) -> tuple[float, float]:
+def _audited(rows: DataFrame, hashes: Bands, divisor: int, k: int, success: float, audit: int, target: float) -> tuple[float, float]:
     """The least success from `success` on at which the audited queries find `target` of their true neighbours, and what they find."""
-    asked = rows.where(F.col("vec_id") % divisor == 0).orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(audit).toPandas().drop_duplicates("vec_id")
+    asked = smallest(rows.where(F.col("vec_id") % divisor == 0), audit, "vec_id").toPandas().drop_duplicates("vec_id")
     if asked.empty:
         return success, 1.0
     q, qids = matrix(asked["vec"].tolist()), asked["vec_id"].to_numpy()
@@ -274,12 +336,14 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == widths[0]["w"])
     n = widths[0]["count"]
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
-    scale = rows.agg(F.max(norm)).first()[0]
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()
-    hashes = Hashes(matrix(sample["vec"].tolist()), scale, n, k, tables, functions, block_rows)
+    largest_part = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
+    largest = largest_part * math.sqrt(widths[0]["w"])  # no norm is larger
+    norms = rows.mapInArrow(_norms(Bands(np.empty((0, 1)), largest, {}, k, tables, functions, block_rows)), "band int, n long, norm double")
+    found = {r["band"]: (r["n"], r["norm"]) for r in norms.groupBy("band").agg(F.sum("n").alias("n"), F.max("norm").alias("norm")).collect()}
+    sample = smallest(rows, sample_rows, "vec_id").select("vec").toPandas()
+    hashes = Bands(matrix(sample["vec"].tolist()), largest, found, k, tables, functions, block_rows)
     counts = rows.mapInArrow(_count(spark.sparkContext.broadcast(hashes)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    hashes.counts = {r["bucket"]: r["n"] for r in counts}  # at most tables * slots ** functions
+    hashes.count({r["bucket"]: r["n"] for r in counts})  # at most bands * tables * slots ** functions
     success, _ = _audited(rows, hashes, divisor, k, success, audit, target)
     shared = spark.sparkContext.broadcast(hashes)
     dealt = rows.mapInArrow(_deal(shared, parts, divisor, success, 10 * k), ROW_DDL).repartition(parts, "part")

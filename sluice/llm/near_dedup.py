@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, connected_components, shuffle_partitions, table
+from sluice.llm.common import Scratch, connected_components, shuffle_partitions, smallest, table
 from sluice.llm.vectors import doubles, matrix, usable
 
 
@@ -212,7 +212,7 @@ def _audit(shared, threshold: float):
 
 def _true_links(points: DataFrame, threshold: float, audit: int, audit_links: int) -> dict[int, int]:
     """Linked points of each audited point, by brute force; audited points are added in blocks until they have enough links."""
-    asked = points.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(32 * audit).select("vec_id", "vec").toPandas()
+    asked = smallest(points, 32 * audit, "vec_id").select("vec_id", "vec").toPandas()
     truth: dict[int, int] = {}
     while len(truth) < len(asked) and sum(truth.values()) < audit_links:
         block = asked[len(truth) : max(audit, 4 * len(truth))]
@@ -226,7 +226,7 @@ def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degre
     """(vec_id, links, component, recall) of distinct unit vectors (vec_id, copies, vec) of one length."""
     spark, parts = points.sparkSession, shuffle_partitions(points.sparkSession)
     n = points.count()
-    sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()
+    sample = smallest(points, sample_rows, "vec_id").select("vec").toPandas()
     c = centroids(matrix(sample["vec"].tolist()), min(1024, max(1, round(n / (shard_rows / 2)))))
     shared = spark.sparkContext.broadcast(c)  # at most 1024 centroids
     reach = min(len(c), 4 * probes)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, table
+from sluice.llm.common import Scratch, smallest, table
 
 FEATURES = (
     "log_bytes", "upper", "digits", "spaces", "newlines", "periods", "commas", "marks", "symbols", "bars", "high_bytes",
@@ -130,7 +130,9 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, sample_rows: int) -
     """Trees fitted on at most `sample_rows` labelled rows of (id, x)."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     known = known.where(~held_out("id")).groupBy("id").agg(F.round(F.avg("y")).alias("y"))
-    sample = stats.dropDuplicates(["id"]).join(known, "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("x", "y").toPandas()
+    # Several texts of an id count as the one of smallest statistics.
+    one = stats.join(known, "id").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    sample = smallest(one, sample_rows, "id").select("x", "y").toPandas()
     x = np.array(sample["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return BoostedTrees().fit(x, sample["y"].to_numpy(np.float64))
 

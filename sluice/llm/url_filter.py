@@ -3,12 +3,13 @@
 Rules come first: a rule (host and path) fits its host and all subdomains if the path starts with the rule's path;
 the longest wins. Every other url is judged by its template:
 
-1. Path segments have their digit runs put as `#`; the first four levels form a tree per host, deeper ones are `**`.
-   A segment that holds under 1/20 of its parent's urls, or fewer than 5, is generalised to `*`.
-2. Branches whose share of good labels is not significantly different (one-sample z-test, 90 %) from their first-level
-   branch are merged into it, and first-level branches likewise into their host.
-3. Purity is the smoothed share of good labels, template towards branch, branch towards host, host towards all
-   (`strength` pseudo-labels each). A template of purity under `least_purity` is blocked.
+1. Path segments have their digit runs put as `#` and form a tree per host, level by level; what follows the first `levels` - 1 segments is one last segment.
+   A segment stays named if it has at least `least` urls and, where it has over `many` siblings (ids, titles), stands out among them: by `times` their mean number of urls,
+   by `known` labels or by `sure` urls, whatever its share of the parent. All others are the parent's `*`, and what lies below them is one tree.
+2. Siblings are merged: branches whose share of good labels is not significantly different (one-sample z-test, 90 %) from their parent's are judged as the parent is, and
+   the others are pooled by fifths of that share.
+3. Purity is the smoothed share of good labels, down from all labels to host, branch and each further level (`strength` pseudo-labels of the purity above). A template
+   of purity under `least_purity` is blocked.
 
 All counting is on urls pre-aggregated by host and segments, so a hot host is many partial counts, not one group.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import Scratch, table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-LEVELS = 4
+LEVELS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,47 +50,48 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, id_col: str = "page_id", url_col: str = "url", least_purity: float = 0.5, strength: float = 10.0, least: int = 5, share: int = 20) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, id_col: str = "page_id", url_col: str = "url", least_purity: float = 0.5, strength: float = 10.0, least: int = 5, many: int = 50, times: int = 4, known: int = 10, sure: int = 1000, levels: int = LEVELS) -> DataFrame:
     """Host, path, rule, verdict, template and purity of every page. labels: (host, path, good 0/1) per labelled url."""
     host, path = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    keys = ["host", *(f"s{i}" for i in range(1, LEVELS + 1)), "tail"]
 
     def cut(df: DataFrame) -> DataFrame:
         parts = F.split(F.regexp_replace("path", "[0-9]+", "#"), "/")
-        return df.withColumns({f"s{i}": F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(1, LEVELS + 1)} | {"tail": F.when(F.size(parts) > LEVELS + 1, "**").otherwise("")})
+        segs = F.slice(parts, F.lit(2), F.size(parts))
+        whole = F.concat(F.slice(segs, 1, levels - 1), F.array(F.array_join(F.slice(segs, F.lit(levels), F.size(segs)), "/")))
+        return df.withColumn("segs", F.when(F.size(segs) >= levels, whole).otherwise(segs))
 
-    known = cut(labels).groupBy(keys).agg(F.count("*").alias("labelled"), F.sum("good").alias("good"))
-    tree = cut(rows.select("host", "path")).groupBy(keys).agg(F.count("*").alias("n")).join(known, keys, "left").na.fill(0, ["labelled", "good"])
+    labelled = cut(labels).groupBy("host", "segs").agg(F.count("*").alias("l"), F.sum("good").alias("g"))
+    tree = cut(rows.select("host", "path")).groupBy("host", "segs").agg(F.count("*").alias("n")).join(labelled, ["host", "segs"], "left").na.fill(0, ["l", "g"])
     scratch = Scratch(pages.sparkSession, "url-filter")
-    tree, done = scratch.save(tree, "tree"), ["host"]
-    for i in range(1, LEVELS + 1):  # generalise level by level below the generalised parent
-        parent = tree.groupBy(done).agg(F.sum("n").alias("of"))
-        here = tree.groupBy(*done, f"s{i}").agg(F.sum("n").alias("c")).join(parent, done)
-        wide = (F.col(f"s{i}") != "") & ((F.col("c") < least) | (F.col("c") * share < F.col("of")))
-        tree = tree.join(here.select(*done, f"s{i}", F.when(wide, "*").otherwise(F.col(f"s{i}")).alias(f"g{i}")), [*done, f"s{i}"])
-        tree = scratch.save(tree, "tree")  # counts per host and segments; read several times from here on
-        done.append(f"g{i}")
-    template, branch = [*done, "tail"], ["host", "g1"]
-    sums = lambda by, tag: tree.groupBy(*by).agg(F.sum("labelled").alias(f"n_{tag}"), F.sum("good").alias(f"good_{tag}"))
-    whole = tree.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("good"), F.lit(0)).alias("good_all"))
-    t = sums(template, "t").join(sums(branch, "b"), branch).join(sums(["host"], "h"), "host").crossJoin(F.broadcast(whole))  # whole is one row
-
-    def differs(part: str, whole: str) -> Column:
-        p0 = F.col(f"good_{whole}") / F.col(f"n_{whole}")
-        gap = F.col(f"good_{part}") / F.col(f"n_{part}") - p0
-        return F.when((F.col(f"n_{part}") > 0) & (F.col(f"n_{whole}") > 0), gap * gap * F.col(f"n_{part}") > F.lit(2.706) * p0 * (1.0 - p0)).otherwise(False)
-
-    def smooth(part: str, towards: Column) -> Column:
-        return (F.col(f"good_{part}") + F.lit(float(strength)) * towards) / (F.col(f"n_{part}") + F.lit(float(strength)))
-
-    t = t.withColumn("p_h", smooth("h", (F.col("good_all") + 1.0) / (F.col("n_all") + 1.0)))
-    t = t.withColumn("p_b", F.when(differs("b", "h"), smooth("b", F.col("p_h"))).otherwise(F.col("p_h")))
-    t = t.withColumn("purity", F.when(differs("t", "b"), smooth("t", F.col("p_b"))).otherwise(F.col("p_b")))
-    name = F.concat_ws("/", F.lit(""), *(F.nullif(F.col(c), F.lit("")) for c in (*done[1:], "tail")))
-    named = scratch.save(tree.join(t.select(*template, "purity"), template).select(*keys, name.alias("template"), "purity"), "named")
+    tree = scratch.save(tree, "tree")  # counts per host and path; read several times from here on
+    whole = tree.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("l_all"), F.coalesce(F.sum("g"), F.lit(0)).alias("g_all"), F.coalesce(F.max(F.size("segs")), F.lit(0)).alias("deep"))
+    l_all, g_all, deep = whole.first()
+    weight = F.lit(float(strength))
+    hosts = tree.groupBy("host").agg(F.sum("l").alias("l_h"), F.sum("g").alias("g_h"))
+    hosts = hosts.select("host", ((F.col("g_h") + weight * F.lit((g_all + 1.0) / (l_all + 1.0))) / (F.col("l_h") + weight)).alias("purity"))
+    tree = tree.join(hosts, "host").withColumn("template", F.lit(""))
+    node = ["host", "template"]
+    for i in range(deep):
+        here = tree.withColumn("seg", F.get("segs", F.lit(i)))
+        child = here.where("seg is not null").groupBy(*node, "seg").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("g").alias("g"), F.first("purity").alias("above"))
+        parent = child.groupBy(*node).agg(F.count("*").alias("d"), F.sum("n").alias("of"), F.sum("l").alias("l_p"), F.sum("g").alias("g_p"))
+        apart = (F.col("d") <= many) | (F.col("n") * F.col("d") >= times * F.col("of")) | (F.col("l") >= known) | (F.col("n") >= sure)
+        child = scratch.save(child.join(parent, node).withColumn("name", F.when((F.col("n") >= least) & apart | (F.col("seg") == ""), F.col("seg")).otherwise("*")), "children")
+        branch = child.groupBy(*node, "name").agg(F.sum("l").alias("l"), F.sum("g").alias("g"), *(F.first(c).alias(c) for c in ("above", "l_p", "g_p")))
+        p0 = F.col("g_p") / F.col("l_p")
+        gap = F.col("g") / F.col("l") - p0
+        differs = F.when((F.col("l") > 0) & (F.col("l_p") > 0), gap * gap * F.col("l") > F.lit(2.706) * p0 * (1.0 - p0)).otherwise(False)
+        branch = branch.withColumn("pool", F.when(differs, F.floor(F.col("g") * 5 / F.col("l"))).otherwise(-1))
+        pools = branch.groupBy(*node, "pool").agg(F.sum("l").alias("l_s"), F.sum("g").alias("g_s"), F.first("above").alias("above"))
+        pools = pools.withColumn("here", F.when(F.col("pool") < 0, F.col("above")).otherwise((F.col("g_s") + weight * F.col("above")) / (F.col("l_s") + weight)))
+        named = branch.select(*node, "name", "pool").join(pools.select(*node, "pool", "here"), [*node, "pool"])
+        named = child.select(*node, "seg", "name").join(named.drop("pool"), [*node, "name"])
+        ended = here.where("seg is null").select("host", "segs", "n", "l", "g", "purity", "template")
+        more = here.drop("purity").join(named, [*node, "seg"]).select("host", "segs", "n", "l", "g", F.col("here").alias("purity"), F.concat("template", F.lit("/"), "name").alias("template"))
+        tree = scratch.save(ended.unionByName(more), "tree")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = cut(rows).join(named, keys).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "template", "purity")
+    out = cut(rows).join(tree.select("host", "segs", "template", "purity"), ["host", "segs"]).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "template", "purity")
     by_template = F.when(F.col("purity") < least_purity, "block").otherwise("allow")
     return out.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template")
 
@@ -117,26 +119,25 @@ def sql(rules=RULES) -> str:
         cases.append(f"when {fits} then '{text}'")
         verdicts.append(f"when {fits} then '{what}'")
     rule, verdict = f"case {' '.join(cases)} end", f"case {' '.join(verdicts)} end"
-    differs = lambda p, w: f"(n_{p} > 0 and n_{w} > 0 and ((good_{p}::double / n_{p} - good_{w}::double / n_{w}) * (good_{p}::double / n_{p} - good_{w}::double / n_{w}) * n_{p} > 2.706::double * (good_{w}::double / n_{w}) * (1.0::double - good_{w}::double / n_{w})))"
-    level = lambda i, done: f"""
-, l{i} as (select *, case when s{i} <> '' and (sum(n) over (partition by {done}, s{i}) < 5 or sum(n) over (partition by {done}, s{i}) * 20 < sum(n) over (partition by {done})) then '*' else s{i} end as g{i} from {f'l{i - 1}' if i > 1 else 'tree'})"""
+    level = lambda i: f"""
+a{i} as (select *, segs[{i}] as seg, sum(n) over w1 as c, sum(l) over w1 as cl, sum(n) over w2 as pn, sum(l) over w2 as pl, sum(g) over w2 as pg, count(distinct segs[{i}]) over w2 as d from t{i - 1}
+  window w1 as (partition by host, template, segs[{i}]), w2 as (partition by host, template, segs[{i}] is null)),
+b{i} as (select *, case when c >= 5 and (d <= 50 or c * d >= 4 * pn or cl >= 10 or c >= 1000) or seg = '' then seg else '*' end as name from a{i}),
+c{i} as (select *, sum(l) over w as bl, sum(g) over w as bg from b{i} window w as (partition by host, template, seg is null, name)),
+d{i} as (select *, case when bl > 0 and pl > 0 and (bg::double / bl - pg::double / pl) * (bg::double / bl - pg::double / pl) * bl > 2.706::double * (pg::double / pl) * (1.0::double - pg::double / pl) then cast(floor(bg * 5 / bl::double) as int) else -1 end as pool from c{i}),
+t{i} as (select host, segs, n, l, g, case when seg is null then template else template || '/' || name end as template,
+  case when seg is null or pool < 0 then purity else (sum(g) over w + 10.0::double * purity) / (sum(l) over w + 10.0::double) end as purity from d{i} window w as (partition by host, template, seg is null, pool))"""
     return f"""
 with rest as (select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as r from pages),
 raw as (select page_id, regexp_extract(r, '^[^/?#]*') as h, r from rest),
 cutting as (select page_id, translate(h, '{UPPER}', '{LOWER}') as host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') as path from raw),
-p as (select *, str_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') as parts from cutting),
-q as (select page_id, host, path, coalesce(parts[2], '') s1, coalesce(parts[3], '') s2, coalesce(parts[4], '') s3, coalesce(parts[5], '') s4,
-  case when len(parts) > 5 then '**' else '' end as tail, try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') as bigint) as doc_id from p),
+p as (select *, str_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/')[2:] as parts from cutting),
+q as (select page_id, host, path, case when len(parts) >= {LEVELS} then list_append(parts[1:{LEVELS - 1}], array_to_string(parts[{LEVELS}:], '/')) else parts end as segs,
+  try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') as bigint) as doc_id from p),
 lab as (select doc_id, min(quality) good from labels where doc_id is not null and quality is not null group by doc_id),
-tree as (select host, s1, s2, s3, s4, tail, count(*) n, count(good) labelled, coalesce(sum(good), 0) good from q left join lab using (doc_id) group by all)
-{level(1, 'host')}{level(2, 'host, g1')}{level(3, 'host, g1, g2')}{level(4, 'host, g1, g2, g3')},
-t as (select *, sum(labelled) over (partition by host, g1, g2, g3, g4, tail) n_t, sum(good) over (partition by host, g1, g2, g3, g4, tail) good_t,
-  sum(labelled) over (partition by host, g1) n_b, sum(good) over (partition by host, g1) good_b, sum(labelled) over (partition by host) n_h, sum(good) over (partition by host) good_h,
-  sum(labelled) over () n_all, sum(good) over () good_all from l4),
-ph as (select *, (good_h + 10.0::double * ((good_all + 1.0::double) / (n_all + 1.0::double))) / (n_h + 10.0::double) p_h from t),
-pb as (select *, case when {differs('b', 'h')} then (good_b + 10.0::double * p_h) / (n_b + 10.0::double) else p_h end p_b from ph),
-pt as (select *, case when {differs('t', 'b')} then (good_t + 10.0::double * p_b) / (n_t + 10.0::double) else p_b end purity from pb)
-select page_id, host, path, {rule} as rule, coalesce({verdict}, case when purity < 0.5 then 'block' else 'allow' end) as verdict,
-  concat_ws('/', '', nullif(g1, ''), nullif(g2, ''), nullif(g3, ''), nullif(g4, ''), nullif(tail, '')) as template
-from q join pt using (host, s1, s2, s3, s4, tail)
+tree as (select host, segs, count(*) n, count(good) l, coalesce(sum(good), 0) g from q left join lab using (doc_id) group by all),
+t0 as (select *, '' as template, (sum(g) over h + 10.0::double * ((sum(g) over () + 1.0::double) / (sum(l) over () + 1.0::double))) / (sum(l) over h + 10.0::double) as purity from tree window h as (partition by host)),
+{','.join(level(i) for i in range(1, LEVELS + 1))}
+select page_id, q.host, path, {rule.replace('host', 'q.host')} as rule, coalesce({verdict.replace('host', 'q.host')}, case when purity < 0.5 then 'block' else 'allow' end) as verdict, template
+from q join t{LEVELS} t on q.host = t.host and q.segs = t.segs
 """

@@ -107,6 +107,19 @@ def test_neighbours_of_few_rows(spark):
     assert ann.search(frame(spark, [])).count() == 0
 
 
+def test_recall_beside_very_long_and_very_short_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 16)) + 2 * rng.normal(size=(10, 16))[rng.integers(0, 10, 4000)]
+    x[1] *= 1000.0
+    x[3000:3300] *= 1e-3
+    x = x.astype(np.float32).astype(float)
+    got = {}
+    for r in ann.search(frame(spark, list(enumerate(x)))).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_neighbours(x, list(range(4000)), 20, 20)
+    assert sum(len(got[q] & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
+
+
 def test_recall_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
@@ -160,6 +173,21 @@ def test_templates_of_bad_purity_are_blocked(spark):
     assert url_filter.judge(pages.where("false"), labelled).count() == 0
 
 
+def test_small_sections_of_a_large_host_and_deep_paths(spark):
+    """A bad section of 4 % of its host keeps its own verdict, ids become wildcards, deep templates stay apart; repeated pages and labels are taken as they come."""
+    urls = [f"http://big.org/page-{i}-x/view" for i in range(2000)] + [f"http://big.org/casino/offer{i}/now" for i in range(90)]
+    urls += [f"http://deep.org/a/b/c/d/e/{'good' if i % 2 else 'bad'}/{i}" for i in range(60)] + ["http://deep.org" + "/x" * 3000]
+    pages = spark.createDataFrame([(i, u, "t", "h") for i, u in enumerate(urls + urls[:5])], "page_id long, url string, template string, host string")
+    known = [(u.split("/")[2], "/" + "/".join(u.split("/")[3:]), int("casino" not in u and "bad" not in u)) for u in urls[::3]]
+    labels = spark.createDataFrame(known + known[:20], "host string, path string, good long")
+    rows = url_filter.judge(pages, labels).collect()
+    assert len(rows) == len(urls) + 5
+    for r in rows:
+        assert r.verdict == ("block" if "casino" in r.path or "/bad" in r.path else "allow"), (r.path[:50], r.template)
+    names = {r.template for r in rows if r.host == "big.org"}
+    assert names == {"/page-#-x/view", "/casino/offer#/now"}
+
+
 # Pages.
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body><header><h2>Site name</h2></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies on this site for all of you, and it is the best that we can do to be here.</div>
