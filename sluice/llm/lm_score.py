@@ -4,9 +4,9 @@
    and added up there. There is a bucket for every `bucket_bytes` of text, a task takes one bucket at a time, and so a task's memory doesn't
    grow with the corpus.
 2. *Filter.* A count c is quantised to the level floor(log_b c), and for each level from 0 to its own one entry (n-gram, level) is set in a Bloom filter: a reader
-   probes level after level until a miss. Every word and every pair that occurs is kept. Each bucket has a segment of at least `bits_per_entry` bits
-   per entry, so the filter grows with the corpus and its error rate doesn't: with the default of 10 bits and 4 hashes, a probe of what was not set
-   hits in at most 1.2 % of all cases.
+   probes level after level until a miss. Every word and every pair that occurs is kept. Each bucket has a segment of `bits_per_entry` bits
+   per entry, so the filter grows with the corpus and its error rate doesn't: with the default of 8 bits and 4 hashes, a probe of what was not set
+   hits in 2.4 % of all cases.
 3. *Scores.* While all segments together have at most `most_bytes`, the filter is broadcast. Beyond that, probes are dealt to the buckets
    instead: documents' pairs go to the second word's bucket, where they get its probability (if it isn't one of the frequent ones), and then to
    the first word's. Both ways probe the same segments and give the same scores.
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch, by_size, shuffle_partitions, table
 
-BASE, DISCOUNT, HASHES, MAX_LEVEL = 1.3, 0.6, 4, 160
+BASE, DISCOUNT, STEP, HASHES, MAX_LEVEL = 1.5, 0.6, 0.25, 4, 110
 WORDS = 250_000
 END = np.uint64(0x9E3779B97F4A7C15)
 WEIGHT = np.uint64(0xD6E8FEB86659FD93)
-CHUNK = 4_000_000  # bytes of text that a task holds as numbers at once
+CHUNK = 2_000_000  # bytes of text that a task holds as numbers at once
 K1, K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -70,13 +70,14 @@ def token_arrays(texts: list[bytes | None], words: _WordHash) -> tuple[np.ndarra
     return np.insert(flat, np.cumsum(sizes), END), sizes + 1
 
 
-def contexts(tokens: np.ndarray) -> np.ndarray:
-    """The token before each token; END before the first of a text."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    if len(tokens):
-        before[0] = END
-    return before
+def with_contexts(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in order, the place of each token among them, and that of the token before it (END before the first of a text)."""
+    u, at = np.unique(tokens, return_inverse=True)
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    if len(at):
+        before[0] = np.searchsorted(u, END)
+    return u, at, before
 
 
 def _split(buckets: np.ndarray, n: int):
@@ -131,50 +132,57 @@ def value_of(level: np.ndarray) -> np.ndarray:
 
 
 def weight_level(weight: np.ndarray) -> np.ndarray:
-    return np.rint(-np.log(weight) / 0.1).astype(np.int64)
+    return np.rint(-np.log(weight) / STEP).astype(np.int64)
 
 
-def position(keys: np.ndarray, level, i: int, mask) -> np.ndarray:
-    """The bit of each (key, level) entry for the i-th hash function. level and mask (bits of the segment, less 1): a number, or one per key."""
+def position(keys: np.ndarray, level, i: int, bits) -> np.ndarray:
+    """The bit of each (key, level) entry for the i-th hash function. level and bits (of the segment, under 2 ** 32): a number, or one per key."""
     h = mix(keys + (np.asarray(level, np.uint64) + np.uint64(1)) * K2)
-    return (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & mask
+    h = h + np.uint64(i) * (mix(h) | np.uint64(1))
+    return ((h >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
 def segment_of(keys: list[np.ndarray], levels: list[np.ndarray], bits_per_entry: float) -> bytes:
     """A Bloom filter of all entries (key, 0) to (key, level)."""
     entries = int(sum((v + 1).sum() for v in levels))
-    bits = 1 << max(6, math.ceil(math.log2(max(1.0, entries * bits_per_entry))))
-    flags = np.zeros(bits, bool)
+    size = max(8, math.ceil(entries * bits_per_entry / 8))
+    flags = np.zeros(size * 8, bool)
     for key, level in zip(keys, levels, strict=True):
         for v in range(int(level.max(initial=-1)) + 1):
             key, level = key[level >= v], level[level >= v]
             for i in range(HASHES):
-                flags[position(key, v, i, np.uint64(bits - 1)).astype(np.int64)] = True
+                flags[position(key, v, i, np.uint64(size * 8)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
 
 
 class Filter:
-    """Segments of the filter one after another, each a power of two of bits long."""
+    """Segments of the filter one after another. sizes: bytes of each bucket's segment; segments: (bucket, segment), in any order."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int):
+    def __init__(self, sizes: dict[int, int], buckets: int, segments):
         self.buckets = buckets
-        sizes = np.array([len(segments.get(b, b"")) * 8 for b in range(buckets)], np.uint64)
-        self.start = np.cumsum(sizes) - sizes
-        self.mask = np.where(sizes > 0, sizes - np.uint64(1), 0).astype(np.uint64)
-        self.held = sizes > 0
-        self.bytes = b"".join(segments[b] for b in sorted(segments))
+        each = np.array([sizes.get(b, 0) for b in range(buckets)], np.int64)
+        self.start, self.bits = np.cumsum(each) - each, (each * 8).astype(np.uint64)
+        self.flags = np.zeros(int(each.sum()), np.uint8)
+        for b, segment in segments:
+            self.flags[self.start[b] : self.start[b] + each[b]] = np.frombuffer(segment, np.uint8)
+
+    @classmethod
+    def single(cls, segment: bytes) -> Filter:
+        """One bucket's segment, for keys of that bucket."""
+        return cls({0: len(segment)}, 1, [(0, segment)])
 
     def level(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Number of levels found for each key by repeated probes: 0 if not in the filter. heads: the words whose buckets hold the keys."""
-        bits, at = np.frombuffer(self.bytes, np.uint8), _bucket(heads, self.buckets)
-        mask, start = self.mask[at], self.start[at]
-        out, alive = np.zeros(len(keys), np.int64), np.flatnonzero(self.held[at])
+        at = _bucket(heads, self.buckets)
+        out, alive = np.zeros(len(keys), np.int64), np.flatnonzero(self.bits[at] > 0)
+        keys, bits, start = keys[alive], self.bits[at[alive]], self.start[at[alive]]
         for level in range(MAX_LEVEL):
             for i in range(HASHES):
                 if not len(alive):
                     return out
-                p = position(keys[alive], level, i, mask[alive]) + start[alive]
-                alive = alive[(bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                p = position(keys, level, i, bits)
+                hit = (self.flags[start + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                keys, bits, start, alive = keys[hit], bits[hit], start[hit], alive[hit]
             out[alive] += 1
         return out
 
@@ -203,7 +211,7 @@ class Model:
     def probability(self, first: np.ndarray, pair: np.ndarray, of: np.ndarray, p0: np.ndarray, filter_: Filter) -> np.ndarray:
         """P(second | first) of distinct pairs; first: distinct first words, of: their place for each pair, p0: P0 of the second words."""
         level = filter_.level(pair, first[of])
-        weight = np.exp(-0.1 * np.maximum(0, filter_.level(mix(first ^ WEIGHT), first) - 1))
+        weight = np.exp(-STEP * np.maximum(0, filter_.level(mix(first ^ WEIGHT), first) - 1))
         seen = np.maximum(self.counts(first, filter_), 1.0)[of]
         found = np.where(level > 0, value_of(level - 1) - DISCOUNT, 0.0)
         return np.minimum(1.0, np.minimum(found, seen) / seen + weight[of] * p0)
@@ -215,13 +223,12 @@ def _count(buckets: int):
         for batch in batches:
             for _, _, texts in by_size(batch.column(0), CHUNK):
                 tokens, _ = token_arrays(texts, words)
-                before = contexts(tokens)
-                u, c = np.unique(tokens, return_counts=True)
+                u, at, before = with_contexts(tokens)
+                c = np.bincount(at)
                 rows = [(b, WORD, u[p].tobytes(), c[p].astype(np.uint32).tobytes()) for b, p in _split(_bucket(u, buckets), buckets)]
-                key, at, c = np.unique(pair_keys(before, tokens), return_index=True, return_counts=True)
-                first, c = before[at], c.astype(np.uint32)
-                order = np.argsort(first, kind="stable")
-                key, first, c = key[order], first[order], c[order]
+                code, c = np.unique(before * len(u) + at, return_counts=True)  # in the order of first words
+                first, key = u[code // len(u)], pair_keys(u[code // len(u)], u[code % len(u)])
+                c = c.astype(np.uint32)
                 for b, p in _split(_bucket(first, buckets), buckets):
                     start = np.flatnonzero(np.r_[True, first[p][1:] != first[p][:-1]])
                     runs = np.diff(np.r_[start, len(p)]).astype(np.uint32)
@@ -319,36 +326,36 @@ def _score(shared, buckets: int):
         own["text"] = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
         own, rows, copies = np.unique(own, return_index=True, return_counts=True)
         tokens, sizes = token_arrays([texts[i] for i in rows], words)
-        before, doc = contexts(tokens), np.repeat(np.arange(len(sizes)), sizes)
-        u, inverse = np.unique(tokens, return_inverse=True)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        u, inverse, before = with_contexts(tokens)
         frequent, count = model.exact(u)
         sure = frequent[inverse]
         base = np.bincount(doc[sure], np.log10((count + 0.5) / model.floor)[inverse[sure]], len(sizes))
-        pairs, at, pair_of = np.unique(pair_keys(before, tokens), return_index=True, return_inverse=True)
         score = np.zeros(len(sizes))
         if model.filter is not None:
-            heads, of = np.unique(before[at], return_inverse=True)
+            code, pair_of = np.unique(before * len(u) + inverse, return_inverse=True)
+            heads, of = np.unique(code // len(u), return_inverse=True)
             p0 = (model.counts(u, model.filter) + 0.5) / model.floor
-            p = model.probability(heads, pairs, of, p0[inverse[at]], model.filter)
+            p = model.probability(u[heads], pair_keys(u[code // len(u)], u[code % len(u)]), of, p0[code % len(u)], model.filter)
             score = np.bincount(doc, np.log10(p)[pair_of], len(sizes))
         sums = np.stack([np.ones(len(sizes)), sizes, np.bincount(doc[sure], minlength=len(sizes)), base, score], 1)
         yield int(rows[0] % buckets), DOC, own.tobytes(), (sums * copies[:, None]).tobytes()
 
         def once(kind, where, key):
             """A block per bucket of the tokens at `where`, each (key, document) once with its number."""
-            _, first, n = np.unique(key[where] * len(sizes) + doc[where], return_index=True, return_counts=True)
+            _, first, n = np.unique(np.stack([key[where], doc[where]], 1), axis=0, return_index=True, return_counts=True) if kind != POST else np.unique(key[where] * len(sizes) + doc[where], return_index=True, return_counts=True)
             i = where[first]
             place = np.zeros(len(i), PLACES)
             place["doc"], place["n"] = doc[i], n * copies[doc[i]]
-            for b, p in _split(_bucket((before if kind == FIRST else tokens)[i], buckets), buckets):
+            for b, p in _split(_bucket(u[before[i]] if kind == FIRST else tokens[i], buckets), buckets):
                 k = i[p]
                 p0 = ((count[inverse[k]] + 0.5) / model.floor).tobytes() if kind == FIRST else b""
-                yield b, kind, tokens[k].tobytes(), before[k].tobytes(), p0, place[p].tobytes(), own.tobytes()
+                yield b, kind, tokens[k].tobytes(), u[before[k]].tobytes(), p0, place[p].tobytes(), own.tobytes()
 
         yield from once(POST, np.flatnonzero(~sure), inverse)
         if model.filter is None:
-            yield from once(FIRST, np.flatnonzero(sure), pair_of)
-            yield from once(SECOND, np.flatnonzero(~sure), pair_of)
+            yield from once(FIRST, np.flatnonzero(sure), before * len(u) + inverse)
+            yield from once(SECOND, np.flatnonzero(~sure), before * len(u) + inverse)
 
     def run(batches):
         words = _WordHash()
@@ -367,12 +374,12 @@ def _look_up(shared, buckets: int):
         model, last = shared.value, None
         for bucket, kind, a, b, c, d, e in _blocks(batches):
             if bucket != last:
-                last, key, counts, own_filter, sorted_ = bucket, [], [], Filter({}, 1), None
+                last, key, counts, own_filter, sorted_ = bucket, [], [], Filter({}, 1, []), None
             if kind == WORD:
                 key.append(np.frombuffer(a, np.uint64))
                 counts.append(np.frombuffer(b, np.int64))
             elif kind == SEGMENT:
-                own_filter = Filter({0: a}, 1)
+                own_filter = Filter.single(a)
             elif kind == DOC:
                 yield from _emit([(bucket, DOC, a, b)])
             else:
@@ -409,7 +416,7 @@ def _parts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows["id"]), pa.array(rows["named"] > 0), pa.array(rows["text"]), *(pa.array(sums[:, i]) for i in range(len(SUMS)))], names=["id", "named", "text", *SUMS])
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, bits_per_entry: float = 10.0, bucket_bytes: int = 32_000_000, most_bytes: int = 128_000_000) -> DataFrame:
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, bits_per_entry: float = 8.0, bucket_bytes: int = 16_000_000, most_bytes: int = 256_000_000) -> DataFrame:
     """Scores of every row of `docs`, learnt from those that are not held out."""
     spark = docs.sparkSession
     scratch, tasks = Scratch(spark, "lm"), shuffle_partitions(spark)
@@ -433,8 +440,10 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     key = head["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     segments = counts.where(F.col("kind") == SEGMENT)
-    needed = segments.agg(F.sum(F.length("a"))).first()[0] or 0
-    whole = Filter({r["bucket"]: bytes(r["a"]) for r in segments.select("bucket", "a").collect()}, buckets) if needed <= most_bytes else None
+    sizes = dict(segments.select("bucket", F.length("a")).collect())
+    whole = None
+    if sum(sizes.values()) <= most_bytes:
+        whole = Filter(sizes, buckets, ((r["bucket"], r["a"]) for r in segments.select("bucket", "a").toLocalIterator()))
     shared = spark.sparkContext.broadcast(Model(key[order], head["n"].to_numpy(np.int64)[order].astype(np.float64), total, distinct, whole))
     postings = rows.mapInArrow(_score(shared, buckets), BLOCK_DDL)
     found = _in_order(postings.unionByName(counts), tasks).mapInArrow(_look_up(shared, buckets), BLOCK_DDL)

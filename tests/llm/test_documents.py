@@ -136,7 +136,7 @@ def brute_scores(rows, head):
         after[v] = after.get(v, 0.0) + quantised(c) - lm_score.DISCOUNT
     n, distinct = sum(words.values()), len(words)
     count = lambda w: float(words[w]) if w in head else quantised(words[w])
-    weight = {v: math.exp(-0.1 * round(-math.log(min(1, max(0.01, 1 - m / words[v]))) / 0.1)) for v, m in after.items()}
+    weight = {v: math.exp(-lm_score.STEP * round(-math.log(min(1, max(0.01, 1 - m / words[v]))) / lm_score.STEP)) for v, m in after.items()}
     out = []
     for i, t in tokens:
         total = 0.0
