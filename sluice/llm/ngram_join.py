@@ -372,6 +372,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     scratch.drop(post)
     core = scratch.save(reps.join(live.select("id").distinct(), "id", "left_semi"), "core")
     scratch.drop(reps)
+    scratch.release()
     links, near, pairs = [], [], []
     while True:
         # The same orders in all regions: regions of one group of near copies then mostly share their pivots.
@@ -400,6 +401,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     for x in links[1:]:
         by_pivots = by_pivots.union(x)
     parts = scratch.save(connected_components(by_pivots, scratch), "parts")
+    scratch.release()
     if near:
         around = near[0]
         for x in near[1:]:
@@ -410,6 +412,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for x in pairs[1:]:
             every = every.union(x)
         every = scratch.save(_without_own(every.distinct(), parts), "apart")
+        scratch.release()
         more = scratch.save(_similar(every, core).select("a", "b", linked).where("linked").select("a", "b"), "links")
         star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
         parts = scratch.save(connected_components(star.union(more), scratch), "parts")

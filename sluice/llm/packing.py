@@ -7,10 +7,11 @@ one sequence that it leaves open.
 
 Within a group, best-fit decreasing gives the first incumbent. If it uses more sequences than
 ceil(tokens / capacity), bin completion searches on: the largest open piece starts a sequence, its undominated
-fillings are enumerated (no filling in which a piece could be swapped for a larger open one, or another
-added), those of least waste first; a branch ends when its waste exceeds what an improvement on the
-incumbent may leave. The search stops at the bound or after `nodes` sequences tried, but not before `descents` times the
-sequences of the first incumbent (a complete packing tries one a sequence), keeping the incumbent.
+fillings are enumerated as the search asks for them (no filling in which a piece could be swapped for a larger open one, or another
+added), those of less waste first; only fillings are looked at whose waste leaves room for an improvement on the
+incumbent. The search stops at the bound or after `nodes` sequences tried, but not before `descents` times the
+sequences of the first incumbent (a complete packing tries one a sequence), keeping the incumbent; it also stops after `effort` steps of
+enumeration per piece of the group.
 
 Null text: empty, so the end id alone. Null ids: packed as any other row, with null id. Repeated rows are
 packed each. Columns other than id and text are ignored. No rows give no pieces.
@@ -139,84 +140,109 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(largest: int, counts: Counter, sizes: list[int], capacity: int, most: int = 10) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room beside `largest`, of least waste first.
+class Budget:
+    """Steps that a search may still take."""
 
-    sizes: the open lengths, ascending. Each filling ends with the largest lengths that still fit, so that none
-    can be improved by a swap for a larger piece or by adding one.
+    def __init__(self, steps: int):
+        self.left, self.taken = steps, 0
+
+
+def fillings(largest: int, counts: Counter, sizes: list[int], capacity: int, allowed: int, budget: Budget):
+    """Every undominated filling of the room beside `largest` that wastes at most `allowed`, those of less waste first.
+
+    sizes: all lengths, ascending; counts: how many of each are open. A filling is dominated if another open piece fits beside it, or could take the place of a smaller one
+    in it. Fillings are enumerated as they are asked for, in bands of waste (none, then up to 3, 15, 63, ..), largest pieces first, with the budget's steps for each band.
     """
-    found: set[tuple[int, ...]] = set()
     room = capacity - largest
-
-    def fit(left, used):
-        """The largest open length of at most `left`."""
-        at = bisect.bisect_right(sizes, left) - 1
-        while at >= 0 and counts[sizes[at]] <= used.get(sizes[at], 0):
+    first = next((i for i, x in enumerate(sizes) if counts[x]), len(sizes))
+    least = sizes[first] if first < len(sizes) else capacity + 1
+
+    def smallest_open(used: Counter) -> int:
+        return next((sizes[i] for i in range(first, len(sizes)) if counts[sizes[i]] > used[sizes[i]]), capacity + 1)
+
+    def dominated(left: int, used: Counter) -> bool:
+        if left == 0:
+            return False
+        if smallest_open(used) <= left:
+            return True
+        for x in used:
+            at = bisect.bisect_right(sizes, x + left) - 1
+            while at >= 0 and sizes[at] > x:
+                if counts[sizes[at]] > used[sizes[at]]:
+                    return True
+                at -= 1
+        return False
+
+    def search(left: int, most: int, used: Counter, low: int, high: int):
+        if low <= left <= high and not dominated(left, used):
+            yield left
+        if left == 0:
+            return
+        at = bisect.bisect_right(sizes, min(left, most)) - 1
+        while at >= first and budget.left > 0:
+            x = sizes[at]
+            budget.left -= 1
+            budget.taken += 1
+            if high < left - x < least:  # neither full nor to be filled further
+                at = bisect.bisect_right(sizes, left - least) - 1
+                continue
+            if counts[x] > used[x]:
+                used[x] += 1
+                yield from search(left - x, x, used, low, high)
+                used[x] -= 1
+                if not used[x]:
+                    del used[x]
             at -= 1
-        return sizes[at] if at >= 0 else 0
-
-    def close(chosen):
-        """Fill up greedily with the largest that fit."""
-        left, used = room - sum(chosen), Counter(chosen)
-        while left > 0 and (x := fit(left, used)):
-            chosen = (*chosen, x)
-            used[x] += 1
-            left -= x
-        found.add(tuple(sorted(chosen, reverse=True)))
-
-    close(())
-    for first in reversed(sizes[: bisect.bisect_right(sizes, room)][-160:]):
-        if not counts[first]:
-            continue
-        close((first,))
-        left = room - first
-        for second in reversed(sizes[: bisect.bisect_right(sizes, min(left, first))][-6:]):
-            if counts[second] > (second == first):
-                close((first, second))
-        if any(sum(f) == room for f in found):
-            break
-    return sorted(found, key=lambda f: (room - sum(f), len(f)))[:most]
+
+    low, high, steps = 0, 0, budget.left
+    while low <= allowed:
+        budget.left, used = steps, Counter()
+        for _ in search(room, room, used, low, min(high, allowed)):
+            yield tuple(sorted(used.elements(), reverse=True))
+        low, high = high + 1, 4 * high + 3
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int = 20_000, descents: int = 4) -> list[list[int]]:
+def bin_completion(lengths: list[int], capacity: int, nodes: int = 20_000, descents: int = 4, effort: int = 500) -> list[list[int]]:
     """Bins of the given lengths (all at most `capacity`), as few as the search finds."""
     lengths = sorted(lengths, reverse=True)
     best, total = best_fit(lengths, capacity), sum(lengths)
     bound = -(-total // capacity)
     spent, nodes = 0, max(nodes, descents * len(best))
-    while len(best) > bound and spent < nodes:
+    steps, each = effort * len(lengths), 2000
+    while len(best) > bound and spent < nodes and steps > 0:
         allowed = (len(best) - 1) * capacity - total  # waste of any better packing
         counts = Counter(lengths)
         sizes = sorted(counts)
-        stack: list[list] = []  # [largest, fillings left, filling in place, waste]
-        waste, found = 0, False
-        while spent < nodes:
-            while sizes and not counts[sizes[-1]]:
-                sizes.pop()
-            if not sizes:
+        stack: list[list] = []  # [largest, fillings left, filling in place, its waste, steps]
+        waste, found, top_at = 0, False, len(sizes) - 1
+        while spent < nodes and steps > 0:
+            while top_at >= 0 and not counts[sizes[top_at]]:
+                top_at -= 1
+            if top_at < 0:
                 found = True
                 break
-            largest = sizes[-1]
+            largest = sizes[top_at]
             counts[largest] -= 1
             spent += 1
-            stack.append([largest, fillings(largest, counts, sizes, capacity), (), 0])
+            budget = Budget(each)
+            stack.append([largest, fillings(largest, counts, sizes, capacity, allowed - waste, budget), (), 0, budget])
             while stack:
                 top = stack[-1]
                 for x in top[2]:
                     counts[x] += 1
                 waste -= top[3]
-                if top[1]:
-                    top[2] = top[1].pop(0)
-                    top[3] = capacity - top[0] - sum(top[2])
-                    if waste + top[3] <= allowed:
-                        waste += top[3]
-                        for x in top[2]:
-                            counts[x] -= 1
-                        break
+                top[2], top[3] = (), 0
+                taken = top[4].taken
+                filling = next(top[1], None)
+                steps -= top[4].taken - taken
+                if filling is not None:
+                    top[2], top[3] = filling, capacity - top[0] - sum(filling)
+                    waste += top[3]
+                    for x in filling:
+                        counts[x] -= 1
+                    break
                 counts[top[0]] += 1
-                bisect_at = bisect.bisect_left(sizes, top[0])
-                if bisect_at == len(sizes) or sizes[bisect_at] != top[0]:
-                    sizes.insert(bisect_at, top[0])
+                top_at = bisect.bisect_left(sizes, top[0])
                 stack.pop()
             if not stack:
                 break
