@@ -67,8 +67,9 @@ def rate_ratios(rates: DataFrame, keys: list[str], counter: str, base: str) -> D
 def alerts(ratios: DataFrame, keys: list[str], time: str, counter: str, ratio: str, rules=ALERT_RULES) -> DataFrame:
     """Sessions and firing state of every rule (name, counter, comparison, threshold, seconds to hold) per key. A ratio that is null meets no condition."""
     each = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(c).alias("of"), F.lit(op == ">").alias("above"), F.lit(float(v)).alias("least"), F.lit(hold).alias("hold")) for n, c, op, v, hold in rules))
-    x = ratios.select("*", F.explode(each).alias("r")).where(F.col("r.of") == F.col(counter)).select(*keys, time, ratio, "r.*")
-    met = F.when(F.col("above"), F.col(ratio) > F.col("least")).otherwise(F.col(ratio) < F.col("least"))
+    x = ratios.select(*keys, time, F.col(counter).alias("_counter"), F.col(ratio).alias("_ratio"), F.explode(each).alias("_rule")).where("_rule.of = _counter")
+    x = x.select(*keys, time, "_ratio", "_rule.*")
+    met = F.when(F.col("above"), F.col("_ratio") > F.col("least")).otherwise(F.col("_ratio") < F.col("least"))
     out = alert(x.withColumn("met", met), [*keys, "rule"], time, F.col("met"), 0)
     firing = F.coalesce(F.col("firing") & (F.col(time) - F.col("session") >= F.col("hold")), F.lit(False))
     return out.select(*keys, "rule", time, "session", firing.alias("firing"))

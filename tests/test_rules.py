@@ -213,8 +213,104 @@ def test_source_health(spark):
     assert dict(map(tuple, metrics.source_health(log, ["s"], 100).collect())) == {"a": "unhealthy", "b": "healthy", "c": "unknown"}
 
 
+def test_fixed_values():
+    assert metrics.INFERENCE_MS == (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000, 120000)
+    assert metrics.RESIDENCE_MS == (500, 1000, 2000, 5000, 10000, 30000, 60000, 120000, 300000, 600000, 1800000, 3600000, 7200000, 21600000, 43200000, 86400000)
+    assert metrics.LATENCY_MS == (100, 1000, 5000, 10000, 20000, 50000, 100000, 200000, 500000, 1000000)
+    assert [(r[1], r[3], r[4]) for r in metrics.ALERT_RULES] == [("retries", 0.5, 900), ("deadline", 0.1, 600), ("success", 0.9, 600), ("shed", 0.1, 600)]
+    assert verdicts.DROP_BODY == '{"error": "Too Many Requests", "code": 429}'
+
+
+def test_messages_as_text(spark):
+    value = messages.marshal_result(F.lit("a"), F.lit(0), F.lit("p"), F.lit("E"), F.lit("m"))
+    assert one(spark, value) == '{"id":"a","payload":"p","error_code":"E","error_message":"m"}'
+    assert one(spark, messages.marshal_result(F.lit("a"), F.lit(200), F.lit("p"), F.lit(""), F.lit(None).cast("string"))) == '{"id":"a","status_code":200,"payload":"p"}'
+    assert one(spark, outcome.error_result(F.lit("a"), F.lit("E"), F.lit("m"))) == '{"id":"a","payload":"{\\"error\\":\\"m\\"}","error_code":"E","error_message":"m"}'
+    labels = messages.classify(F.create_map(F.lit("k"), F.lit("v")), F.lit("reserved"))
+    routing = {"retry_count": F.lit(0), "queue_id": F.lit("q"), "labels": labels}
+    assert one(spark, messages.encode_envelope(F.lit("plain"), {"id": F.lit("a")}, routing)) == '{"internal":{"queue_id":"q","labels":{"k":"v","classification":"reserved"}},"request_kind":"plain","data":{"id":"a"}}'
+    none = F.lit(None).cast("string")
+    assert one(spark, outcome.error_text(F.lit("SERVER_ERROR"), F.lit("status 503"), F.lit("full"), none)) == "SERVER_ERROR: status 503 (dropped: full)"
+    assert one(spark, outcome.error_text(F.lit("UNKNOWN"), F.lit("sent"), none, F.lit("EOF"))) == "UNKNOWN: sent (caused by: EOF)"
+    headers = lookups.build_headers(F.lit("fast"), F.create_map(F.lit("a"), F.lit("1")))
+    assert one(spark, maps.as_text(headers)) == "Content-Type=application/json;a=1;x-gateway-inference-objective=fast"
+
+
+def test_normalized_routing(spark):
+    message = {"request_queue_name": F.lit("own"), "result_queue_name": F.lit(""), "pubsub_id": F.lit("m1")}
+    routing = {"request_queue_name": F.lit("q"), "result_queue_name": F.lit("r"), "transport_correlation_id": F.lit(None).cast("string")}
+    want = {"plain": ("q", "r", None), "redis": ("own", "r", None), "pubsub": ("q", "r", "m1")}
+    for kind, values_ in want.items():
+        out = messages.normalize_kind(F.lit(kind), message, routing)
+        assert tuple(spark.range(1).select(*out.values()).first()) == values_
+
+
+@pytest.mark.parametrize("text", ["Sun, 06 Nov 2094 08:49:37 GMT", "Sun Nov  6 08:49:37 2094"])
+def test_http_dates(spark, text):
+    assert one(spark, outcome.parse_retry_after(F.lit(text), 3939871777 - 40, F.lit(503), F.lit(False))) == 40
+
+
+@pytest.mark.parametrize("text, at", [("Tuesday, 16-Jan-24 00:00:30 GMT", 1705363230), ("Sunday, 06-Nov-94 08:49:37 GMT", 784111777), ("Sunday, 06-Now-94 08:49:37 GMT", None)])
+def test_dashed_http_dates(spark, text, at):
+    assert one(spark, outcome.parse_retry_after(F.lit(text), 784111700, F.lit(503), F.lit(False))) == (at and at - 784111700)
+
+
+def test_null_keys_and_times_stay(spark):
+    rows = [(1, "a", 5), (2, None, 3), (3, None, 400_000), (4, "a", None), (5, None, None)]
+    df = spark.createDataFrame(rows, "i long, k string, t long")
+    got = {r.i: (r.s, r.rn) for r in windows.ranked(windows.running(df, ["k"], "t", ["i"], s=F.lit(10)), ["k"], "t", ["i"]).collect()}
+    assert got == {4: (10, 1), 1: (20, 2), 5: (10, 1), 2: (20, 2), 3: (30, 3)}
+    assert {r.i: r.p for r in windows.previous(df, ["k"], "t", ["i"], {"p": "i"}).collect()} == {4: None, 1: 4, 5: None, 2: 5, 3: 2}
+    assert {r.i: r.at for r in windows.asof(df, df.select("k", "t"), ["k"], "t", []).collect()} == {1: 5, 2: 3, 3: 400_000, 4: None, 5: None}
+    held = df.withColumn("e", F.col("t") + 10)
+    assert admission.admit(held, key="k", time="t", tie="i", end="e", limit=1).count() == 5
+    assert windows.width_for(df, ["k"], "t", 1) >= 1
+
+
+def test_gate_chain_takes_no_slot_where_a_later_gate_refuses(spark):
+    rows = [(0, "a", 0, 100, 10), (1, "a", 1, 100, 10), (2, "a", 20, 100, 30), (3, "a", 21, 100, 40)]
+    df = spark.createDataFrame(rows, "i long, k string, t long, day long, done long")
+    got = {r.i: r.refused_by for r in admission.admit_chain(df, key="k", time="t", tie="i", ends=["day", "done"], limits=[2, 1]).collect()}
+    assert got == {0: None, 1: 1, 2: None, 3: 0}  # the refused second request left the first gate's slot to the third
+
+
+def test_pool_gate_outcomes(spark):
+    ticks = spark.createDataFrame([("p", 0, "WAIT", False), ("p", 100, "WAIT", False), ("p", 200, "CONTINUE", False), ("p", 300, "WAIT", False), ("p", 400, "DROP", False), ("p", 500, "REFUSE", False), ("p", 600, "CONTINUE", True)], "k string, t long, verdict string, failed boolean")
+    rows = [(1, "p", 50, 1000, ""), (2, "p", 50, 150, ""), (3, "p", 350, 1000, "overflow"), (4, "p", 450, 1000, ""), (5, "p", 550, 1000, "overflow"), (6, "p", 650, 1000, ""), (7, "none", 5, 1000, ""), (8, "p", 90, 80, ""), (9, None, 5, 0, "")]
+    df = spark.createDataFrame(rows, "i long, k string, t long, d long, class string")
+    got = {r.i: (r.outcome, r.reason, r.at) for r in admission.pool_gate(df, ticks, "k", "t", "d", 300).collect()}
+    assert got == {
+        1: ("dispatch", "gate_closed", 200), 2: ("DEADLINE_EXCEEDED", "gate_closed", None), 3: ("result", "dropped", 400), 4: ("result", "dropped", 450), 5: ("requeue", "quota_exhausted", 550),
+        6: ("GATE_ERROR", "error", 650), 7: ("dispatch", None, 5), 8: ("DEADLINE_EXCEEDED", "gate_closed", None), 9: ("dispatch", None, 5),
+    }
+
+
+def test_merge_of_queues_by_a_registered_policy(spark):
+    ordering.register_merge_policy("by-size", lambda df: [df["size"].desc(), df["id"]])
+    a = spark.createDataFrame([("x", "", 1), ("y", "p", 5)], "id string, pool string, size long")
+    b = spark.createDataFrame([("z", None, 9), ("w", "p", 7)], "id string, pool string, size long")
+    got = ordering.merge([a, b], ["default", "p"], "by-size", take=1)
+    assert sorted((r.pool, r.id, r.turn) for r in got.collect()) == [("default", "z", 1), ("p", "w", 1)]
+    assert [r.id for r in ordering.merge([a, b], ["default", "p"], "by-size").collect()] == ["z", "x", "w", "y"]
+    with pytest.raises(Exception, match="unknown pool p"):
+        ordering.merge([a], ["default"], "by-size").collect()
+
+
+def test_alerts_hold(spark):
+    rows = [("q", "retries", t, r) for t, r in ((0, 0.6), (600, 0.7), (1200, 0.9), (1800, 0.1), (2400, None))] + [("q", "success", 0, 0.5), ("q", "success", 600, 0.8)]
+    got = {(r.rule, r.t): (r.session, r.firing) for r in metrics.alerts(spark.createDataFrame(rows, "q string, c string, t long, r double"), ["q"], "t", "c", "r").collect()}
+    assert got == {("high retry rate", 0): (0, False), ("high retry rate", 600): (0, False), ("high retry rate", 1200): (0, True), ("high retry rate", 1800): (None, False), ("high retry rate", 2400): (None, False), ("low success rate", 0): (0, False), ("low success rate", 600): (0, True)}
+
+
+def test_byte_prefix_and_typed_map(spark):
+    df = spark.createDataFrame([("q", 1, 600), ("q", 2, 100), ("q", 3, 5), ("r", 1, 614)], "q string, t long, s long")
+    got = ordering.byte_budget_prefix(df, "q", "t", "t", "s", ordering.byte_cap(1024, 0.7, 0.1))
+    assert sorted((r.q, r.t, r.upto) for r in got.collect()) == [("q", 1, 600), ("r", 1, 614)]
+    for text in ('{"a": 1, "b": "x"}', '"{\\"a\\": 1, \\"b\\": \\"x\\"}"'):
+        assert one(spark, maps.as_text(transforms.typed_map(F.lit(text)))) == "a=1;b=x"
+    assert one(spark, transforms.typed_map(F.lit("3"))) is None
+
+
 def test_registries(spark):
-    ordering.register_merge_policy("edf", lambda df: [df["deadline"]])
-    assert "edf" in ordering.POLICIES
     transforms.register_transform("upper", lambda body, row: F.upper(body))
     assert one(spark, transforms.chain(["upper"], F.lit("a"), {})) == "A"
