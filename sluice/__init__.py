@@ -1 +1,8 @@
-"""Request-processing analytics and corpus preparation as Spark DataFrame operators."""
+"""Sluice: request analytics and corpus preparation on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
