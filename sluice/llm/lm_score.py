@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, by_size, shuffle_partitions, table
+from sluice.llm.common import Scratch, by_size, lean, shuffle_partitions, table
 
 BASE, DISCOUNT, STEP, HASHES, MAX_LEVEL = 1.5, 0.6, 0.25, 4, 110
 WORDS = 250_000
 END = np.uint64(0x9E3779B97F4A7C15)
 WEIGHT = np.uint64(0xD6E8FEB86659FD93)
-CHUNK = 2_000_000  # bytes of text that a task holds as numbers at once
+CHUNK = 1_500_000  # bytes of text that a task holds as numbers at once
 K1, K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -424,8 +424,8 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(tasks, math.ceil(size / bucket_bytes))
-    counted = rows.where(~held_out).select("text").mapInArrow(_count(buckets), BLOCK_DDL)
-    counts = scratch.save(_in_order(counted, tasks).mapInArrow(_add_up(bits_per_entry), BLOCK_DDL), "counts")
+    counted = rows.where(~held_out).select("text").mapInArrow(lean(_count(buckets)), BLOCK_DDL)
+    counts = scratch.save(_in_order(counted, tasks).mapInArrow(lean(_add_up(bits_per_entry)), BLOCK_DDL), "counts")
     levels = counts.where(F.col("kind") == WORD).mapInArrow(_levels, "level long, n long, t long").groupBy("level").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     total, distinct, by = sum(r["t"] for r in levels), sum(r["n"] for r in levels), {r["level"]: r["n"] for r in levels}
     head_least = next(v for v in range(MAX_LEVEL + 2) if sum(n for k, n in by.items() if k >= v) <= head_words)
@@ -445,11 +445,11 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     if sum(sizes.values()) <= most_bytes:
         whole = Filter(sizes, buckets, ((r["bucket"], r["a"]) for r in segments.select("bucket", "a").toLocalIterator()))
     shared = spark.sparkContext.broadcast(Model(key[order], head["n"].to_numpy(np.int64)[order].astype(np.float64), total, distinct, whole))
-    postings = rows.mapInArrow(_score(shared, buckets), BLOCK_DDL)
-    found = _in_order(postings.unionByName(counts), tasks).mapInArrow(_look_up(shared, buckets), BLOCK_DDL)
+    postings = rows.mapInArrow(lean(_score(shared, buckets)), BLOCK_DDL)
+    found = _in_order(postings.unionByName(counts), tasks).mapInArrow(lean(_look_up(shared, buckets)), BLOCK_DDL)
     if whole is None:
         found = scratch.save(found, "pairs")
-        at_first = _in_order(found.where(F.col("kind") == FIRST).unionByName(counts), tasks).mapInArrow(_look_up(shared, buckets), BLOCK_DDL)
+        at_first = _in_order(found.where(F.col("kind") == FIRST).unionByName(counts), tasks).mapInArrow(lean(_look_up(shared, buckets)), BLOCK_DDL)
         found = found.where(F.col("kind") == DOC).unionByName(at_first)
     sums = found.mapInArrow(_parts, PART_DDL).groupBy("id", "named", "text").agg(*(F.sum(c).alias(c) for c in SUMS))
     out = sums.select(F.when(F.col("named"), F.col("id")).alias("id"), "copies", *((F.col(c) / F.col("copies")).alias(c) for c in SUMS[1:]), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

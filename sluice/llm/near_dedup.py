@@ -9,7 +9,7 @@
    itself), expanding the best open node; then every open node within the range (threshold less `slack`) is expanded until none
    is left. Similarities are cosines in double precision, so each link found is verified. A link is two-sided: found from either end, it counts for both. Of the
    places where its ends can meet, the task of one (a shard that holds both, if there is any) counts it, so that no other task counts it again.
-4. Recall is audited on links between distinct points, without copies: random points are held against all points by brute force, `audit` at first and more in blocks
+4. Before the search, probes and width are widened until a trial with the audited points alone promises the target. Recall is audited on links between distinct points, without copies: random points are held against all points by brute force, `audit` at first and more in blocks
    until they have `audit_links` links (32 times `audit` points at most). While their links counted are under `target`, the search runs again with more
    probes and wider, in the end over all shards by full products. The last recall is given in `audit_recall`, null where the audited points have no link at all.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch, connected_components, shuffle_partitions, smallest, table
@@ -137,27 +137,54 @@ def _owned(shard: int, every: bool, homes: np.ndarray, asked: np.ndarray, other_
     return cost.min(1) % (1 << 20) == shard
 
 
+def _shard(part: pd.DataFrame):
+    """A shard's members and askers: (members, asks, ids, vectors, graph, medoids, asking ids, asking vectors, their rows among the members or -1), or None without either."""
+    members = part[part["member"]].drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
+    asks = part[part["asks"]].drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
+    if not len(members) or not len(asks):
+        return None
+    ids, x = members["vec_id"].to_numpy(), matrix(members["vec"].tolist())
+    lists = []
+    for n in members["next"]:
+        n = np.asarray(n if n is not None else [], np.int64)
+        at = np.minimum(np.searchsorted(ids, n), len(ids) - 1)
+        lists.append(at[ids[at] == n])
+    graph = np.full((len(ids) + 1, max(1, max(map(len, lists)))), -1)
+    for i, n in enumerate(lists):
+        graph[i, : len(n)] = n
+    middle = x.mean(0)
+    starts = np.unique(np.r_[(x @ middle).argmax(), (x @ x[(x @ middle).argmin()]).argmax(), (x @ -middle).argmax()])
+    qid, qx = asks["vec_id"].to_numpy(), matrix(asks["vec"].tolist())
+    own = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
+    return members, asks, ids, x, graph, starts, qid, qx, np.where(ids[own] == qid, own, -1)
+
+
+def _trial(threshold: float, slack: float, width: int):
+    """(point, link found) of the points that ask."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        held = _shard(part)
+        if held is None:
+            return pd.DataFrame({"vec_id": [], "hit": []}).astype("int64")
+        _, _, ids, x, graph, starts, qid, qx, own = held
+        found = [(np.empty(0, np.int64),) * 2]
+        for lo in range(0, len(qid), 256):
+            s = slice(lo, lo + 256)
+            q, m = np.nonzero(range_search(qx[s], x, graph, starts, own[s], threshold - slack, width) >= threshold)
+            found.append((qid[s][q], ids[m]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"vec_id": a[a != b], "hit": b[a != b]})
+
+    return run
+
+
 def _search(threshold: float, slack: float, width: int, every: bool):
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        members = part[part["member"]].drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
-        asks = part[part["asks"]].drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
-        ids, x = members["vec_id"].to_numpy(), matrix(members["vec"].tolist())
-        if not len(ids) or not len(asks):
+        held = _shard(part)
+        if held is None:
             return pd.DataFrame({"vec_id": [], "links": [], "points": [], "root": []}).astype("int64")
+        members, asks, ids, x, graph, starts, qid, qx, own = held
         shard = int(part["shard"].iloc[0])
-        lists = []
-        for n in members["next"]:
-            n = np.asarray(n if n is not None else [], np.int64)
-            at = np.minimum(np.searchsorted(ids, n), len(ids) - 1)
-            lists.append(at[ids[at] == n])
-        graph = np.full((len(ids) + 1, max(1, max(map(len, lists)))), -1)
-        for i, n in enumerate(lists):
-            graph[i, : len(n)] = n
-        middle = x.mean(0)
-        starts = np.unique(np.r_[(x @ middle).argmax(), (x @ x[(x @ middle).argmin()]).argmax(), (x @ -middle).argmax()])
-        qid, qx = asks["vec_id"].to_numpy(), matrix(asks["vec"].tolist())
-        own = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
-        own = np.where(ids[own] == qid, own, -1)
         copies, homes, asked = ([np.array(df[c].tolist(), np.int64) for df in (members, asks)] for c in ("copies", "homes", "near"))
         # Links and linked points of members and of those who ask without being members.
         links, linked = ([np.zeros(len(ids), np.int64), np.zeros(len(qid), np.int64)] for _ in range(2))
@@ -240,12 +267,26 @@ def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degre
     member = scratch.save(member.join(united, "vec_id").select("shard", "cut", "vec_id", "copies", "vec", "homes", "near", "next", F.lit(True).alias("member"), (F.col("cuts") == 1).alias("asks")), "graph")
     truth, size = _true_links(near, threshold, audit, audit_links), min(len(c), probes)
     names, every, want = spark.createDataFrame([(v,) for v in truth], "vec_id long"), False, sum(truth.values())
-    while True:
-        # Members ask their own shards; what else a point probes, and all cuts of a cut shard, are asked by added rows.
+
+    def asking(points: DataFrame, size: int, every: bool) -> tuple[DataFrame, Column]:
+        """Rows of what points ask beside the shards that they are members of, or of cuts of those; and the shards that a point asks."""
         seen = F.array().cast("array<int>") if every else F.slice("near", 1, size)
-        asks = near.select("vec_id", "copies", "vec", F.slice("near", 1, 2).alias("homes"), seen.alias("near"), F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1)) if every else F.slice("near", 1, size)).alias("shard")).join(shards, "shard")
+        asks = points.select("vec_id", "copies", "vec", F.slice("near", 1, 2).alias("homes"), seen.alias("near"), F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1)) if every else F.slice("near", 1, size)).alias("shard")).join(shards, "shard")
         asks = asks.where(~F.array_contains("homes", F.col("shard")) | (F.col("cuts") > 1)).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
-        asks = asks.select("shard", "cut", "vec_id", "copies", "vec", "homes", "near", F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("member"), F.lit(True).alias("asks"))
+        return asks.select("shard", "cut", "vec_id", "copies", "vec", "homes", "near", F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("member"), F.lit(True).alias("asks")), seen
+
+    # Probes and width are first tried on the audited points alone; a link that one end misses with chance 1 - r is missed by both with the square of that.
+    while want:
+        asks, _ = asking(near.join(F.broadcast(names), "vec_id"), size, False)
+        audited = member.join(F.broadcast(names.withColumn("audited", F.lit(True))), "vec_id", "left").withColumn("asks", F.col("asks") & F.coalesce("audited", F.lit(False))).drop("audited")
+        pairs = audited.unionByName(asks).groupBy("shard", "cut").applyInPandas(_trial(threshold, slack, width), "vec_id long, hit long")
+        hits = dict(pairs.distinct().groupBy("vec_id").count().collect())
+        once = sum(min(hits.get(v, 0), t) for v, t in truth.items()) / want
+        if 1 - (1 - once) ** 2 >= target or size == reach and width >= 40:
+            break
+        size, width = min(reach, 2 * size), 2 * width
+    while True:
+        asks, seen = asking(near, size, every)
         found = scratch.save(member.withColumn("near", seen).unionByName(asks).groupBy("shard", "cut").applyInPandas(_search(threshold, slack, width, every), "vec_id long, links long, points long, root long"), "found")
         sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"), F.sum("points").alias("points"))
         got = dict(sums.join(F.broadcast(names), "vec_id").select("vec_id", "points").collect())
