@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.maps import blank_to_null
 from sluice.operators import budget as b
 from sluice.operators import lookups as lk
 from sluice.operators import metrics as mt
+from sluice.operators import requests as rq
 from sluice.operators import verdicts as vd
 from sluice.plans.catalog import query
 from sluice.plans.gates import TICKS, threshold_sql, ticks
@@ -28,11 +28,7 @@ def named(spark, sf_dir):
 select queue_id, queue_name, pool_name, count(*) filter (where retry_count = 0) as requests, count(*) filter (where {OUT} = 'retry') as retries, count(*) filter (where {OUT} = 'result' and status < 400) as success,
   count(*) filter (where {OUT} = 'error' or {OUT} = 'result' and status >= 400) as failed, count(*) filter (where seconds_left <= 0) as deadline, count(*) filter (where category = 'RATE_LIMIT') as shed from n group by 1, 2, 3"""))
 def m1(spark, sf_dir):
-    o, st = F.col("outcome"), F.col("status")
-    return named(spark, sf_dir).groupBy(*TRIPLE).agg(
-        F.count_if(F.col("retry_count") == 0).alias("requests"), F.count_if(o == "retry").alias("retries"), F.count_if((o == "result") & (st < 400)).alias("success"),
-        F.count_if((o == "error") | (o == "result") & (st >= 400)).alias("failed"), F.count_if(F.col("seconds_left") <= 0).alias("deadline"), F.count_if(F.col("category") == "RATE_LIMIT").alias("shed"),
-    )
+    return rq.outcome_counters(named(spark, sf_dir), TRIPLE)
 
 
 def hist_sql(value, bounds, where="true", cents=True):
@@ -68,8 +64,7 @@ def m5(spark, sf_dir):
 
 @query("m6_backlog", sql(REQ, CFG, body=f"select queue_id, count(id) as pending from cfg left join (select queue_id, id from req where deadline >= {NOW} and queue_id <> 'view') using (queue_id) group by 1"))
 def m6(spark, sf_dir):
-    n = requests(spark, sf_dir).where((F.col("deadline") >= NOW) & (F.col("queue_id") != "view")).groupBy("queue_id").agg(F.count("*").alias("pending"))
-    return queues(spark).select("queue_id").join(n, "queue_id", "left").select("queue_id", F.coalesce("pending", F.lit(0)).alias("pending"))
+    return rq.backlog(requests(spark, sf_dir).where((F.col("deadline") >= NOW) & (F.col("queue_id") != "view")), queues(spark))
 
 
 REASON = "case when event_id % 31 = 0 then 'error' when event_id % 4 = 0 then case when class = 'overflow' then 'quota_exhausted' else 'gate_closed' end end"
@@ -81,9 +76,7 @@ left join (select queue_id, {REASON} as reason, count(*) as n from req group by
 def m7(spark, sf_dir):
     verdict = F.when(F.col("event_id") % 4 == 0, "REFUSE").otherwise("CONTINUE")
     reason = vd.decision_reason(verdict, F.col("class"), F.col("event_id") % 31 == 0)
-    d = requests(spark, sf_dir).withColumn("reason", reason).where("reason is not null").groupBy("queue_id", "reason").agg(F.count("*").alias("n"))
-    every = queues(spark).select("queue_id", F.explode(F.array(*map(F.lit, mt.REASONS))).alias("reason"))
-    return every.join(d, ["queue_id", "reason"], "left").select("queue_id", "reason", F.coalesce("n", F.lit(0)).alias("n"))
+    return rq.gate_decisions(requests(spark, sf_dir).withColumn("reason", reason), queues(spark), mt.REASONS)
 
 
 @query("m8_gate_gauges", sql(REQ, TICKS, CFG, body=f"""
@@ -163,15 +156,12 @@ def m12(spark, sf_dir):
 select queue_id, count(*) filter (where {OUT} = 'result') / 2592000.0::double as result, count(*) filter (where {OUT} = 'retry') / 2592000.0::double as retry, count(*) filter (where {OUT} = 'error') / 2592000.0::double as error from c group by 1"""))
 def m13(spark, sf_dir):
     a = attempts(spark, sf_dir).withColumn("outcome", oc.attempt_outcome(F.col("category"), F.col("status")))
-    p = a.groupBy("queue_id").pivot("outcome", ["result", "retry", "error"]).count()
-    return p.select("queue_id", *((F.coalesce(c, F.lit(0)) / F.lit(2592000.0)).alias(c) for c in ("result", "retry", "error")))
+    return rq.outcome_rates(a, ["queue_id"], 2592000)
 
 
 @query("m14_throttle_by_pool", sql(REQ, CFG, body="select coalesce(pool, '') as pool, created - created % 86400 as start, count(*) / 86400.0::double as rate from req left join cfg using (queue_id) where event_id % 4 = 0 and class <> 'overflow' group by 1, 2"))
 def m14(spark, sf_dir):
-    r = requests(spark, sf_dir).where("event_id % 4 = 0 and class <> 'overflow'")
-    j = lk.join_queue_config(r, queues(spark))
-    return j.groupBy("pool", (F.col("created") - F.col("created") % 86400).alias("start")).agg((F.count("*") / F.lit(86400.0)).alias("rate"))
+    return rq.throttle_rates(requests(spark, sf_dir).where("event_id % 4 = 0"), queues(spark))
 
 
 @query("m15_headroom", sql(REQ, TICKS, body="select pool, tick, n / 10.0::double - 0.8::double as headroom from g"))
@@ -183,7 +173,7 @@ def m15(spark, sf_dir):
 
 @query("m16_relabel_pool", sql(REQ, body="select event_id, case when event_id % 2 = 0 then 'pool-x' else queue_id end as pool from req"))
 def m16(spark, sf_dir):
-    return requests(spark, sf_dir).select("event_id", F.coalesce(blank_to_null(F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("queue_id"))), F.lit("pool-x")).alias("pool"))
+    return requests(spark, sf_dir).select("event_id", rq.pool_or_default(F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("queue_id")), "pool-x").alias("pool"))
 
 
 @query("m17_worker_utilisation", sql(REQ, CFG, POOL, body="""
@@ -191,15 +181,16 @@ select p.pool, tick, round(level / (case when workers > 0 then workers else 64 e
   select pool, tick, cast(sum(d) over (partition by pool order by tick) as bigint) as level from (select pool, moment - moment % 3600 as tick, sum(d) as d from (
     select coalesce(nullif(pool, ''), 'default') as pool, created as moment, 1 as d from req left join cfg using (queue_id) union all select coalesce(nullif(pool, ''), 'default'), created + 60 * k, -1 from req left join cfg using (queue_id)) group by 1, 2)) x join pools p on p.pool = x.pool"""))
 def m17(spark, sf_dir):
-    j = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).withColumns({"pool": F.coalesce(blank_to_null("pool"), F.lit("default")), "done": F.col("created") + 60 * F.col("k")})
+    j = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).withColumns({"pool": rq.pool_or_default("pool"), "done": F.col("created") + 60 * F.col("k")})
     g = mt.gauge(j, ["pool"], "created", "done", 3600).join(pools(spark), "pool")
-    return g.select("pool", "tick", F.round(F.col("level") / F.when(F.col("workers") > 0, F.col("workers")).otherwise(64), 6).alias("used"))
+    return g.select("pool", "tick", F.round(F.col("level") / rq.worker_count(F.col("workers")), 6).alias("used"))
 
 
 @query("m18_load_summary", sql(REQ, body="select queue_id, max(created + k) - min(created) as clearing, round(avg(case when event_id % 7 <> 0 then value end), 6) as mean_saturation from req group by 1"))
 def m18(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("sat", F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value")))
-    return r.groupBy("queue_id").agg((F.max(F.col("created") + F.col("k")) - F.min("created")).alias("clearing"), F.round(F.avg(F.when(~F.isnan("sat"), F.col("sat"))), 6).alias("mean_saturation"))
+    r = r.withColumn("finished", F.col("created") + F.col("k"))
+    return rq.load_summary(r, ["queue_id"], "created", "finished", "sat").withColumn("mean_saturation", F.round("mean_saturation", 6))
 
 
 @query("m19_source_health", sql(REQ, body="""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import budget as b
 from sluice.operators import lookups as lk
+from sluice.operators import requests as rq
 from sluice.operators import verdicts as vd
 from sluice.plans.catalog import query
 from sluice.sources.tables import NOW, REQ, requests, sql
@@ -135,19 +136,19 @@ def g15(spark, sf_dir):
 
 @query("g16_dispatchable_n", sql(REQ, TICKS, body="select pool, tick, round(case when avg_size / 100 > 0.05::double then ready * 100 * (avg_size / 100 - 0.05::double) else 0 end + 1e-9, 6) as n from g"))
 def g16(spark, sf_dir):
-    d = F.col("avg_size") / 100
-    return out(ticks(spark, sf_dir), n=F.when(d > 0.05, F.col("ready") * 100 * (d - 0.05)).otherwise(0.0))
+    return out(ticks(spark, sf_dir), n=rq.dispatchable(F.col("ready"), F.lit(100), F.col("avg_size") / 100, 0.05))
 
 
 @query("g17_closing_point", sql(REQ, TICKS, body="select pool, tick, ready * 95.0::double as closing from g"))
 def g17(spark, sf_dir):
-    return out(ticks(spark, sf_dir), closing=F.col("ready") * (100 * (1 - F.lit(0.05))))
+    return out(ticks(spark, sf_dir), closing=rq.closing_point(F.col("ready"), F.lit(100), 0.05))
 
 
 @query("g18_peak_per_pod", sql(REQ, TICKS, body="select pool, tick - tick % 21600 as start, round(max(case when ready > 0 then running::double / ready end) + 1e-9, 6) as peak from g group by 1, 2"))
 def g18(spark, sf_dir):
     t = ticks(spark, sf_dir)
-    return t.groupBy("pool", (F.col("tick") - F.col("tick") % 21600).alias("start")).agg(F.round(F.max(F.try_divide(F.col("running").cast("double"), "ready")) + 1e-9, 6).alias("peak"))
+    t = t.withColumn("start", F.col("tick") - F.col("tick") % 21600)
+    return rq.peak_per_pod(t, ["pool", "start"], "running", "ready").withColumn("peak", F.round(F.col("peak") + 1e-9, 6))
 
 
 # Per-message verdicts. The inner verdict and the class are functions of the request.

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.maps import blank_to_null
 from sluice.operators import lookups as lk
 from sluice.operators import messages as m
 from sluice.operators import ordering as o
+from sluice.operators import requests as rq
 from sluice.plans.catalog import query
 from sluice.sources.tables import CFG, NOW, POOLS, QUEUES, REQ, queues, read, requests, sql
 
@@ -50,7 +50,7 @@ def w4(spark, sf_dir):
 @query("w5_due_retries", sql(REQ, body=f"select event_id, created + k as due_at from req where retry_count > 0 and created + k <= {NOW} order by due_at, event_id limit 100"))
 def w5(spark, sf_dir):
     r = requests(spark, sf_dir).where("retry_count > 0").select("event_id", (F.col("created") + F.col("k")).alias("due_at"))
-    return r.where(F.col("due_at") <= NOW).orderBy("due_at", "event_id").limit(100)
+    return rq.due_retries(r, NOW)
 
 
 @query("w6_reenter_retry", sql(REQ, body=f"""
@@ -59,15 +59,15 @@ select queue_id, id, deadline, cast(row_number() over (partition by queue_id ord
 qualify row_number() over (partition by queue_id order by deadline, id) <= 10"""))
 def w6(spark, sf_dir):
     r = requests(spark, sf_dir)
-    due = r.where((F.col("retry_count") > 0) & (F.col("created") + F.col("k") <= NOW)).select(F.coalesce(F.when(F.col("event_id") % 9 != 0, F.col("queue_id")), F.lit("click")).alias("queue_id"), "id", "deadline")
-    both = due.unionByName(r.where("retry_count = 0").select("queue_id", "id", "deadline"))
-    return o.edf_topk(both, _budgets(r).withColumn("budget", F.lit(1.0)), 10).select("queue_id", "id", "deadline", "rn")
+    due = r.where((F.col("retry_count") > 0) & (F.col("created") + F.col("k") <= NOW)).select(F.when(F.col("event_id") % 9 != 0, F.col("queue_id")).alias("queue_id"), "id", "deadline")
+    waiting = r.where("retry_count = 0").select("queue_id", "id", "deadline")
+    return rq.reenter(due, waiting, _budgets(r).withColumn("budget", F.lit(1.0)), 10, "click").select("queue_id", "id", "deadline", "rn")
 
 
 @query("w7_dedupe_reentry", sql(REQ, body="select distinct id, token, retry_count from req"))
 def w7(spark, sf_dir):
     r = requests(spark, sf_dir).select("id", "token", "retry_count")
-    return r.union(r.where("retry_count > 1")).dropDuplicates(["id", "token", "retry_count"])
+    return rq.once_per_attempt(r.union(r.where("retry_count > 1")))
 
 
 @query("w8_byte_budget_prefix", """
@@ -81,7 +81,7 @@ def w8(spark, sf_dir):
 
 @query("w9_unknown_retry_queue", sql(REQ, CFG, body="select event_id, queue_id from req where retry_count > 0 and queue_id not in (select queue_id from cfg)"))
 def w9(spark, sf_dir):
-    return requests(spark, sf_dir).where("retry_count > 0").join(queues(spark), "queue_id", "left_anti").select("event_id", "queue_id")
+    return rq.unknown_queue(requests(spark, sf_dir).where("retry_count > 0"), queues(spark)).select("event_id", "queue_id")
 
 
 @query("r1_merge_random_robin", sql(REQ, CFG, body="""
@@ -97,9 +97,7 @@ def r1(spark, sf_dir):
 
 @query("r2_group_by_pool", sql(REQ, CFG, body="select coalesce(nullif(pool, ''), 'default') as pool, count(distinct queue_id) as queues, count(*) as n from req left join cfg using (queue_id) group by 1"))
 def r2(spark, sf_dir):
-    j = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).withColumn("pool", F.coalesce(blank_to_null("pool"), F.lit("default")))
-    per = j.groupBy("pool", "queue_id").agg(F.count("*").alias("n"))
-    return per.groupBy("pool").agg(F.count("*").alias("queues"), F.sum("n").alias("n"))
+    return rq.by_pool(requests(spark, sf_dir), queues(spark))
 
 
 @query("r3_result_queue_routing", sql(REQ, CFG, body="select event_id, coalesce(nullif(result_queue, ''), case when event_id % 3 = 0 then 'from-message' end, 'results') as result_queue from req left join cfg using (queue_id)"))

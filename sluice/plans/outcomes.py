@@ -10,6 +10,7 @@ from sluice.operators import outcome as oc
 from sluice.operators import transforms as tr
 from sluice.plans.catalog import query
 from sluice.operators import lookups as lk
+from sluice.operators import requests as rq
 from sluice.sources.tables import CFG, NOW, POOL, POOLS, REQ, queues, read, requests, sql
 
 CAT = "case when status = 0 then 'UNKNOWN' when event_id % 41 = 5 then 'SERVER_ERROR' when status = 429 then 'RATE_LIMIT' when status between 400 and 499 then 'INVALID_REQ' when status >= 500 then 'SERVER_ERROR' end"
@@ -95,10 +96,8 @@ def o9(spark, sf_dir):
 @query("o10_cancelled_result", sql(REQ, body="select event_id, case when event_id % 17 = 0 then 'CANCELLED' when event_id % 29 = 0 then 'requeue' end as outcome, case when event_id % 17 <> 0 and event_id % 29 = 0 then created + 1 end as due_at from req"))
 def o10(spark, sf_dir):
     r = requests(spark, sf_dir)
-    marks = r.where("event_id % 17 = 0").select("id", "token", F.lit(True).alias("cancelled"))
-    j = r.join(marks, ["id", "token"], "left")
-    failed = F.col("cancelled").isNull() & (F.col("event_id") % 29 == 0)
-    return j.select("event_id", F.when(F.col("cancelled"), "CANCELLED").when(failed, "requeue").alias("outcome"), F.when(failed, F.col("created") + 1).alias("due_at"))
+    marks = r.where("event_id % 17 = 0").select("id", "token")
+    return rq.cancelled_outcome(r, marks, F.col("event_id") % 29 == 0, F.col("created")).select("event_id", "outcome", "due_at")
 
 
 @query("o11_dropped_reason", sql(REQ, body=f"select event_id, {CAT} || ': status ' || status || case when event_id % 2 = 0 then ' (dropped: ' || queue_id || '-full)' else '' end || case when event_id % 3 = 0 then ' (caused by: EOF)' else '' end as error_message from req where status >= 400"))
@@ -134,8 +133,7 @@ def o13(spark, sf_dir):
 # Scalar and JSON functions.
 @query("f1_payload_to_json", """select conv_id, cast(max(turn) as bigint) as last_turn, '{"model":"m","n":' || count(*) || ',"roles":["' || string_agg(role, '","' order by turn, role) || '"]}' as body from conversations where role is not null group by 1""")
 def f1(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where("role is not null").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    return c.select("conv_id", "last_turn", F.to_json(F.struct(F.lit("m").alias("model"), "n", F.col("turns.role").alias("roles"))).alias("body"))
+    return rq.conversation_body(read(spark, sf_dir, "conversations"), "m")
 
 
 SIGNED = """s as (select page_id, url || case when position('?' in url) > 0 then '&' else '?' end || case page_id % 5 when 0 then 'X-Goog-Date=20260618T110000Z&X-Goog-Expires=' || page_id when 1 then 'Expires=' || (1780000000 + page_id)
@@ -206,8 +204,8 @@ def f10(spark, sf_dir):
 @query("f11_trace_parent", sql(REQ, body="select event_id, case when event_id % 3 <> 0 then token end as trace_id, case when event_id % 3 <> 0 then substr(token, 1, 16) end as span_id, case when event_id % 3 <> 0 then '01' end as flags from req"))
 def f11(spark, sf_dir):
     metadata = overlay(F.create_map(F.lit("a"), F.lit("b")), F.when(F.col("event_id") % 3 != 0, F.create_map(F.lit("traceparent"), F.concat(F.lit("00-"), "token", F.lit("-"), F.substring("token", 1, 16), F.lit("-01")))))
-    parts = F.split(F.try_element_at(metadata, F.lit("traceparent")), "-")
-    return requests(spark, sf_dir).select("event_id", F.get(parts, F.lit(1)).alias("trace_id"), F.get(parts, F.lit(2)).alias("span_id"), F.get(parts, F.lit(3)).alias("flags"))
+    trace, span, flags = rq.trace_parent(metadata)
+    return requests(spark, sf_dir).select("event_id", trace.alias("trace_id"), span.alias("span_id"), flags.alias("flags"))
 
 
 @query("f12_selector_text", sql(REQ, body="""select event_id, 'm{class="' || class || '",queue="' || queue_id || '",tier="' || tier || '"}' as selector from req"""))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import scalars as sc
-from sluice.functions.maps import as_text, blank_to_null, overlay, without
+from sluice.functions.maps import as_text, overlay, without
 from sluice.operators import lookups as lk
 from sluice.operators import ordering, windows
+from sluice.operators import requests as rq
 from sluice.plans.catalog import query
 from sluice.sources.tables import CFG, NOW, POOL, POOLS, REQ, pools, queues, read, requests, sql
 
@@ -19,21 +20,19 @@ def message():
 
 @query("p1_drop_expired_at_dequeue", sql(REQ, body=f"select event_id, deadline from req where deadline >= {NOW}"))
 def p1(spark, sf_dir):
-    return requests(spark, sf_dir).where(F.col("deadline") >= NOW).select("event_id", "deadline")
+    return rq.not_expired(requests(spark, sf_dir), NOW).select("event_id", "deadline")
 
 
 @query("p2_validate_request", sql(REQ, body=f"select event_id, case when event_id % 13 = 0 then 'INVALID_REQUEST' when deadline < {NOW} then 'DEADLINE_EXCEEDED' end as error_code from req"))
 def p2(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("deadline", F.when(F.col("event_id") % 13 == 0, -1).otherwise(F.col("deadline")))
-    return r.select("event_id", F.when(F.col("deadline") <= 0, "INVALID_REQUEST").when(F.col("deadline") < NOW, "DEADLINE_EXCEEDED").alias("error_code"))
+    return r.select("event_id", rq.validity(F.col("deadline"), NOW).alias("error_code"))
 
 
 @query("p3_drop_invalid_at_dequeue", sql(REQ, body="select event_id, case when event_id % 5 = 0 then 'unparsable' when event_id % 13 = 0 then 'no deadline' end as reject from req where event_id % 5 = 0 or event_id % 13 = 0"))
 def p3(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("value", F.expr("case when event_id % 5 = 0 then '{' else concat('{\"deadline\":', if(event_id % 13 = 0, 0, deadline), '}') end"))
-    deadline = F.get_json_object("value", "$.deadline").cast("long")
-    reject = F.when(F.try_parse_json("value").isNull(), "unparsable").when(deadline <= 0, "no deadline")
-    return r.select("event_id", reject.alias("reject")).where("reject is not null")
+    return r.select("event_id", rq.dequeue_reject(F.col("value")).alias("reject")).where("reject is not null")
 
 
 @query("p4_inject_labels", sql(REQ, CFG, body="""
@@ -46,7 +45,7 @@ def p4(spark, sf_dir):
 @query("p5_default_routing", sql(REQ, body="select event_id, case when event_id % 3 = 0 then 'requests' else 'own' end as request_queue, case when event_id % 4 = 0 then 'q0' else queue_id end as queue_id from req"))
 def p5(spark, sf_dir):
     r = requests(spark, sf_dir).withColumns({"request_queue": F.when(F.col("event_id") % 3 == 0, "").otherwise("own"), "queue_id": F.when(F.col("event_id") % 4 == 0, None).otherwise(F.col("queue_id"))})
-    return r.select("event_id", F.coalesce(blank_to_null("request_queue"), F.lit("requests")).alias("request_queue"), F.coalesce(blank_to_null("queue_id"), F.lit("q0")).alias("queue_id"))
+    return rq.default_routing(r, "requests", "q0").select("event_id", "request_queue", "queue_id")
 
 
 @query("p6_build_url", sql(REQ, CFG, body="""
@@ -96,13 +95,13 @@ def p11(spark, sf_dir):
 
 @query("p12_effective_deadline", sql(REQ, body=f"select event_id, least({NOW} + 300, deadline) as effective_deadline from req"))
 def p12(spark, sf_dir):
-    return requests(spark, sf_dir).select("event_id", F.least(F.lit(NOW + 300).cast("long"), "deadline").alias("effective_deadline"))
+    return requests(spark, sf_dir).select("event_id", rq.effective_deadline(F.col("deadline"), F.lit(NOW), 300).alias("effective_deadline"))
 
 
 @query("p13_pool_defaults", "select cast(s_nationkey as int) as pool, sum(case when s_suppkey % 4 > 0 then s_suppkey % 4 else 64 end)::bigint as workers from supplier group by 1")
 def p13(spark, sf_dir):
     w = F.col("s_suppkey") % 4
-    return read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("int").alias("pool")).agg(F.sum(F.when(w > 0, w).otherwise(64)).alias("workers"))
+    return read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("int").alias("pool")).agg(F.sum(rq.worker_count(w)).alias("workers"))
 
 
 @query("j1_join_queue_config", sql(REQ, CFG, body="select event_id, queue_id, coalesce(pool, '') as pool, result_queue from req left join cfg using (queue_id)"))
@@ -112,7 +111,7 @@ def j1(spark, sf_dir):
 
 @query("j2_join_pool_config", sql(REQ, CFG, POOL, body="select event_id, p.pool, p.workers from req join cfg using (queue_id) join pools p on p.pool = coalesce(nullif(cfg.pool, ''), 'default')"))
 def j2(spark, sf_dir):
-    j = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).where("result_queue is not null").withColumn("pool", F.coalesce(blank_to_null("pool"), F.lit("default")))
+    j = lk.join_queue_config(requests(spark, sf_dir), queues(spark)).where("result_queue is not null").withColumn("pool", rq.pool_or_default("pool"))
     return lk.join_pool_config(j, pools(spark), [p[0] for p in POOLS]).select("event_id", "pool", "workers")
 
 
@@ -145,7 +144,7 @@ select m.id, m.token from (select id, token from req where event_id % 3 = 0) m w
 def j5(spark, sf_dir):
     r = requests(spark, sf_dir)
     done = r.select("id", F.when(F.col("event_id") % 2 == 0, F.col("token")).otherwise("old").alias("token"))
-    return r.where("event_id % 3 = 0").select("id", "token").join(done, ["id", "token"], "left_anti")
+    return rq.open_generations(r.where("event_id % 3 = 0").select("id", "token"), done)
 
 
 TICK = "tick as (select queue_id as pool, created - created % 3600 as tick, sum(value) as queue_size, avg(value) as avg_size, sum(k)::bigint as running, count(*) as n from req group by 1, 2)"
@@ -181,4 +180,4 @@ def j8(spark, sf_dir):
 def j9(spark, sf_dir):
     r = requests(spark, sf_dir)
     results = r.where("event_id % 6 <> 0").select("id", (F.col("created") + F.col("k")).alias("finished"))
-    return r.select("event_id", "id", "created").join(results, "id", "left").select("event_id", "finished", (F.col("finished") - F.col("created")).alias("latency"))
+    return rq.match_results(r.select("event_id", "id", "created"), results).select("event_id", "finished", "latency")
