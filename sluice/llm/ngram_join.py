@@ -234,13 +234,16 @@ def sets_of_documents(percent: int):
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their exact intersection and union sizes."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"s_{c}"))
+    """Pairs (a, b) with their exact intersection and union sizes. pairs: a saved table, so that Spark knows its size.
+
+    Either side's sets are joined to the pairs alone: while the pairs are few, only the sets that they name are shuffled.
+    """
+    side = lambda c: pairs.join(sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"s_{c}")), c).select("a", "b", f"n_{c}", f"s_{c}")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), (F.col("n_a") + F.col("n_b") - common).alias("union"))
+    return side("a").join(side("b"), ["a", "b"]).select("a", "b", common.alias("common"), (F.col("n_a") + F.col("n_b") - common).alias("union"))
 
 
-def _around_pivots(around: DataFrame, reps: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _around_pivots(around: DataFrame, reps: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that may link among documents within 2r of a common pivot, where components are still apart.
 
     around: (a, b: pivot, linked, common). Seen from the pivot p, a document x is what it adds and what it lacks, and
@@ -253,7 +256,7 @@ def _around_pivots(around: DataFrame, reps: DataFrame, parts: DataFrame, percent
     piv = reps.select(F.col("id").alias("b"), F.col("n").alias("n_p"), F.col("shared").alias("s_p"))
     part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
     x = around.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({"part_a": F.coalesce("part_a", "a"), "part_b": F.coalesce("part_b", "b")})
-    x = x.join(own, "a").withColumns({"g": percent * F.col("n") - unit * F.col("common"), "out": ~F.col("linked") & (F.col("part_a") != F.col("part_b"))})
+    x = scratch.save(x, "around").join(own, "a").withColumns({"g": percent * F.col("n") - unit * F.col("common"), "out": ~F.col("linked") & (F.col("part_a") != F.col("part_b"))})
     low_out = x.where("out").groupBy("b").agg(F.min("g").alias("g_out"))
     x = x.join(low_out, "b").join(piv, "b").withColumn("size", F.col("n") + F.col("n_p") - 2 * F.col("common"))
     shares = lambda g: F.ceil((F.col("g") + F.col(g)) / unit) + F.col("n_p")
@@ -390,7 +393,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             pairs.append(scratch.save(_pairs_by_prefix(step("prefix"), core, percent), "pairs"))
         if "pivots" not in ways:
             break
-        asked = step("pivots").select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b").distinct()
+        asked = scratch.save(step("pivots").select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b").distinct(), "asked")
         close = (100 * F.col("common") >= (2 * percent - 100) * F.col("union")).alias("close")
         seen = scratch.save(_similar(asked, core).select("a", "b", linked, "common", close, (F.col("union") - F.col("common")).alias("delta")), "pivots")
         links.append(seen.where("linked").select("a", "b"))
@@ -406,7 +409,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         around = near[0]
         for x in near[1:]:
             around = around.union(x)
-        pairs.append(_around_pivots(around.distinct(), core, parts, percent))
+        pairs.append(_around_pivots(around.distinct(), core, parts, percent, scratch))
     if pairs:
         every = pairs[0]
         for x in pairs[1:]:

@@ -27,6 +27,29 @@ def test_stages_follow_their_operators(spark):
     assert mixed.count() > 0
 
 
+def test_odd_rows_and_clashing_columns(spark):
+    """Null ids and texts, repeated rows, an id with two texts, ties and columns named like the stages' own ones."""
+    from pyspark.sql import functions as F
+
+    text = "the same words of a text that is long enough for more than five of them"
+    rows = [(None, text), (None, None), (1, text), (1, text), (2, f"{text} x"), (3, "other words " * 40), (3, "and a second text of this id"), (4, None), (5, ""), (6, "z " * 20_000)]
+    docs = spark.createDataFrame([(i, t, "en", f"src{(i or 0) % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("domain", "epoch", "id", "row", "kept_id", "kept_rows", "place", "value", "score", "token", "piece", "component_id", "n_shingles", "cut")
+    docs = docs.withColumns({c: F.lit(c) for c in clash})
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    kept = [(r.doc_id, r.text) for r in one.collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [1, 3, 4, 5, 6] and sum(i is None for i, _ in kept) == 2
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.orderBy(F.desc("n_chars")), SMALL)
+    assert sorted(map(str, kept)) == sorted(str((r.doc_id, r.text)) for r in again.collect())
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, SMALL)
+        assert at.columns == docs.columns, name
+        assert all(r[c] == c for r in at.select(*clash).collect() for c in clash)
+    packed = corpus_pipeline.pack_sequences(spark, at, SMALL).collect()
+    assert len({(r.row, r.piece) for r in packed}) == len(packed)
+
+
 def test_whole_run(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     used = {}
