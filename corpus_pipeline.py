@@ -23,12 +23,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id are one document: that of smallest text hash stays. Only rows of repeated ids are ordered by text.
     """
-    groups = ngram_join.components(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    groups = ngram_join.components(docs.select("doc_id", "text")).where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"))
     groups = Scratch(spark, "pipeline").save(groups, "kept")
-    once = docs.join(groups.where("kept_rows = 1"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    many = docs.join(groups.where("kept_rows > 1"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    first = many.select(F.struct("*").alias("row"), F.row_number().over(order).alias("place")).where("place = 1").select("row.*")
+    held = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))  # the columns can't clash with any of docs
+    once = held.join(groups.where("rows = 1"), "key", "left_semi").select("row.*")
+    many = held.join(groups.where("rows > 1"), "key", "left_semi")
+    others = (F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("row.text"), "row.text", *others)
+    first = many.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
     return once.unionByName(first).unionByName(docs.where("doc_id is null"))
 
 
