@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,11 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Let the driver forget plans that are no longer used, so that executors delete their shuffle files."""
+        """Let the driver forget plans that are no longer used, so that executors delete their shuffle files.
+
+        The end of the last query reaches the driver's listeners a moment later; until then it is in use.
+        """
+        time.sleep(0.5)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -52,7 +52,7 @@ LEAF, PIVOTS, SPLIT = 12, 2, 2000
 #: Words whose hashes a task remembers.
 WORDS = 250_000
 #: Bytes of text that a task holds as numbers at once.
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
