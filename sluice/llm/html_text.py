@@ -10,7 +10,7 @@ page all are content but those of boilerplate containers.
 A container is boilerplate by its tag, its role or a whole word of its class or id; not one that holds an article, a heading of the first level or most of the page's
 prose. An article inside boilerplate that never closed ends it.
 
-Scripts, styles, comments and the head never make blocks; one that is never closed ends at the next block tag. Links end at their end tag, at the next
+Scripts, styles, comments, buttons, drawings and the head never make blocks; one that is never closed ends at the next block tag. Links end at their end tag, at the next
 link and at the end of their block. Character references are decoded, white space in a block becomes one space, blocks are joined in page order
 by two newlines.
 
@@ -39,6 +39,9 @@ BLOCK_TAGS = frozenset(
 BLOCK_START = re.compile(rf"<(?:{'|'.join(sorted(BLOCK_TAGS))})[\s/>]", re.I)
 #: Elements whose content is no text of the page, those among them whose content is not markup either, and inline controls.
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
+LOWER = {c: c + 32 for c in range(65, 91)}
+#: Controls and drawings, left out with what is in them; one that never closes before the next of its kind opens is no more than its tag.
+CONTROL_TAGS = frozenset("button svg".split())
 HIDDEN_TAGS = frozenset("noscript template select object canvas video audio head".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 GOOD_TAGS = frozenset("article main".split())
@@ -130,7 +133,7 @@ def blocks(page: str) -> list[Block]:
     hidden: list[str] = []
     at, end = 0, len(page)
     raw_ends: dict[str, int] = {}
-    lower = page.lower()
+    lower = page.translate(LOWER)  # as long as the page, whatever its characters
 
     def close():
         nonlocal in_link, heading
@@ -200,6 +203,14 @@ def blocks(page: str) -> list[Block]:
                     after = BLOCK_START.search(page, at)
                     at = after.start() if after else end
             continue
+        if name in CONTROL_TAGS:
+            if not attributes.endswith("/"):
+                known = raw_ends.get(name, 0)
+                stop = raw_ends[name] = known if known < 0 or known >= at else lower.find(f"</{name}", at)
+                if stop >= 0 and lower.find(f"<{name}", at, stop) < 0:
+                    after = page.find(">", stop)
+                    at = end if after < 0 else after + 1
+            continue
         if name in BLOCK_TAGS and hidden and (name == "body" or not any(lower.find(f"</{h}", at) >= 0 if raw_ends.get("/" + h, 0) >= 0 else False for h in hidden[:1])):
             for h in hidden[:1]:
                 raw_ends["/" + h] = -1  # it never closes: it ends here
