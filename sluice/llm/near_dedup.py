@@ -16,7 +16,7 @@
 Links are counted in the tasks, only a spanning forest of them is put out, and components are joined by star rounds.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing. A null id: component_id and kept are null. Repeated
-rows are equal vectors. Vectors of several lengths: each length is compared by itself. Labels and other columns are ignored.
+rows are equal vectors. Rows of one id with different vectors are different points: each row has its own vector's links and component, and `kept` where that begins with its id. Vectors of several lengths: each length is compared by itself. Labels and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarr
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1)
@@ -241,21 +241,23 @@ def _true_links(points: DataFrame, threshold: float, audit: int, audit_links: in
     """Linked points of each audited point, by brute force; audited points are added in blocks until they have enough links."""
     asked = smallest(points, 32 * audit, "vec_id").select("vec_id", "vec").toPandas()
     truth: dict[int, int] = {}
-    while len(truth) < len(asked) and sum(truth.values()) < audit_links:
-        block = asked[len(truth) : max(audit, 4 * len(truth))]
+    at = 0
+    while at < len(asked) and sum(truth.values()) < audit_links:
+        block = asked[at : max(audit, 4 * at)]
+        at += len(block)
         shared = points.sparkSession.sparkContext.broadcast(matrix(block["vec"].tolist()))
         found = points.mapInArrow(_audit(shared, threshold), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toPandas()
         truth |= dict(zip(block["vec_id"].tolist(), (found["n"] - 1).tolist(), strict=True))
     return truth
 
 
-def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degree, pool, alpha, slack, probes, width, audit, audit_links, target, scratch) -> DataFrame:
-    """(vec_id, links, component, recall) of distinct unit vectors (vec_id, copies, vec) of one length."""
+def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degree, pool, alpha, slack, probes, width, audit, audit_links, target, most_shards, scratch) -> DataFrame:
+    """(vec_id, n_links, component_id, audit_recall) of distinct unit vectors (vec_id, copies, vec) of one length; vec_id is any number that no other point has."""
     spark, parts = points.sparkSession, shuffle_partitions(points.sparkSession)
     n = points.count()
-    sample = smallest(points, sample_rows, "vec_id").select("vec").toPandas()
-    c = centroids(matrix(sample["vec"].tolist()), min(1024, max(1, round(n / (shard_rows / 2)))))
-    shared = spark.sparkContext.broadcast(c)  # at most 1024 centroids
+    sample = smallest(points, max(sample_rows, 4 * min(most_shards, round(n / (shard_rows / 2)))), "vec_id").select("vec").toPandas()
+    c = centroids(matrix(sample["vec"].tolist()), min(most_shards, max(1, round(n / (shard_rows / 2)))))
+    shared = spark.sparkContext.broadcast(c)  # at most `most_shards` centroids
     reach = min(len(c), 4 * probes)
     near = scratch.save(points.mapInArrow(_assign(shared, reach), "vec_id long, copies long, vec array<double>, near array<int>"), "near")
     shards = near.select("vec_id", F.explode(F.slice("near", 1, 2)).alias("shard")).groupBy("shard").count()
@@ -264,22 +266,34 @@ def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degre
     member = member.withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
     built = member.groupBy("shard", "cut").applyInPandas(_build(degree, pool, alpha), "vec_id long, next array<long>")
     united = built.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # two lists at most
-    member = scratch.save(member.join(united, "vec_id").select("shard", "cut", "vec_id", "copies", "vec", "homes", "near", "next", F.lit(True).alias("member"), (F.col("cuts") == 1).alias("asks")), "graph")
+    member = scratch.save(member.join(united, "vec_id").select("shard", "cut", "cuts", "vec_id", "copies", "vec", "homes", "near", "next", F.lit(True).alias("member"), (F.col("cuts") == 1).alias("asks")), "graph")
     truth, size = _true_links(near, threshold, audit, audit_links), min(len(c), probes)
     names, every, want = spark.createDataFrame([(v,) for v in truth], "vec_id long"), False, sum(truth.values())
 
+    def blocks(every: bool) -> Column:
+        """Blocks of a shard's askers: of about `shard_rows` points where every point asks, else as many as the shard has cuts."""
+        return F.lit(max(1, round(n / (4 * shard_rows)))) if every else F.col("cuts")
+
+    def dealt(members: DataFrame, every: bool) -> DataFrame:
+        """Members for each block of askers; they ask their own shard in the first block alone."""
+        rows = members.withColumn("block", F.explode(F.sequence(F.lit(0), blocks(every).cast("int") - 1)))
+        return rows.withColumn("asks", F.col("asks") & (F.col("block") == 0)).drop("cuts")
+
     def asking(points: DataFrame, size: int, every: bool) -> tuple[DataFrame, Column]:
         """Rows of what points ask beside the shards that they are members of, or of cuts of those; and the shards that a point asks."""
         seen = F.array().cast("array<int>") if every else F.slice("near", 1, size)
         asks = points.select("vec_id", "copies", "vec", F.slice("near", 1, 2).alias("homes"), seen.alias("near"), F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1)) if every else F.slice("near", 1, size)).alias("shard")).join(shards, "shard")
         asks = asks.where(~F.array_contains("homes", F.col("shard")) | (F.col("cuts") > 1)).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1)))
-        return asks.select("shard", "cut", "vec_id", "copies", "vec", "homes", "near", F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("member"), F.lit(True).alias("asks")), seen
+        # Askers come in blocks, each of which meets the cut's members once, so that no task holds all that ask a shard; a cut's own members are in its first block together.
+        own = F.array_contains("homes", F.col("shard")) & (F.col("cut") == F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
+        asks = asks.withColumn("block", F.when(own, 0).otherwise(F.pmod(F.xxhash64("vec_id", F.lit(5)), blocks(every))).cast("int"))
+        return asks.select("shard", "cut", "block", "vec_id", "copies", "vec", "homes", "near", F.lit(None).cast("array<long>").alias("next"), F.lit(False).alias("member"), F.lit(True).alias("asks")), seen
 
     # Probes and width are first tried on the audited points alone; a link that one end misses with chance 1 - r is missed by both with the square of that.
     while want:
         asks, _ = asking(near.join(F.broadcast(names), "vec_id"), size, False)
         audited = member.join(F.broadcast(names.withColumn("audited", F.lit(True))), "vec_id", "left").withColumn("asks", F.col("asks") & F.coalesce("audited", F.lit(False))).drop("audited")
-        pairs = audited.unionByName(asks).groupBy("shard", "cut").applyInPandas(_trial(threshold, slack, width), "vec_id long, hit long")
+        pairs = dealt(audited, False).unionByName(asks).groupBy("shard", "cut", "block").applyInPandas(_trial(threshold, slack, width), "vec_id long, hit long")
         hits = dict(pairs.distinct().groupBy("vec_id").count().collect())
         once = sum(min(hits.get(v, 0), t) for v, t in truth.items()) / want
         if 1 - (1 - once) ** 2 >= target or size == reach and width >= 40:
@@ -287,7 +301,7 @@ def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degre
         size, width = min(reach, 2 * size), 2 * width
     while True:
         asks, seen = asking(near, size, every)
-        found = scratch.save(member.withColumn("near", seen).unionByName(asks).groupBy("shard", "cut").applyInPandas(_search(threshold, slack, width, every), "vec_id long, links long, points long, root long"), "found")
+        found = scratch.save(dealt(member.withColumn("near", seen), every).unionByName(asks).groupBy("shard", "cut", "block").applyInPandas(_search(threshold, slack, width, every), "vec_id long, links long, points long, root long"), "found")
         sums = found.groupBy("vec_id").agg(F.sum("links").alias("links"), F.sum("points").alias("points"))
         got = dict(sums.join(F.broadcast(names), "vec_id").select("vec_id", "points").collect())
         recall = sum(min(got.get(v, 0), t) for v, t in truth.items()) / want if want else None
@@ -300,7 +314,7 @@ def _near_points(points: DataFrame, *, threshold, shard_rows, sample_rows, degre
     return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.lit(recall).cast("double").alias("audit_recall"))
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, shard_rows: int = 2500, sample_rows: int = 20_000, degree: int = 24, pool: int = 64, alpha: float = 1.2, slack: float = 0.05, probes: int = 3, width: int = 10, audit: int = 200, audit_links: int = 2000, target: float = 0.98) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, shard_rows: int = 2500, sample_rows: int = 20_000, degree: int = 24, pool: int = 64, alpha: float = 1.2, slack: float = 0.05, probes: int = 3, width: int = 10, audit: int = 200, audit_links: int = 2000, target: float = 0.98, most_shards: int = 16_384) -> DataFrame:
     """n_links, component_id, kept and audit_recall for every row of `vectors`."""
     scratch = Scratch(vectors.sparkSession, "near-dedup")
     rows = doubles(vectors, id_col, vec_col)
@@ -310,15 +324,18 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     rows = rows.withColumn("vec", F.transform("vec", lambda v: v / largest)).withColumn("vec", unit)
     rows = scratch.save(rows.select("vec_id", "vec", F.size("vec").alias("width"), F.sha2(F.array_join("vec", ","), 256).alias("same")), "unit")
     points = rows.groupBy("same", "width").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    points = scratch.save(points, "points")
+    # Points have numbers of their own, as rows of one id may have different vectors. They are the same on every read of what is saved.
+    points = scratch.save(points.withColumn("point", F.monotonically_increasing_id()), "points")
     done = None
     for (width_,) in points.select("width").distinct().orderBy("width").collect():  # one in any table of one model's vectors
-        part = _near_points(points.where(F.col("width") == width_).select("vec_id", "copies", "vec"), threshold=threshold, shard_rows=shard_rows, sample_rows=sample_rows, degree=degree, pool=pool, alpha=alpha, slack=slack, probes=probes, width=width, audit=audit, audit_links=audit_links, target=target, scratch=scratch)
+        part = _near_points(points.where(F.col("width") == width_).select(F.col("point").alias("vec_id"), "copies", "vec"), threshold=threshold, shard_rows=shard_rows, sample_rows=sample_rows, degree=degree, pool=pool, alpha=alpha, slack=slack, probes=probes, width=width, audit=audit, audit_links=audit_links, target=target, most_shards=most_shards, scratch=scratch)
         done = part if done is None else done.unionByName(part)
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"), usable(F.col(vec_col).cast("array<double>")).alias("usable"))
     alone = ids.where("not usable or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))
     if done is not None:
-        named = points.select("same", F.col("vec_id").alias("point")).join(done.withColumnRenamed("vec_id", "point"), "point")
+        named = scratch.save(points.select("same", "point", "vec_id").join(done.withColumnsRenamed({"vec_id": "point", "component_id": "group"}), "point"), "named")
+        lowest = named.groupBy("group").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")  # a point alone is its own
+        named = named.join(lowest, "group", "left").select("same", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"), "audit_recall")
         alone = rows.select("vec_id", "same").join(named, "same").select("vec_id", "n_links", "component_id", "audit_recall").unionByName(alone)
     return alone.select(F.col("vec_id").alias(id_col), "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "audit_recall")
 

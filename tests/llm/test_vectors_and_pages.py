@@ -65,6 +65,23 @@ def test_near_dedup_links_hold_for_both_ends_and_the_audit_sees_rare_ones(spark,
     assert got[0].audit_recall >= 0.98
 
 
+@pytest.mark.parametrize("target", [0.98, 2])
+def test_near_dedup_of_repeated_ids_with_different_vectors(spark, target):
+    """Each row counts with its own vector; target 2 can't be met, so that the exact way over all shards is taken, in several blocks."""
+    rng = np.random.default_rng(3)
+    x = np.array([*vectors(rng, groups=20, alone=150)], np.float32).astype(float)
+    ids = [i // 2 if i < 60 else i for i in range(len(x))]  # two vectors an id
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    low = list(ids)
+    for _ in range(20):
+        low = [min([low[i], *(low[j] for j in np.flatnonzero(link[i]))]) for i in range(len(x))]
+    want = sorted((ids[i], int(link[i].sum()), low[i], ids[i] == low[i]) for i in range(len(x)))
+    got = sorted(tuple(r)[:4] for r in near_dedup.near_duplicates(frame(spark, list(zip(ids, x, strict=True))), shard_rows=20 if target == 2 else 100, target=target, audit=50).collect())
+    assert len(got) == len(want) and sum(g == w for g, w in zip(got, want, strict=True)) >= (1 if target == 2 else 0.98) * len(want)
+
+
 def test_near_dedup_without_links_measures_nothing(spark):
     got = near_dedup.near_duplicates(frame(spark, list(enumerate(np.eye(24)))), audit=5).collect()
     assert all((r.n_links, r.audit_recall) == (0, None) for r in got)
@@ -220,7 +237,9 @@ PROSE = "This is the text of the page and it is one that we would keep for it ha
         (f"<article><h1><a href=x>A linked headline</a></h1><p>{PROSE} See <a href=y>another page on the same matter</a>.</p></article>", f"A linked headline\n\n{PROSE} See another page on the same matter."),
         (f"<div class='content with-sidebar'><h1>Head</h1><p>{PROSE}</p></div><div class='sidebar'><p>{PROSE}</p></div>", f"Head\n\n{PROSE}"),
         (f"<div class='post-comments-open'><p>{PROSE}</p></div><div class=comments><p>{PROSE}</p></div>", PROSE),
-        (f"<article><p>{PROSE} <button>Go</button> a < b</p></article>", f"{PROSE} Go a < b"),
+        (f"<article><p>{PROSE} <button>Go</button> a < b</p></article>", f"{PROSE} a < b"),  # a control is no prose
+        (f"<article><p>{PROSE} <svg><title>x</title><text>drawn</text></svg> end</p></article>", f"{PROSE} end"),
+        (f"<article><p>{PROSE} <button>Open</p><p>{PROSE}</p><p>x <button>Go</button> y</p></article>", f"{PROSE} Open\n\n{PROSE}\n\nx y"),  # one that never closes hides nothing
         (f"<aside><p>{PROSE}</p></aside><main><p>{PROSE}</p><form><p>{PROSE}</p></form></main>", PROSE),
         (f"<div class=ad><p>{PROSE}</p></div><div><p>Short.</p><p>{PROSE}</p></div>", f"Short.\n\n{PROSE}"),
     ],
@@ -229,7 +248,7 @@ def test_containers_links_and_unclosed_elements(page, want):
     assert html_text.main_text(page) == want
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<p title='", "<div></section>", "<div>", "<!--", "<script>x", "<noscript>x<p>", "<nav><article>t", "<p a=\"b' c>", "<", "</", "&lt", "<h1><div class=nav>x"])
+@pytest.mark.parametrize("piece", ["<a ", "<p title='", "<div></section>", "<div>", "<!--", "<script>x", "<noscript>x<p>", "<nav><article>t", "<p a=\"b' c>", "<", "</", "&lt", "<h1><div class=nav>x", "<button>x", "<svg>"])
 def test_malformed_pages_take_linear_time(piece):
     import time
 
@@ -242,6 +261,20 @@ def test_malformed_pages_take_linear_time(piece):
     assert took[1] < max(0.3, 7 * took[0]) and took[1] < 5
 
 
+@pytest.mark.parametrize("odd", ["\u0130", "\u0130\u0131\u1e9e", "\U0001f642\u0130"])
+@pytest.mark.parametrize("number", range(12))
+def test_characters_that_grow_in_lower_case_shift_nothing(odd, number):
+    """Whatever stands before a page, its text stays: U+0130 is two characters in lower case."""
+    rng = np.random.default_rng(number)
+    parts = [f"<p>{PROSE} {i}</p>" for i in range(4)]
+    for piece in ("<script>var a='<p>no</p>';</SCRIPT>", "<style>p {}</Style>", "<noscript>no</NOSCRIPT>", "<!-- no -->", "<textarea>no</textarea>", "<button>no</BUTTON>"):
+        parts.insert(int(rng.integers(0, len(parts) + 1)), piece)
+    page = f"<article>{''.join(parts)}<p>KEEP</p></article>"
+    want = "\n\n".join([*(f"{PROSE} {i}" for i in range(4)), "KEEP"])
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<article><p>{PROSE} {odd * 60}</p></article>{page}") == f"{PROSE} {odd * 60}\n\n{want}"
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (4, "u", "<p>a</p>" * 20000), (5, "u", "<<<>>><p class='x>'>ok</p"), (None, "u", "<p>x"), (6, "u", "<script>never closed"), (7, "u", "<nav>a<article><p>b")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "text")).collect()}
