@@ -68,6 +68,13 @@ def read_topic(df: DataFrame) -> DataFrame:
     return df.select("msg_id", "b.id", "b.created", "b.deadline", overlay(F.col("b.metadata"), F.col("attributes")).alias("metadata"), F.coalesce(F.col("delivery_attempt") - 1, F.lit(0)).cast("int").alias("retry_count"))
 
 
+def malformed_topic(df: DataFrame) -> DataFrame:
+    """The topic messages that `read_topic` drops, with `reject`, why."""
+    body = F.from_json("data", "id string")
+    reject = F.when(F.try_parse_json("data").isNull(), "not JSON").when(body["id"].isNull(), "no id")
+    return df.select("msg_id", "data", reject.alias("reject")).where("reject is not null")
+
+
 def submit(df: DataFrame, now: int, default_queue: str, default_result: str) -> DataFrame:
     """Producer checks: `reject` is the reason, queue names are filled in."""
     reject = F.when(blank_to_null("id").isNull(), "id required").when(F.coalesce(F.col("deadline"), F.lit(0)) <= 0, "deadline required").when(F.col("deadline") < now, "deadline past")

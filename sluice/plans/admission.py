@@ -54,12 +54,15 @@ FREE = "list_filter(r.{0}, lambda x: x > o.created)"
 ROOM_A, ROOM_B = f"len({FREE.format('la')}) < 3", f"len({FREE.format('lb')}) < 2"
 
 
-@query("a8_gate_chain", f"""with recursive {REQ}, o as (select event_id, tenant as key, created, created + 86400 as day, created + 600 * (1 + k) as done, row_number() over (partition by tenant order by created, event_id) as rn from req),
+CHAIN_SQL = f"""with recursive {REQ}, o as (select event_id, tenant as key, created, created + 86400 as day, created + 600 * (1 + k) as done, row_number() over (partition by tenant order by created, event_id) as rn from req),
 r as (select key, rn, event_id, 'CONTINUE' as verdict, cast(null as int) as refused_by, [day] as la, [done] as lb from o where rn = 1
   union all select o.key, o.rn, o.event_id, case when {ROOM_A} and {ROOM_B} then 'CONTINUE' else 'REFUSE' end, case when not ({ROOM_A}) then 0 when not ({ROOM_B}) then 1 end,
     case when {ROOM_A} and {ROOM_B} then list_append({FREE.format('la')}, o.day) else {FREE.format('la')} end, case when {ROOM_A} and {ROOM_B} then list_append({FREE.format('lb')}, o.done) else {FREE.format('lb')} end
   from r join o on o.key = r.key and o.rn = r.rn + 1)
-select event_id, verdict, refused_by from r""")
+select event_id, verdict, refused_by from r"""
+
+
+@query("a8_gate_chain", CHAIN_SQL)
 def a8(spark, sf_dir):
     r = requests(spark, sf_dir).withColumns({"day": F.col("created") + 86400, "done": F.col("created") + 600 * (1 + F.col("k"))})
     a = ad.admit_chain(r, key="tenant", time="created", tie="event_id", ends=["day", "done"], limits=[3, 2])

@@ -59,12 +59,16 @@ def s4(spark, sf_dir):
     return m.read_channel(j, F.col("queue_id"), F.col("channel")).select("event_id", "request_queue_name", as_text(F.col("labels")).alias("labels"))
 
 
+def topic(r):
+    """Requests as topic messages; every ninth body is malformed."""
+    data = F.expr("""case when event_id % 9 = 0 then '{bad' else concat('{"id":"', id, '","created":', created, ',"deadline":', deadline, ',"metadata":{"userid":"', tenant, '","src":"body"}}') end""")
+    return r.select(F.col("event_id").alias("msg_id"), data.alias("data"), F.create_map(F.lit("src"), F.lit("attr"), F.lit("n"), F.col("event_id").cast("string")).alias("attributes"), F.nullif(F.col("event_id") % 4, F.lit(0)).alias("delivery_attempt"))
+
+
 @query("s5_read_topic", sql(REQ, body="""
 select event_id as msg_id, id, created, deadline, 'n=' || event_id || ';src=attr;userid=' || tenant as metadata, cast(case when event_id % 4 = 0 then 0 else event_id % 4 - 1 end as int) as retry_count from req where event_id % 9 <> 0"""))
 def s5(spark, sf_dir):
-    data = F.expr("""case when event_id % 9 = 0 then '{bad' else concat('{"id":"', id, '","created":', created, ',"deadline":', deadline, ',"metadata":{"userid":"', tenant, '","src":"body"}}') end""")
-    t = requests(spark, sf_dir).select(F.col("event_id").alias("msg_id"), data.alias("data"), F.create_map(F.lit("src"), F.lit("attr"), F.lit("n"), F.col("event_id").cast("string")).alias("attributes"), F.nullif(F.col("event_id") % 4, F.lit(0)).alias("delivery_attempt"))
-    return m.read_topic(t).withColumn("metadata", as_text(F.col("metadata")))
+    return m.read_topic(topic(requests(spark, sf_dir))).withColumn("metadata", as_text(F.col("metadata")))
 
 
 @query("s6_submit", sql(REQ, body=f"""

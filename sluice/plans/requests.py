@@ -8,6 +8,7 @@ from sluice.functions import scalars as sc
 from sluice.functions.maps import as_text, overlay, without
 from sluice.operators import lookups as lk
 from sluice.operators import ordering, windows
+from sluice.operators.caching import cached_asof
 from sluice.operators import requests as rq
 from sluice.plans.catalog import query
 from sluice.sources.tables import CFG, NOW, POOL, POOLS, REQ, pools, queues, read, requests, sql
@@ -168,6 +169,18 @@ def j7(spark, sf_dir):
     return found.select("event_id", F.when(fresh, F.col("at")).alias("at"), F.when(fresh, F.col("sample")).alias("sample"))
 
 
+@query("j7_cached_sample", f"""with recursive {REQ}, l as (select event_id, queue_id, created from req where event_id % 5 <> 0), s as (select queue_id, created, max(value) as sample from req where event_id % 5 = 0 group by 1, 2),
+tt as (select distinct queue_id, created from l), nxt as (select queue_id, created, min(created) over (partition by queue_id order by created range between 3600 following and unbounded following) as following from tt),
+r as (select queue_id, min(created) as created from tt group by 1 union all select r.queue_id, nxt.following from r join nxt on r.queue_id = nxt.queue_id and r.created = nxt.created and nxt.following is not null),
+f as (select r.queue_id, r.created, s.created as at, s.sample from (select distinct * from r) r asof left join s on r.queue_id = s.queue_id and r.created >= s.created)
+select l.event_id, f.created as refreshed_at, f.at, f.sample from l asof join f on l.queue_id = f.queue_id and l.created >= f.created""")
+def j7_cached(spark, sf_dir):
+    r = requests(spark, sf_dir)
+    samples = r.where("event_id % 5 = 0").groupBy("queue_id", "created").agg(F.max("value").alias("sample"))
+    reads = r.where("event_id % 5 <> 0").select("event_id", "queue_id", "created")
+    return cached_asof(reads, samples, ["queue_id"], "created", ["sample"], 3600).select("event_id", "refreshed_at", "at", "sample")
+
+
 @query("j8_gate_gauges_join", sql(REQ, TICK, body="select pool, tick, round(1 - running / 1000.0::double, 6) as budget, round(avg_size, 6) as value, 0.8::double as threshold, n > 3 as available from tick"))
 def j8(spark, sf_dir):
     t = lk.ticks(requests(spark, sf_dir))

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluice.functions.maps import as_text
+from sluice.operators import messages as m
 from sluice.operators import ordering as o
-from sluice.plans.admission import replay_sql
+from sluice.plans import catalog
+from sluice.plans.admission import CHAIN_SQL, replay_sql
 from sluice.plans.catalog import query
-from sluice.sources.tables import NOW, REQ, requests, sql
+from sluice.plans.messages import topic
+from sluice.sources.tables import NOW, REQ, queues, requests, sql
+from sluice.streaming import processors as pr
+from sluice.streaming import rounds as rd
 from sluice.streaming import stateful as st
 
 
@@ -29,33 +35,64 @@ def stream(spark, sf_dir):
 
 @query("t1_stream_rate_limit", replay_sql("tenant", "created + 86400", 3, columns="event_id, admitted"))
 def t1(spark, sf_dir):
-    return st.run_available(st.rate_limit(stream(spark, sf_dir), "tenant", 86400, 3), "t1")
+    return st.run_available(pr.rate_limit(stream(spark, sf_dir), "tenant", 86400, 3), "t1")
 
 
 @query("t2_stream_concurrency", replay_sql("tenant", "created + 600 * (1 + k)", 2, columns="event_id, admitted"))
 def t2(spark, sf_dir):
-    r = stream(spark, sf_dir).withColumn("done", F.col("created") + 600 * (1 + F.col("k")))
-    return st.run_available(st.concurrency(r, "tenant", 2, 7 * 86400), "t2")
+    ends = F.explode(F.array(F.struct(F.col("created").alias("at"), F.lit(False).alias("is_release")), F.struct((F.col("created") + 600 * (1 + F.col("k"))).alias("at"), F.lit(True).alias("is_release"))))
+    events = stream(spark, sf_dir).select("tenant", "event_id", ends.alias("e")).select("tenant", "event_id", "e.*")
+    return st.run_available(pr.concurrency(events, "tenant", 2, 7 * 86400), "t2")
+
+
+@query("s4_stream_channel", catalog.ORACLE["s4_read_channel"])
+def s4_stream(spark, sf_dir):
+    r = stream(spark, sf_dir).withColumn("labels", F.create_map(F.lit("tenant"), F.col("tenant"), F.lit("class"), F.col("class")))
+    r = r.join(F.broadcast(queues(spark).select("queue_id", F.col("labels").alias("channel"))), "queue_id")  # configuration
+    out = m.read_channel(r, F.col("queue_id"), F.col("channel")).select("event_id", "request_queue_name", as_text(F.col("labels")).alias("labels"))
+    return st.run_available(out, "s4")
+
+
+@query("s5_stream_topic", f"""select msg_id, id, metadata, retry_count, null as reject from ({catalog.ORACLE["s5_read_topic"]}) union all
+select event_id, null, null, null, 'not JSON' from events where event_id % 9 = 0""")
+def s5_stream(spark, sf_dir):
+    out = rd.run_tables(topic(stream(spark, sf_dir)), {"accepted": m.read_topic, "rejected": m.malformed_topic}, label="s5")
+    accepted = out["accepted"].select("msg_id", "id", as_text(F.col("metadata")).alias("metadata"), "retry_count")
+    return accepted.unionByName(out["rejected"].select("msg_id", "reject"), allowMissingColumns=True)
+
+
+@query("a8_stream_chain", f"select event_id, refused_by from ({CHAIN_SQL})")
+def a8_stream(spark, sf_dir):
+    ends = F.array(F.col("created") + 86400, F.col("created") + 600 * (1 + F.col("k")))
+    rows = stream(spark, sf_dir).select("tenant", "event_id", F.col("created").alias("at"), F.lit(False).alias("is_release"), ends.alias("ends"))
+    return st.run_available(pr.chained_quotas(rows, "tenant", [3, 2], 7 * 86400), "a8s")
+
+
+@query("w7_stream_dedupe", sql(REQ, body="select distinct id, token, retry_count from req"))
+def w7_stream(spark, sf_dir):
+    r = stream(spark, sf_dir)
+    again = F.explode(F.when(F.col("retry_count") > 1, F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1))))
+    return st.run_available(st.dedupe(r.select("id", "token", "retry_count", again.alias("copy")), ["id", "token", "retry_count"]).drop("copy"), "w7")
 
 
 @query("t3_stream_retry_timer", sql(REQ, body="select event_id, created + k as due_at from req where retry_count > 0"))
 def t3(spark, sf_dir):
     r = stream(spark, sf_dir).where("retry_count > 0").withColumn("due_at", F.col("created") + F.col("k"))
-    return st.run_available(st.hold_until_due(r.select("queue_id", "event_id", "due_at"), "queue_id"), "t3")
+    return st.run_available(pr.hold_until_due(r.select("queue_id", "event_id", "due_at"), "queue_id"), "t3").select("event_id", "due_at")
 
 
 @query("t4_stream_deadline_expiry", sql(REQ, body="select event_id, deadline as due_at, 'DEADLINE_EXCEEDED' as error_code from req"))
 def t4(spark, sf_dir):
     r = stream(spark, sf_dir).withColumn("due_at", F.col("deadline"))
-    out = st.run_available(st.hold_until_due(r.select("tenant", "event_id", "due_at"), "tenant"), "t4")
-    return out.withColumn("error_code", F.lit("DEADLINE_EXCEEDED"))
+    out = st.run_available(pr.hold_until_due(r.select("tenant", "event_id", "due_at"), "tenant"), "t4")
+    return out.select("event_id", "due_at").withColumn("error_code", F.lit("DEADLINE_EXCEEDED"))
 
 
 @query("t5_stream_cancellation", sql(REQ, body="select event_id, event_id % 17 = 0 as cancelled from req"))
 def t5(spark, sf_dir):
     r = stream(spark, sf_dir).select("id", "token", "created", "event_id")
     kinds = F.explode(F.when(F.col("event_id") % 17 == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
-    return st.run_available(st.cancellation(r.withColumn("is_cancel", kinds)), "t5")
+    return st.run_available(pr.cancellation(r.withColumn("is_cancel", kinds)), "t5")
 
 
 @query("t6_poll_round", sql(REQ, body=f"""
@@ -67,13 +104,14 @@ def t6(spark, sf_dir):
         return o.edf_topk(waiting, budgets, 10)
 
     waiting = stream(spark, sf_dir).where(F.col("deadline") >= NOW).select("event_id", "queue_id", "id", "deadline")
-    popped, _ = st.poll_rounds(waiting, pop, "t6", more_rounds=1)
+    popped, _, _ = rd.poll_rounds(waiting, pop, "t6", most=10, more_rounds=1, width=86400)
     return popped.select("queue_id", "id", "deadline", "rn", "round")
 
 
 @query("t7_result_stream", sql(REQ, body="select id, status as status_code, queue_id as result_queue from req"))
 def t7(spark, sf_dir):
-    return st.run_rounds(stream(spark, sf_dir), lambda b: b.select("id", F.col("status").alias("status_code"), F.col("queue_id").alias("result_queue")), "t7", "id string, status_code int, result_queue string")
+    results = stream(spark, sf_dir).select("id", F.col("status").alias("status_code"), F.col("queue_id").alias("result_queue"), "created")
+    return rd.run_results(results, order=["created", "id"], label="t7", flush_rows=10_000).select("id", "status_code", "result_queue")
 
 
 @query("t8_stream_metrics", sql(REQ, body="""

@@ -35,6 +35,17 @@ def pending(spark: SparkSession, path: str, *, stream: bool = False, files_per_b
     return reader.json(path).withColumn("score", F.col("deadline").cast("double"))
 
 
+TOPIC_DDL = "msg_id string, data string, attributes map<string,string>, publish_time timestamp, delivery_attempt int, queue_id string"
+
+
+def messages(spark: SparkSession, path: str, *, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Messages of topics and channels as brokers deliver them, from a folder to which JSON lines are added. stream: a query's checkpoint has the offsets, so it goes on where it ended."""
+    reader = (spark.readStream if stream else spark.read).schema(TOPIC_DDL)
+    if stream and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
+
+
 def append_requests(submitted: DataFrame, path: str) -> None:
     """Append the rows of `messages.submit` that carry no reject reason to their queues' folders."""
     columns = [f.split()[0] for f in PENDING_DDL.replace("map<string,string>", "map").split(", ")]

@@ -1,42 +1,12 @@
-"""Keyed stateful operators and sinks of Structured Streaming.
-
-The quotas, timers and cancel markers carry no watermark on the rows' own time, because a stateful operator with one
-drops rows that come later than it before any function sees them: here every row gets an answer, however late. Their watermark is on the time
-of arrival, so no row is ever behind it; state goes when its key has been idle for a given time by that clock. It moves with the batches; a stream
-that must fire timers while nothing arrives sets `live`, and then runs on processing time (and never ends by itself).
-Rows of a micro-batch are taken in the order of their own time; what came in an earlier batch was decided then.
-
-A quota decides a key's requests one after another, so a task holds one key's rows of one micro-batch as numbers; set
-`maxFilesPerTrigger` on the source to bound that. Timers are independent of each other and their keys are split into buckets.
-"""
+"""Windowed streams, stream joins, deduplication, and running streams into files."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.sources.queues import shared_dir
-
-
-def _keyed(rows: DataFrame, keys: list[str], run, output: str, state: str, live: bool) -> DataFrame:
-    """`run(key, frames, state)` over each key's rows."""
-    if not live:
-        rows = rows.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", "0 seconds")
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", timeout)
-
-
-def _wake(state: GroupState, seconds: int, live: bool) -> None:
-    """Call again after that many seconds."""
-    if live:
-        state.setTimeoutDuration(seconds * 1000)
-    else:
-        state.setTimeoutTimestamp(max(state.getCurrentProcessingTimeMs(), state.getCurrentWatermarkMs()) + seconds * 1000)
+from sluice.streaming.processors import with_state_store
 
 
 def event_time(df: DataFrame, seconds: str = "created", delay: str = "10 minutes", name: str = "event_at") -> DataFrame:
@@ -44,97 +14,6 @@ def event_time(df: DataFrame, seconds: str = "created", delay: str = "10 minutes
     return df.withColumn(name, F.timestamp_seconds(seconds)).withWatermark(name, delay)
 
 
-def _columns(frames, *names: str) -> list[np.ndarray]:
-    parts = [[f[n].to_numpy() for n in names] for f in frames]
-    return [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
-
-
-def _replay(limit: int, idle: int, by_clock: bool):
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        live = list(state.get[0]) if state.exists else []
-        time, ids, done = _columns(frames, "created", "event_id", "done")
-        order = np.lexsort((ids, time))
-        admitted = np.zeros(len(order), bool)
-        for i in order:
-            while live and live[0] <= time[i]:
-                heapq.heappop(live)
-            if len(live) < limit:
-                heapq.heappush(live, int(done[i]))
-                admitted[i] = True
-        state.update((live,))
-        _wake(state, idle, by_clock)
-        yield pd.DataFrame({"event_id": ids, "admitted": admitted})
-
-    return run
-
-
-def rate_limit(requests: DataFrame, key: str, window: int, limit: int, *, live: bool = False) -> DataFrame:
-    """Sliding-window quota on a stream; a key's log (at most `limit` times) goes after two windows without requests."""
-    return concurrency(requests.withColumn("done", F.col("created") + window), key, limit, 2 * window, live=live)
-
-
-def concurrency(requests: DataFrame, key: str, limit: int, idle: int, *, live: bool = False) -> DataFrame:
-    """Concurrency quota on a stream of (created, done); every request refreshes the key's idle time."""
-    rows = requests.select(key, "created", "event_id", "done")
-    return _keyed(rows, [key], _replay(limit, idle, live), "event_id long, admitted boolean", "live array<long>", live)
-
-
-def _hold(live: bool):
-    def run(key, frames, state: GroupState):
-        due, ids = (np.array(x, np.int64) for x in state.get) if state.exists else (np.empty(0, np.int64),) * 2
-        now = state.getCurrentProcessingTimeMs() // 1000
-        if not state.hasTimedOut:
-            more = _columns(frames, "due_at", "event_id")
-            due, ids = np.concatenate([due, more[0]]), np.concatenate([ids, more[1]])
-        wait = due > now
-        if wait.any():
-            state.update((due[wait].tolist(), ids[wait].tolist()))
-            _wake(state, int(max(1, due[wait].min() - now)), live)
-        elif state.exists:
-            state.remove()
-        if not wait.all():
-            yield pd.DataFrame({"event_id": ids[~wait], "due_at": due[~wait]})
-
-    return run
-
-
-def hold_until_due(rows: DataFrame, key: str, due: str = "due_at", buckets: int = 256, *, live: bool = False) -> DataFrame:
-    """Hold rows (retries, or requests until their deadline) and emit each once the clock has passed its due time; rows already due at once.
-
-    A key's rows are dealt over `buckets` states by id, so that a hot key is neither one state value nor one task.
-    """
-    dealt = rows.select(F.col(key), F.col(due).alias("due_at"), "event_id").withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)))
-    return _keyed(dealt, [key, "bucket"], _hold(live), "event_id long, due_at long", "due array<long>, ids array<long>", live)
-
-
-def _cancel(live: bool):
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens = list(state.get[0]) if state.exists else []
-        time, cancel, token, ids = _columns(frames, "created", "is_cancel", "token", "event_id")
-        out = []
-        for i in np.lexsort((~cancel.astype(bool), time)):
-            if not cancel[i]:
-                out.append((ids[i], token[i] in tokens))
-            elif token[i] not in tokens:
-                tokens.append(token[i])
-        state.update((tokens,))
-        _wake(state, 7 * 86400, live)
-        yield pd.DataFrame(out, columns=["event_id", "cancelled"])
-
-    return run
-
-
-def cancellation(both: DataFrame, *, live: bool = False) -> DataFrame:
-    """Whether each request's token is cancelled. both: requests and cancel commands (id, token, created, event_id, is_cancel); an id's markers go 7 days after its last row."""
-    return _keyed(both, ["id"], _cancel(live), "event_id long, cancelled boolean", "tokens array<string>", live)
-
-
 def windowed_counts(rows: DataFrame, keys: list[str], width: str, slide: str | None = None, bounds: tuple = (), delay: str = "10 minutes") -> DataFrame:
     """Live counters and histogram (cumulative `buckets`, one per bound) of `value` per window: tumbling, or sliding for rates at a step.
 
@@ -156,59 +35,29 @@ def match_results(requests: DataFrame, results: DataFrame, within: str = "1 day"
     return a.join(b, near).withColumn("latency", F.col("finished") - F.col("created")).drop("event_at", "result_at", "request_id")
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all that its sources hold now, into files, and read them."""
-    return run_observed(stream, label)[0]
+def dedupe(rows: DataFrame, keys: list[str], within: str = "1 hour") -> DataFrame:
+    """Each key once, however often it comes within that time of arrival; arrival times never lie behind the watermark, so no first row is lost. State goes after `within`."""
+    seen = rows.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", within)
+    return seen.dropDuplicatesWithinWatermark(keys).drop("arrived_at")
+
+
+def run_available(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Run a stream over all that its sources hold now, into files, and read them. A stream that runs again with the same `path` goes on where it ended."""
+    return run_observed(stream, label, path=path)[0]
 
 
-def run_observed(stream: DataFrame, label: str, counts: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """As `run_available`, with counts over the rows that reach the sink, added up over all batches, and `late`: rows that stateful operators dropped."""
+def run_observed(stream: DataFrame, label: str, counts: dict[str, Column] | None = None, path: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """As `run_available`, with counts over the rows that reach the sink, added up over all batches, `late`: rows that stateful operators dropped, and `state_rows`: those held at the end."""
     spark = stream.sparkSession
-    path = shared_dir(spark, label)
+    path = path or shared_dir(spark, label)
     seen = stream.observe("seen", *(F.count_if(c).alias(n) for n, c in counts.items())) if counts else stream
-    q = seen.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    with with_state_store(spark):
+        q = seen.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    total = dict.fromkeys([*(counts or {}), "late"], 0)
+    total = dict.fromkeys([*(counts or {}), "late", "state_rows"], 0)
     for p in q.recentProgress:
+        total["state_rows"] = sum(o.numRowsTotal for o in p.stateOperators)
         total["late"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
         for n in counts or {}:
             total[n] += p.observedMetrics["seen"][n] if "seen" in p.observedMetrics else 0
     return spark.read.schema(stream.schema).parquet(f"{path}/out"), total
-
-
-def run_rounds(stream: DataFrame, round_, label: str, schema) -> DataFrame:
-    """Each micro-batch is one round: `round_(batch)` is written under its batch id, so a repeated batch replaces itself."""
-    spark = stream.sparkSession
-    path = shared_dir(spark, label)
-
-    def write(batch, batch_id):
-        round_(batch).write.mode("overwrite").parquet(f"{path}/out/round={batch_id}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/out").drop("round")
-
-
-def poll_rounds(stream: DataFrame, pop, label: str, *, more_rounds: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rounds that carry over what they don't pop: (popped rows with their round, rows still waiting).
-
-    Each micro-batch joins what earlier ones left; `pop(waiting)` gives the rows of `waiting` that the round takes, with any added columns, told apart by `event_id`.
-    What is left is written beside it under the batch id, so a repeated batch gives the same round. `more_rounds` follow without new rows.
-    """
-    spark, kept = stream.sparkSession, stream.schema
-    path = shared_dir(spark, label)
-    rounds = []
-
-    def play(batch, number):
-        waiting = batch if number == 0 else batch.unionByName(spark.read.schema(kept).parquet(f"{path}/left/{number - 1}"))
-        pop(waiting).withColumn("round", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/{number}")
-        taken = spark.read.parquet(f"{path}/out/{number}").select("event_id")
-        waiting.join(taken, "event_id", "left_anti").select(kept.names).write.mode("overwrite").parquet(f"{path}/left/{number}")
-        rounds.append(number)
-
-    stream.writeStream.foreachBatch(play).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    last = max(rounds, default=-1)
-    for number in range(last + 1, last + 1 + more_rounds):
-        play(spark.createDataFrame([], kept), number)
-    last = max(rounds, default=-1)
-    popped = spark.read.parquet(*(f"{path}/out/{n}" for n in range(last + 1)))
-    return popped, spark.read.schema(kept).parquet(f"{path}/left/{last}")

@@ -5,6 +5,8 @@ from pathlib import Path
 from sluice.operators import ordering
 from sluice.plans import catalog
 from sluice.sources import queues
+from sluice.streaming import processors as pr
+from sluice.streaming import rounds as rd
 from sluice.streaming import stateful as st
 from tests.conftest import SMALL
 
@@ -38,11 +40,11 @@ def test_late_rows_get_an_answer(spark, tmp_path):
     """Five files, the last one hours behind the others: a quota answers all rows, and its state lasts over files."""
     times = [1000, 50_000, 100_000, 150_000, 10]
     batches = [[{"event_id": 10 * i + j, "tenant": f"t{j % 2}", "created": t + j} for j in range(10)] for i, t in enumerate(times)]
-    got = {r.event_id: r.admitted for r in st.run_available(st.rate_limit(files(spark, tmp_path / "in", batches), "tenant", 86400, 3), "late").collect()}
+    got = {r.event_id: r.admitted for r in st.run_available(pr.rate_limit(files(spark, tmp_path / "in", batches), "tenant", 86400, 3), "late").collect()}
     assert len(got) == 50
     assert [got[i] for i in range(10)] == [True] * 6 + [False] * 4  # three of each tenant
     assert not any(got[i] for i in range(10, 20)) and sum(got[i] for i in range(20, 30)) == 6
-    held = st.cancellation(files(spark, tmp_path / "in2", [[{"event_id": 1, "id": "a", "tenant": "tok", "created": 5}], [{"event_id": 2, "id": "a", "tenant": "tok", "created": 9}, {"event_id": 3, "id": "a", "tenant": "new", "created": 1}]]).selectExpr("id", "tenant as token", "created", "event_id", "event_id = 1 as is_cancel"))
+    held = pr.cancellation(files(spark, tmp_path / "in2", [[{"event_id": 1, "id": "a", "tenant": "tok", "created": 5}], [{"event_id": 2, "id": "a", "tenant": "tok", "created": 9}, {"event_id": 3, "id": "a", "tenant": "new", "created": 1}]]).selectExpr("id", "tenant as token", "created", "event_id", "event_id = 1 as is_cancel"))
     assert rows(st.run_available(held, "cancel"), "event_id", "cancelled") == [(2, True), (3, False)]
 
 
@@ -51,7 +53,7 @@ def test_rows_are_held_until_they_are_due(spark, tmp_path):
 
     now = int(time.time())
     batch = [{"event_id": i, "queue_id": "q", "created": 0, "deadline": now - 5 if i % 2 else now + 10_000} for i in range(40)]
-    got = rows(st.run_available(st.hold_until_due(files(spark, tmp_path / "in", [batch[:20], batch[20:]]), "queue_id", "deadline", buckets=3), "hold"), "event_id")
+    got = rows(st.run_available(pr.hold_until_due(files(spark, tmp_path / "in", [batch[:20], batch[20:]]), "queue_id", "deadline", buckets=3), "hold"), "event_id")
     assert got == [(i,) for i in range(1, 40, 2)]
 
 
@@ -61,7 +63,7 @@ def test_poll_rounds_carry_over(spark, tmp_path):
     def pop(waiting):
         return ordering.edf_topk(waiting, spark.createDataFrame([("q", 1.0)], "queue_id string, budget double"), 5).select("event_id", "rn")
 
-    popped, left = st.poll_rounds(files(spark, tmp_path / "in", batches), pop, "poll", more_rounds=1)
+    popped, left, _ = rd.poll_rounds(files(spark, tmp_path / "in", batches), pop, "poll", most=5, more_rounds=1, width=50)
     got = {}
     for r in popped.collect():
         got.setdefault(r["round"], []).append(r.event_id)
