@@ -3,8 +3,11 @@
 A request is admitted while fewer than `limit` admitted ones of its key are live; refused ones take no slot, so no window function
 gives the answer. It restarts wherever no earlier request of the key can still be live. Those points are found by a running
 maximum over time slices, and the chunks between them are replayed independently: a hot key is as many groups as it has
-pauses. Rows stream through a task in order of (chunk, time), with at most `limit` live ends in memory. A key that never pauses
-while more than `limit` requests overlap is one chunk: its rows then pass one task, in bounded memory.
+pauses. Rows stream through a task in order of (chunk, time), with at most `limit` live ends in memory.
+
+A chunk of more than `replay_rows` rows is cut further. A request at which fewer than `limit` earlier ones are live, admitted or not, is sure to be
+admitted; a running count of starts and ends finds these without a replay. Only stretches of the others are replayed, each from a time at which no unsure request is live: what is live then are
+sure ones, fewer than the slots, and they go along. So only a key that stays at its limit without a break passes one task, in bounded memory.
 
 Null keys are one key. Rows without a time come first; rows without an end hold no slot.
 """
@@ -18,14 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import windows
+from sluice.sources.queues import shared_dir
 
-DAY = 86400
-
-
-def chunked(df: DataFrame, key: str, time: str, tie: str, end: str, width: int = DAY) -> DataFrame:
+def chunked(df: DataFrame, key: str, time: str, tie: str, end: str, width: int | None = None) -> DataFrame:
     """Adds `chunk`, the (time, tie) of the row at which the key's history last restarted."""
     order = [time, tie]
-    df, before = windows.sliced(df, [key], time, width), windows.before([key])
+    df, before = windows.sliced(df, [key], time, windows.width_of(df, [key], time, width)), windows.before([key])
     ends = df.groupBy("_g").agg(F.max(end).alias("_e"))
     ends = ends.select("_g", F.max("_e").over(before).alias("_carry"))
     inner = windows.within(*order)
@@ -37,6 +38,38 @@ def chunked(df: DataFrame, key: str, time: str, tie: str, end: str, width: int =
     return df.join(lasts, "_g").withColumn("chunk", F.coalesce(here, F.col("_from"))).drop("_g", "_carry", "_start", "_from")
 
 
+def stretches(rows: DataFrame, limits: list[int]) -> DataFrame:
+    """Rows of long chunks (chunk_key, t, row_id, e0, ..), cut into stretches: with sure, and copies of sure rows for every stretch at which they are live.
+
+    Adds to chunk_key the number of the stretch, and own: whether the row's verdict comes from this copy. Rows that no stretch needs keep their own copy.
+    """
+    gates, key = range(len(limits)), ["chunk_key"]
+    holds = [F.coalesce(F.col(f"e{i}") > F.col("t"), F.lit(False)).cast("long") for i in gates]
+    starts = rows.select("chunk_key", "t", F.lit(1).alias("kind"), "row_id", *(h.alias(f"d{i}") for i, h in zip(gates, holds, strict=True)), *(h.alias(f"h{i}") for i, h in zip(gates, holds, strict=True)))
+    events = starts
+    for i in gates:
+        zero = lambda n: [F.lit(-1 if j == i and n == "d" else 0).cast("long").alias(f"{n}{j}") for j in gates]  # noqa: B023, E731
+        events = events.unionByName(rows.where(holds[i] == 1).select("chunk_key", F.col(f"e{i}").alias("t"), F.lit(0).alias("kind"), "row_id", *zero("d"), *zero("h")))
+    width = windows.width_for(rows, key, "t")
+    live = windows.running(events, key, "t", ["kind", "row_id"], width=width, **{f"n{i}": F.col(f"d{i}") for i in gates}).where("kind = 1")
+    sure = F.lit(True)
+    for i, limit in zip(gates, limits, strict=True):
+        sure &= F.col(f"n{i}") - F.col(f"h{i}") < limit
+    rows = rows.withColumn("end", F.greatest(*(F.col(f"e{i}") for i in gates)) if len(limits) > 1 else F.col("e0")).join(live.select("chunk_key", "row_id", "t", sure.alias("sure")), ["chunk_key", "row_id", "t"])
+    # A stretch begins at the time of an unsure row at which none from before is live.
+    at = rows.groupBy("chunk_key", "t").agg(F.max(F.when(~F.col("sure"), F.col("end"))).alias("dirty"), F.max(~F.col("sure")).alias("some"))
+    at = windows.previous(windows.running_max(at, key, "t", "dirty", "until", width=width), key, "t", [], {"before": "until"}, width=width)
+    begins = at.where(F.col("some") & (F.col("before").isNull() | (F.col("before") <= F.col("t")))).select("chunk_key", "t")
+    begins = windows.ranked(begins, key, "t", [], name="stretch", width=width)
+    found = windows.asof(rows, begins, key, "t", ["stretch"], width=width).withColumnsRenamed({"stretch": "here", "t": "began", "at": "_"}).drop("_")
+    found = windows.asof(found.withColumn("t", F.coalesce("end", "began")), begins, key, "t", ["stretch"], width=width)
+    last = F.when(F.col("at") == F.col("end"), F.col("stretch") - 1).otherwise(F.col("stretch"))
+    first = F.coalesce("here", F.lit(0).cast("long"))
+    span = F.when(F.col("sure") & F.col("end").isNotNull(), F.sequence(first, F.greatest(first, F.coalesce(last, first)))).otherwise(F.array(first))
+    found = found.select("chunk_key", F.col("began").alias("t"), "row_id", *(f"e{i}" for i in gates), first.alias("first"), F.explode(span).alias("stretch"))
+    return found.select(F.concat_ws("/", "chunk_key", "stretch").alias("chunk_key"), "t", "row_id", *(f"e{i}" for i in gates), (F.col("stretch") == F.col("first")).alias("own"))
+
+
 def _replay(limits: list[int]):
     def run(frames):
         chunk, live = None, []
@@ -56,31 +89,38 @@ def _replay(limits: list[int]):
                         if e == e:  # not null
                             heapq.heappush(slots, e)
                 refused.append(by)
-            yield pd.DataFrame({"row_id": f["row_id"], "refused_by": refused})
+            yield pd.DataFrame({"row_id": f["row_id"], "refused_by": refused})[f["own"]]
 
     return run
 
 
-def admit_chain(df: DataFrame, *, key: str, time: str, tie: str, ends: list[str], limits: list[int]) -> DataFrame:
+def admit_chain(df: DataFrame, *, key: str, time: str, tie: str, ends: list[str], limits: list[int], replay_rows: int = 1_000_000) -> DataFrame:
     """(tie, refused_by) of each row before a chain of quotas of one key, asked in order; refused_by is the first that refuses, null if none does.
 
-    Gate i gives `limits[i]` slots, each held from `time` until `ends[i]`. A refused request holds no slot of any gate.
+    Gate i gives `limits[i]` slots, each held from `time` until `ends[i]`. A refused request holds no slot of any gate. A chunk of more than `replay_rows` rows is cut into stretches.
     """
     whole = df.withColumn("_end", F.greatest(*ends) if len(ends) > 1 else F.col(ends[0]))
     c = chunked(whole.select(key, time, tie, *ends, "_end"), key, time, tie, "_end")
     chunk = F.sha2(F.to_json(F.struct(key, "chunk")), 256).alias("chunk_key")
     rows = c.select(chunk, F.col(time).alias("t"), F.col(tie).alias("row_id"), *(F.col(e).alias(f"e{i}") for i, e in enumerate(ends)))
+    rows = rows.withColumn("own", F.lit(True))
+    if df.count() > replay_rows:  # else no chunk is that long
+        path = shared_dir(df.sparkSession, "admission")
+        rows.write.parquet(f"{path}/chunks")
+        rows = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/chunks")
+        long_ = rows.groupBy("chunk_key").agg(F.count("*").alias("n"), F.count("t").alias("timed")).where((F.col("n") > replay_rows) & (F.col("n") == F.col("timed"))).select("chunk_key")
+        rows = rows.join(long_, "chunk_key", "left_anti").unionByName(stretches(rows.join(long_, "chunk_key", "left_semi").drop("own"), limits))
     ordered = rows.repartition("chunk_key").sortWithinPartitions("chunk_key", "t", "row_id")
     found = ordered.mapInPandas(_replay(limits), "row_id long, refused_by int")
     return found.select(F.col("row_id").alias(tie), F.when(F.col("refused_by") >= 0, F.col("refused_by")).alias("refused_by"))
 
 
-def admit(df: DataFrame, *, key: str, time: str, tie: str, end: str, limit: int) -> DataFrame:
+def admit(df: DataFrame, *, key: str, time: str, tie: str, end: str, limit: int, replay_rows: int = 1_000_000) -> DataFrame:
     """(tie, admitted) of each row; a slot is held from `time` until `end`, and is free at `end`.
 
     A sliding window of w seconds is the case end = time + w.
     """
-    found = admit_chain(df, key=key, time=time, tie=tie, ends=[end], limits=[limit])
+    found = admit_chain(df, key=key, time=time, tie=tie, ends=[end], limits=[limit], replay_rows=replay_rows)
     return found.select(tie, F.col("refused_by").isNull().alias("admitted"))
 
 

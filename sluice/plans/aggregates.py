@@ -31,6 +31,12 @@ def m1(spark, sf_dir):
     return rq.outcome_counters(named(spark, sf_dir), TRIPLE)
 
 
+# Bucket bounds in milliseconds, typed here once more so that the SQL holds the operators' own to them.
+SQL_INFERENCE = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000, 120000)
+SQL_RESIDENCE = (500, 1000, 2000, 5000, 10000, 30000, 60000, 120000, 300000, 600000, 1800000, 3600000, 7200000, 21600000, 43200000, 86400000)
+SQL_LATENCY = (100, 1000, 5000, 10000, 20000, 50000, 100000, 200000, 500000, 1000000)
+
+
 def hist_sql(value, bounds, where="true", cents=True):
     rows = " union all ".join([f"select queue_id, {float(b)}::double as le, count(*) filter (where v <= {b}) as n from x group by 1" for b in bounds] + ["select queue_id, null::double, count(*) from x group by 1"])
     return f"""select h.queue_id, le, n, round(t.total, 4) as total, t.count from (with x as (select queue_id, {value} as v from req where {where}) {rows}) h join (select queue_id, sum({value}) as total, count(*) as count from req where {where} group by 1) t on t.queue_id = h.queue_id"""
@@ -40,17 +46,17 @@ def _hist(df, bounds):
     return mt.histogram(df, ["queue_id"], "v", bounds).select("queue_id", "le", "n", F.round("total", 4).alias("total"), "count")
 
 
-@query("m2_histogram_inference", sql(REQ, body=hist_sql("value * 20", mt.INFERENCE_MS)))
+@query("m2_histogram_inference", sql(REQ, body=hist_sql("value * 20", SQL_INFERENCE)))
 def m2(spark, sf_dir):
     return _hist(requests(spark, sf_dir).withColumn("v", F.col("value") * 20), mt.INFERENCE_MS)
 
 
-@query("m3_histogram_residence", sql(REQ, body=hist_sql("k * k * 1000.0::double", mt.RESIDENCE_MS)))
+@query("m3_histogram_residence", sql(REQ, body=hist_sql("k * k * 1000.0::double", SQL_RESIDENCE)))
 def m3(spark, sf_dir):
     return _hist(requests(spark, sf_dir).withColumn("v", F.col("k") * F.col("k") * 1000.0), mt.RESIDENCE_MS)
 
 
-@query("m4_histogram_latency", sql(REQ, body=hist_sql("k * 30.0::double", mt.LATENCY_MS, "status = 200")))
+@query("m4_histogram_latency", sql(REQ, body=hist_sql("k * 30.0::double", SQL_LATENCY, "status = 200")))
 def m4(spark, sf_dir):
     return _hist(requests(spark, sf_dir).where("status = 200").withColumn("v", F.col("k") * 30.0), mt.LATENCY_MS)
 
@@ -135,7 +141,7 @@ def m10(spark, sf_dir):
     return wide.select("queue_id", "start", *(F.round(n, 6).alias(n) for n in names))
 
 
-@query("m11_histogram_quantile", sql(REQ, "h as (" + hist_sql("value * 20", mt.INFERENCE_MS) + ")", body="""
+@query("m11_histogram_quantile", sql(REQ, "h as (" + hist_sql("value * 20", SQL_INFERENCE) + ")", body="""
 select queue_id, round(case when le is null then low else low + (le - low) * (rank - below) / (n - below) end, 4) as value from (
   select *, coalesce(lag(le) over w, 0) as low, coalesce(lag(n) over w, 0) as below, count * 0.95::double as rank from h window w as (partition by queue_id order by le nulls last)) where n >= rank
 qualify row_number() over (partition by queue_id order by le nulls last) = 1"""))

@@ -5,6 +5,7 @@ import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.operators import admission, messages, ordering
 from sluice.operators.caching import cached_asof, refreshes
@@ -223,3 +224,35 @@ def test_cached_samples_equal_a_row_loop(spark, width):
     got = {x.event_id: (x.refreshed_at, x.at, x.value) for x in cached_asof(r, s, ["pool"], "created", ["value"], 25, width=width).collect()}
     assert got.pop(1000) == (None, None, None) and got == want
     assert refreshes(r.limit(0), ["pool"], "created", 25).count() == 0
+
+
+@pytest.mark.parametrize(("limits", "seed"), [([4], 1), ([9], 2), ([6, 3], 3)])
+def test_a_key_without_pauses_is_replayed_in_stretches(spark, limits, seed):
+    """Load swings around the limit, so that there is always a live request: many stretches, the answers of one replay."""
+    rng = random.Random(seed)
+    at, requests = 0, []
+    for i in range(1500):
+        at += rng.choice([0, 1, 1, 2, 9] if (i // 100) % 2 else [5, 9, 12])
+        requests.append((None if seed == 2 else "hot", i, at, at + rng.randrange(0, 60), None if i % 50 == 7 else at + rng.randrange(1, 40)))
+    df = spark.createDataFrame(requests, "tenant string, event_id long, created long, a long, b long")
+    ends = ["a", "b"][: len(limits)]
+    run = lambda n: {r.event_id: r.refused_by for r in admission.admit_chain(df, key="tenant", time="created", tie="event_id", ends=ends, limits=limits, replay_rows=n).collect()}
+    want = run(10**6)
+    assert run(100) == want and len(want) == 1500 and 30 < sum(v is not None for v in want.values()) < 1470
+    rows_ = df.select(F.lit("c").alias("chunk_key"), F.col("created").alias("t"), F.col("event_id").alias("row_id"), *(F.col(e).alias(f"e{i}") for i, e in enumerate(ends)))
+    cut = admission.stretches(rows_, limits).groupBy("chunk_key").count().collect()
+    assert len(cut) > 5 and max(r["count"] for r in cut) < 800
+
+
+def test_slices_narrow_for_a_hot_key(spark, monkeypatch):
+    """The width follows the fullest key's rows; sums carry over whatever it is."""
+    from sluice.operators import windows
+
+    df = spark.range(2000).selectExpr("if(id % 10 = 0, 'calm', 'hot') as k", "id * 43 % 86400 as t", "id")
+    assert windows.width_of(df, ["k"], "t", None) == windows.DAY and windows.width_of(df, ["k"], "t", 60) == 60
+    width = windows.width_of(df, ["k"], "t", None, rows=100)
+    assert width < windows.DAY / 10
+    per = windows.sliced(df, ["k"], "t", width).groupBy("_g").count().agg(F.max("count")).first()[0]
+    assert per < 200
+    run = lambda w: rows(windows.running(df, ["k"], "t", ["id"], width=w, n=F.col("id")), "k", "id", "n")
+    assert run(width) == run(None)
