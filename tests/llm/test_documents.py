@@ -271,6 +271,31 @@ def test_secrets_precision_and_recall(spark):
         assert sum(said.get(k, False) for k, v in truth.items() if not v[0]) <= 0.02 * 600
 
 
+def test_values_of_equal_length_are_told_apart_by_their_words(spark):
+    """Secrets and harmless names of 24 letters and digits in the same places: only the dictionary and the transitions differ."""
+    import random
+    import string
+
+    rnd = random.Random(4)
+    words = ["garden", "window", "orange", "silver", "mountain", "letter", "winter", "summer", "bridge", "castle", "forest", "island"]
+
+    def harmless():
+        text = ""
+        while len(text) < 22:
+            text += rnd.choice(words).capitalize()
+        return text[:22] + f"{rnd.randrange(100):02}"
+
+    secret = lambda: "".join(rnd.choice(string.ascii_letters) for _ in range(22)) + f"{rnd.randrange(100):02}"
+    values = [(secret() if i % 2 else harmless(), i % 2) for i in range(800)]
+    docs = spark.createDataFrame([(i, f"the {' and the '.join(rnd.choices(words, k=20))} of {v} in the {rnd.choice(words)}") for i, (v, _) in enumerate(values[:400])], "doc_id long, text string")
+    given = spark.createDataFrame([(v, "the one of ", " in the other", y) for v, y in values[400:]], "value string, before string, after string, label int")
+    said = {r.doc_id: r.is_secret for r in secrets.scan(docs, given).collect()}
+    right = [said.get(i, False) == bool(y) for i, (_, y) in enumerate(values[:400])]
+    assert sum(right) >= 0.95 * len(right)
+    masked = {r.doc_id: r.text for r in secrets.mask(docs, given).collect()}
+    assert all((secrets.MASK in masked[i]) == said.get(i, False) for i in range(400))
+
+
 def test_secrets_with_ties_repeated_rows_and_null_ids(spark):
     a, b = "0123456789abcdef0123", "fedcba98765432100123"
     rows = [(None, f'token = "{a}" {b}', "x"), (1, f'token = "{a}" {b}', "x"), (1, f'token = "{a}" {b}', "x"), (2, f"{a}{'.' * 50_000}{b}", "x")]
