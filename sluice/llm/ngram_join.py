@@ -50,9 +50,9 @@ LAST = 65535
 #: Regions of at most this many documents are joined pair by pair; pivots of a larger one; copies of a set per task.
 LEAF, PIVOTS, SPLIT = 12, 2, 2000
 #: Words whose hashes a task remembers.
-WORDS = 250_000
-#: Bytes of text that a task holds as numbers at once.
-CHUNK = 4_000_000
+WORDS = 100_000
+#: Bytes of text that a task holds as numbers at once, and whose shingles one bucket gets.
+CHUNK, BUCKET = 2_000_000, 8_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -346,12 +346,14 @@ def _regions_of(big: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """n_shingles and component_id of every row of `docs`."""
     spark = docs.sparkSession
-    scratch, buckets = Scratch(spark, "ngram-join"), shuffle_partitions(spark)
+    scratch = Scratch(spark, "ngram-join")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-size // BUCKET))  # what a task holds doesn't grow with the table
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = rows.where("id is not null").mapInArrow(lean(shingle_blocks(n, buckets)), BLOCK_DDL)
-    blocks = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(lean(shared_blocks(buckets)), BLOCK_DDL), "shared")
+    blocks = scratch.save(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(shared_blocks(buckets)), BLOCK_DDL), "shared")
     scratch.release()
-    found = scratch.save(blocks.repartition(buckets, "bucket").mapInArrow(lean(sets_of_documents(percent)), SET_DDL), "found")
+    found = scratch.save(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(sets_of_documents(percent)), SET_DDL), "found")
     scratch.drop(blocks)
     sets = scratch.save(found.select("id", "n", "k1", "k2", F.col("shared").isNotNull().alias("whole")), "sets")
     # Equal sets are one point; only a copy that carries its shingles can stand for it.
