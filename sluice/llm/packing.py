@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import Scratch, table, worker_cache
 
 #: Words whose ids a worker remembers.
-WORDS = 1_000_000
+WORDS = 300_000
 PIECE_DDL = "id long, row_key long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
