@@ -23,11 +23,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id are one document: that of smallest text hash stays. Only rows of repeated ids are ordered by text.
     """
-    groups = ngram_join.components(docs.select("doc_id", "text")).where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"))
-    groups = Scratch(spark, "pipeline").save(groups, "kept")
-    held = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))  # the columns can't clash with any of docs
-    once = held.join(groups.where("rows = 1"), "key", "left_semi").select("row.*")
-    many = held.join(groups.where("rows > 1"), "key", "left_semi")
+    groups = ngram_join.components(docs.select("doc_id", "text")).where("doc_id is not null")
+    groups = groups.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    # Only ids that go, or come several times, are joined to the documents: the rows that stay as they are need not meet anything.
+    other = Scratch(spark, "pipeline").save(groups.where("not first or rows > 1"), "other")
+    held = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), F.struct("*").alias("row"))  # the columns can't clash with any of docs
+    once = held.join(other.select("key"), "key", "left_anti").select("row.*")
+    many = held.join(other.where("first").select("key"), "key", "left_semi")
     others = (F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("row.text"), "row.text", *others)
     first = many.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
