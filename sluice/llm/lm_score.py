@@ -137,7 +137,7 @@ def weight_level(weight: np.ndarray) -> np.ndarray:
 
 def position(keys: np.ndarray, level, i: int, bits) -> np.ndarray:
     """The bit of each (key, level) entry for the i-th hash function. level and bits (of the segment, under 2 ** 32): a number, or one per key."""
-    h = mix(keys + (np.asarray(level, np.uint64) + np.uint64(1)) * K2)
+    h = mix(keys + (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)) * K2)
     h = h + np.uint64(i) * (mix(h) | np.uint64(1))
     return ((h >> np.uint64(32)) * bits) >> np.uint64(32)
 
