@@ -6,8 +6,8 @@ the longest wins. Every other url is judged by its template:
 1. Path segments have their digit runs put as `#` and form a tree per host, level by level; what follows the first `levels` - 1 segments is one last segment.
    A segment stays named if it has at least `least` urls and, where it has over `many` siblings (ids, titles), stands out among them: by `times` their mean number of urls,
    by `known` labels or by `sure` urls, whatever its share of the parent. All others are the parent's `*`, and what lies below them is one tree.
-2. Siblings are merged: branches whose share of good labels is not significantly different (one-sample z-test, 90 %) from their parent's are judged as the parent is, and
-   the others are pooled by fifths of that share.
+2. Siblings are merged: branches whose share of good labels is not significantly different (one-sample z-test, 90 %) from their parent's are judged as the parent is. The
+   others are put in order of that share, those above and those below the parent's apart, and neighbours whose shares don't differ significantly (two-sample z-test, 90 %) are one branch.
 3. Purity is the smoothed share of good labels, down from all labels to host, branch and each further level (`strength` pseudo-labels of the purity above). A template
    of purity under `least_purity` is blocked.
 
@@ -20,7 +20,7 @@ Repeated pages are judged each; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch, table
@@ -82,7 +82,14 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, id_col: str = "pa
         p0 = F.col("g_p") / F.col("l_p")
         gap = F.col("g") / F.col("l") - p0
         differs = F.when((F.col("l") > 0) & (F.col("l_p") > 0), gap * gap * F.col("l") > F.lit(2.706) * p0 * (1.0 - p0)).otherwise(False)
-        branch = branch.withColumn("pool", F.when(differs, F.floor(F.col("g") * 5 / F.col("l"))).otherwise(-1))
+        branch = branch.withColumn("differs", differs).withColumn("share", F.when(F.col("differs"), F.col("g") / F.col("l")))
+        by = Window.partitionBy(*node, "differs").orderBy("share", "name")
+        l_0, g_0 = F.lag("l").over(by), F.lag("g").over(by)
+        p, step = (F.col("g") + g_0) / (F.col("l") + l_0), F.col("share") - g_0 / l_0
+        apart = (F.col("share") > p0) != (g_0 / l_0 > p0)
+        other = apart | (step * step * (F.col("l") * l_0) > F.lit(2.706) * p * (1.0 - p) * (F.col("l") + l_0))
+        branch = branch.withColumn("first", F.when(F.col("differs"), F.when(l_0.isNull() | other, 1).otherwise(0)))
+        branch = branch.withColumn("pool", F.when(F.col("differs"), F.sum("first").over(by)).otherwise(-1)).drop("first", "share", "differs")
         pools = branch.groupBy(*node, "pool").agg(F.sum("l").alias("l_s"), F.sum("g").alias("g_s"), F.first("above").alias("above"))
         pools = pools.withColumn("here", F.when(F.col("pool") < 0, F.col("above")).otherwise((F.col("g_s") + weight * F.col("above")) / (F.col("l_s") + weight)))
         named = branch.select(*node, "name", "pool").join(pools.select(*node, "pool", "here"), [*node, "pool"])
@@ -124,7 +131,13 @@ a{i} as (select *, segs[{i}] as seg, sum(n) over w1 as c, sum(l) over w1 as cl,
   window w1 as (partition by host, template, segs[{i}]), w2 as (partition by host, template, segs[{i}] is null)),
 b{i} as (select *, case when c >= 5 and (d <= 50 or c * d >= 4 * pn or cl >= 10 or c >= 1000) or seg = '' then seg else '*' end as name from a{i}),
 c{i} as (select *, sum(l) over w as bl, sum(g) over w as bg from b{i} window w as (partition by host, template, seg is null, name)),
-d{i} as (select *, case when bl > 0 and pl > 0 and (bg::double / bl - pg::double / pl) * (bg::double / bl - pg::double / pl) * bl > 2.706::double * (pg::double / pl) * (1.0::double - pg::double / pl) then cast(floor(bg * 5 / bl::double) as int) else -1 end as pool from c{i}),
+e{i} as (select distinct host, template, name, bl, bg, pl, pg, bl > 0 and pl > 0 and (bg::double / bl - pg::double / pl) * (bg::double / bl - pg::double / pl) * bl > 2.706::double * (pg::double / pl) * (1.0::double - pg::double / pl) as differs from c{i} where seg is not null),
+f{i} as (select *, case when differs then bg::double / bl end as share from e{i}),
+g{i} as (select *, case when lag(bl) over w is null or (share > pg::double / pl) <> (lag(share) over w > pg::double / pl)
+  or (share - lag(share) over w) * (share - lag(share) over w) * (bl * lag(bl) over w) > 2.706::double * ((bg + lag(bg) over w)::double / (bl + lag(bl) over w)) * (1.0::double - (bg + lag(bg) over w)::double / (bl + lag(bl) over w)) * (bl + lag(bl) over w) then 1 else 0 end as first
+  from f{i} where differs window w as (partition by host, template order by share, name)),
+h{i} as (select host, template, name, cast(sum(first) over (partition by host, template order by share, name) as int) as pool from g{i}),
+d{i} as (select c.*, coalesce(h.pool, -1) as pool from c{i} c left join h{i} h on c.seg is not null and c.host = h.host and c.template = h.template and c.name = h.name),
 t{i} as (select host, segs, n, l, g, case when seg is null then template else template || '/' || name end as template,
   case when seg is null or pool < 0 then purity else (sum(g) over w + 10.0::double * purity) / (sum(l) over w + 10.0::double) end as purity from d{i} window w as (partition by host, template, seg is null, pool))"""
     return f"""

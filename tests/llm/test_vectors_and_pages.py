@@ -190,6 +190,19 @@ def test_templates_of_bad_purity_are_blocked(spark):
     assert url_filter.judge(pages.where("false"), labelled).count() == 0
 
 
+def test_similar_siblings_are_merged_and_different_ones_are_not(spark):
+    """Branches of 0.1, 0.15 (not told apart by their labels), 0.45 and 0.95 good: the first two are judged as one, by a purity between theirs."""
+    shares = {"a": (20, 2), "b": (20, 3), "c": (40, 18), "d": (300, 285)}
+    pages = [(i, f"http://h.org/{name}/{i}") for i, (name, k) in enumerate((n, k) for n, (total, _) in shares.items() for k in range(total))]
+    labels = [("h.org", f"/{name}/{i}", int(k < shares[name][1])) for i, (name, k) in enumerate((n, k) for n, (total, _) in shares.items() for k in range(total))]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "host string, path string, good long"), least_purity=0.6, strength=0.001).collect()
+    by = {r.path.split("/")[1]: r.verdict for r in got}
+    assert by == {"a": "block", "b": "block", "c": "block", "d": "allow"}
+    # Alone, 3 of 20 is above this bound and 2 of 20 below; merged, 5 of 40 is one answer for both.
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "host string, path string, good long"), least_purity=0.12, strength=0.001).collect()
+    assert {r.path.split("/")[1]: r.verdict for r in got} == {"a": "allow", "b": "allow", "c": "allow", "d": "allow"}
+
+
 def test_small_sections_of_a_large_host_and_deep_paths(spark):
     """A bad section of 4 % of its host keeps its own verdict, ids become wildcards, deep templates stay apart; repeated pages and labels are taken as they come."""
     urls = [f"http://big.org/page-{i}-x/view" for i in range(2000)] + [f"http://big.org/casino/offer{i}/now" for i in range(90)]
