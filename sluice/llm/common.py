@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.sources.queues import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by any path that Spark's readers open."""
@@ -24,19 +24,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 class Scratch:
     """Intermediate tables as Parquet files in the folder that the cluster shares.
 
-    A written table cuts the lineage: a lost executor costs the running stage only. The folder is
-    `spark.checkpoint.dir`; only where that is unset and the master is local (tests on one machine) a temporary one is made.
+    A written table cuts the lineage: a lost executor costs the running stage only.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = tempfile.mkdtemp(prefix="sluice-")
-            spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
-        self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = shared_dir(spark, label)
         self.count = 0
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:

@@ -1,8 +1,8 @@
 """LM scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
 1. *Counts.* Words and word pairs of all training documents are counted per chunk of text, dealt into buckets by the hash of the (first) word
-   and added up there. There is a bucket for every `bucket_bytes` of text, a task takes one bucket at a time, and so a task's memory doesn't
-   grow with the corpus.
+   and added up there. Words that would fill a bucket by themselves (chosen from about `sample_docs` documents; the choice changes no result) are hot: pairs that begin with one
+   are dealt by the hash of the pair instead, and what those pairs take from its probability is summed over all buckets. There is a bucket for every `bucket_bytes` of text, and a task takes one bucket at a time.
 2. *Filter.* A count c is quantised to the level floor(log_b c), and for each level from 0 to its own one entry (n-gram, level) is set in a Bloom filter: a reader
    probes level after level until a miss. Every word and every pair that occurs is kept. Each bucket has a segment of `bits_per_entry` bits
    per entry, so the filter grows with the corpus and its error rate doesn't: with the default of 8 bits and 4 hashes, a probe of what was not set
@@ -12,7 +12,7 @@
    the first word's. Both ways probe the same segments and give the same scores.
 
 Probabilities: P(w | v) = (c(v w) - d) / c(v) for pairs in the filter + a(v) * P0(w), where a(v) is the weight that the discounted pairs of
-v leave, quantised in the filter as well, and P0(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The most frequent words (at most
+v leave, quantised in the filter as well (hot words' weights are broadcast), and P0(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The most frequent words (at most
 `head_words`) are broadcast with exact counts; other words' counts come from the filter.
 
 `base_score` and `n_known` use exact counts of every token: frequent words' from the broadcast, all others by dealing
@@ -94,7 +94,9 @@ BLOCK = ("bucket", "kind", "a", "b", "c", "d", "e")
 BLOCK_DDL = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 #: Kinds of blocks, in the order in which a bucket's task reads them: words and counts, filter segment, counted pairs,
 #: postings of words, pairs on their way to the second and to the first word's bucket, parts of documents.
-WORD, SEGMENT, PAIR, POST, SECOND, FIRST, DOC = range(7)
+WORD, SEGMENT, PAIR, POST, SECOND, FIRST, DOC, MASS = range(8)
+#: Least share of all tokens of a hot word: there are at most this many.
+MOST_HOT = 100_000
 #: Rows of a chunk: id (0 for null), whether there is an id, hash of the text; and their sums, all over `copies` equal rows.
 ROWS = np.dtype([("id", "<i8"), ("named", "<i8"), ("text", "<i8")])
 #: Where a posting counts: the chunk's document and how often.
@@ -188,10 +190,11 @@ class Filter:
 
 
 class Model:
-    """What every task knows: the most frequent words with their counts, the totals and, if it is small enough, the filter."""
+    """What every task knows: the most frequent words with their counts, hot words with their weights, the totals and, if it is small enough, the filter."""
 
-    def __init__(self, head, head_counts, total: int, distinct: int, filter_: Filter | None):
+    def __init__(self, head, head_counts, hot, hot_counts, hot_weights, total: int, distinct: int, filter_: Filter | None):
         self.head, self.head_counts, self.floor, self.filter = head, head_counts, total + 0.5 * (distinct + 1), filter_
+        self.hot, self.hot_counts, self.hot_weights = hot, value_of(level_of(hot_counts)), hot_weights  # counts as the filter has them
 
     def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether words are among the most frequent ones, and those ones' counts."""
@@ -206,18 +209,48 @@ class Model:
         known, out = self.exact(words)
         level = filter_.level(words[~known], words[~known])
         out[~known] = np.where(level > 0, value_of(level - 1), 0.0)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+            out = np.where(~known & (self.hot[at] == words), self.hot_counts[at], out)
         return out
 
     def probability(self, first: np.ndarray, pair: np.ndarray, of: np.ndarray, p0: np.ndarray, filter_: Filter) -> np.ndarray:
         """P(second | first) of distinct pairs; first: distinct first words, of: their place for each pair, p0: P0 of the second words."""
-        level = filter_.level(pair, first[of])
+        level = filter_.level(pair, places(self.hot, first[of], pair))
         weight = np.exp(-STEP * np.maximum(0, filter_.level(mix(first ^ WEIGHT), first) - 1))
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
+            weight = np.where(self.hot[at] == first, self.hot_weights[at], weight)
         seen = np.maximum(self.counts(first, filter_), 1.0)[of]
         found = np.where(level > 0, value_of(level - 1) - DISCOUNT, 0.0)
         return np.minimum(1.0, np.minimum(found, seen) / seen + weight[of] * p0)
 
 
-def _count(buckets: int):
+def places(hot: np.ndarray, first: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """What decides a pair's bucket: its first word, or the pair itself if that is hot."""
+    return np.where(np.isin(first, hot), pair, first) if len(hot) else first
+
+
+def _frequencies(batches):
+    """Words of a sample and how often they come."""
+    words = _WordHash()
+    for batch in batches:
+        for _, _, texts in by_size(batch.column(0), CHUNK):
+            u, n = np.unique(token_arrays(texts, words)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+def hot_words(training: DataFrame, sample_docs: int, buckets: int) -> np.ndarray:
+    """Words of which a sample suggests that the pairs that begin with them would fill half a bucket; fewer than 2 * buckets and MOST_HOT."""
+    share = max(1, training.count() // sample_docs)
+    chosen = training.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(share)) == 0).select("text")
+    counts = chosen.mapInArrow(_frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > total / min(2 * buckets, MOST_HOT)).select("word").collect()
+    return np.sort(np.array([r.word for r in found], np.int64).view(np.uint64))
+
+
+def _count(buckets: int, hot: np.ndarray):
     def run(batches):
         words = _WordHash()
         for batch in batches:
@@ -229,7 +262,7 @@ def _count(buckets: int):
                 code, c = np.unique(before * len(u) + at, return_counts=True)  # in the order of first words
                 first, key = u[code // len(u)], pair_keys(u[code // len(u)], u[code % len(u)])
                 c = c.astype(np.uint32)
-                for b, p in _split(_bucket(first, buckets), buckets):
+                for b, p in _split(_bucket(places(hot, first, key), buckets), buckets):
                     start = np.flatnonzero(np.r_[True, first[p][1:] != first[p][:-1]])
                     runs = np.diff(np.r_[start, len(p)]).astype(np.uint32)
                     rows.append((b, PAIR, key[p].tobytes(), c[p].tobytes(), first[p][start].tobytes(), runs.tobytes()))
@@ -266,11 +299,11 @@ class _Sum:
         return self.done
 
 
-def _add_up(bits_per_entry: float):
-    """Each bucket's counted words and pairs to its words' counts and its filter segment."""
+def _add_up(bits_per_entry: float, hot: np.ndarray):
+    """Each bucket's counted words and pairs to its words' counts, its filter segment, and its part of what pairs take from hot words."""
 
     def close(bucket, words, pairs):
-        key, count = words.get()
+        key, count = words.get() or (np.empty(0, np.uint64), np.empty(0, np.int64))
         level = level_of(count)
         keys, levels = [key], [level]
         if (found := pairs.get()) is not None:
@@ -278,7 +311,11 @@ def _add_up(bits_per_entry: float):
             pl = level_of(c)
             heads, inverse = np.unique(first, return_inverse=True)
             mass = np.bincount(inverse, value_of(pl) - DISCOUNT, len(heads))
-            of = count[np.searchsorted(key, heads)].astype(np.float64)  # END closes every text, so every first word is a token
+            warm = np.isin(heads, hot)
+            if warm.any():
+                yield from _emit([(bucket, MASS, heads[warm].tobytes(), mass[warm].tobytes())])
+            heads, mass = heads[~warm], mass[~warm]
+            of = count[np.searchsorted(key, heads)].astype(np.float64) if len(heads) else mass  # END closes every text, so every first word is a token
             keys += [pair, mix(heads ^ WEIGHT)]
             levels += [pl, weight_level(np.clip(1 - mass / of, 0.01, 1))]
         segment = segment_of(keys, levels, bits_per_entry)
@@ -347,7 +384,8 @@ def _score(shared, buckets: int):
             i = where[first]
             place = np.zeros(len(i), PLACES)
             place["doc"], place["n"] = doc[i], n * copies[doc[i]]
-            for b, p in _split(_bucket(u[before[i]] if kind == FIRST else tokens[i], buckets), buckets):
+            first = u[before[i]]
+            for b, p in _split(_bucket(places(model.hot, first, pair_keys(first, tokens[i])) if kind == FIRST else tokens[i], buckets), buckets):
                 k = i[p]
                 p0 = ((count[inverse[k]] + 0.5) / model.floor).tobytes() if kind == FIRST else b""
                 yield b, kind, tokens[k].tobytes(), u[before[k]].tobytes(), p0, place[p].tobytes(), own.tobytes()
@@ -387,7 +425,7 @@ def _look_up(shared, buckets: int):
                 place, rows = np.frombuffer(d, PLACES), np.frombuffer(e, ROWS)
                 if kind == SECOND:
                     p0 = (model.counts(word, own_filter) + 0.5) / model.floor
-                    yield from _emit([(to, FIRST, word[p].tobytes(), before[p].tobytes(), p0[p].tobytes(), place[p].tobytes(), e) for to, p in _split(_bucket(before, buckets), buckets)])
+                    yield from _emit([(to, FIRST, word[p].tobytes(), before[p].tobytes(), p0[p].tobytes(), place[p].tobytes(), e) for to, p in _split(_bucket(places(model.hot, before, pair_keys(before, word)), buckets), buckets)])
                     continue
                 docs, of = np.unique(place["doc"], return_inverse=True)
                 sums = np.zeros((len(docs), len(SUMS)))
@@ -416,7 +454,7 @@ def _parts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows["id"]), pa.array(rows["named"] > 0), pa.array(rows["text"]), *(pa.array(sums[:, i]) for i in range(len(SUMS)))], names=["id", "named", "text", *SUMS])
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, bits_per_entry: float = 8.0, bucket_bytes: int = 16_000_000, most_bytes: int = 256_000_000) -> DataFrame:
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, bits_per_entry: float = 8.0, bucket_bytes: int = 16_000_000, most_bytes: int = 256_000_000, sample_docs: int = 2000) -> DataFrame:
     """Scores of every row of `docs`, learnt from those that are not held out."""
     spark = docs.sparkSession
     scratch, tasks = Scratch(spark, "lm"), shuffle_partitions(spark)
@@ -424,8 +462,9 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 1, F.lit(False))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(tasks, math.ceil(size / bucket_bytes))
-    counted = rows.where(~held_out).select("text").mapInArrow(lean(_count(buckets)), BLOCK_DDL)
-    counts = scratch.save(_in_order(counted, tasks).mapInArrow(lean(_add_up(bits_per_entry)), BLOCK_DDL), "counts")
+    hot = hot_words(rows.where(~held_out), sample_docs, buckets)
+    counted = rows.where(~held_out).select("text").mapInArrow(lean(_count(buckets, hot)), BLOCK_DDL)
+    counts = scratch.save(_in_order(counted, tasks).mapInArrow(lean(_add_up(bits_per_entry, hot)), BLOCK_DDL), "counts")
     levels = counts.where(F.col("kind") == WORD).mapInArrow(_levels, "level long, n long, t long").groupBy("level").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     total, distinct, by = sum(r["t"] for r in levels), sum(r["n"] for r in levels), {r["level"]: r["n"] for r in levels}
     head_least = next(v for v in range(MAX_LEVEL + 2) if sum(n for k, n in by.items() if k >= v) <= head_words)
@@ -433,19 +472,35 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     def frequent(batches):
         for _, _, a, b, *_ in _blocks(batches):
             key, count = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-            at = level_of(count) >= head_least
+            at = (level_of(count) >= head_least) | np.isin(key.view(np.uint64), hot)
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(count[at])], names=["word", "n"])
 
-    head = counts.where(F.col("kind") == WORD).mapInArrow(frequent, "word long, n long").toPandas()  # at most head_words rows
+    head = counts.where(F.col("kind") == WORD).mapInArrow(frequent, "word long, n long").toPandas()  # at most head_words rows, and hot words
     key = head["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
+    head_key, head_count = key[order], head["n"].to_numpy(np.int64)[order]
+
+    def masses(batches):
+        for _, _, a, b, *_ in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.float64))], names=["word", "mass"])
+
+    taken = counts.where(F.col("kind") == MASS).mapInArrow(masses, "word long, mass double").groupBy("word").agg(F.sum("mass").alias("mass")).collect() if len(hot) else []
+    taken = {r.word: r.mass for r in taken}
+    mass = np.array([taken.get(int(w), 0.0) for w in hot.view(np.int64)])
+    of = np.zeros(len(hot), np.int64)
+    if len(head_key):
+        at = np.minimum(np.searchsorted(head_key, hot), len(head_key) - 1)
+        of = np.where(head_key[at] == hot, head_count[at], 0)
+    hot_weights = np.exp(-STEP * weight_level(np.clip(1 - mass / np.maximum(of, 1), 0.01, 1)))
+    top = level_of(head_count) >= head_least
     segments = counts.where(F.col("kind") == SEGMENT)
     sizes = dict(segments.select("bucket", F.length("a")).collect())
     whole = None
     if sum(sizes.values()) <= most_bytes:
         whole = Filter(sizes, buckets, ((r["bucket"], r["a"]) for r in segments.select("bucket", "a").toLocalIterator()))
-    shared = spark.sparkContext.broadcast(Model(key[order], head["n"].to_numpy(np.int64)[order].astype(np.float64), total, distinct, whole))
+    shared = spark.sparkContext.broadcast(Model(head_key[top], head_count[top].astype(np.float64), hot, of, hot_weights, total, distinct, whole))
     postings = rows.mapInArrow(lean(_score(shared, buckets)), BLOCK_DDL)
+    counts = counts.where(F.col("kind") != MASS)
     found = _in_order(postings.unionByName(counts), tasks).mapInArrow(lean(_look_up(shared, buckets)), BLOCK_DDL)
     if whole is None:
         found = scratch.save(found, "pairs")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import lm_score, mixing, packing, quality, secrets
 from tests.compare import same
@@ -163,6 +164,29 @@ def test_scores_equal_brute_force(spark, monkeypatch, most_bytes):
     assert Counter((r.doc_id, round(r.score, 5)) for r in got) == want
 
 
+@pytest.mark.parametrize("most_bytes", [2**30, -1])
+def test_a_word_before_half_of_all_tokens_is_spread_over_the_buckets(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(lm_score, "CHUNK", 20_000)
+    rnd = np.random.default_rng(6)
+    rows = [(i, " ".join(f"the w{k}" for k in rnd.integers(0, 3000, 60))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = lm_score.hot_words(df.select(F.col("doc_id").alias("id"), "text"), 2000, 16)
+    assert len(hot) == 1
+
+    def pairs_of_fullest_bucket(hot):
+        blocks = df.select("text").mapInArrow(lm_score._count(16, hot), lm_score.BLOCK_DDL).where(F.col("kind") == lm_score.PAIR)
+        sizes = [r[1] for r in blocks.groupBy("bucket").agg(F.sum(F.length("a") / 8)).collect()]
+        return max(sizes), sum(sizes)
+
+    most, total = pairs_of_fullest_bucket(hot)
+    assert most < 2 * total / 16 < pairs_of_fullest_bucket(hot[:0])[0]
+    _, counted = brute_scores(rows, set())
+    head = {w for w, c in counted.items() if c > 1000}
+    want, _ = brute_scores(rows, head)
+    got = lm_score.scores(df, head_words=len(head), bits_per_entry=4096, bucket_bytes=3_000, most_bytes=most_bytes).collect()
+    assert Counter((r.doc_id, round(r.score, 5)) for r in got) == want
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     rows = [r for r in lm_score.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
@@ -189,8 +213,6 @@ def test_mixing_odd_rows_and_pass_through(spark):
 
 
 def test_mixing_with_clashing_columns_and_many_leaves(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     clash = {n: F.lit(n) for n in ("domain", "epoch", "epochs", "quota", "cut", "tokens", "capacity", "weight", "range", "id", "row", "last", "n_tokens", "in_prefix")}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs = docs.withColumns(clash)
@@ -316,8 +338,6 @@ def test_secrets_on_odd_rows(spark):
 
 
 def test_forest_expression_equals_its_prediction(spark):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 15)).round(3)
     forest = secrets.Forest().fit(x, (x[:, 2] + x[:, 5] > 0).astype(float))
