@@ -11,7 +11,8 @@ fillings are enumerated as the search asks for them (no filling in which a piece
 added), those of less waste first; only fillings are looked at whose waste leaves room for an improvement on the
 incumbent. The search stops at the bound or after `nodes` sequences tried, but not before `descents` times the
 sequences of the first incumbent (a complete packing tries one a sequence), keeping the incumbent; it also stops after `effort` steps of
-enumeration per piece of the group.
+enumeration per piece of the group. Each band of waste of one enumeration gives up after 2,000 steps: fillings that it had not come to by then are not tried, so the search is then no
+longer complete. Every piece is packed all the same, at worst as the incumbent has it.
 
 Null text: empty, so the end id alone. Null ids: packed as any other row, with null id. Repeated rows are
 packed each. Columns other than id and text are ignored. No rows give no pieces.

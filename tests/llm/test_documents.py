@@ -192,6 +192,19 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_hashing_gives_no_warnings():
+    import warnings
+
+    from sluice.llm import ann
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        keys = np.array([1, 2**63, 2**64 - 1], np.uint64)
+        for level in (0, 109, np.array([0, 1, 2])):
+            assert (lm_score.position(keys, level, 3, np.uint64(800)) < 800).all()
+        assert ann._mix(5, 3) == ann._mix(np.array([5]), 3)[0]
+
+
 def test_filter_counts_are_the_quantised_ones(spark):
     counts = np.array([1, 2, 3, 5, 8, 100, 12345])
     value = lm_score.value_of(lm_score.level_of(counts))
