@@ -154,7 +154,7 @@ class Backlog:
         by_slice = held.groupBy("queue", "slice").agg(F.sum("n").alias("n"))
         ahead = F.sum("n").over(_ordered("queue", "slice"))
         needed = by_slice.withColumn("ahead", ahead - F.col("n")).where(F.col("ahead") < most).select("slice").distinct()
-        versions = [(v, s) for v, s in held.join(F.broadcast(needed), "slice").select("version", "slice").distinct().collect()]
+        versions = [(v, s) for v, s in held.join(needed, "slice").select("version", "slice").distinct().collect()]
         waiting = self.rows(versions)
         out, touched = f"popped/round={round_}", sorted({s for _, s in versions})
         self.touched[round_] = len(touched)
