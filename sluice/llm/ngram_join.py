@@ -91,9 +91,9 @@ def _blocks(rows):
     return pa.RecordBatch.from_pylist([dict(zip(BLOCK.names, r, strict=True)) for r in rows], BLOCK)
 
 
-def _by_bucket(buckets, n):
-    """(bucket, positions) for each bucket that occurs."""
-    order = np.argsort(buckets, kind="stable")
+def _by_bucket(buckets, n, within=None):
+    """(bucket, positions) for each bucket that occurs; positions in the order of `within`, so that equal values there stand together and compress."""
+    order = np.argsort(buckets, kind="stable") if within is None else np.lexsort((within, buckets))
     edges = np.searchsorted(buckets[order], np.arange(n + 1))
     return [(i, order[edges[i] : edges[i + 1]]) for i in range(n) if edges[i] < edges[i + 1]]
 
@@ -168,7 +168,7 @@ def shared_blocks(buckets: int):
                 at = np.frombuffer(i, np.int64)[np.frombuffer(o, np.uint16)]
                 k = np.frombuffer(k, np.uint64)
                 if kind == RANKED:
-                    rows += [(b, RANKED, at[p].tobytes(), b"", k[p].tobytes(), np.full(len(p), LAST, np.uint16).tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets)]
+                    rows += [(b, RANKED, at[p].tobytes(), b"", k[p].tobytes(), np.full(len(p), LAST, np.uint16).tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets, at)]
                 else:
                     ids.append(at)
                     keys.append(k)
@@ -185,7 +185,7 @@ def shared_blocks(buckets: int):
             rank = np.repeat(rank.astype(np.uint16), count)
             keep = rank > 1
             h, at, rank = h[keep], at[keep], rank[keep]
-            rows += [(b, RANKED, at[p].tobytes(), b"", h[p].tobytes(), rank[p].tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets)]
+            rows += [(b, RANKED, at[p].tobytes(), b"", h[p].tobytes(), rank[p].tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets, at)]
         for lo in range(0, len(rows), 64):
             yield _blocks(rows[lo : lo + 64])
 
@@ -375,6 +375,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     members = post.join(same, ["s", "ring"]).select("region", "id", "n", F.array().cast("array<long>").alias("near"), F.lit(False).alias("close"), F.lit(None).cast("long").alias("was"))
     live = scratch.save(members, "live")
     scratch.drop(post)
+    scratch.drop(same)
     core = scratch.save(reps.join(live.select("id").distinct(), "id", "left_semi"), "core")
     scratch.drop(reps)
     scratch.release()
@@ -398,9 +399,12 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         asked = scratch.save(step("pivots").select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b").distinct(), "asked")
         close = (100 * F.col("common") >= (2 * percent - 100) * F.col("union")).alias("close")
         seen = scratch.save(_similar(asked, core).select("a", "b", linked, "common", close, (F.col("union") - F.col("common")).alias("delta")), "pivots")
+        scratch.drop(asked)
         links.append(seen.where("linked").select("a", "b"))
         near.append(seen.where("close").select("a", "b", "linked", "common"))
-        live = scratch.save(_regions_of(step("pivots"), seen.select("a", "b", "delta", "linked", "close"), percent), "live")
+        last, live = live, scratch.save(_regions_of(step("pivots"), seen.select("a", "b", "delta", "linked", "close"), percent), "live")
+        scratch.drop(last)
+        scratch.drop(sizes)
         scratch.release()
     by_pivots = links[0] if links else spark.createDataFrame([], "a long, b long")
     for x in links[1:]:
