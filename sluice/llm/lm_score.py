@@ -216,7 +216,7 @@ class Model:
 
     def probability(self, first: np.ndarray, pair: np.ndarray, of: np.ndarray, p0: np.ndarray, filter_: Filter) -> np.ndarray:
         """P(second | first) of distinct pairs; first: distinct first words, of: their place for each pair, p0: P0 of the second words."""
-        level = filter_.level(pair, places(self.hot, first[of], pair))
+        level = filter_.level(pair, places(self.hot, first, pair, of))
         weight = np.exp(-STEP * np.maximum(0, filter_.level(mix(first ^ WEIGHT), first) - 1))
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
@@ -226,9 +226,13 @@ class Model:
         return np.minimum(1.0, np.minimum(found, seen) / seen + weight[of] * p0)
 
 
-def places(hot: np.ndarray, first: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """What decides a pair's bucket: its first word, or the pair itself if that is hot."""
-    return np.where(np.isin(first, hot), pair, first) if len(hot) else first
+def places(hot: np.ndarray, first: np.ndarray, pair: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """What decides a pair's bucket: its first word, or the pair itself if that is hot. of: the place of each pair's first word in `first`, if those are distinct words."""
+    each = first if of is None else first[of]
+    if not len(hot):
+        return each
+    warm = np.isin(first, hot)
+    return np.where(warm if of is None else warm[of], pair, each)
 
 
 def _frequencies(batches):
@@ -262,7 +266,7 @@ def _count(buckets: int, hot: np.ndarray):
                 code, c = np.unique(before * len(u) + at, return_counts=True)  # in the order of first words
                 first, key = u[code // len(u)], pair_keys(u[code // len(u)], u[code % len(u)])
                 c = c.astype(np.uint32)
-                for b, p in _split(_bucket(places(hot, first, key), buckets), buckets):
+                for b, p in _split(_bucket(places(hot, u, key, code // len(u)), buckets), buckets):
                     start = np.flatnonzero(np.r_[True, first[p][1:] != first[p][:-1]])
                     runs = np.diff(np.r_[start, len(p)]).astype(np.uint32)
                     rows.append((b, PAIR, key[p].tobytes(), c[p].tobytes(), first[p][start].tobytes(), runs.tobytes()))
