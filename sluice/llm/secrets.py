@@ -3,9 +3,9 @@
 A candidate is a run of at least `least` characters of A-Z a-z 0-9 + / _ - with a digit or a change from lower to upper case in it, or whatever is assigned to
 a secret's name (four characters or more, of any kind but white space and quotes). Its features are its length, character shares,
 transitions between kinds of neighbouring characters and how likely its neighbouring characters follow each other in the documents' words, the share covered by dictionary words, whether it stands
-in a path, url or mail address, and the words and marks next to it. Dictionary and transitions are learnt from about `sample_docs` documents, chosen by the hash of their id: the most frequent words, and
-counts of pairs of characters over all words. A random forest, fitted on the driver on a bounded sample of labelled findings (`sample_rows` of each
-label, those of smallest value hash), gives each candidate a probability; its trees are Spark SQL expressions, so scanning and masking are
+in a path, url or mail address, and the words and marks next to it. Dictionary and transitions are learnt from all documents: the most frequent words, and
+counts of pairs of characters over all words. A random forest, grown on all distinct labelled findings, gives each candidate a probability: all trees grow by one level
+at a time, on counts of findings by node, feature, bin and label that Spark adds up, and only these counts come to the driver. Its trees are Spark SQL expressions, so scanning and masking are
 expressions on the row and no text is shuffled.
 
 Labelled findings are (value, before, after, label). Where none are given they are made from the documents by context: a value
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.common import Scratch, smallest, table
+from sluice.llm.common import Scratch, table
 
 LEAST = 16
 #: Names that secrets are assigned to.
@@ -75,12 +75,11 @@ def kind(c: Column) -> Column:
     return F.when(c.between("a", "z") & (F.length(c) == F.octet_length(c)), F.ascii(c) - 97).when(c.between("0", "9"), 26).otherwise(27)
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> Language:
-    """Dictionary and transitions of about `sample_docs` documents; at most WORDS words and KINDS * KINDS counts come to the driver."""
-    share = max(1, docs.count() // sample_docs)
-    chosen = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0))
+def learn(docs: DataFrame, text_col: str) -> Language:
+    """Dictionary and transitions of all documents; at most WORDS words and KINDS * KINDS counts come to the driver."""
     word = F.explode(F.split(F.lower(F.col(text_col)), r"[\s.,;:!?()\"]+"))
-    counts = Scratch(docs.sparkSession, "secrets").save(chosen.select(word.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")), "words")
+    scratch = Scratch(docs.sparkSession, "secrets")
+    counts = scratch.save(docs.where(F.col(text_col).isNotNull()).select(word.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")), "words")
     plain = counts.where(F.col("w").rlike(f"^[a-z]{{{SHORT},}}$") & (F.col("n") > 1))
     words = [r.w for r in plain.orderBy(F.col("n").desc(), "w").limit(WORDS).collect()]
     kinds = counts.select("n", F.transform(F.filter(F.split("w", ""), lambda c: c != ""), kind).alias("k"))
@@ -89,6 +88,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> Lang
     table_ = np.ones((KINDS, KINDS))
     for pair, total in pairs.groupBy("pair").agg(F.sum("n")).collect():
         table_[divmod(pair, KINDS)] += total
+    scratch.drop(counts)
     return Language(words, np.log2(table_ / table_.sum(1, keepdims=True)).ravel().tolist())
 
 
@@ -107,45 +107,130 @@ def features(value: Column, before: Column, after: Column, language: Language) -
 
 
 class Forest:
-    """Random forest of small depth, kept as nested (feature, cut, left, right) with leaf probabilities."""
+    """Random forest of small depth, kept as nested (feature, cut, left, right) with leaf probabilities.
 
-    def __init__(self, trees: int = 12, depth: int = 4, least: int = 5, seed: int = 7):
-        self.trees, self.depth, self.least, self.seed = trees, depth, least, seed
+    Every tree sees all findings, those of either label with the same weight in all; trees differ by the features that a node may choose from. Cuts are quantiles of all findings, `bins` of their values and as many of their balanced distribution.
+    """
+
+    def __init__(self, trees: int = 12, depth: int = 4, least: int = 5, seed: int = 7, bins: int = 32):
+        self.trees, self.depth, self.least, self.seed, self.bins = trees, depth, least, seed, bins
         self.roots: list = []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
-        rng = np.random.default_rng(self.seed)
-        if len(y) == 0 or y.min() == y.max():
-            self.roots = [float(y[0]) if len(y) else 0.0]
+        """From arrays."""
+        cells = [(f, float(v), int(label), int(n)) for label in (0, 1) for f in range(x.shape[1]) for v, n in zip(*np.unique(x[y == label, f], return_counts=True), strict=True)]
+
+        def count(splits, chosen):
+            binned = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(self.edges)], 1)
+            for tree, node in chosen:
+                at = np.ones(len(x), np.int64)
+                for _ in range(node.bit_length() - 1):
+                    here = np.array([splits.get((tree, k), (0, -1)) for k in at.tolist()])
+                    at = 2 * at + (binned[np.arange(len(x)), here[:, 0]] > here[:, 1])
+                for f in chosen[tree, node]:
+                    for (b, label), n in zip(*(v.tolist() for v in np.unique(np.stack([binned[at == node, f], y[at == node]], 1).astype(np.int64), axis=0, return_counts=True)), strict=True):
+                        yield tree, node, f, b, label, n
+
+        return self._learn([int((y == v).sum()) for v in (0, 1)], cells, count)
+
+    def fit_table(self, found: DataFrame, scratch: Scratch) -> Forest:
+        """From a table (value, x, label) of any size, of which equal rows count once."""
+        found = scratch.save(found.select("x", F.col("label").cast("int").alias("label"), "value").distinct().drop("value"), "findings")
+        # Rounded values have a bounded number of cells; cuts need no more.
+        v = F.col("v")
+        v = F.when(F.abs(v) <= 1, F.round(v, 3)).when(F.abs(v) < 64, F.round(v, 2)).otherwise(F.signum(v) * F.round(F.pow(F.lit(2.0), F.round(F.log2(F.abs(v)) * 8) / 8)))
+        cells = found.select("label", F.posexplode("x").alias("f", "v")).groupBy("f", v.alias("v"), "label").agg(F.count("*").alias("n")).select("f", "v", "label", "n")
+        total = {r.label: r.n for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        binned = None
+
+        def count(splits, chosen):
+            nonlocal binned
+            if binned is None:
+                edges = F.array(*(F.array(*map(F.lit, e)) if len(e) else F.array().cast("array<double>") for e in self.edges))
+                binned = scratch.save(found.select("label", F.zip_with("x", edges, lambda v, e: F.size(F.filter(e, lambda c: c < v))).alias("b")), "bins")
+
+            def reached(tree, node=1):
+                if (tree, node) in chosen:
+                    return F.struct(F.lit(tree).alias("tree"), F.lit(node).alias("node"), F.array(*map(F.lit, chosen[tree, node])).alias("fs"))
+                if (tree, node) in splits:
+                    f, j = splits[tree, node]
+                    return F.when(F.get("b", F.lit(f)) <= j, reached(tree, 2 * node)).otherwise(reached(tree, 2 * node + 1))
+                return F.lit(None).cast("struct<tree:int,node:int,fs:array<int>>")
+
+            at = binned.select("label", "b", F.explode(F.array(*(reached(t) for t in sorted({t for t, _ in chosen})))).alias("at")).where("at is not null")
+            each = at.select("label", "b", "at.tree", "at.node", F.explode("at.fs").alias("f"))
+            return map(tuple, each.groupBy("tree", "node", "f", F.get("b", F.col("f")).alias("bin"), "label").agg(F.count("*").alias("n")).collect())
+
+        return self._learn([total.get(0, 0), total.get(1, 0)], cells.collect() if min(total.get(0, 0), total.get(1, 0)) else [], count)
+
+    def _learn(self, total: list[int], cells, count) -> Forest:
+        """Grow all trees by one level at a time. total: findings by label; cells: (feature, value, label, findings); count: gives (tree, node, feature, bin, label, findings) of the nodes' chosen features.
+
+        Nodes are numbered from 1, children of k are 2 k and 2 k + 1; a split (feature, j) sends bins up to j to the left.
+        """
+        if not min(total):
+            self.roots = [1.0 if total[1] else 0.0]
             return self
-        # Balanced bootstrap: findings of either label weigh the same; as many rows of each as the label with more has.
-        sides = [np.flatnonzero(y == v) for v in (0, 1)]
-        size = max(map(len, sides))
-        self.roots = []
-        for _ in range(self.trees):
-            at = np.concatenate([rng.choice(s, size) for s in sides])
-            self.roots.append(self._grow(x[at], y[at], self.depth, rng))
+        rng, weight = np.random.default_rng(self.seed), np.array([max(total) / n for n in total])
+        of: dict[int, dict[float, float]] = {}
+        for f, v, label, n in cells:
+            of.setdefault(f, {})[v] = of.get(f, {}).get(v, 0.0) + n * weight[label]
+        self.edges = [self._cuts(of.get(f, {})) for f in range(max(of) + 1)]
+        columns = len(self.edges)
+        splits: dict[tuple, tuple] = {}
+        leaf = {(t, 1): 0.5 for t in range(self.trees)}  # both labels weigh the same
+        nodes = list(leaf)
+        for _ in range(self.depth):
+            if not nodes:
+                break
+            chosen = {k: sorted(rng.choice(columns, min(columns, max(3, int(columns**0.5))), replace=False).tolist()) for k in nodes}
+            sums = {(*k, f): np.zeros((len(self.edges[f]) + 1, 2)) for k, fs in chosen.items() for f in fs}
+            for t, node, f, b, label, n in count(splits, chosen):
+                sums[t, node, f][b, label] += n
+            nodes = []
+            for (t, node), fs in chosen.items():
+                best = None
+                for f in fs:
+                    upto = (sums[t, node, f] * weight).cumsum(0)
+                    left, right = upto[:-1], upto[-1] - upto[:-1]
+                    k, m = left.sum(1), right.sum(1)
+                    fits = (k >= self.least) & (m >= self.least)
+                    if not fits.any():
+                        continue
+                    p, q = left[:, 1] / np.maximum(k, 1e-9), right[:, 1] / np.maximum(m, 1e-9)
+                    impurity = np.where(fits, k * p * (1 - p) + m * q * (1 - q), np.inf)
+                    j = int(impurity.argmin())
+                    whole = upto[-1].sum()
+                    share = upto[-1, 1] / whole
+                    if impurity[j] < share * (1 - share) * whole - 1e-9 and (best is None or impurity[j] < best[0]):
+                        best = (impurity[j], f, j, left[j], right[j])
+                if best is None:
+                    continue
+                splits[t, node] = best[1:3]
+                for child, (zero, one) in ((2 * node, best[3]), (2 * node + 1, best[4])):
+                    leaf[t, child] = round(float(one / (zero + one)), 6)
+                    if min(zero, one) > 0 and zero + one >= 2 * self.least:
+                        nodes.append((t, child))
+
+        def nested(t, node):
+            if (t, node) not in splits:
+                return leaf[t, node]
+            f, j = splits[t, node]
+            return f, self.edges[f][j], nested(t, 2 * node), nested(t, 2 * node + 1)
+
+        self.roots = [nested(t, 1) for t in range(self.trees)]
         return self
 
-    def _grow(self, x, y, depth, rng):
-        mean = float(y.mean())
-        if depth == 0 or mean in (0.0, 1.0) or len(y) < 2 * self.least:
-            return round(mean, 6)
-        best = (mean * (1 - mean) * len(y) - 1e-9, None, None)
-        for f in rng.choice(x.shape[1], max(3, int(x.shape[1] ** 0.5)), replace=False):
-            values = np.unique(x[:, f])
-            for cut in np.unique(np.quantile(values, np.linspace(0.05, 0.95, 15))) if len(values) > 15 else (values[1:] + values[:-1]) / 2:
-                left = x[:, f] <= cut
-                k = int(left.sum())
-                if self.least <= k <= len(y) - self.least:
-                    p, q = y[left].mean(), y[~left].mean()
-                    impurity = k * p * (1 - p) + (len(y) - k) * q * (1 - q)
-                    if impurity < best[0]:
-                        best = (impurity, int(f), float(cut))
-        if best[1] is None:
-            return round(mean, 6)
-        left = x[:, best[1]] <= best[2]
-        return best[1], round(best[2], 6), self._grow(x[left], y[left], depth - 1, rng), self._grow(x[~left], y[~left], depth - 1, rng)
+    def _cuts(self, weights: dict[float, float]) -> list[float]:
+        """Cuts of a feature from the weights of its values: between neighbours, or quantiles where there are many."""
+        values = np.array(sorted(weights))
+        if len(values) <= 2 * self.bins:
+            cuts = (values[1:] + values[:-1]) / 2
+        else:
+            upto = np.cumsum([weights[v] for v in values.tolist()])
+            levels = np.arange(1, self.bins + 1) / (self.bins + 1)
+            cuts = np.concatenate([np.quantile(values, levels), values[np.searchsorted(upto, levels * upto[-1])]])
+        return np.unique(cuts.round(6)).tolist()
 
     def expression(self, x: Column) -> Column:
         """Mean leaf probability for an array column of features."""
@@ -192,11 +277,9 @@ def context_label(before: Column) -> Column:
     return F.when(assigned, 1).when(~named & ~before.rlike(r"[=:]\s*[\"'(\[]?$"), 0)
 
 
-def fit(labelled: DataFrame, sample_rows: int) -> Forest:
-    """Forest on at most `sample_rows` distinct findings (x, label) of each label."""
-    rows = [smallest(labelled.where(F.col("label") == v).select("value", "x").distinct(), sample_rows, "value", "x").select("x").collect() for v in (0, 1)]
-    x = np.array([r.x for part in rows for r in part], np.float64).reshape(-1, len(FEATURES))
-    return Forest().fit(x, np.repeat([0.0, 1.0], [len(p) for p in rows]))
+def fit(labelled: DataFrame) -> Forest:
+    """Forest on all distinct labelled findings (value, x, label)."""
+    return Forest().fit_table(labelled.where("label in (0, 1)").select("value", "x", "label"), Scratch(labelled.sparkSession, "secrets"))
 
 
 def with_features(labelled: DataFrame, language: Language) -> DataFrame:
@@ -205,23 +288,23 @@ def with_features(labelled: DataFrame, language: Language) -> DataFrame:
     return labelled.where("label is not null and value <> ''").select("value", x.alias("x"), "label")
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, sample_rows: int = 3000, sample_docs: int = 2000, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, threshold: float = 0.5) -> DataFrame:
     """A row per candidate: id, start (code points before it), length, value, score and is_secret."""
-    language = learn(docs, id_col, text_col, sample_docs)
+    language = learn(docs, text_col)
     found = Scratch(docs.sparkSession, "secrets").save(_spread(docs, id_col, text_col, least, language), "candidates")
-    forest = fit(with_features(labelled, language) if labelled is not None else found, sample_rows)
+    forest = fit(with_features(labelled, language) if labelled is not None else found)
     x = found.withColumn("score", F.round(forest.expression(F.col("x")), 6))
     return x.select(F.col("id").alias(id_col), "start", F.length("value").alias("length"), "value", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
-def mask(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, sample_rows: int = 3000, sample_docs: int = 2000, threshold: float = 0.5) -> DataFrame:
+def mask(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, threshold: float = 0.5) -> DataFrame:
     """`docs` with every secret in the text replaced by MASK; all other text and columns unchanged."""
-    language = learn(docs, id_col, text_col, sample_docs)
+    language = learn(docs, text_col)
     if labelled is None:
         labelled = Scratch(docs.sparkSession, "secrets").save(_spread(docs, id_col, text_col, least, language).where("label is not null").select("value", "x", "label"), "candidates")
     else:
         labelled = with_features(labelled, language)
-    forest = fit(labelled, sample_rows)
+    forest = fit(labelled)
     # Features are computed once for each candidate, and then asked by all trees.
     found = _each(F.col(text_col), least, lambda v, b, a: F.struct(v.alias("value"), b.alias("before"), F.array(*features(v, b, a, language)).alias("x")))
     shown = F.transform(found, lambda z: F.concat(z["before"], F.when(F.round(forest.expression(z["x"]), 6) >= threshold, MASK).otherwise(z["value"])))

@@ -357,3 +357,33 @@ def test_forest_expression_equals_its_prediction(spark):
     df = spark.createDataFrame([(x[i].tolist(),) for i in range(100)], "x array<double>")
     got = [r[0] for r in df.select(forest.expression(F.col("x"))).collect()]
     assert got == pytest.approx(forest.predict(x[:100]).tolist())
+
+
+def test_secrets_are_learnt_from_all_documents(spark):
+    """A word and the only findings of one kind stand in few of very many rows, and are known all the same."""
+    rows = [(i, "plain words in every row") for i in range(6000)] + [(6000 + i, "rareword rareword") for i in range(3)]
+    words = []
+    language, held = secrets.Language, secrets.Language.__init__
+
+    def seen(self, known, follows):
+        words.extend(known)
+        held(self, known, follows)
+
+    language.__init__ = seen
+    try:
+        secrets.learn(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    finally:
+        language.__init__ = held
+    assert "rareword" in words and "plain" in words
+    # 8,000 findings of either label; what a bound of 3,000 would leave out changes the share of a leaf.
+    found = spark.range(16000).select(F.col("id").cast("string").alias("value"), F.array(F.when(F.col("id") < 8001, 1.0).otherwise(0.0)).alias("x"), (F.col("id") < 8000).cast("int").alias("label"))
+    assert secrets.fit(found).predict(np.array([[1.0], [0.0]])).tolist() == [round(8000 / 8001, 6), 0.0]
+
+
+def test_forest_of_a_table_equals_that_of_arrays(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 6)).round(2).clip(-1, 1)
+    y = (x[:, 0] > x[:, 3]).astype(int)
+    df = spark.createDataFrame([(str(i), x[i].tolist(), int(y[i])) for i in range(400)], "value string, x array<double>, label int")
+    one, other = secrets.fit(df), secrets.Forest().fit(x, y)
+    assert one.roots == other.roots and ((one.predict(x) > 0.5) == y).mean() > 0.85
