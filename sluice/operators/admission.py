@@ -1,9 +1,10 @@
 """Admission that depends on earlier admissions: sliding-window and concurrency quotas.
 
 A request is admitted while fewer than `limit` admitted ones of its key are live; refused ones take no slot, so no window function
-gives the answer. It restarts wherever no earlier request of the key can still be live. Those points are found by a running
-maximum over time slices, and the chunks between them are replayed independently: a hot key is as many groups as it has
-pauses. Rows stream through a task in order of (chunk, time), with at most `limit` live ends in memory.
+gives the answer: requests are replayed. Rows stream through a task in order of (key, time), with at most `limit` live ends in memory, after one shuffle.
+
+Only the rows of keys of more than `replay_rows` rows are cut before. The answer restarts wherever no earlier request of the key can still be live. Those points are found by a running
+maximum over time slices, and the chunks between them are replayed independently: a hot key is as many groups as it has pauses.
 
 A chunk of more than `replay_rows` rows is cut further. A request at which fewer than `limit` earlier ones are live, admitted or not, is sure to be
 admitted; a running count of starts and ends finds these without a replay. Only stretches of the others are replayed, each from a time at which no unsure request is live: what is live then are
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import windows
 from sluice.sources.queues import shared_dir
 
+
 def chunked(df: DataFrame, key: str, time: str, tie: str, end: str, width: int | None = None) -> DataFrame:
     """Adds `chunk`, the (time, tie) of the row at which the key's history last restarted."""
     order = [time, tie]
@@ -71,57 +73,73 @@ def stretches(rows: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def _replay(limits: list[int]):
-    def run(frames):
-        chunk, live = None, []
-        for f in frames:
+    """Batches of chunk_key, t, row_id, own, the gates' ends, and columns that go along."""
+
+    def run(batches):
+        chunk, live = object(), []
+        for b in batches:
             refused = []
-            for c, t, *ends in zip(f["chunk_key"], f["t"], *(f[f"e{i}"] for i in range(len(limits))), strict=True):
+            for c, t, *ends in zip(*(b.column(n).to_pylist() for n in ("chunk_key", "t", *(f"e{i}" for i in range(len(limits))))), strict=True):
                 if c != chunk:
                     chunk, live = c, [[] for _ in limits]
-                by = -1
+                by = None
                 for i, (slots, limit) in enumerate(zip(live, limits, strict=True)):
-                    while slots and slots[0] <= t:
+                    while slots and t is not None and slots[0] <= t:
                         heapq.heappop(slots)
-                    if by < 0 and len(slots) >= limit:
+                    if by is None and len(slots) >= limit:
                         by = i
-                if by < 0:  # slots are taken only where no gate refuses, so there is nothing to roll back
+                if by is None:  # slots are taken only where no gate refuses, so there is nothing to roll back
                     for slots, e in zip(live, ends, strict=True):
-                        if e == e:  # not null
+                        if e is not None and e == e:
                             heapq.heappush(slots, e)
                 refused.append(by)
-            yield pd.DataFrame({"row_id": f["row_id"], "refused_by": refused})[f["own"]]
+            more = b.schema.names[4 + len(limits) :]
+            out = pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(refused, pa.int32()), *(b.column(n) for n in more)], names=["row_id", "refused_by", *more])
+            yield out.filter(b.column("own"))
 
     return run
 
 
-def admit_chain(df: DataFrame, *, key: str, time: str, tie: str, ends: list[str], limits: list[int], replay_rows: int = 1_000_000) -> DataFrame:
-    """(tie, refused_by) of each row before a chain of quotas of one key, asked in order; refused_by is the first that refuses, null if none does.
+def admit_chain(df: DataFrame, *, key: str, time: str, tie: str, ends: list[str], limits: list[int], keep: tuple[str, ...] = (), replay_rows: int = 1_000_000) -> DataFrame:
+    """(tie, refused_by) of each row before a chain of quotas of one key, asked in order; refused_by is the first that refuses, null if none does. Columns to `keep` go along.
 
-    Gate i gives `limits[i]` slots, each held from `time` until `ends[i]`. A refused request holds no slot of any gate. A chunk of more than `replay_rows` rows is cut into stretches.
+    Gate i gives `limits[i]` slots, each held from `time` until `ends[i]`. A refused request holds no slot of any gate. A key of at most `replay_rows` rows is replayed as it is; a longer one is cut into chunks, and
+    a chunk of more rows than that into stretches.
     """
-    whole = df.withColumn("_end", F.greatest(*ends) if len(ends) > 1 else F.col(ends[0]))
-    c = chunked(whole.select(key, time, tie, *ends, "_end"), key, time, tie, "_end")
-    chunk = F.sha2(F.to_json(F.struct(key, "chunk")), 256).alias("chunk_key")
-    rows = c.select(chunk, F.col(time).alias("t"), F.col(tie).alias("row_id"), *(F.col(e).alias(f"e{i}") for i, e in enumerate(ends)))
-    rows = rows.withColumn("own", F.lit(True))
-    if df.count() > replay_rows:  # else no chunk is that long
-        path = shared_dir(df.sparkSession, "admission")
-        rows.write.parquet(f"{path}/chunks")
-        rows = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/chunks")
-        long_ = rows.groupBy("chunk_key").agg(F.count("*").alias("n"), F.count("t").alias("timed")).where((F.col("n") > replay_rows) & (F.col("n") == F.col("timed"))).select("chunk_key")
-        rows = rows.join(long_, "chunk_key", "left_anti").unionByName(stretches(rows.join(long_, "chunk_key", "left_semi").drop("own"), limits))
+    spark, along = df.sparkSession, [f"k{i}" for i in range(len(keep))]
+    held = [F.col(time).alias("t"), F.col(tie).cast("long").alias("row_id"), F.lit(True).alias("own"), *(F.col(e).alias(f"e{i}") for i, e in enumerate(ends)), *(F.col(c).alias(n) for c, n in zip(keep, along, strict=True))]
+    short = lambda rows: rows.select(F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")).alias("chunk_key"), *held)
+    rows, hot = short(df), None
+    if df.count() > replay_rows:  # else no key has that many
+        path = shared_dir(spark, "admission")
+        df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > replay_rows).select("_key").write.parquet(f"{path}/long")
+        hot = spark.read.schema(df.select(F.col(key).alias("_key")).schema).parquet(f"{path}/long")
+    if hot is not None and not hot.isEmpty():
+        among = F.col(key).eqNullSafe(F.col("_key"))
+        long_ = df.join(hot, among, "left_semi").withColumn("_end", F.greatest(*ends) if len(ends) > 1 else F.col(ends[0]))
+        c = chunked(long_.select(*dict.fromkeys([key, time, tie, *ends, *keep]), "_end"), key, time, tie, "_end")
+        c = c.select(F.sha2(F.to_json(F.struct(key, "chunk")), 256).alias("chunk_key"), *held)
+        c.write.parquet(f"{path}/chunks")
+        c = spark.read.schema(c.schema).parquet(f"{path}/chunks")
+        over = c.groupBy("chunk_key").agg(F.count("*").alias("n"), F.count("t").alias("timed")).where((F.col("n") > replay_rows) & (F.col("n") == F.col("timed"))).select("chunk_key")
+        cut = c.join(over, "chunk_key", "left_semi")
+        pieces = stretches(cut.drop("own", *along), limits)
+        if keep:
+            pieces = pieces.join(cut.select("row_id", *along), "row_id")
+        rows = short(df.join(hot, among, "left_anti")).unionByName(c.join(over, "chunk_key", "left_anti")).unionByName(pieces)
     ordered = rows.repartition("chunk_key").sortWithinPartitions("chunk_key", "t", "row_id")
-    found = ordered.mapInPandas(_replay(limits), "row_id long, refused_by int")
-    return found.select(F.col("row_id").alias(tie), F.when(F.col("refused_by") >= 0, F.col("refused_by")).alias("refused_by"))
+    types = "".join(f", {n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keep, along, strict=True))
+    found = ordered.mapInArrow(_replay(limits), f"row_id long, refused_by int{types}")
+    return found.select(F.col("row_id").alias(tie), "refused_by", *(F.col(n).alias(c) for c, n in zip(keep, along, strict=True)))
 
 
-def admit(df: DataFrame, *, key: str, time: str, tie: str, end: str, limit: int, replay_rows: int = 1_000_000) -> DataFrame:
-    """(tie, admitted) of each row; a slot is held from `time` until `end`, and is free at `end`.
+def admit(df: DataFrame, *, key: str, time: str, tie: str, end: str, limit: int, keep: tuple[str, ...] = (), replay_rows: int = 1_000_000) -> DataFrame:
+    """(tie, admitted) of each row, with the columns to `keep`; a slot is held from `time` until `end`, and is free at `end`.
 
     A sliding window of w seconds is the case end = time + w.
     """
-    found = admit_chain(df, key=key, time=time, tie=tie, ends=[end], limits=[limit], replay_rows=replay_rows)
-    return found.select(tie, F.col("refused_by").isNull().alias("admitted"))
+    found = admit_chain(df, key=key, time=time, tie=tie, ends=[end], limits=[limit], keep=keep, replay_rows=replay_rows)
+    return found.select(tie, *keep, F.col("refused_by").isNull().alias("admitted"))
 
 
 def pool_gate(requests: DataFrame, ticks: DataFrame, key: str, time: str, deadline: str, timeout: int) -> DataFrame:

@@ -24,21 +24,21 @@ select {columns} from r"""
 @query("a1_rate_limit", replay_sql("tenant", "created + 86400", 3))
 def a1(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("done", F.col("created") + 86400)
-    a = ad.admit(r, key="tenant", time="created", tie="event_id", end="done", limit=3)
-    return r.select("event_id", F.col("tenant").alias("key")).join(a, "event_id")
+    a = ad.admit(r, key="tenant", time="created", tie="event_id", end="done", limit=3, keep=("tenant",))
+    return a.select("event_id", F.col("tenant").alias("key"), "admitted")
 
 
 @query("a2_concurrency_quota", replay_sql("tenant", "created + 600 * (1 + k)", 2))
 def a2(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("done", F.col("created") + 600 * (1 + F.col("k")))
-    a = ad.admit(r, key="tenant", time="created", tie="event_id", end="done", limit=2)
-    return r.select("event_id", F.col("tenant").alias("key")).join(a, "event_id")
+    a = ad.admit(r, key="tenant", time="created", tie="event_id", end="done", limit=2, keep=("tenant",))
+    return a.select("event_id", F.col("tenant").alias("key"), "admitted")
 
 
 @query("a5_local_limit", replay_sql("(queue_id || user_key)", "created + 900 * (1 + k)", 2, columns="event_id, key, case when admitted then 'CONTINUE' else 'REFUSE' end as classifying, case when admitted then 'CONTINUE' else 'WAIT' end as blocking").replace("from events))", "from events))", 1).replace("o as (select event_id", "q as (select *, tenant as user_key from req), o as (select event_id", 1).replace("as rn from req)", "as rn from q)", 1))
 def a5(spark, sf_dir):
     r = requests(spark, sf_dir).withColumns({"done": F.col("created") + 900 * (1 + F.col("k")), "key": F.concat("queue_id", "tenant")})
-    a = r.select("event_id", "key").join(ad.admit(r, key="key", time="created", tie="event_id", end="done", limit=2), "event_id")
+    a = ad.admit(r, key="key", time="created", tie="event_id", end="done", limit=2, keep=("key",))
     return a.select("event_id", "key", F.when(F.col("admitted"), "CONTINUE").otherwise("REFUSE").alias("classifying"), F.when(F.col("admitted"), "CONTINUE").otherwise("WAIT").alias("blocking"))
 
 

@@ -256,3 +256,23 @@ def test_slices_narrow_for_a_hot_key(spark, monkeypatch):
     assert per < 200
     run = lambda w: rows(windows.running(df, ["k"], "t", ["id"], width=w, n=F.col("id")), "k", "id", "n")
     assert run(width) == run(None)
+
+
+@pytest.mark.parametrize("replay_rows", [100, 1_000_000])
+def test_quotas_shuffle_short_keys_once_and_keep_columns(spark, replay_rows):
+    """Keys of few rows are replayed after one shuffle and no join; null keys, a long key and columns that go along come out right."""
+    rows_ = [(None if i % 7 == 0 else "hot" if i % 7 < 4 else f"k{i % 50}", i // 3, i, i // 3 + 5 + i % 4, f"note {i}") for i in range(700)]
+    df = spark.createDataFrame(rows_, "k string, t long, i long, e long, note string")
+    found = admission.admit(df, key="k", time="t", tie="i", end="e", limit=2, keep=("k", "note"), replay_rows=replay_rows)
+    live, want = {}, {}
+    for k, t, i, e, _ in rows_:
+        held = live[k] = [x for x in live.get(k, []) if x > t]
+        want[i] = len(held) < 2
+        if want[i]:
+            held.append(e)
+    got = found.collect()
+    assert {r.i: r.admitted for r in got} == want and len(got) == 700
+    assert all((r.k, r.note) == (rows_[r.i][0], f"note {r.i}") for r in got)
+    if replay_rows > 700:
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange ") == 1 and "Join" not in plan and "Window" not in plan
