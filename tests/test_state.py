@@ -276,3 +276,59 @@ def test_quotas_shuffle_short_keys_once_and_keep_columns(spark, replay_rows):
     if replay_rows > 700:
         plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         assert plan.count("Exchange ") == 1 and "Join" not in plan and "Window" not in plan
+
+
+class FakeMap:
+    """Map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._call(bool(self.held))
+
+    def getValue(self, k):
+        return self._call(self.held.get(k))
+
+    def updateValue(self, k, v):
+        self._call(self.held.__setitem__(k, v))
+
+    def iterator(self):
+        return self._call(iter(list(self.held.items())))
+
+
+class FakeAlarm:
+    def __init__(self):
+        self.at = self
+
+    def exists(self):
+        return True
+
+
+class FakeTime:
+    def getCurrentProcessingTimeInMs(self):
+        return 0
+
+    getCurrentWatermarkInMs = getCurrentProcessingTimeInMs
+
+
+def test_streams_ask_their_state_once_a_key_or_bucket():
+    """Calls for state, each of which goes to the JVM, don't grow with the slots of a key or the requests of a bucket."""
+    import pandas as pd
+
+    quotas = pr.Quotas([50], 1000)
+    quotas.keys, quotas.alarm = FakeMap(), FakeAlarm()
+    part = pd.DataFrame({"key": "k", "at": range(100), "is_release": False, "event_id": range(100), "ends": [[None]] * 100})
+    for _ in range(2):
+        (out,) = quotas.handleInputRows(None, iter([part[:50], part[50:]]), FakeTime())
+    assert len(out) == 100 and quotas.keys.calls <= 6
+    marks = pr.Markers(1000)
+    marks.marks, marks.alarm = FakeMap(), FakeAlarm()
+    part = pd.DataFrame({"id": [str(i) for i in range(100)], "token": "t", "created": range(100), "event_id": range(100), "is_cancel": [i == 7 for i in range(100)]})
+    (out,) = marks.handleInputRows(None, iter([part]), FakeTime())
+    (again,) = marks.handleInputRows(None, iter([part.assign(is_cancel=False)]), FakeTime())
+    assert marks.marks.calls <= 5 and len(out) == 99 and again["cancelled"].tolist() == [i == 7 for i in range(100)]
