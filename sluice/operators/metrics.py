@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import windows
+from sluice.sources.queues import shared_dir
 
 # Bucket bounds in milliseconds of calls, of waiting in process, and from publishing to success.
 INFERENCE_MS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000, 120000)
@@ -58,14 +59,23 @@ def alert(df: DataFrame, keys: list[str], time: str, condition: Column, hold: in
     return d.withColumns({"session": F.when(F.col("_c"), F.col("session")), "firing": F.col("_c") & (F.col(time) - F.col("session") >= hold)}).drop("_c", "_p", "_start")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A table of few rows, such as one per window, written and read back: what it is made from is computed once, however often it is asked."""
+    path = shared_dir(df.sparkSession, "metrics")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rate_ratios(rates: DataFrame, keys: list[str], counter: str, base: str) -> DataFrame:
     """Each counter's rate over that of `base` in the same window, null where that is 0. rates: (keys, counter, start, rate)."""
+    rates = _kept(rates)
     of = rates.where(F.col(counter) == base).select(*keys, "start", F.col("rate").alias("_base"))
     return rates.where(F.col(counter) != base).join(of, [*keys, "start"]).select(*keys, counter, "start", F.try_divide("rate", "_base").alias("ratio"))
 
 
 def alerts(ratios: DataFrame, keys: list[str], time: str, counter: str, ratio: str, rules=ALERT_RULES) -> DataFrame:
     """Sessions and firing state of every rule (name, counter, comparison, threshold, seconds to hold) per key. A ratio that is null meets no condition."""
+    ratios = _kept(ratios)
     each = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(c).alias("of"), F.lit(op == ">").alias("above"), F.lit(float(v)).alias("least"), F.lit(hold).alias("hold")) for n, c, op, v, hold in rules))
     x = ratios.select(*keys, time, F.col(counter).alias("_counter"), F.col(ratio).alias("_ratio"), F.explode(each).alias("_rule")).where("_rule.of = _counter")
     x = x.select(*keys, time, "_ratio", "_rule.*")

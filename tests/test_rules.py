@@ -314,3 +314,19 @@ def test_byte_prefix_and_typed_map(spark):
 def test_registries(spark):
     transforms.register_transform("upper", lambda body, row: F.upper(body))
     assert one(spark, transforms.chain(["upper"], F.lit("a"), {})) == "A"
+
+
+def test_alerts_compute_their_rates_once(spark):
+    """Rates are asked for base, counters and sessions; what they are made from runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rates = spark.createDataFrame([("q", c, 3600 * i, float(1 + (c == "retries") * i)) for i in range(4) for c in ("requests", "retries")], "queue_id string, counter string, start long, rate double")
+    ratios = metrics.rate_ratios(rates.mapInArrow(count, rates.schema), ["queue_id"], "counter", "requests")
+    got = sorted((r.start, r.session, r.firing) for r in metrics.alerts(ratios, ["queue_id"], "start", "counter", "ratio").collect())
+    assert got == [(0, 0, False), (3600, 0, True), (7200, 0, True), (10800, 0, True)]
+    assert seen.value == 8
