@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import lm_score, mixing, packing, quality, secrets
+from sluice.llm.common import Scratch
 from tests.compare import same
 from tests.conftest import SMALL
 
@@ -48,6 +49,24 @@ def test_quality_held_out_accuracy(spark):
     assert kept.count() == quality.scores(docs, known).where("predicted = 1").count()
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
+    known = rows.select("doc_id", F.lit(1).alias("quality"))
+    got = quality.scores(rows, known).agg(F.min("score"), F.count_if(~F.col("held_out"))).first()
+    assert got[1] > 39_000 and math.isclose(1 - got[0], 0.5 / (got[1] + 1), rel_tol=1e-6)
+
+
+def test_trees_of_a_table_are_those_of_its_rows(spark):
+    docs = documents(spark).select(F.coalesce("text", F.lit("")).alias("text")).limit(150).collect()
+    x = np.array([quality.statistics(r.text.encode()) for r in docs])
+    y = (x[:, 0] + x[:, 12] > np.median(x[:, 0] + x[:, 12])).astype(float)
+    table = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(5)
+    local = quality.BoostedTrees(trees=16).fit(x, y)
+    for other in (quality.BoostedTrees(trees=16).fit_table(part, Scratch(spark, "trees")) for part in (table, table.repartition(2))):
+        assert (other.feature == local.feature).all() and (other.cut == local.cut).all() and (other.leaf == local.leaf).all()
+    assert local.leaf.any() and ((local.predict(x) > 0.5) == y).mean() > 0.8
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
