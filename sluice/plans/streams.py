@@ -140,4 +140,4 @@ def t9(spark, sf_dir):
 @query("j9_stream_match", sql(REQ, body="select id, status, k * 5 as latency from req"))
 def j9_stream(spark, sf_dir):
     results = stream(spark, sf_dir).select(F.col("id").alias("request_id"), (F.col("created") + F.col("k") * 5).alias("finished"), "status")
-    return st.run_available(st.match_results(stream(spark, sf_dir).select("id", "created"), results), "j9").select("id", "status", "latency")
+    return st.run_available(st.match_results(stream(spark, sf_dir).select("id", "created"), results), "j9", prompt=True).select("id", "status", "latency")

@@ -85,6 +85,19 @@ def test_match_results_of_two_streams(spark, tmp_path):
     assert rows(st.run_available(st.match_results(a, b), "match"), "id", "latency") == [("x", 30), ("y", 60)]
 
 
+def test_prompt_match_makes_no_batch_after_the_input_and_goes_on_from_its_state(spark, tmp_path):
+    import json
+
+    a = files(spark, tmp_path / "a", [[{"id": "x", "created": 100}, {"id": "y", "created": 500}, {"id": "z", "created": 90_000_000}]]).select("id", "created")
+    b = files(spark, tmp_path / "b", [[{"id": "y", "created": 560}]]).selectExpr("id as request_id", "created as finished")
+    commits = lambda: len(list((tmp_path / "m" / "state" / "commits").glob("[0-9]*")))
+    out = st.run_available(st.match_results(a, b), "match", path=str(tmp_path / "m"), prompt=True)
+    assert rows(out, "id", "latency") == [("y", 60)] and commits() == 1
+    (tmp_path / "b" / "1.json").write_text(json.dumps({"id": "z", "created": 90_000_040}) + "\n" + json.dumps({"id": "x", "created": 130}))
+    out = st.run_available(st.match_results(a, b), "match", path=str(tmp_path / "m"), prompt=True)
+    assert rows(out, "id", "latency") == [("x", 30), ("y", 60), ("z", 40)] and commits() == 2
+
+
 def test_persisted_queues_and_configuration(spark, tmp_path):
     import pytest
 
