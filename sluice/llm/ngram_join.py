@@ -82,8 +82,8 @@ def shingles(text: bytes | None, n: int, words: _WordHash) -> np.ndarray:
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("ords", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary())])
 BLOCK_DDL = "bucket int, kind int, ids binary, ords binary, keys binary, extra binary"
-#: Kinds of blocks: documents (ids, keys: set size and two key parts), postings, counts of frequent
-#: shingles (extra: counts), postings with a known rank (extra: ranks).
+#: Kinds of blocks: documents (ids, keys: set size and two key parts), postings (ids: packed, of the documents that the block names; ords: places
+#: among them), counts of frequent shingles (extra: counts), postings with a known rank (extra: ranks).
 DOCS, POSTINGS, COUNTS, RANKED = range(4)
 
 
@@ -98,6 +98,32 @@ def _by_bucket(buckets, n, within=None):
     return [(i, order[edges[i] : edges[i + 1]]) for i in range(n) if edges[i] < edges[i + 1]]
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ascending numbers as the first one and differences in as few bytes as all of them fit."""
+    steps = np.diff(ids.view(np.uint64))
+    most = int(steps.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + ids[:1].tobytes() + steps.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, f"<u{data[0]}", offset=9).astype(np.uint64)
+    return np.cumsum(np.r_[np.frombuffer(data[1:9], np.uint64), steps], dtype=np.uint64).view(np.int64)
+
+
+def postings(own: np.ndarray, o: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids and ords of a block: own has the chunk's ids in ascending order, o the postings' places in it. Only ids that occur go along, so blocks get smaller as buckets get more."""
+    here = np.zeros(len(own), bool)
+    here[o] = True
+    place = (np.cumsum(here) - 1).astype(np.uint8 if here.sum() <= 256 else np.uint16)
+    return packed(own[here]), place[o].tobytes()
+
+
+def posted(ids: bytes, ords: bytes, rows: int) -> np.ndarray:
+    """The postings' ids. rows: how many there are."""
+    return unpacked(ids)[np.frombuffer(ords, np.uint8 if len(ords) == rows else np.uint16)]
+
+
 def _bucket(keys, n):
     return ((keys >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
@@ -119,7 +145,9 @@ def shingle_blocks(n: int, buckets: int):
             yield b, DOCS, ids[at].tobytes(), b"", keys[at].tobytes(), b""
         if not sets:
             return
-        own, h = ids[first], np.concatenate(sets)
+        order = np.argsort(ids[first], kind="stable")
+        own, sets = ids[first][order], [sets[i] for i in order]
+        h = np.concatenate(sets)
         o = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
         del sets
         u, counts = np.unique(h, return_counts=True)
@@ -129,10 +157,10 @@ def shingle_blocks(n: int, buckets: int):
             for b, at in _by_bucket(_bucket(often, buckets), buckets):
                 yield b, COUNTS, b"", b"", often[at].tobytes(), b""
             hit = np.isin(h, often)
-            yield int(ids[0] % buckets), RANKED, own.tobytes(), o[hit].tobytes(), h[hit].tobytes(), b""
+            yield int(ids[0] % buckets), RANKED, *postings(own, o[hit]), h[hit].tobytes(), b""
             h, o = h[~hit], o[~hit]
         for b, at in _by_bucket(_bucket(h, buckets), buckets):
-            yield b, POSTINGS, own.tobytes(), o[at].tobytes(), h[at].tobytes(), b""
+            yield b, POSTINGS, *postings(own, o[at]), h[at].tobytes(), b""
 
     def run(batches):
         words = _WordHash()
@@ -165,8 +193,8 @@ def shared_blocks(buckets: int):
             elif kind == COUNTS:
                 often.append(np.frombuffer(k, np.uint64))
             else:
-                at = np.frombuffer(i, np.int64)[np.frombuffer(o, np.uint16)]
                 k = np.frombuffer(k, np.uint64)
+                at = posted(i, o, len(k))
                 if kind == RANKED:
                     rows += [(b, RANKED, at[p].tobytes(), b"", k[p].tobytes(), np.full(len(p), LAST, np.uint16).tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets, at)]
                 else:

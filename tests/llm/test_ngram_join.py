@@ -4,6 +4,30 @@ import random
 
 from sluice.llm import ngram_join
 
+
+def test_blocks_name_only_the_documents_of_their_postings():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(700)]
+    ids = [rng.randrange(-(2**40), 2**40) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["id", "text"])
+    got, size = [], []
+    for buckets in (10, 2000):
+        found, size = set(), [*size, 0]
+        for out in ngram_join.shingle_blocks(5, buckets)([batch]):
+            for r in out.to_pylist():
+                if r["kind"] == ngram_join.POSTINGS:
+                    keys = np.frombuffer(r["keys"], np.uint64)
+                    found |= set(zip(ngram_join.posted(r["ids"], r["ords"], len(keys)).tolist(), keys.tolist(), strict=True))
+                    size[-1] += len(r["ids"]) + len(r["ords"]) + len(r["keys"])
+        got.append(found)
+    words = ngram_join._WordHash()
+    assert got[0] == got[1] == {(i, k) for i, t in zip(ids, texts, strict=True) for k in ngram_join.shingles(t.encode(), 5, words).tolist()}
+    assert size[1] < 3 * size[0]  # blocks that all name all 700 documents get far larger
+
+
 SCHEMA = "doc_id long, text string, component_id string, n long"
 
 
