@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, table, worker_cache
+from sluice.llm.common import Scratch, by_size, lean, table, worker_cache
 
 #: Words whose ids a worker remembers.
-WORDS = 300_000
+WORDS = 100_000
+#: Bytes of text that a task encodes at once, and rows that it is handed at once.
+CHUNK, BATCH = 1_000_000, 1_000
 PIECE_DDL = "id long, row_key long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -108,10 +110,10 @@ def _pieces(capacity: int, end_id: int, path: str | None, keep_ids: bool):
     def run(batches):
         words = worker_cache(f"word_ids_{path}", lambda: WordIds(path))
         for batch in batches:
-            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
-            for lo in range(0, len(texts), 500):
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, _, texts in by_size(batch.column(2), CHUNK, 500):
                 rows = []
-                for k, data in enumerate(words.texts([t or b"" for t in texts[lo : lo + 500]]), lo):
+                for k, data in enumerate(words.texts([t or b"" for t in texts]), lo):
                     data += end
                     for piece, at in enumerate(range(0, len(data), capacity * 4)):
                         part = data[at : at + capacity * 4]
@@ -278,7 +280,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     """A row per piece with its place; `row` tells the rows of one id apart. keep_ids: also the pieces' ids, as little-endian unsigned 32-bit numbers."""
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
-    pieces = scratch.save(rows.mapInArrow(_pieces(capacity, end_id, tokenizer, keep_ids), PIECE_DDL), "pieces")
+    pieces = scratch.save(rows.mapInArrow(lean(_pieces(capacity, end_id, tokenizer, keep_ids)), PIECE_DDL), "pieces", BATCH)
     groups = max(1, round(pieces.count() / group_rows))
     slim = pieces.drop("ids").withColumn("grp", F.pmod(F.xxhash64("id", "row_key", "piece"), F.lit(groups)))
     packed = slim.groupBy("grp").applyInPandas(_pack_group(capacity, nodes), "id long, row_key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -76,6 +76,19 @@ def test_trees_learn_an_interaction():
 
 
 # Packing.
+def test_large_rows_are_handed_over_in_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    saved = Scratch(spark, "batches").save(spark.range(0, 95, 1, 2).mapInArrow(sizes, "n long"), "sizes", 10)
+    assert saved.agg(F.max("n"), F.sum("n")).first() == (10, 95)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
