@@ -25,6 +25,7 @@ Words are told apart by 64-bit hashes, rows by id and a 64-bit hash of their tex
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,7 @@ def token_arrays(texts: list[bytes | None], words: _WordHash) -> tuple[np.ndarra
     """Hashes of all tokens of the texts one after another, each text closed by END; and tokens per text."""
     split = [(t or b"").lower().split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    get = words.__getitem__
-    flat = np.fromiter((get(w) for s in split for w in s), np.uint64, int(sizes.sum()))
+    flat = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
     return np.insert(flat, np.cumsum(sizes), END), sizes + 1
 
 
@@ -137,13 +137,23 @@ def weight_level(weight: np.ndarray) -> np.ndarray:
     return np.rint(-np.log(weight) / STEP).astype(np.int64)
 
 
-def position(keys: np.ndarray, level, i: int, bits) -> np.ndarray:
-    """The bit of each (key, level) entry for the i-th hash function. level and bits (of the segment, under 2 ** 32): a number, or one per key."""
+def hashed(keys: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of each (key, level) entry, which give its bits for all hash functions. level: a number, or one per key."""
     h = mix(keys + (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)) * K2)
-    h = h + np.uint64(i) * (mix(h) | np.uint64(1))
+    return h, mix(h) | np.uint64(1)
+
+
+def bit_of(h: np.ndarray, bits) -> np.ndarray:
+    """The bit of each hash. bits (of the segment, under 2 ** 32): a number, or one per hash."""
     return ((h >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
+def position(keys: np.ndarray, level, i: int, bits) -> np.ndarray:
+    """The bit of each (key, level) entry for the i-th hash function alone."""
+    h, step = hashed(keys, level)
+    return bit_of(h + np.uint64(i) * step, bits)
+
+
 def segment_of(keys: list[np.ndarray], levels: list[np.ndarray], bits_per_entry: float) -> bytes:
     """A Bloom filter of all entries (key, 0) to (key, level)."""
     entries = int(sum((v + 1).sum() for v in levels))
@@ -152,8 +162,10 @@ def segment_of(keys: list[np.ndarray], levels: list[np.ndarray], bits_per_entry:
     for key, level in zip(keys, levels, strict=True):
         for v in range(int(level.max(initial=-1)) + 1):
             key, level = key[level >= v], level[level >= v]
-            for i in range(HASHES):
-                flags[position(key, v, i, np.uint64(size * 8)).astype(np.int64)] = True
+            h, step = hashed(key, v)
+            for _ in range(HASHES):
+                flags[bit_of(h, np.uint64(size * 8)).view(np.int64)] = True
+                h = h + step
     return np.packbits(flags, bitorder="little").tobytes()
 
 
@@ -179,12 +191,15 @@ class Filter:
         out, alive = np.zeros(len(keys), np.int64), np.flatnonzero(self.bits[at] > 0)
         keys, bits, start = keys[alive], self.bits[at[alive]], self.start[at[alive]]
         for level in range(MAX_LEVEL):
-            for i in range(HASHES):
-                if not len(alive):
-                    return out
-                p = position(keys, level, i, bits)
-                hit = (self.flags[start + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                keys, bits, start, alive = keys[hit], bits[hit], start[hit], alive[hit]
+            if not len(alive):
+                return out
+            h, step = hashed(keys, level)
+            for _ in range(HASHES):
+                p = bit_of(h, bits).view(np.int64)
+                hit = np.flatnonzero((self.flags[start + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1)
+                if len(hit) < len(alive):
+                    keys, bits, start, alive, h, step = keys[hit], bits[hit], start[hit], alive[hit], h[hit], step[hit]
+                h = h + step
             out[alive] += 1
         return out
 

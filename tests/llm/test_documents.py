@@ -237,6 +237,21 @@ def test_hashing_gives_no_warnings():
         assert ann._mix(5, 3) == ann._mix(np.array([5]), 3)[0]
 
 
+def test_keys_are_scrambled_once_a_level_not_once_a_hash(monkeypatch):
+    keys, levels = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(2000) % 7
+    seen, mix = [0], lm_score.mix
+    monkeypatch.setattr(lm_score, "mix", lambda x: (seen.__setitem__(0, seen[0] + len(x)), mix(x))[1])
+    segment = lm_score.segment_of([keys], [levels], 8.0)
+    entries, made = int((levels + 1).sum()), seen[0]
+    flags = np.unpackbits(np.frombuffer(segment, np.uint8), bitorder="little")
+    for key, level in zip(keys[:200], levels[:200].tolist(), strict=True):
+        assert all(flags[lm_score.position(np.array([key]), v, i, np.uint64(len(flags)))[0]] for v in range(level + 1) for i in range(lm_score.HASHES))
+    seen[0] = 0
+    found = lm_score.Filter.single(segment).level(keys, keys)
+    assert (found >= levels + 1).all() and (found == levels + 1).mean() > 0.9
+    assert made <= 2 * entries and seen[0] <= 2 * int((found + 1).sum()) + len(keys)
+
+
 def test_filter_counts_are_the_quantised_ones(spark):
     counts = np.array([1, 2, 3, 5, 8, 100, 12345])
     value = lm_score.value_of(lm_score.level_of(counts))
