@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, by_size, connected_components, lean, shuffle_partitions, table
+from sluice.llm.common import Scratch, by_size, connected_components, lean, shuffle_partitions, small, table
 
 #: A part's shingle held by more sets than this is reported as frequent, with a count, not with postings.
 FREQUENT = 256
@@ -53,6 +53,8 @@ LEAF, PIVOTS, SPLIT = 12, 2, 2000
 WORDS = 100_000
 #: Bytes of text that a task holds as numbers at once, and whose shingles one bucket gets.
 CHUNK, BUCKET = 2_000_000, 8_000_000
+#: Rows that a task is handed at once: a few chunks of texts of 3 KB.
+BATCH = 2_500
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -82,8 +84,8 @@ def shingles(text: bytes | None, n: int, words: _WordHash) -> np.ndarray:
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("ords", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary())])
 BLOCK_DDL = "bucket int, kind int, ids binary, ords binary, keys binary, extra binary"
-#: Kinds of blocks: documents (ids, keys: set size and two key parts), postings (ids: packed, of the documents that the block names; ords: places
-#: among them), counts of frequent shingles (extra: counts), postings with a known rank (extra: ranks).
+#: Kinds of blocks: documents (ids, keys: set size and two key parts), postings (document after document; ids: packed, of the documents that the block names; ords: how many
+#: postings each has, if not one), frequent shingles (keys), postings with a known rank (extra: ranks).
 DOCS, POSTINGS, COUNTS, RANKED = range(4)
 
 
@@ -111,17 +113,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.r_[np.frombuffer(data[1:9], np.uint64), steps], dtype=np.uint64).view(np.int64)
 
 
-def postings(own: np.ndarray, o: np.ndarray) -> tuple[bytes, bytes]:
-    """Ids and ords of a block: own has the chunk's ids in ascending order, o the postings' places in it. Only ids that occur go along, so blocks get smaller as buckets get more."""
-    here = np.zeros(len(own), bool)
-    here[o] = True
-    place = (np.cumsum(here) - 1).astype(np.uint8 if here.sum() <= 256 else np.uint16)
-    return packed(own[here]), place[o].tobytes()
+def postings(at: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids and ords of a block. at: the documents of its postings in ascending order. Each is named once, so blocks get smaller as buckets get more."""
+    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    each = np.diff(np.r_[start, len(at)])
+    ords = b"" if len(start) == len(at) else each.astype("<u1" if each.max() < 1 << 8 else "<u4").tobytes()
+    return packed(at[start]), ords
 
 
 def posted(ids: bytes, ords: bytes, rows: int) -> np.ndarray:
-    """The postings' ids. rows: how many there are."""
-    return unpacked(ids)[np.frombuffer(ords, np.uint8 if len(ords) == rows else np.uint16)]
+    """The postings' documents. rows: how many postings there are."""
+    own = unpacked(ids)
+    return own if len(own) == rows else np.repeat(own, np.frombuffer(ords, f"<u{len(ords) // len(own)}"))
 
 
 def _bucket(keys, n):
@@ -148,7 +151,7 @@ def shingle_blocks(n: int, buckets: int):
         order = np.argsort(ids[first], kind="stable")
         own, sets = ids[first][order], [sets[i] for i in order]
         h = np.concatenate(sets)
-        o = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        o = np.repeat(own, [len(s) for s in sets])
         del sets
         u, counts = np.unique(h, return_counts=True)
         often = u[counts > FREQUENT]
@@ -157,10 +160,10 @@ def shingle_blocks(n: int, buckets: int):
             for b, at in _by_bucket(_bucket(often, buckets), buckets):
                 yield b, COUNTS, b"", b"", often[at].tobytes(), b""
             hit = np.isin(h, often)
-            yield int(ids[0] % buckets), RANKED, *postings(own, o[hit]), h[hit].tobytes(), b""
+            yield int(ids[0] % buckets), RANKED, *postings(o[hit]), h[hit].tobytes(), b""
             h, o = h[~hit], o[~hit]
         for b, at in _by_bucket(_bucket(h, buckets), buckets):
-            yield b, POSTINGS, *postings(own, o[at]), h[at].tobytes(), b""
+            yield b, POSTINGS, *postings(o[at]), h[at].tobytes(), b""
 
     def run(batches):
         words = _WordHash()
@@ -196,7 +199,7 @@ def shared_blocks(buckets: int):
                 k = np.frombuffer(k, np.uint64)
                 at = posted(i, o, len(k))
                 if kind == RANKED:
-                    rows += [(b, RANKED, at[p].tobytes(), b"", k[p].tobytes(), np.full(len(p), LAST, np.uint16).tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets, at)]
+                    rows += [(b, RANKED, *postings(at[p]), k[p].tobytes(), np.full(len(p), LAST, np.uint16).tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets, at)]
                 else:
                     ids.append(at)
                     keys.append(k)
@@ -213,7 +216,7 @@ def shared_blocks(buckets: int):
             rank = np.repeat(rank.astype(np.uint16), count)
             keep = rank > 1
             h, at, rank = h[keep], at[keep], rank[keep]
-            rows += [(b, RANKED, at[p].tobytes(), b"", h[p].tobytes(), rank[p].tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets, at)]
+            rows += [(b, RANKED, *postings(at[p]), h[p].tobytes(), rank[p].tobytes()) for b, p in _by_bucket(_bucket(at.view(np.uint64) * np.uint64(MULTIPLIERS[1]), buckets), buckets, at)]
         for lo in range(0, len(rows), 64):
             yield _blocks(rows[lo : lo + 64])
 
@@ -229,12 +232,12 @@ def sets_of_documents(percent: int):
 
     def run(batches):
         docs, at, keys, ranks = [], [], [], []
-        for kind, i, _, k, x in _read(batches):
+        for kind, i, o, k, x in _read(batches):
             if kind == DOCS:
                 docs.append((np.frombuffer(i, np.int64), np.frombuffer(k, np.int64).reshape(-1, 3)))
             else:
-                at.append(np.frombuffer(i, np.int64))
                 keys.append(np.frombuffer(k, np.uint64))
+                at.append(posted(i, o, len(keys[-1])))
                 ranks.append(np.frombuffer(x, np.uint16))
         if not docs:
             return
@@ -266,6 +269,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Either side's sets are joined to the pairs alone: while the pairs are few, only the sets that they name are shuffled.
     """
+    pairs = small(pairs)
     side = lambda c: pairs.join(sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"s_{c}")), c).select("a", "b", f"n_{c}", f"s_{c}")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return side("a").join(side("b"), ["a", "b"]).select("a", "b", common.alias("common"), (F.col("n_a") + F.col("n_b") - common).alias("union"))
@@ -379,7 +383,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET))  # what a task holds doesn't grow with the table
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = rows.where("id is not null").mapInArrow(lean(shingle_blocks(n, buckets)), BLOCK_DDL)
-    blocks = scratch.save(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(shared_blocks(buckets)), BLOCK_DDL), "shared")
+    blocks = scratch.save(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(shared_blocks(buckets)), BLOCK_DDL), "shared", BATCH)
     scratch.release()
     found = scratch.save(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(sets_of_documents(percent)), SET_DDL), "found")
     scratch.drop(blocks)
@@ -400,11 +404,12 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     regions = post.groupBy("s", "ring").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.expr("bit_xor(xxhash64(id))").alias("x1"), F.expr("bit_xor(xxhash64(id, 1))").alias("x2")).where("size > 1")
     same = regions.groupBy("size", "low", "x1", "x2").agg(F.min(F.struct("s", "ring")).alias("r"))
     same = scratch.save(same.select(F.col("r.s").alias("s"), F.col("r.ring").alias("ring"), F.xxhash64("r.s", "r.ring").alias("region")), "regions")
-    members = post.join(same, ["s", "ring"]).select("region", "id", "n", F.array().cast("array<long>").alias("near"), F.lit(False).alias("close"), F.lit(None).cast("long").alias("was"))
+    members = post.join(small(same), ["s", "ring"]).select("region", "id", "n", F.array().cast("array<long>").alias("near"), F.lit(False).alias("close"), F.lit(None).cast("long").alias("was"))
     live = scratch.save(members, "live")
     scratch.drop(post)
     scratch.drop(same)
-    core = scratch.save(reps.join(live.select("id").distinct(), "id", "left_semi"), "core")
+    named = scratch.save(live.select("id").distinct(), "named")
+    core = scratch.save(reps.join(small(named), "id", "left_semi"), "core")
     scratch.drop(reps)
     scratch.release()
     links, near, pairs = [], [], []

@@ -28,6 +28,25 @@ def test_blocks_name_only_the_documents_of_their_postings():
     assert size[1] < 3 * size[0]  # blocks that all name all 700 documents get far larger
 
 
+def test_blocks_count_postings_by_document():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], names=["id", "text"])
+    rows = [r for out in ngram_join.shingle_blocks(5, 10)([batch]) for r in out.to_pylist() if r["kind"] == ngram_join.POSTINGS]
+    assert sum(len(r["keys"]) // 8 for r in rows) == 50 * 296
+    assert sum(len(r["ords"]) for r in rows) <= 50 * 10  # a byte per document and bucket, not per posting
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    from sluice.llm.common import Scratch
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+    before = files()
+    saved = Scratch(spark, "clean").save(spark.range(1000).repartition(7, "id"))
+    assert files() <= before and saved.count() == 1000
+
+
 SCHEMA = "doc_id long, text string, component_id string, n long"
 
 
