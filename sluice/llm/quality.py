@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, table
+from sluice.llm.common import Scratch, by_size, lean, table
 
+#: Bytes of text that a task has as Python objects at once, and rows that it is handed at once.
+CHUNK, BATCH = 1_000_000, 1_000
 FEATURES = (
     "log_bytes", "upper", "digits", "spaces", "newlines", "periods", "commas", "marks", "symbols", "bars", "high_bytes",
     "log_words", "word_length", "distinct_words", "next_same", "long_words", "line_words", "distinct_lines", "top_byte",
@@ -52,8 +54,9 @@ def statistics(text: bytes | None) -> list[float]:
 
 def _statistics_of(batches):
     for batch in batches:
-        x = np.array([statistics(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "x"])
+        for lo, hi, texts in by_size(batch.column(1), CHUNK):
+            x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "x"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -237,7 +240,7 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """Id, held_out, score and predicted of every row of `docs`."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stats = scratch.save(rows.mapInArrow(_statistics_of, "id long, x array<double>"), "statistics")
+    stats = scratch.save(rows.mapInArrow(lean(_statistics_of), "id long, x array<double>"), "statistics", BATCH)
     out = stats.mapInArrow(_score(fit(stats, labels, label_col, scratch)), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
@@ -245,21 +248,21 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 def _keep(model, text_col: str, threshold: float):
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-            x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.predict(x) >= threshold))
+            for lo, hi, texts in by_size(batch.column(batch.schema.get_field_index(text_col)), CHUNK):
+                x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.predict(x) >= threshold))
 
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject, unchanged. Texts are judged where they are read, without a shuffle."""
+    """The rows of `docs` that the classifier does not reject, unchanged, as a saved table. Texts are judged where they are read, without a shuffle."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
-    stats = scratch.save(rows.mapInArrow(_statistics_of, "id long, x array<double>").join(known, "id", "left_semi"), "statistics")
+    stats = scratch.save(rows.mapInArrow(lean(_statistics_of), "id long, x array<double>").join(known, "id", "left_semi"), "statistics", BATCH)
     model = fit(stats, labels, label_col, scratch)
-    return docs.mapInArrow(_keep(model, text_col, threshold), docs.schema)
+    return scratch.save(docs.mapInArrow(lean(_keep(model, text_col, threshold)), docs.schema), "kept", BATCH)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

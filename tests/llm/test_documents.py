@@ -75,6 +75,31 @@ def test_trees_learn_an_interaction():
     assert ((model.predict(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
 
 
+def test_texts_are_judged_a_few_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Model:
+        most = 0
+
+        def predict(self, x):
+            self.most = max(self.most, len(x))
+            return x[:, 0]
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array([None, "", "a word " * 2000] * 300)], names=["doc_id", "text"])
+    model = Model()
+    kept = pa.Table.from_batches(quality._keep(model, "text", 1.0)([batch]))
+    assert kept["doc_id"].to_pylist() == list(range(2, 900, 3)) and model.most < 500
+    parts = list(quality._statistics_of([batch]))
+    assert max(map(len, parts)) < 500 and sum(map(len, parts)) == 900
+
+    held = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t", batch=None: (held.append((name, batch)), save(self, df, name, batch))[1])
+    docs = documents(spark)
+    assert quality.keep_good(docs, labels(spark)).columns == docs.columns
+    assert dict(held)["statistics"] == dict(held)["kept"] == quality.BATCH
+
+
 # Packing.
 def test_large_rows_are_handed_over_in_small_batches(spark):
     import pyarrow as pa
