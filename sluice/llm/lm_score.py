@@ -7,9 +7,10 @@
    probes level after level until a miss. Every word and every pair that occurs is kept. Each bucket has a segment of `bits_per_entry` bits
    per entry, so the filter grows with the corpus and its error rate doesn't: with the default of 8 bits and 4 hashes, a probe of what was not set
    hits in 2.4 % of all cases.
-3. *Scores.* While all segments together have at most `most_bytes`, the filter is broadcast. Beyond that, probes are dealt to the buckets
-   instead: documents' pairs go to the second word's bucket, where they get its probability (if it isn't one of the frequent ones), and then to
-   the first word's. Both ways probe the same segments and give the same scores.
+3. *Scores.* While all segments together have at most `most_bytes`, the filter is broadcast. Beyond that, each chunk asks the buckets for the
+   levels of its distinct pairs (8 bytes each) and for the counts and weights of its distinct words, and gets a byte a pair back, in the order of
+   the question; the chunk's numbered tokens go along to where its answers meet. That is done for a part of the documents after the other
+   (`ROUNDS`), so that only a part's questions are on disk at once. Both ways probe the same segments and give the same scores.
 
 Probabilities: P(w | v) = (c(v w) - d) / c(v) for pairs in the filter + a(v) * P0(w), where a(v) is the weight that the discounted pairs of
 v leave, quantised in the filter as well (hot words' weights are broadcast), and P0(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). The most frequent words (at most
@@ -25,11 +26,13 @@ Words are told apart by 64-bit hashes, rows by id and a 64-bit hash of their tex
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ BASE, DISCOUNT, STEP, HASHES, MAX_LEVEL = 1.5, 0.6, 0.25, 4, 110
 WORDS = 250_000
 END = np.uint64(0x9E3779B97F4A7C15)
 WEIGHT = np.uint64(0xD6E8FEB86659FD93)
-CHUNK = 1_500_000  # bytes of text that a task holds as numbers at once
+CHUNK = 1_500_000  # bytes of text that a task holds as numbers at once, while there are few buckets
+ROUNDS = 4  # parts of the documents that ask the buckets one after another
 K1, K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -73,16 +77,19 @@ def token_arrays(texts: list[bytes | None], words: _WordHash) -> tuple[np.ndarra
 def with_contexts(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens in order, the place of each token among them, and that of the token before it (END before the first of a text)."""
     u, at = np.unique(tokens, return_inverse=True)
+    return u, at, places_before(u, at)
+
+
+def places_before(u: np.ndarray, at: np.ndarray) -> np.ndarray:
     before = np.empty_like(at)
     before[1:] = at[:-1]
     if len(at):
         before[0] = np.searchsorted(u, END)
-    return u, at, before
+    return before
 
 
 def _split(buckets: np.ndarray, n: int):
-    order = np.argsort(buckets, kind="stable")
-    edges = np.searchsorted(buckets[order], np.arange(n + 1))
+    order, edges = _dealt(buckets, n)
     return [(i, order[edges[i] : edges[i + 1]]) for i in range(n) if edges[i] < edges[i + 1]]
 
 
@@ -90,11 +97,49 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix(keys) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-BLOCK = ("bucket", "kind", "a", "b", "c", "d", "e")
+def _dealt(buckets: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
+    """The order by bucket, and where in it each bucket begins."""
+    order = np.argsort(buckets.astype(np.min_scalar_type(n)), kind="stable")  # 16 bits are sorted by their digits
+    return order, np.cumsum(np.bincount(buckets + 1, minlength=n + 1)).tolist()
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers. np.unique without further answers hashes, which takes many times as long here."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def chunk_bytes(buckets: int) -> int:
+    """Text that a task holds as numbers at once: more while it is dealt to many buckets, so that blocks don't become tiny."""
+    return CHUNK * min(5, max(1, buckets // 64))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest one needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{len(blob) // max(n, 1) or 1}").astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers under 2 ** 32 as all their lowest bytes, then all their next ones: the high ones are mostly 0 and compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+BLOCK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
 BLOCK_DDL = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
-#: Kinds of blocks, in the order in which a bucket's task reads them: words and counts, filter segment, counted pairs,
-#: postings of words, pairs on their way to the second and to the first word's bucket, parts of documents.
-WORD, SEGMENT, PAIR, POST, SECOND, FIRST, DOC, MASS = range(8)
+#: A bucket's answer to a chunk: levels of its pairs, counts, levels and weights of its words; or, as bucket -1, the chunk itself.
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcd")])
+ANSWER_DDL = "chunk long, bucket int, a binary, b binary, c binary, d binary"
+#: Kinds of blocks, in the order in which a bucket's task reads them: words and counts, filter segment, a chunk's counted words and pairs,
+#: postings of words, a chunk's questions, chunks that wait for answers, parts of documents.
+WORD, SEGMENT, PAIR, POST, ASK, KEEP, DOC, MASS = range(8)
 #: Least share of all tokens of a hot word: there are at most this many.
 MOST_HOT = 100_000
 #: Rows of a chunk: id (0 for null), whether there is an id, hash of the text; and their sums, all over `copies` equal rows.
@@ -105,17 +150,17 @@ SUMS = ("copies", "n_tokens", "n_known", "base", "score")
 PART_DDL = "id long, named boolean, text long, copies double, n_tokens double, n_known double, base double, score double"
 
 
-def _emit(rows, step: int = 48):
+def _emit(rows, step: int = 48, schema: pa.Schema = BLOCK):
     for lo in range(0, len(rows), step):
-        cols = list(zip(*((*r, *[b""] * (len(BLOCK) - len(r))) for r in rows[lo : lo + step]), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(cols)], names=list(BLOCK))
+        cols = list(zip(*((*r, *[b""] * (len(schema) - len(r))) for r in rows[lo : lo + step]), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def _blocks(batches):
-    """The blocks of a task as (bucket, kind, arrays), one at a time."""
+    """The blocks of a task as (bucket, kind, arrays), or the answers as (chunk, bucket, arrays), one at a time."""
     for batch in batches:
         for i in range(len(batch)):
-            yield tuple(batch.column(c)[i].as_py() for c in BLOCK)
+            yield tuple(column[i].as_py() for column in batch.columns)
 
 
 def _in_order(df: DataFrame, parts: int) -> DataFrame:
@@ -219,24 +264,21 @@ class Model:
         known = self.head[at] == words
         return known, np.where(known, self.head_counts[at], 0.0)
 
-    def counts(self, words: np.ndarray, filter_: Filter) -> np.ndarray:
-        """Counts of words: exact for frequent ones, else from the filter, 0 if in neither."""
-        known, out = self.exact(words)
-        level = filter_.level(words[~known], words[~known])
-        out[~known] = np.where(level > 0, value_of(level - 1), 0.0)
+    def counts(self, words: np.ndarray, known: np.ndarray, count: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Counts of words: exact for frequent ones (`known`, `count`), else from the level found in the filter, 0 if in neither."""
+        out = np.where(known, count, np.where(level > 0, value_of(level - 1), 0.0))
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
             out = np.where(~known & (self.hot[at] == words), self.hot_counts[at], out)
         return out
 
-    def probability(self, first: np.ndarray, pair: np.ndarray, of: np.ndarray, p0: np.ndarray, filter_: Filter) -> np.ndarray:
-        """P(second | first) of distinct pairs; first: distinct first words, of: their place for each pair, p0: P0 of the second words."""
-        level = filter_.level(pair, places(self.hot, first, pair, of))
-        weight = np.exp(-STEP * np.maximum(0, filter_.level(mix(first ^ WEIGHT), first) - 1))
+    def probability(self, first: np.ndarray, seen: np.ndarray, weight_level: np.ndarray, of: np.ndarray, level: np.ndarray, p0: np.ndarray) -> np.ndarray:
+        """P(second | first) of distinct pairs from the levels found in the filter. first: distinct first words, with their counts and weights; of: their place for each pair; p0: P0 of the second words."""
+        weight = np.exp(-STEP * np.maximum(0, weight_level - 1))
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
             weight = np.where(self.hot[at] == first, self.hot_weights[at], weight)
-        seen = np.maximum(self.counts(first, filter_), 1.0)[of]
+        seen = np.maximum(seen, 1.0)[of]
         found = np.where(level > 0, value_of(level - 1) - DISCOUNT, 0.0)
         return np.minimum(1.0, np.minimum(found, seen) / seen + weight[of] * p0)
 
@@ -269,23 +311,36 @@ def hot_words(training: DataFrame, sample_docs: int, buckets: int) -> np.ndarray
     return np.sort(np.array([r.word for r in found], np.int64).view(np.uint64))
 
 
-def _count(buckets: int, hot: np.ndarray):
+def pairs_and_buckets(u: np.ndarray, code: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and buckets of pairs. code: places of both words in u."""
+    of = code // len(u)
+    key = pair_keys(u[of], u[code % len(u)])
+    return key, _bucket(places(hot, u, key, of), buckets)
+
+
+def _count(buckets: int, hot: np.ndarray, chunk: int = CHUNK):
     def run(batches):
         words = _WordHash()
         for batch in batches:
-            for _, _, texts in by_size(batch.column(0), CHUNK):
+            for _, _, texts in by_size(batch.column(0), chunk):
                 tokens, _ = token_arrays(texts, words)
                 u, at, before = with_contexts(tokens)
-                c = np.bincount(at)
-                rows = [(b, WORD, u[p].tobytes(), c[p].astype(np.uint32).tobytes()) for b, p in _split(_bucket(u, buckets), buckets)]
                 code, c = np.unique(before * len(u) + at, return_counts=True)  # in the order of first words
-                first, key = u[code // len(u)], pair_keys(u[code // len(u)], u[code % len(u)])
-                c = c.astype(np.uint32)
-                for b, p in _split(_bucket(places(hot, u, key, code // len(u)), buckets), buckets):
-                    start = np.flatnonzero(np.r_[True, first[p][1:] != first[p][:-1]])
-                    runs = np.diff(np.r_[start, len(p)]).astype(np.uint32)
-                    rows.append((b, PAIR, key[p].tobytes(), c[p].tobytes(), first[p][start].tobytes(), runs.tobytes()))
-                yield from _emit(rows)
+                key, bucket = pairs_and_buckets(u, code, hot, buckets)
+                order, edges = _dealt(bucket, buckets)
+                key, c = key[order], c[order]
+                # A block names each word once: those that it counts, and hot words, which are counted elsewhere (0 here), before their pairs.
+                firsts, runs = np.unique((bucket * len(u) + code // len(u))[order], return_counts=True)
+                own = _bucket(u, buckets) * len(u) + np.arange(len(u))
+                named = distinct(np.concatenate([firsts, own]))
+                n, of = np.zeros(len(named), np.int64), np.zeros(len(named), np.int64)
+                n[np.searchsorted(named, own)], of[np.searchsorted(named, firsts)] = np.bincount(at), runs
+                starts = np.searchsorted(named, np.arange(buckets + 1) * len(u)).tolist()
+                named = u[named % len(u)]
+                yield from _emit([
+                    (b, PAIR, key[p].tobytes(), _narrow(c[p]), named[w].tobytes(), _narrow(of[w]), _narrow(n[w]))
+                    for b in range(buckets) if starts[b] < starts[b + 1] for p, w in [(slice(*edges[b : b + 2]), slice(*starts[b : b + 2]))]
+                ])
 
     return run
 
@@ -343,16 +398,17 @@ def _add_up(bits_per_entry: float, hot: np.ndarray):
 
     def run(batches):
         last, words, pairs = None, _Sum(), _Sum()
-        for bucket, kind, a, b, c, d, _ in _blocks(batches):
+        for bucket, _, a, b, c, d, e in _blocks(batches):
             if bucket != last and last is not None:
                 yield from close(last, words, pairs)
                 words, pairs = _Sum(), _Sum()
             last = bucket
-            key, count = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32).astype(np.int64)
-            if kind == WORD:
-                words.add(key, count)
-            else:
-                pairs.add(key, count, np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint32)))
+            key, word = np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64)
+            n = _wide(e, len(word))
+            if n.any():
+                words.add(word[n > 0], n[n > 0])
+            if len(key):
+                pairs.add(key, _wide(b, len(key)), np.repeat(word, _wide(d, len(word))))
         if last is not None:
             yield from close(last, words, pairs)
 
@@ -372,47 +428,44 @@ def _levels(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(t[at])], names=["level", "n", "t"])
 
 
+def _own(ids: list[int | None], texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct rows, where each is first, and how often it comes."""
+    own = np.zeros(len(texts), ROWS)
+    own["id"], own["named"] = [i or 0 for i in ids], [i is not None for i in ids]
+    own["text"] = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
+    return np.unique(own, return_index=True, return_counts=True)
+
+
 def _score(shared, buckets: int):
-    """Documents to their parts of the sums that need no other bucket, and to postings of what others must add."""
+    """Documents to their parts of the sums that need no bucket, and to postings of words whose exact counts buckets must add."""
 
     def blocks_of(ids, texts, words):
         model = shared.value
-        own = np.zeros(len(texts), ROWS)
-        own["id"], own["named"] = [i or 0 for i in ids], [i is not None for i in ids]
-        own["text"] = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)
-        own, rows, copies = np.unique(own, return_index=True, return_counts=True)
+        own, rows, copies = _own(ids, texts)
         tokens, sizes = token_arrays([texts[i] for i in rows], words)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         u, inverse, before = with_contexts(tokens)
         frequent, count = model.exact(u)
         sure = frequent[inverse]
         base = np.bincount(doc[sure], np.log10((count + 0.5) / model.floor)[inverse[sure]], len(sizes))
-        score = np.zeros(len(sizes))
-        if model.filter is not None:
-            code, pair_of = np.unique(before * len(u) + inverse, return_inverse=True)
-            heads, of = np.unique(code // len(u), return_inverse=True)
-            p0 = (model.counts(u, model.filter) + 0.5) / model.floor
-            p = model.probability(u[heads], pair_keys(u[code // len(u)], u[code % len(u)]), of, p0[code % len(u)], model.filter)
-            score = np.bincount(doc, np.log10(p)[pair_of], len(sizes))
+        code, pair_of = np.unique(before * len(u) + inverse, return_inverse=True)
+        heads, of = np.unique(code // len(u), return_inverse=True)
+        level = np.zeros(len(u), np.int64)
+        level[~frequent] = model.filter.level(u[~frequent], u[~frequent])
+        counts = model.counts(u, frequent, count, level)
+        first, pair = u[heads], pair_keys(u[code // len(u)], u[code % len(u)])
+        weight = model.filter.level(mix(first ^ WEIGHT), first)
+        p = model.probability(first, counts[heads], weight, of, model.filter.level(pair, places(model.hot, first, pair, of)), ((counts + 0.5) / model.floor)[code % len(u)])
+        score = np.bincount(doc, np.log10(p)[pair_of], len(sizes))
         sums = np.stack([np.ones(len(sizes)), sizes, np.bincount(doc[sure], minlength=len(sizes)), base, score], 1)
         yield int(rows[0] % buckets), DOC, own.tobytes(), (sums * copies[:, None]).tobytes()
-
-        def once(kind, where, key):
-            """A block per bucket of the tokens at `where`, each (key, document) once with its number."""
-            _, first, n = np.unique(np.stack([key[where], doc[where]], 1), axis=0, return_index=True, return_counts=True) if kind != POST else np.unique(key[where] * len(sizes) + doc[where], return_index=True, return_counts=True)
-            i = where[first]
-            place = np.zeros(len(i), PLACES)
-            place["doc"], place["n"] = doc[i], n * copies[doc[i]]
-            first = u[before[i]]
-            for b, p in _split(_bucket(places(model.hot, first, pair_keys(first, tokens[i])) if kind == FIRST else tokens[i], buckets), buckets):
-                k = i[p]
-                p0 = ((count[inverse[k]] + 0.5) / model.floor).tobytes() if kind == FIRST else b""
-                yield b, kind, tokens[k].tobytes(), u[before[k]].tobytes(), p0, place[p].tobytes(), own.tobytes()
-
-        yield from once(POST, np.flatnonzero(~sure), inverse)
-        if model.filter is None:
-            yield from once(FIRST, np.flatnonzero(sure), before * len(u) + inverse)
-            yield from once(SECOND, np.flatnonzero(~sure), before * len(u) + inverse)
+        where = np.flatnonzero(~sure)
+        _, first, n = np.unique(inverse[where] * len(sizes) + doc[where], return_index=True, return_counts=True)
+        i = where[first]
+        place = np.zeros(len(i), PLACES)
+        place["doc"], place["n"] = doc[i], n * copies[doc[i]]
+        for b, p in _split(_bucket(tokens[i], buckets), buckets):
+            yield b, POST, tokens[i[p]].tobytes(), place[p].tobytes(), own.tobytes()
 
     def run(batches):
         words = _WordHash()
@@ -424,53 +477,170 @@ def _score(shared, buckets: int):
     return run
 
 
-def _look_up(shared, buckets: int):
-    """Postings of a bucket to parts of documents' sums, and pairs at their second word to ones at their first."""
+class _Counts:
+    """A bucket's words with their counts, added block by block in order."""
+
+    def __init__(self):
+        self.parts, self.whole = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def add(self, key: bytes, count: bytes) -> None:
+        self.parts.append((np.frombuffer(key, np.uint64), np.frombuffer(count, np.int64)))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Exact counts; 0 of words that don't occur."""
+        if self.parts:
+            self.whole, self.parts = tuple(np.concatenate(x) for x in zip(*self.parts, strict=True)), []
+        key, count = self.whole
+        if not len(key):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(key, words), len(key) - 1)
+        return np.where(key[at] == words, count[at], 0)
+
+
+def _look_up(shared):
+    """Postings of a bucket to parts of documents' sums."""
 
     def run(batches):
         model, last = shared.value, None
-        for bucket, kind, a, b, c, d, e in _blocks(batches):
+        for bucket, kind, a, b, c, *_ in _blocks(batches):
             if bucket != last:
-                last, key, counts, own_filter, sorted_ = bucket, [], [], Filter({}, 1, []), None
+                last, counts = bucket, _Counts()
             if kind == WORD:
-                key.append(np.frombuffer(a, np.uint64))
-                counts.append(np.frombuffer(b, np.int64))
-            elif kind == SEGMENT:
-                own_filter = Filter.single(a)
+                counts.add(a, b)
             elif kind == DOC:
                 yield from _emit([(bucket, DOC, a, b)])
-            else:
-                word, before = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                place, rows = np.frombuffer(d, PLACES), np.frombuffer(e, ROWS)
-                if kind == SECOND:
-                    p0 = (model.counts(word, own_filter) + 0.5) / model.floor
-                    yield from _emit([(to, FIRST, word[p].tobytes(), before[p].tobytes(), p0[p].tobytes(), place[p].tobytes(), e) for to, p in _split(_bucket(places(model.hot, before, pair_keys(before, word)), buckets), buckets)])
-                    continue
+            elif kind == POST:
+                place, rows = np.frombuffer(b, PLACES), np.frombuffer(c, ROWS)
                 docs, of = np.unique(place["doc"], return_inverse=True)
+                found = counts.of(np.frombuffer(a, np.uint64))
                 sums = np.zeros((len(docs), len(SUMS)))
-                if kind == POST:
-                    if sorted_ is None:
-                        sorted_ = np.concatenate(key) if key else np.empty(0, np.uint64), np.concatenate(counts) if counts else np.empty(0, np.int64)
-                    found = np.zeros(len(word), np.int64)
-                    if len(sorted_[0]):
-                        at = np.minimum(np.searchsorted(sorted_[0], word), len(sorted_[0]) - 1)
-                        found = np.where(sorted_[0][at] == word, sorted_[1][at], 0)
-                    sums[:, 2] = np.bincount(of, place["n"] * (found > 0), len(docs))
-                    sums[:, 3] = np.bincount(of, place["n"] * np.log10((found + 0.5) / model.floor), len(docs))
-                else:
-                    heads, head_of = np.unique(before, return_inverse=True)
-                    p = model.probability(heads, pair_keys(before, word), head_of, np.frombuffer(c, np.float64), own_filter)
-                    sums[:, 4] = np.bincount(of, place["n"] * np.log10(p), len(docs))
+                sums[:, 2] = np.bincount(of, place["n"] * (found > 0), len(docs))
+                sums[:, 3] = np.bincount(of, place["n"] * np.log10((found + 0.5) / model.floor), len(docs))
                 yield from _emit([(bucket, DOC, rows[docs].tobytes(), sums.tobytes())])
 
     return run
 
 
+def _ask(buckets: int, hot: np.ndarray, chunk: int):
+    """Chunks of documents to what they ask each bucket, and to their rows, words and numbered tokens, which wait for the answers."""
+
+    def run(batches):
+        words, part, n = _WordHash(), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for lo, hi, texts in by_size(batch.column(1), chunk):
+                own, rows, copies = _own(ids[lo:hi], texts)
+                tokens, sizes = token_arrays([texts[i] for i in rows], words)
+                u, at, before = with_contexts(tokens)
+                # The name has the place and the rows in it: a repeated task that meets other rows finds no answers rather than wrong ones.
+                name = xxhash.xxh3_64_digest(own.tobytes(), seed=part << 32 | n)
+                n += 1
+                key, bucket = pairs_and_buckets(u, distinct(before * len(u) + at), hot, buckets)
+                (pairs, edges), (named, starts) = _dealt(bucket, buckets), _dealt(_bucket(u, buckets), buckets)
+                key, word = key[pairs], u[named]
+                asked = [
+                    (b, ASK, key[p].tobytes(), word[w].tobytes(), name)
+                    for b in range(buckets) if edges[b] < edges[b + 1] or starts[b] < starts[b + 1] for p, w in [(slice(*edges[b : b + 2]), slice(*starts[b : b + 2]))]
+                ]
+                yield from _emit(asked)
+                yield from _emit([(int.from_bytes(name) % buckets, KEEP, own.tobytes(), np.stack([copies, sizes]).tobytes(), u.tobytes(), _planes(at), name)])
+
+    return run
+
+
+def _answer(most: int = 500_000):
+    """Answers to chunks from their buckets' counts and segments. most: keys that are looked up at once."""
+
+    def close(bucket, asked, counts, filter_):
+        pairs, words = (np.concatenate([np.frombuffer(x[k], np.uint64) for x in asked]) for k in (0, 1))
+        level, count = filter_.level(pairs, pairs), counts.of(words)
+        own, weight = filter_.level(words, words), filter_.level(mix(words ^ WEIGHT), words)
+        rows, p, w = [], 0, 0
+        for key, word, name in asked:
+            q, x = p + len(key) // 8, w + len(word) // 8
+            rows.append((int.from_bytes(name, signed=True), bucket, level[p:q].astype(np.uint8).tobytes(), _narrow(count[w:x]), own[w:x].astype(np.uint8).tobytes(), weight[w:x].astype(np.uint8).tobytes()))
+            p, w = q, x
+        yield from _emit(rows, schema=ANSWER)
+
+    def run(batches):
+        last, asked, held = None, [], 0
+        for bucket, kind, a, b, c, d, e in _blocks(batches):
+            if asked and (bucket != last or held > most):
+                yield from close(last, asked, counts, own_filter)
+                asked, held = [], 0
+            if bucket != last:
+                last, counts, own_filter = bucket, _Counts(), Filter({}, 1, [])
+            if kind == WORD:
+                counts.add(a, b)
+            elif kind == SEGMENT:
+                own_filter = Filter.single(a)
+            elif kind == ASK:
+                asked.append((a, b, c))
+                held += (len(a) + len(b)) // 8
+            elif kind == KEEP:
+                yield from _emit([(int.from_bytes(e, signed=True), -1, a, b, c, d)], schema=ANSWER)
+        if asked:
+            yield from close(last, asked, counts, own_filter)
+
+    return run
+
+
+def _put_together(shared, buckets: int):
+    """A chunk and the answers to it, in the order of the buckets, to its documents' sums."""
+
+    def close(chunk, kept, answers):
+        model = shared.value
+        if kept is None:
+            raise RuntimeError(f"answers to chunk {chunk}, which a repeated task made otherwise: the input's rows changed")
+        own, u, at = np.frombuffer(kept[0], ROWS), np.frombuffer(kept[2], np.uint64), _from_planes(kept[3])
+        copies, sizes = np.frombuffer(kept[1], np.int64).reshape(2, -1)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        code, pair_of = np.unique(places_before(u, at) * len(u) + at, return_inverse=True)
+
+        def in_place(blobs, order):
+            found = np.concatenate(blobs) if blobs else np.empty(0, np.int64)
+            if len(found) != len(order):
+                raise RuntimeError(f"chunk {chunk} has {len(found)} answers to {len(order)} questions: the input's rows changed")
+            out = np.empty(len(order), np.int64)
+            out[order] = found
+            return out
+
+        pairs, words = _dealt(pairs_and_buckets(u, code, model.hot, buckets)[1], buckets)[0], _dealt(_bucket(u, buckets), buckets)[0]
+        byte = lambda k: [np.frombuffer(x[k], np.uint8) for x in answers]
+        level, own_level, weight = in_place(byte(0), pairs), in_place(byte(2), words), in_place(byte(3), words)
+        exact = in_place([_wide(x[1], len(x[2])) for x in answers], words)
+        heads, of = np.unique(code // len(u), return_inverse=True)
+        counts = model.counts(u, *model.exact(u), own_level)
+        p = model.probability(u[heads], counts[heads], weight[heads], of, level, ((counts + 0.5) / model.floor)[code % len(u)])
+        base = np.log10((exact + 0.5) / model.floor)
+        sums = np.stack([np.ones(len(sizes)), sizes, np.bincount(doc, (exact > 0)[at], len(sizes)), np.bincount(doc, base[at], len(sizes)), np.bincount(doc, np.log10(p)[pair_of], len(sizes))], 1)
+        yield _part(own, sums * copies[:, None])
+
+    def run(batches):
+        last, kept, answers = None, None, []
+        for chunk, bucket, *blobs in _blocks(batches):
+            if chunk != last:
+                if last is not None:
+                    yield from close(last, kept, answers)
+                last, kept, answers = chunk, None, []
+            if bucket < 0:
+                kept = blobs
+            else:
+                answers.append(blobs)
+        if last is not None:
+            yield from close(last, kept, answers)
+
+    return run
+
+
+def _part(rows: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows["id"]), pa.array(rows["named"] > 0), pa.array(rows["text"]), *(pa.array(sums[:, i]) for i in range(len(SUMS)))], names=["id", "named", "text", *SUMS])
+
+
 def _parts(batches):
     """Blocks of parts as rows."""
     for _, _, a, b, *_ in _blocks(batches):
-        rows, sums = np.frombuffer(a, ROWS), np.frombuffer(b, np.float64).reshape(-1, len(SUMS))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["id"]), pa.array(rows["named"] > 0), pa.array(rows["text"]), *(pa.array(sums[:, i]) for i in range(len(SUMS)))], names=["id", "named", "text", *SUMS])
+        yield _part(np.frombuffer(a, ROWS), np.frombuffer(b, np.float64).reshape(-1, len(SUMS)))
 
 
 def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, bits_per_entry: float = 8.0, bucket_bytes: int = 16_000_000, most_bytes: int = 256_000_000, sample_docs: int = 2000) -> DataFrame:
@@ -482,7 +652,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(tasks, math.ceil(size / bucket_bytes))
     hot = hot_words(rows.where(~held_out), sample_docs, buckets)
-    counted = rows.where(~held_out).select("text").mapInArrow(lean(_count(buckets, hot)), BLOCK_DDL)
+    counted = rows.where(~held_out).select("text").mapInArrow(lean(_count(buckets, hot, chunk_bytes(buckets))), BLOCK_DDL)
     counts = scratch.save(_in_order(counted, tasks).mapInArrow(lean(_add_up(bits_per_entry, hot)), BLOCK_DDL), "counts")
     levels = counts.where(F.col("kind") == WORD).mapInArrow(_levels, "level long, n long, t long").groupBy("level").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     total, distinct, by = sum(r["t"] for r in levels), sum(r["n"] for r in levels), {r["level"]: r["n"] for r in levels}
@@ -518,14 +688,20 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     if sum(sizes.values()) <= most_bytes:
         whole = Filter(sizes, buckets, ((r["bucket"], r["a"]) for r in segments.select("bucket", "a").toLocalIterator()))
     shared = spark.sparkContext.broadcast(Model(head_key[top], head_count[top].astype(np.float64), hot, of, hot_weights, total, distinct, whole))
-    postings = rows.mapInArrow(lean(_score(shared, buckets)), BLOCK_DDL)
-    counts = counts.where(F.col("kind") != MASS)
-    found = _in_order(postings.unionByName(counts), tasks).mapInArrow(lean(_look_up(shared, buckets)), BLOCK_DDL)
-    if whole is None:
-        found = scratch.save(found, "pairs")
-        at_first = _in_order(found.where(F.col("kind") == FIRST).unionByName(counts), tasks).mapInArrow(lean(_look_up(shared, buckets)), BLOCK_DDL)
-        found = found.where(F.col("kind") == DOC).unionByName(at_first)
-    sums = found.mapInArrow(_parts, PART_DDL).groupBy("id", "named", "text").agg(*(F.sum(c).alias(c) for c in SUMS))
+    if whole is not None:
+        postings = rows.mapInArrow(lean(_score(shared, buckets)), BLOCK_DDL)
+        found = _in_order(postings.unionByName(counts.where(F.col("kind") == WORD)), tasks).mapInArrow(lean(_look_up(shared)), BLOCK_DDL).mapInArrow(_parts, PART_DDL)
+    else:
+        known, done = counts.where(F.col("kind").isin(WORD, SEGMENT)), []
+        for k in range(ROUNDS):
+            asked = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k).mapInArrow(lean(_ask(buckets, hot, chunk_bytes(buckets))), BLOCK_DDL)
+            answers = scratch.save(_in_order(asked.unionByName(known), tasks).mapInArrow(lean(_answer()), ANSWER_DDL), "answers")
+            met = answers.repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
+            done.append(scratch.save(met.mapInArrow(lean(_put_together(shared, buckets)), PART_DDL), "sums"))
+            scratch.drop(answers)
+        scratch.drop(counts)
+        found = reduce(DataFrame.unionByName, done)
+    sums = found.groupBy("id", "named", "text").agg(*(F.sum(c).alias(c) for c in SUMS))
     out = sums.select(F.when(F.col("named"), F.col("id")).alias("id"), "copies", *((F.col(c) / F.col("copies")).alias(c) for c in SUMS[1:]), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(F.col("id").alias(id_col), held_out.alias("held_out"), *(F.round(c).cast("long").alias(c) for c in ("n_tokens", "n_known")), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 

@@ -244,6 +244,26 @@ def test_a_word_before_half_of_all_tokens_is_spread_over_the_buckets(spark, monk
     assert Counter((r.doc_id, round(r.score, 5)) for r in got) == want
 
 
+def test_probes_of_many_buckets_are_dealt_in_a_few_bytes(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    rows = [*((i, " ".join(f"word{k}" for k in rnd.integers(0, 20_000, 120))) for i in range(300)), (None, "word1 word2"), (None, "word1 word2"), (7, None), (None, "")]
+    df, size = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t or "") for _, t in rows)
+    dealt, in_order = [], lm_score._in_order
+
+    def measured(blocks, parts):
+        dealt.append(blocks.agg(F.sum(sum(F.length(c) for c in "abcde"))).first()[0])
+        return in_order(blocks, parts)
+
+    def got(most_bytes):
+        rows = lm_score.scores(df, head_words=50, bucket_bytes=size // 200, most_bytes=most_bytes).collect()
+        return Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in rows)
+
+    want = got(2**30)
+    monkeypatch.setattr(lm_score, "_in_order", measured)
+    assert got(-1) == want and want.total() == len(rows)
+    assert len(dealt) > 1 and max(dealt) < 3 * size
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     rows = [r for r in lm_score.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
